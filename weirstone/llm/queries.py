@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import binary, decontam, neardup, quality, tokens
+from weirstone.llm import binary, chat, decontam, licenses, mixing, neardup, quality, shards, tokens, topk
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -20,6 +20,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    back = chat.read_back(chat.windows(turns.union(more)))
+    spelt = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    loss = F.array_join("targets", "")
+    digest = lambda x: F.sha2(x.cast("binary"), 256)
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest(spelt).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), digest(loss).alias("loss_sha256"), "formatted_chars")
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["base"])
+    sure = F.filter("spans", lambda x: x["base"] | (x["score"] >= 0.8))
+    labels = lambda x: F.array_join(F.array_sort(F.array_distinct(F.transform(x, lambda y: y["label"]))), ",")
+    places = F.transform(base, lambda x: x["first"])
+    score = F.coalesce(F.array_max(F.transform("spans", lambda x: x["score"])), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), labels(base).alias("base_labels"), labels(sure).alias("labels"), score.alias("score"))
+
+
+def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shards.assign(table(spark, sf_dir, "documents"), [1.0] * 40, grown_weight=1.0)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"), (5, 2, 1), share=1.5, limit=2.0))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontam.find_matches(docs.select("doc_id", "text"), benchmark, window=10)
@@ -48,7 +81,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_decontaminate, op7_near_duplicates, op8_token_counts, op9_sequences, op10_quality)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_top_k, op4_rendezvous_shards, op5_mix_sources, op6_decontaminate, op7_near_duplicates, op8_token_counts, op9_sequences, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
