@@ -1 +1 @@
-"""See the modules."""
+"""Pure operators: DataFrames in, DataFrames out; no reading, writing or actions."""
