@@ -1 +1 @@
-"""See the modules."""
+"""Drivers that tie operators to tables, and the catalogue of queries."""

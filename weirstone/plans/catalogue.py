@@ -1,17 +1,650 @@
-"""The registered queries over the driver's tables, and their SQL."""
+"""The registered queries over the driver's tables, and their SQL.
+
+Each query stands on the library's operators; its SQL says the same independently for another engine.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from weirstone.config import Config, Entity, Source, Storage
+from weirstone.contracts import Contract, check_all
+from weirstone.governance import access_matrix, pii_inventory
+from weirstone.observability import detectors as D
+from weirstone.observability import metrics as M
+from weirstone.operators import dedup, enforcement, envelope, gold, marts, merge, reconcile, scd2
+from weirstone.quality.runner import run_suite, suite_summary
+from weirstone.quality.suite import Suite
+from weirstone.retrieval import chunks, embed, index
+from weirstone.sources.files import Feed, copy_into
+from weirstone.storage.scratch import scratch_folder
+from weirstone.storage.table import Table
+from weirstone.streaming.ingest import run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+#: The reference time of freshness checks: nothing here reads a clock.
+NOW = datetime(2030, 1, 1, tzinfo=timezone.utc)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def enter(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = sql
+        return f
+
+    return enter
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- account days -------------------------------------------------------------------------------
+
+#: Thresholds that fit the events' amounts.
+LIMITS = gold.Thresholds(large=100.0, near=0.85, velocity=3, structuring=1)
+
+
+def _transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as transactions: errors are reversed, purchases are deposits."""
+    e = table(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "purchase", "deposit").otherwise(F.col("event_type"))
+    return e.select(F.col("event_id").alias("transaction_id"), F.col("user_id").alias("account_id"), F.col("value").alias("amount"), kind.alias("txn_type"), F.col("event_type").alias("channel"), F.when(F.col("event_type") == "error", "reversed").otherwise("posted").alias("status"), F.col("ts").alias("booked_at"))
+
+
+def _accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("account_id"), F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("account_type"), F.lit("JPY").alias("currency"), (F.col("c_custkey") % 7 != 0).alias("is_current"))
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("customer_id"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") < 0, "high").otherwise("low").alias("risk_rating"), (F.col("c_custkey") % 5 != 0).alias("is_current"))
+
+
+@query("""
+with t as (select user_id as account_id, cast(ts as date) as txn_date, value as amount, event_type as channel,
+             case when event_type = 'purchase' then 'deposit' else event_type end as txn_type
+           from events where event_type <> 'error'),
+d as (select account_id, txn_date, count(*) as txn_count,
+        sum(case when txn_type = 'deposit' then amount else 0 end) as total_credits,
+        sum(case when txn_type = 'deposit' then 0 else amount end) as total_debits,
+        max(amount) as max_txn_amount, count(distinct channel) as distinct_channels,
+        count(*) filter (amount >= 100) as large, count(*) filter (amount >= 85 and amount < 100) as near
+      from t group by all)
+select d.account_id, d.txn_date, a.c_custkey as customer_id, a.c_mktsegment as account_type, case when a.c_custkey is not null then 'JPY' end as currency,
+  c.c_mktsegment as segment, case when c.c_custkey is null then null when c.c_acctbal < 0 then 'high' else 'low' end as risk_rating,
+  txn_count, round(total_credits, 4) as total_credits, round(total_debits, 4) as total_debits, round(total_credits - total_debits, 4) as net_amount, max_txn_amount,
+  distinct_channels, large > 0 as large_txn_flag, txn_count >= 3 as high_velocity_flag, near >= 1 as structuring_flag
+from d left join customer a on a.c_custkey = d.account_id and a.c_custkey % 7 <> 0
+left join customer c on c.c_custkey = a.c_custkey and c.c_custkey % 5 <> 0
+""")
+def account_day_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = gold.account_daily_metrics(_transactions(spark, sf_dir), _accounts(spark, sf_dir), _customers(spark, sf_dir), LIMITS)
+    return out.withColumns({c: F.round(c, 4) for c in ("total_credits", "total_debits", "net_amount")})
+
+
+@query("""
+select event_type, count(*) as n, round(sum(value), 3) as total, max(value) as largest, count(distinct user_id) as users from events group by event_type
+""")
+def event_type_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"), F.max("value").alias("largest"), F.countDistinct("user_id").alias("users"))
+
+
+# --- envelopes and contracts --------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as change-event lines, broken in as many ways as there are reasons, by event_id % 20."""
+    e = table(spark, sf_dir, "events")
+    op = F.when(F.col("event_type") == "error", "d").otherwise("u")
+    body = lambda op, ts, source: F.concat(F.lit('{"op":'), op, F.lit(',"ts_ms":'), ts, F.lit(',"source":'), source, F.lit("}"))
+    text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    ts, source = F.col("event_id").cast("string"), F.concat(F.lit('{"table":"events","lsn":'), F.col("event_id").cast("string"), F.lit("}"))
+    good = body(text(op), ts, source)
+    kind = F.col("event_id") % 20
+    raw = (
+        F.when(kind == 0, F.lit("")).when(kind == 1, F.substring(good, 1, 15)).when(kind == 2, F.concat(F.lit("GARBAGE "), good)).when(kind == 3, F.lit("[1]"))
+        .when(kind == 4, body(text(op), text(F.lit("soon")), source)).when(kind == 5, body(F.lit("null"), ts, source)).when(kind == 6, body(text(F.lit("x")), ts, source))
+        .when(kind == 7, body(text(op), F.lit("null"), source)).when(kind == 8, body(text(op), ts, F.lit("{}"))).when(kind == 9, F.lit(None).cast("string")).otherwise(good)
+    )
+    return e.select("event_id", F.when(F.col("event_id") % 3 == 0, "orders").otherwise("events").alias("entity"), F.lit(None).cast("string").alias("event_key"), raw.alias("raw_value"), F.lit("mem").alias("source_ref"))
+
+
+_REASON = """case event_id % 20 when 0 then 'unparseable_json' when 9 then 'unparseable_json' when 1 then 'corrupt_envelope' when 2 then 'corrupt_envelope'
+  when 3 then 'corrupt_envelope' when 4 then 'corrupt_envelope' when 5 then 'missing_op' when 6 then 'unknown_op' when 7 then 'missing_or_invalid_ts_ms'
+  when 8 then 'missing_source_table' end"""
+
+
+@query(f"""
+select event_id, {_REASON} as error_reason,
+  case when {_REASON} is null then case when event_type = 'error' then 'd' else 'u' end end as op,
+  case when {_REASON} is null then event_id end as lsn
+from events
+""")
+def envelope_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sound = F.col("error_reason").isNull()
+    out = envelope.parse_envelope(_lines(spark, sf_dir))
+    return out.select("event_id", "error_reason", F.when(sound, F.col("envelope.op")).alias("op"), F.when(sound, F.col("envelope.source.lsn")).alias("lsn"))
+
+
+@query(f"""
+select coalesce({_REASON}, case when event_id % 3 = 0 then 'unknown_entity' else 'valid' end) as outcome, count(*) as n from events group by 1
+""")
+def envelope_route_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = envelope.mark_unknown_entities(envelope.parse_envelope(_lines(spark, sf_dir)), ["events"])
+    bad = envelope.quarantined(parsed).select(F.col("error_reason").alias("outcome"))
+    good = envelope.events_of(parsed, "events").select(F.lit("valid").alias("outcome"))
+    return bad.union(good).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as int) as k, ts as at, user_id from events")
+def payload_typed_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", F.concat(F.lit('{"after":'), "props", F.lit("}")).alias("raw_value"))
+    typed = Contract.model_validate({"contract": "props", "version": 1, "owner": "x", "primary_key": ["k"], "event_time_field": "k", "sla": {"freshness_hours": 1}, "fields": [{"name": "k", "type": "integer", "nullable": False}]})
+    return enforcement.parse_payloads(raw, typed).select("event_id", "after.k", F.col("ts").alias("at"), "user_id")
+
+
+ORDER_CONTRACT = Contract.model_validate({
+    "contract": "orders", "version": 1, "owner": "x", "primary_key": ["id"], "event_time_field": "id", "sla": {"freshness_hours": 1},
+    "fields": [
+        {"name": "id", "type": "bigint", "nullable": False},
+        {"name": "status", "type": "string", "nullable": False, "allowed_values": ["F", "O"]},
+        {"name": "price", "type": "decimal(18,2)", "nullable": False},
+        {"name": "note", "type": "string"},
+    ],
+})
+
+
+def _order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as change events: every 11th without a price, every 13th without an after image, every 17th a delete."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    price = F.when(key % 11 == 0, F.lit("null")).otherwise(F.format_string("%.2f", "o_totalprice"))
+    after = F.concat(F.lit('{"id":'), key.cast("string"), F.lit(',"status":"'), F.col("o_orderstatus"), F.lit('","price":'), price, F.lit("}"))
+    raw = F.concat(F.lit('{"before":null,"after":'), F.when((key % 13 == 0) | (key % 17 == 0), F.lit("null")).otherwise(after), F.lit("}"))
+    return o.select(raw.alias("raw_value"), F.when(key % 17 == 0, "d").otherwise("c").alias("op"), key.alias("ts_ms"), key.alias("lsn"), F.lit("run").alias("run_id"))
+
+
+_VIOLATIONS = """case when o_orderkey % 17 = 0 then '' when o_orderkey % 13 = 0 then 'payload_violation:after_missing_or_unparseable'
+  else concat_ws(',', case when o_orderstatus not in ('F', 'O') then 'enum_violation:status' end, case when o_orderkey % 11 = 0 then 'null_violation:price' end) end"""
+
+
+@query(f"select o_orderkey as id, {_VIOLATIONS} as violations from orders where {_VIOLATIONS} <> ''")
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, broken, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT)
+    return broken.select(F.col("lsn").alias("id"), F.array_join("violations", ",").alias("violations"))
+
+
+@query(f"select case when {_VIOLATIONS} = '' then 'valid' else 'quarantined' end as side, count(*) as n from orders group by 1")
+def contract_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, broken, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT)
+    sides = valid.select(F.lit("valid").alias("side")).union(broken.select(F.lit("quarantined").alias("side")))
+    return sides.groupBy("side").agg(F.count("*").alias("n"))
+
+
+@query(f"select o_orderkey as id, round(cast(o_totalprice as decimal(18,2)), 2) as price from orders where {_VIOLATIONS} = '' and o_orderkey % 17 <> 0")
+def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid, _, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT)
+    return scd2.fact_rows(valid, ORDER_CONTRACT).select("id", "price")
+
+
+@query()
+def contract_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaks between the versions of the shipped contracts: none."""
+    rows = [(step, b) for step, breaks in check_all().items() for b in breaks]
+    return spark.createDataFrame(rows, "step string, break string")
+
+
+# --- histories ----------------------------------------------------------------------------------
+
+
+def _versions(spark: SparkSession, sf_dir: str, rows: Column | None = None) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    e = e.where(rows) if rows is not None else e
+    e = e.withColumn("op", F.when(F.col("event_type") == "error", "d").otherwise("u"))
+    made = scd2.intervals(e, "user_id", ("ts", "event_id"), "ts", identity=("event_id", "op"))
+    return made.select("user_id", "event_id", "value", "valid_from", "valid_to", "is_current", "is_deleted")
+
+
+_SCD2 = """select user_id, event_id, value, ts as valid_from, nts as valid_to, nts is null as is_current, coalesce(ntype = 'error', false) as is_deleted
+  from (select *, lead(ts) over w as nts, lead(event_type) over w as ntype from events window w as (partition by user_id order by ts, event_id))
+  where event_type <> 'error' and (nts is null or nts <> ts)"""
+
+
+@query(_SCD2)
+def scd2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versions(spark, sf_dir)
+
+
+@query(f"select * from ({_SCD2}) where is_current and not is_deleted")
+def scd2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scd2.current(_versions(spark, sf_dir))
+
+
+@query(f"select user_id, cast(0 as bigint) as overlaps, count(*) as n_current from ({_SCD2}) where is_current group by user_id having count(*) > 1")
+def scd2_chain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scd2.chain_violations(_versions(spark, sf_dir), "user_id")
+
+
+@query(f"""
+with v as ({_SCD2}) select p.c_custkey as user_id, p.at, v.event_id, v.value
+from (select c_custkey, timestamp '2024-01-15 00:00:00' + to_days(cast(c_custkey % 10 as int)) as at from customer) p
+left join v on v.user_id = p.c_custkey and v.valid_from <= p.at and (v.valid_to is null or p.at < v.valid_to)
+""")
+def scd2_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.expr("timestamp_ntz'2024-01-15 00:00:00' + make_dt_interval(int(c_custkey % 10))")
+    probes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), at.alias("at"))
+    return scd2.as_of(_versions(spark, sf_dir), probes, "user_id", "at").select("user_id", "at", "event_id", "value")
+
+
+@query(_SCD2)
+def scd2_merge_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of two thirds of the events, into which the whole one is merged: late events close and split versions."""
+    whole = _versions(spark, sf_dir)
+    base = _versions(spark, sf_dir, F.col("event_id") % 3 != 0)
+    # What an early history had that the whole one hasn't stays in a merge; here only rows of the whole are shown.
+    merged = merge.upsert(base, whole, ["user_id", "event_id", "valid_from"], ["valid_to", "is_current", "is_deleted"])
+    return merged.join(whole.select("user_id", "event_id"), ["user_id", "event_id"], "left_semi").select(*whole.columns)
+
+
+@query(f"select * from ({_SCD2}) where user_id in (select user_id from events where event_id % 50 = 0)")
+def scd2_touched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("op", F.when(F.col("event_type") == "error", "d").otherwise("u"))
+    held = scd2.touched_history(e, e.where(F.col("event_id") % 50 == 0), "user_id")
+    made = scd2.intervals(held, "user_id", ("ts", "event_id"), "ts", identity=("event_id", "op"))
+    return made.select("user_id", "event_id", "value", "valid_from", "valid_to", "is_current", "is_deleted")
+
+
+@query("select l_orderkey, l_linenumber, count(*) > 0 as there from lineitem group by 1, 2")
+def append_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two overlapping parts of lineitem, the second merged into the first by key."""
+    rows, keys = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"]
+    first = rows.where(F.col("l_orderkey") % 3 != 0).dropDuplicates(keys)
+    more = merge.insert_absent(first, rows.where(F.col("l_orderkey") % 2 == 0).unionByName(rows.where(F.col("l_orderkey") % 3 == 0)), keys)
+    return first.unionByName(more).withColumn("there", F.lit(True))
+
+
+@query("select count(*) as n from (select distinct l_orderkey, l_linenumber, l_partkey from lineitem)")
+def exact_dup_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return dedup.exact_duplicates_dropped(rows.unionAll(rows), ["l_orderkey", "l_linenumber", "l_partkey"]).agg(F.count("*").alias("n"))
+
+
+@query("""
+select o_custkey, o_orderkey, o_orderdate, o_totalprice from orders qualify row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) = 1
+""")
+def latest_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return dedup.latest_per_key(o, ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")])
+
+
+@query("select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_quantity > 40)")
+def ledger_set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return merge.set_difference(table(spark, sf_dir, "part").select("p_partkey"), known, "p_partkey")
+
+
+@query("select 'region_' || n_regionkey as _source_file, count(*) as rows_loaded from nation group by 1")
+def per_file_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").withColumn("_source_file", F.concat(F.lit("region_"), F.col("n_regionkey").cast("string")))
+    return reconcile.per_file_counts(n)
+
+
+@query("""
+select coalesce(o.k, l.k) as o_orderkey, coalesce(o.n, 0) as expected, coalesce(l.n, 0) as actual, coalesce(o.n, 0) = coalesce(l.n, 0) as matches
+from (select o_orderkey as k, count(*) as n from orders where o_orderkey % 2 = 0 group by 1) o
+full join (select l_orderkey as k, count(*) as n from lineitem where l_linenumber = 1 group by 1) l on o.k = l.k
+""")
+def reconcile_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").select("o_orderkey")
+    actual = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"))
+    return reconcile.reconcile_counts(expected, actual, "o_orderkey")
+
+
+# --- marts --------------------------------------------------------------------------------------
+
+_FX = [("JPY", "USD", 0.0064, "2026-01-01"), ("JPY", "EUR", 0.0059, "2026-01-01"), ("JPY", "GBP", 0.0, "2026-01-01")]
+
+
+@query("""
+select c_custkey as customer_id, c_mktsegment as segment, case when c_acctbal < 0 then 'high' else 'low' end as risk_rating, date '2024-01-01' as customer_since,
+  count(distinct o_orderkey) as active_accounts, round(coalesce(sum(o_totalprice), 0), 2) as total_balance
+from customer left join orders on o_custkey = c_custkey and o_orderstatus = 'F' group by all
+""")
+def dim_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _customers(spark, sf_dir).drop("is_current").withColumn("created_at", F.to_timestamp_ntz(F.lit("2024-01-01 10:00:00")))
+    o = table(spark, sf_dir, "orders")
+    accounts = o.select(F.col("o_custkey").alias("customer_id"), F.col("o_orderkey").alias("account_id"), F.col("o_totalprice").alias("balance"), F.when(F.col("o_orderstatus") == "F", "active").otherwise("closed").alias("status"))
+    return marts.dim_customers(c, accounts).withColumn("total_balance", F.round(F.col("total_balance").cast("double"), 2))
+
+
+@query("""
+select o_orderkey as transaction_id, o_custkey as account_id, case when o_custkey % 4 <> 0 then o_custkey end as customer_id, cast(o_orderdate as date) as booked_date,
+  cur as currency, o_totalprice as amount, case cur when 'JPY' then o_totalprice when 'USD' then o_totalprice / 0.0064 when 'EUR' then o_totalprice / 0.0059 end as amount_jpy
+from (select *, case o_orderkey % 5 when 0 then 'JPY' when 1 then 'USD' when 2 then 'EUR' when 3 then 'GBP' else 'CHF' end as cur from orders)
+""")
+def fct_fx_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    currency = F.element_at(F.array(*(F.lit(x) for x in ("JPY", "USD", "EUR", "GBP", "CHF"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    t = o.select(F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("amount"), currency.alias("currency"), none.alias("txn_type"), none.alias("channel"), none.alias("status"), F.col("o_orderdate").alias("booked_at"), F.to_date("o_orderdate").alias("booked_date"))
+    accounts = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("account_id"), F.col("c_custkey").alias("customer_id"))
+    out = marts.fct_transactions(t, accounts, spark.createDataFrame(_FX, "base_currency string, quote_currency string, rate double, business_date string"))
+    exact = marts.in_base_currency(F.col("amount"), F.col("currency"), F.element_at(F.create_map(*(F.lit(x) for _, q, r, _ in _FX for x in (q, r))), F.col("currency")), digits=None)
+    same = F.when(F.col("amount_jpy").isNull() == exact.isNull(), exact)  # the mart rounds to cents, halves up; the SQL side doesn't
+    return out.select("transaction_id", "account_id", "customer_id", "booked_date", "currency", "amount", same.alias("amount_jpy"))
+
+
+@query("""
+select o_orderpriority as product, count(*) as applications, count(*) filter (o_orderstatus = 'P') as submitted, cast(0 as bigint) as under_review,
+  count(*) filter (o_orderstatus = 'F') as approved, count(*) filter (o_orderstatus = 'O') as rejected,
+  round(count(*) filter (o_orderstatus = 'F') / nullif(count(*) filter (o_orderstatus in ('F', 'O')), 0), 3) as approval_rate, round(avg(o_totalprice), 2) as avg_amount
+from orders group by 1
+""")
+def status_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = F.element_at(F.create_map(*(F.lit(x) for x in ("P", "submitted", "F", "approved", "O", "rejected"))), F.col("o_orderstatus"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("product"), state.alias("status"), F.col("o_totalprice").alias("amount"))
+    return marts.funnel(o, "product", "status", "amount", None)
+
+
+@query("""
+select c_custkey as account_id, c_nationkey as customer_id, c_mktsegment as account_type, 'JPY' as currency, c_acctbal as balance,
+  case when c_acctbal < 0 then 'frozen' else 'active' end as status from customer where c_custkey % 3 <> 0 and c_custkey % 7 <> 0
+""")
+def stg_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, at = table(spark, sf_dir, "customer"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    held = c.select(F.col("c_custkey").alias("account_id"), F.col("c_nationkey").alias("customer_id"), F.col("c_mktsegment").alias("account_type"), F.lit("JPY").alias("currency"), F.col("c_acctbal").alias("balance"), F.when(F.col("c_acctbal") < 0, "frozen").otherwise("active").alias("status"), at.alias("opened_at"), at.alias("updated_at"), (F.col("c_custkey") % 3 != 0).alias("is_current"), (F.col("c_custkey") % 7 == 0).alias("is_deleted"))
+    return marts.stg_accounts(held).drop("opened_at", "updated_at")
+
+
+@query("""
+select s_suppkey as branch_id, s_name as branch_name, 'n' || s_nationkey as region, date '2020-01-01' as opened_date, date '2024-01-01' + cast(s_suppkey % 3 as int) as business_date from supplier
+""")
+def stg_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier sent three times; the latest load wins, and of one load the last file."""
+    s = table(spark, sf_dir, "supplier")
+    sent = s.select(F.col("s_suppkey").alias("branch_id"), F.col("s_name").alias("branch_name"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("region"), F.lit("2020-01-01").alias("opened_date"), F.explode(F.array(*(F.struct(F.lit(at).alias("_ingest_ts"), F.lit(f).alias("_source_file"), F.lit(shift).alias("shift")) for at, f, shift in ((1, "a", -2), (2, "a", -1), (2, "b", 0))))).alias("x"))
+    sent = sent.select("branch_id", "branch_name", "region", "opened_date", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("branch_id") % 3).cast("int") + F.col("x.shift")).cast("string").alias("business_date"), "x._ingest_ts", "x._source_file")
+    return marts.stg_branches(sent)
+
+
+# --- data quality -------------------------------------------------------------------------------
+
+ORDER_SUITE = Suite.model_validate({
+    "table": "orders", "layer": "silver", "filter": "o_totalprice > 1000",
+    "checks": [
+        {"type": "not_null", "column": "o_orderkey"},
+        {"type": "accepted_values", "column": "o_orderstatus", "values": ["F", "O"]},
+        {"type": "row_count_between", "min_rows": 1, "max_rows": 100},
+        {"type": "freshness", "column": "o_orderdate", "max_age_hours": 48, "severity": "warn"},
+        {"type": "unique", "columns": ["o_custkey", "o_orderstatus"]},
+        {"type": "referential_integrity", "column": "o_custkey", "ref_table": "customer", "ref_column": "c_custkey", "ref_filter": "c_acctbal > 0", "severity": "warn"},
+    ],
+})
+
+_DQ_PARTS = {
+    "dq_not_null": ("0", "count(*) filter (o_orderkey is null)", "' null values'", "fail", "not_null(o_orderkey)"),
+    "dq_accepted": ("1", "count(*) filter (o_orderstatus not in ('F', 'O'))", "' out-of-domain values'", "fail", "accepted_values(o_orderstatus)"),
+    "dq_row_count": ("2", "count(*)", "' rows'", "fail", "row_count_between(1, 100)"),
+    "dq_unique": ("4", "count(*) - count(distinct (o_custkey, o_orderstatus))", "' duplicate keys'", "fail", "unique(o_custkey, o_orderstatus)"),
+    "dq_referential": ("5", "count(*) filter (o_custkey is not null and not exists (select 1 from customer c where c.c_custkey = o.o_custkey and c.c_acctbal > 0))", "' orphaned values'", "warn", "referential_integrity(o_custkey -> customer.c_custkey)"),
+}
+
+
+def _dq_sql(name: str) -> str:
+    number, measure, what, bad, text = _DQ_PARTS[name]
+    holds = "v between 1 and 100" if name == "dq_row_count" else "v = 0"
+    if name == "dq_referential":
+        inner = "select count(*) as v from orders o left join (select c_custkey from customer where c_acctbal > 0) c on c.c_custkey = o.o_custkey where o_totalprice > 1000 and c.c_custkey is null"
+    else:
+        inner = f"select {measure} as v from orders where o_totalprice > 1000"
+    severity = "warn" if bad == "warn" else "error"
+    return f"select cast({number} as int) as check_no, '{text}' as description, '{severity}' as severity, case when {holds} then 'pass' else '{bad}' end as status, {holds} as passed, v || {what} as observed from ({inner})"
+
+
+def _dq_fresh_sql() -> str:
+    hours = "(epoch_ms(timestamp '2030-01-01 00:00:00') - epoch_ms(max(o_orderdate))) / 3600000.0"
+    return f"select cast(3 as int) as check_no, 'freshness(o_orderdate, 48h)' as description, 'warn' as severity, case when age <= 48 then 'pass' else 'warn' end as status, age <= 48 as passed, printf('latest event %.1fh old', age) as observed from (select {hours} as age from orders where o_totalprice > 1000)"
+
+
+def _order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_suite(table(spark, sf_dir, "orders"), ORDER_SUITE, lambda name: table(spark, sf_dir, name), NOW)
+
+
+def _one_check(number: int) -> Query:
+    def one(spark: SparkSession, sf_dir: str) -> DataFrame:
+        suite = ORDER_SUITE.model_copy(update={"checks": [ORDER_SUITE.checks[number]]})
+        return run_suite(table(spark, sf_dir, "orders"), suite, lambda name: table(spark, sf_dir, name), NOW).withColumn("check_no", F.lit(number))
+
+    return one
+
+
+for _name, (_number, *_) in _DQ_PARTS.items():
+    _QUERIES[_name], _SQL[_name] = _one_check(int(_number)), _dq_sql(_name)
+_QUERIES["dq_freshness"], _SQL["dq_freshness"] = _one_check(3), _dq_fresh_sql()
+_EVERY_CHECK = " union all ".join([*(_dq_sql(n) for n in _DQ_PARTS), _dq_fresh_sql()])
+
+
+@query(_EVERY_CHECK)
+def dq_suite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _order_checks(spark, sf_dir)
+
+
+@query(f"select count(*) filter (status = 'pass') as n_passed, count(*) filter (status = 'fail') as n_failed, count(*) filter (status = 'warn') as n_warned, count(*) filter (status = 'pass') / count(*) as pass_rate from ({_EVERY_CHECK})")
+def dq_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suite_summary(_order_checks(spark, sf_dir))
+
+
+# --- run metrics and detectors ------------------------------------------------------------------
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run metrics from events: a run by day, a step by event type."""
+    e = table(spark, sf_dir, "events")
+    rows = e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("run_id"), F.col("event_type").alias("step")).agg(
+        F.min("ts").alias("started_at"), F.count("*").alias("rows_read"), F.count_if(F.col("value") > 100).alias("rows_quarantined"), F.max("value").alias("duration_s"), F.sum(F.col("event_id") % 7).alias("h"),
+    )
+    return rows.select("run_id", F.lit("p").alias("pipeline"), "step", F.when(F.col("step") == "purchase", "gold").otherwise("silver").alias("layer"), F.when(F.col("h") % 5 == 0, "failed").otherwise("success").alias("status"), "started_at", "duration_s", "rows_read", (F.col("rows_read") - F.col("rows_quarantined")).alias("rows_written"), "rows_quarantined", F.when(F.col("h") % 5 == 0, "Boom").alias("error"))
+
+
+_METRICS = """m as (select strftime(ts, '%Y-%m-%d') as run_id, event_type as step, min(ts) as started_at, count(*) as rows_read, count(*) filter (value > 100) as rows_quarantined,
+  max(value) as duration_s, sum(event_id % 7) as h, case when event_type = 'purchase' then 'gold' else 'silver' end as layer, case when sum(event_id % 7) % 5 = 0 then 'failed' else 'success' end as status
+  from events group by 1, 2),
+last as (select arg_max(run_id, started_at) as run_id from m), run as (select * from m where run_id in (select run_id from last)), hist as (select * from m where run_id not in (select run_id from last))"""
+
+_FAILED = "select case when layer = 'gold' then 'critical' else 'high' end as severity, 'Pipeline step failed: p/' || step as title, 'p/' || step as affected from run where status = 'failed'"
+_SPIKES = """select 'medium' as severity, 'Quarantine spike in p/' || step as title, step as affected from (select run.*, case when n >= 3 then mean + greatest(2 * sd, 0.01) else 0.05 end as threshold
+  from run left join (select step, count(*) as n, avg(rows_quarantined / rows_read) as mean, stddev_pop(rows_quarantined / rows_read) as sd from hist where rows_read > 0 group by step) b using (step))
+  where rows_quarantined > 0 and rows_quarantined / rows_read > threshold"""
+_SLOW = """select 'low' as severity, 'Duration anomaly in p/' || step as title, step as affected from run
+  join (select step, count(*) as n, avg(duration_s) as mean, stddev_pop(duration_s) as sd from hist group by step) b using (step) where n >= 3 and duration_s > mean + greatest(3 * sd, 0.5)"""
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    return found.select("severity", "title", "affected")
+
+
+@query(f"with {_METRICS} select run_id, min(started_at) as started_at, cast(sum(rows_read - rows_quarantined) as bigint) as rows_written, count(*) filter (status = 'failed') as failed_steps from m group by 1")
+def runs_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.runs_over_time(_metrics(spark, sf_dir))
+
+
+@query(f"with {_METRICS} select run_id, step, status, started_at, rows_read from run")
+def latest_run_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.latest_run(_metrics(spark, sf_dir)).select("run_id", "step", "status", "started_at", "rows_read")
+
+
+@query(f"with {_METRICS} select count(*) as steps, count(*) filter (status = 'failed') as failed_steps, cast(sum(rows_read - rows_quarantined) as bigint) as rows_written, cast(sum(rows_quarantined) as bigint) as rows_quarantined from run")
+def run_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.run_kpis(M.latest_run(_metrics(spark, sf_dir)))
+
+
+@query(f"with {_METRICS} {_FAILED.replace('from run', 'from m')}")
+def failed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(D.failed_steps(_metrics(spark, sf_dir)))
+
+
+def _every_run_against_history(sql: str) -> str:
+    """A detector's SQL with all runs as the one looked at, and those of odd days as history."""
+    return f"with {_METRICS.replace('run as (select * from m where run_id in (select run_id from last))', 'run as (select * from m)').replace('hist as (select * from m where run_id not in (select run_id from last))', 'hist as (select * from m where cast(right(run_id, 2) as int) % 2 = 1)')} {sql}"
+
+
+def _odd_days(metrics: DataFrame) -> DataFrame:
+    return metrics.where(F.right("run_id", F.lit(2)).cast("int") % 2 == 1)
+
+
+@query(_every_run_against_history(_SPIKES))
+def quarantine_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metrics(spark, sf_dir)
+    return _shown(D.quarantine_spikes(m, _odd_days(m)))
+
+
+@query(_every_run_against_history(_SLOW))
+def duration_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _metrics(spark, sf_dir)
+    return _shown(D.duration_anomalies(m, _odd_days(m)))
+
+
+@query(f"""with {_METRICS}, f as ({_FAILED} union all {_SPIKES} union all {_SLOW}
+  union all select case status when 'fail' then 'high' else case when description like 'referential_integrity%' then 'medium' else 'low' end end, case status when 'fail' then 'DQ check failed on orders: ' else 'DQ warning on orders: ' end || description, 'orders' from ({_EVERY_CHECK}) where status <> 'pass')
+select severity, title, affected from f""")
+def incident_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    run, history = D.split_runs(_metrics(spark, sf_dir))
+    return _shown(D.all_findings(run, history, _order_checks(spark, sf_dir).withColumn("table", F.lit("orders"))))
+
+
+_STATUS = """case min(case severity when 'critical' then 1 when 'high' then 2 when 'medium' then 3 when 'low' then 4 end) when 1 then 'SEV-1 CANDIDATE' when 2 then 'SEV-2 CANDIDATE'
+  when 3 then 'SEV-3 / DEGRADED' when 4 then 'HEALTHY WITH NOTES' else 'HEALTHY' end"""
+
+
+@query(f"with {_METRICS}, f as ({_FAILED} union all {_SPIKES} union all {_SLOW}) select {_STATUS} as status, count(*) as n_findings from f")
+def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.overall_status(D.all_findings(*D.split_runs(_metrics(spark, sf_dir))))
+
+
+@query(f"with {_METRICS} select severity, count(*) as n from ({_FAILED.replace('from run', 'from m')}) group by 1")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.severity_counts(D.failed_steps(_metrics(spark, sf_dir)))
+
+
+# --- retrieval and governance -------------------------------------------------------------------
+
+
+@query("""
+with q as (select cast(embedding as double[]) as qe from embeddings where vec_id = 0), s as (select vec_id, list_inner_product(cast(embedding as double[]), qe) as score from embeddings, q)
+select vec_id, round(score, 9) as score from s order by s.score desc, vec_id desc limit 10
+""")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id = 0").first()["embedding"]
+    return index.top_k(e, asked, 10, "embedding", "vec_id").select("vec_id", F.round("score", 9).alias("score"))
+
+
+def _pages_as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in a Markdown frame: the first line under a title, the rest as paragraphs."""
+    d = table(spark, sf_dir, "documents")
+    body = F.regexp_replace(F.regexp_replace("text", "#", ""), "\n", "\n\n")
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_slug"), F.concat(F.lit("# Title "), F.col("source"), F.lit("\n\nIntro.\n\n## Body Part\n\n"), body).alias("text"))
+
+
+@query()
+def chunk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.chunk_documents(_pages_as_markdown(spark, sf_dir)).select("chunk_id", "doc_title", "heading", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query()
+def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = embed.embedded(F.col("text"), embed.HashingEmbedder())
+    rows = table(spark, sf_dir, "documents").select("doc_id", made.alias("vec"))
+    return rows.select("doc_id", F.size("vec").alias("dim"), F.round(index.dot(F.col("vec"), F.col("vec")), 4).alias("norm"), F.size(F.filter("vec", lambda x: x > 0)).alias("filled"))
+
+
+@query("""
+with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents),
+g as (select doc_id, substr('^' || word || '$', i, 3) as gram from (select doc_id, word, unnest(range(1, greatest(length(word), 1) + 1)) as i from w))
+select gram, count(*) as n, count(distinct doc_id) as docs from g group by gram
+""")
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("word"))
+    marked = F.concat(F.lit("^"), "word", F.lit("$"))
+    # A word repeats often, so its grams are counted by word and document first.
+    per_word = words.groupBy("doc_id", "word").agg(F.count("*").alias("times"))
+    grams = per_word.select("doc_id", "times", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(marked, i, F.lit(3)))).alias("gram"))
+    return grams.groupBy("gram").agg(F.sum("times").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query("""
+select * from (values ('analysts', 'group', '—', 'SELECT', '—'), ('data-engineers', 'group', 'SELECT, MODIFY, CREATE_TABLE', 'SELECT, MODIFY, CREATE_TABLE', 'SELECT, MODIFY, CREATE_TABLE'),
+  ('svc-ingest', 'service_principal', 'SELECT, MODIFY, CREATE_TABLE', '—', '—'), ('svc-transform', 'service_principal', 'SELECT', 'SELECT, MODIFY, CREATE_TABLE', 'SELECT, MODIFY, CREATE_TABLE')) t(principal, kind, bronze, gold, silver)
+""")
+def grants_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return access_matrix(spark)
+
+
+@query("""
+select table_name, cast(version as int) as version, column_name, category from (values ('accounts', 1, 'balance', 'financial'), ('customers', 2, 'full_name', 'direct_identifier'), ('customers', 2, 'email', 'direct_identifier'),
+  ('customers', 2, 'phone', 'direct_identifier'), ('customers', 2, 'address', 'quasi_identifier'), ('loan_applications', 1, 'amount', 'financial'), ('loan_applications', 1, 'credit_score', 'sensitive'),
+  ('transactions', 1, 'amount', 'financial'), ('transactions', 1, 'counterparty', 'quasi_identifier')) t(table_name, version, column_name, category)
+""")
+def pii_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_inventory(spark)
+
+
+# --- streaming and tables -----------------------------------------------------------------------
+
+
+@query("""
+select case when event_id % 20 between 0 and 9 then '_quarantine' else 'events' end as table_name, count(*) as n from events where event_id % 3 <> 0 or event_id % 20 between 0 and 9 group by 1
+""")
+def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines in files, taken in by the streaming ingest twice; rows by table. The second time finds nothing new.
+
+    Valid lines of an entity that nobody configured go nowhere, unless the ingest is told to be strict.
+    """
+    folder = scratch_folder(spark, "stream")
+    for entity in ("events", "orders"):
+        _lines(spark, sf_dir).where(F.col("entity") == entity).select("raw_value").write.text(f"{folder}/cdc/{entity}")
+    config = Config(source=Source(cdc_landing_dir=f"{folder}/cdc", cdc_pattern="*.txt"), storage=Storage(lakehouse_root=f"{folder}/lake", checkpoints_dir=f"{folder}/checkpoints"), entities=[Entity(name="events", primary_key="event_id", scd="type2")])
+    run_stream(spark, config, "run-1")
+    run_stream(spark, config, "run-2")
+    read = lambda name: Table(spark, config.table("bronze", name)).read().select(F.lit(name).alias("table_name"))
+    return read("events").union(read("_quarantine")).groupBy("table_name").agg(F.count("*").alias("n"))
+
+
+@query("select c_custkey, case when c_custkey % 2 = 0 then 'new' else c_mktsegment end as segment, c_custkey % 2 = 0 as seen from customer where c_custkey % 3 <> 0 or c_custkey % 2 = 0")
+def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A versioned table: two thirds of the customers, into which the even ones are merged with a new column."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    held = Table(spark, scratch_folder(spark, "table"))
+    held.append(c.where("c_custkey % 3 <> 0"))
+    held.merge(c.where("c_custkey % 2 = 0").withColumns({"segment": F.lit("new"), "seen": F.lit(True)}), ["c_custkey"], ["segment", "seen"])
+    return held.read().select("c_custkey", "segment", F.coalesce("seen", F.lit(False)).alias("seen"))
+
+
+@query("select n_nationkey, n_name, n_regionkey, 'run' as _run_id from nation")
+def copy_into_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations landed as CSV files and loaded by the ledger, twice; the second load adds nothing. CSV columns are strings."""
+    folder = scratch_folder(spark, "copy")
+    table(spark, sf_dir, "nation").write.option("header", "true").csv(f"{folder}/landing/nation")
+    feeds = {"nation": Feed("csv", "*.csv", {"header": "true"})}
+    for _ in range(2):
+        copy_into(spark, f"{folder}/landing", f"{folder}/lake", "run", feeds)
+    rows = Table(spark, f"{folder}/lake/nation").read()
+    return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"), "_run_id")
