@@ -53,7 +53,7 @@ def verdict(check: Check, value: Column, now: datetime) -> tuple[Column, Column]
             return (value >= check.min_rows) & (F.lit(True) if check.max_rows is None else value <= check.max_rows), F.concat(count, F.lit(" rows"))
         case Freshness():
             age = (F.lit(_millis(now)) - value) / 3_600_000
-            return F.coalesce(age <= check.max_age_hours, F.lit(False)), F.coalesce(F.format_string("latest event %.1fh old", age), F.lit("no rows / all-null event time"))
+            return F.coalesce(age <= check.max_age_hours, F.lit(False)), F.when(age.isNull(), "no rows / all-null event time").otherwise(F.format_string("latest event %.1fh old", age))
         case NotNull():
             what = " null values"
         case Unique():
