@@ -1,0 +1,49 @@
+"""The corpus pipeline, stage by stage, against brute force on a small table."""
+
+import brute
+import pytest
+
+import corpus_pipeline
+from weirstone.llm import quality
+from weirstone.llm.queries import table
+
+
+@pytest.fixture(scope="module")
+def sf_dir(spark, prose, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("corpus")
+    item = prose(999, 20)
+    docs = [(i, prose(i, 30 + i % 50), "en", f"src{i % 3}") for i in range(120)]
+    docs += [(200 + i, " ".join(x + "***" for x in prose(i, 60).split(" ")), "en", "src0") for i in range(30)]
+    docs += [(300, docs[4][1], "en", "src1"), (301, docs[4][1] + " more", "en", "src1"), (302, prose(302, 30) + " " + item, "en", None), (303, None, None, None), (5, docs[5][1], "en", "src2")]
+    spark.createDataFrame([(*d, len(d[1] or "")) for d in docs], "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i < 200), 0) for i in [*range(0, 120, 2), *range(200, 230, 2)]], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return str(folder)
+
+
+def test_stages(spark, sf_dir, tmp_path):
+    docs, item = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark").first()["text"]
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/{name}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{name}")
+        kept[name] = [(r["doc_id"], r["text"]) for r in docs.collect()] if "text" in docs.columns else None
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert docs.columns == columns
+        if name == "quality":
+            accepted = quality.score(before, quality.train(before, table(spark, sf_dir, "labels"))).where("predicted = 1")
+            assert sorted(map(str, kept[name])) == sorted(str((r["doc_id"], r["text"])) for r in accepted.select("row.*").collect())
+            assert not any(i and 200 <= i < 230 for i, _ in kept[name])
+    rows = [(i, t) for i, t in kept["quality"]]
+    unique = list({i: (i, t) for i, t in rows}.values())
+    smallest = brute.components(unique)
+    assert sorted(kept["near_duplicates"], key=str) == sorted([(i, t) for i, t in unique if smallest[i][1] == i], key=str)
+    assert sorted(kept["decontamination"], key=str) == sorted([(i, t) for i, t in kept["near_duplicates"] if not brute.contamination(t, [(1, item)])[1]], key=str)
+    assert {i for i, _ in kept["mixing"]} <= {i for i, _ in kept["decontamination"]} and len(kept["mixing"]) > 100
+    assert {r["doc_id"] for r in docs.collect()} == {i for i, t in kept["mixing"] if t}
+
+
+def test_run(spark, sf_dir):
+    found = corpus_pipeline.run(spark, sf_dir)
+    assert sorted(r["slot"] for r in found.collect()) == list(range(found.count()))
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "token_shards"]
