@@ -19,8 +19,8 @@ from weirstone.llm._spark import cut
 
 TURN, SAY, END = "<|turn|>", "<|say|>", "<|end|>"
 
-#: What follows the first character of a control string (all begin with < or [).
-CONTROL_RESTS = [r"\|", r"/?s>", r"/?SYS>>", r"</?SYS>>", r"/?INST\]", r"/?(?:bos|eos|pad|unk)>", r"(?:start|end)_of_turn>", r"endoftext", r"/?(?:SEP|CLS|MASK|PAD|UNK)\]"]
+#: What follows the last < or [ of a control string. None holds such a character itself, so one escape never hides another.
+CONTROL_RESTS = [r"\|", r"/?s>", r"/?SYS>>", r"/?INST\]", r"/?(?:bos|eos|pad|unk)>", r"(?:start|end)_of_turn>", r"endoftext", r"/?(?:SEP|CLS|MASK|PAD|UNK)\]"]
 _REST = "(?=" + "|".join(CONTROL_RESTS) + ")"
 
 #: Turns in a block of the first sums; budgets in a cell.
