@@ -30,6 +30,8 @@ def test_every_step_succeeds(run):
     rows = M.metrics_table(run.spark, run.lake).read()
     assert rows.where("status = 'failed'").count() == 0 and rows.count() >= 10
     assert "run_id=r1" in (run.config.storage.reports_dir / "run.txt").read_text()
+    assert "SET TAGS" in (run.config.storage.reports_dir / "pii_tags.sql").read_text()
+    assert rows.where("step = 'build'").first()["dq_checks_passed"] >= 24
     assert "# Pipeline Incident Report — run `r1`" in (run.config.storage.reports_dir / "incident_r1.md").read_text()
 
 
@@ -139,6 +141,16 @@ def test_table_versions(spark, tmp_path):
     assert len(t.vacuum()) > 0 and t.read().count() == 6
 
 
+def test_a_claim_whose_writer_is_gone(spark, tmp_path, monkeypatch):
+    from weirstone.storage import table as module
+
+    monkeypatch.setattr(module, "CLAIM_S", 1)
+    t = Table(spark, f"{tmp_path}/t")
+    (tmp_path / "t" / "_log").mkdir(parents=True)
+    (tmp_path / "t" / "_log" / "000000000001.json.claim").touch()
+    assert t.append(spark.createDataFrame([(1,)], "k int")).number == 1 and t.read().count() == 1
+
+
 def test_config(tmp_path):
     config = load_config(root=tmp_path, environ={"LAKEHOUSE_SOURCE_MODE": "kafka", "LAKEHOUSE_ROOT": "hdfs://x/y"})
     assert config.source.mode == "kafka" and config.table("silver", "a") == "hdfs://x/y/silver/a"

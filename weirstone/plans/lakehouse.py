@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirstone import governance
 from weirstone.config import Config, load_config
 from weirstone.contracts import Contract, latest_contracts
 from weirstone.generators import changes, feeds
@@ -21,6 +22,11 @@ from weirstone.observability.report import report
 from weirstone.operators import enforcement, gold, marts, scd2
 from weirstone.operators.merge import insert_absent
 from weirstone.quality import load_suites, run_suites
+from weirstone.quality.suite import MART_SUITES
+from weirstone.retrieval import index
+from weirstone.retrieval.chunks import chunk_corpus
+from weirstone.retrieval.corpus import write_corpus
+from weirstone.retrieval.embed import default_embedder
 from weirstone.session import build_session
 from weirstone.sources.files import copy_into
 from weirstone.storage.table import Table
@@ -120,18 +126,37 @@ def run_gold(run: Run, thresholds: gold.Thresholds = gold.Thresholds()) -> int:
     return step.rows_written
 
 
+def staging(run: Run) -> dict[str, DataFrame]:
+    """The staging views."""
+    return {
+        "stg_customers": marts.stg_customers(run.read("silver/customers")),
+        "stg_accounts": marts.stg_accounts(run.read("silver/accounts")),
+        "stg_transactions": marts.stg_transactions(run.read("silver/transactions")),
+        "stg_loan_applications": marts.stg_loan_applications(run.read("silver/loan_applications")),
+        "stg_branches": marts.stg_branches(run.read("bronze/branches")),
+        "stg_fx_rates": marts.stg_fx_rates(run.read("bronze/fx_rates")),
+    }
+
+
 def run_marts(run: Run) -> dict[str, int]:
+    """Build the marts and run the checks on staging and marts; an error in those fails the step."""
     with M.track_step(run.spark, run.lake, run.run_id, "marts", "build", "gold") as step:
-        customers, accounts = marts.stg_customers(run.read("silver/customers")), marts.stg_accounts(run.read("silver/accounts"))
+        views = staging(run)
         built = {
-            "dim_customers": marts.dim_customers(customers, accounts),
-            "fct_transactions": marts.fct_transactions(marts.stg_transactions(run.read("silver/transactions")), accounts, marts.stg_fx_rates(run.read("bronze/fx_rates"))),
-            "mart_loan_funnel": marts.mart_loan_funnel(marts.stg_loan_applications(run.read("silver/loan_applications"))),
+            "dim_customers": marts.dim_customers(views["stg_customers"], views["stg_accounts"]),
+            "fct_transactions": marts.fct_transactions(views["stg_transactions"], views["stg_accounts"], views["stg_fx_rates"]),
+            "mart_loan_funnel": marts.mart_loan_funnel(views["stg_loan_applications"]),
         }
         for name, rows in built.items():
             run.table("gold", name).overwrite(rows)
         counts = {name: run.read(f"gold/{name}").count() for name in built}
         step.rows_written = sum(counts.values())
+        read = lambda place: views[place[8:]] if place.startswith("staging/") else run.read(place)
+        results = run_suites(load_suites(MART_SUITES), read, run.now)
+        step.dq_checks_passed = sum(r.count("pass") for r in results)
+        step.dq_checks_failed = sum(r.count("fail") + r.count("warn") for r in results)
+        if broken := [f"{r.table}: {c['description']}" for r in results for c in r.checks if c["status"] == "fail"]:
+            raise ValueError(f"mart checks failed: {broken}")
     return counts
 
 
@@ -184,6 +209,26 @@ def run_incidents(run: Run) -> Path:
     return path
 
 
+def run_governance(run: Run) -> list[Path]:
+    """Tag statements and the access matrix, as files."""
+    folder = run.config.storage.reports_dir
+    folder.mkdir(parents=True, exist_ok=True)
+    files = {folder / "pii_tags.sql": governance.pii_tag_sql(), folder / "access_matrix.md": governance.render_access_matrix(run.spark)}
+    for path, content in files.items():
+        path.write_text(content, encoding="utf-8")
+    return list(files)
+
+
+def run_retrieval(run: Run, questions: Sequence[str] = ("How long are bronze events kept?", "Who may read gold tables?"), k: int = 3, seed: int = 42) -> list[str]:
+    """Write the sample corpus, index it, and answer questions from it."""
+    corpus, place = run.config.storage.run_dir / "corpus", f"{run.config.storage.exports_dir}/retrieval_index"
+    write_corpus(corpus, seed)
+    embedder = default_embedder()
+    index.save_index(index.build_index(chunk_corpus(run.spark, str(corpus)), embedder), place)
+    held = index.load_index(run.spark, place)
+    return [index.format_answer(q, index.search(held, embedder, q, k).collect()) for q in questions]
+
+
 def land(run: Run, events: int = 2000, seed: int = 42, corrupt_pct: float = 2.0) -> changes.Summary:
     summary = changes.Summary()
     changes.write_events(changes.generate(events, seed, corrupt_pct, summary), run.config.source.cdc_landing_dir, run=f"events_{run.run_id}")
@@ -200,6 +245,8 @@ STEPS: list[tuple[str, Callable[[Run], Any], bool]] = [
     ("export", run_export, False),
     ("marts", run_marts, False),
     ("quality", run_quality, False),
+    ("governance", run_governance, False),
+    ("retrieval", run_retrieval, False),
     ("report", run_report, False),
     ("incidents", run_incidents, False),
 ]

@@ -9,7 +9,7 @@ import yaml
 from pydantic import BaseModel, ConfigDict
 from pydantic import Field as Limit
 
-SUITES = Path(__file__).parent / "suites"
+SUITES, MART_SUITES = Path(__file__).parent / "suites", Path(__file__).parent / "mart_suites"
 
 
 class _Part(BaseModel):

@@ -9,16 +9,22 @@ through the Hadoop file system of the session, so any store that Spark writes wi
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from weirstone.operators.merge import AmbiguousMerge, ambiguous_keys, insert_absent, upsert
 
 
+#: Seconds after which the claim of a writer that never finished its commit no longer counts.
+CLAIM_S = 60
+
+
 class CommitConflict(RuntimeError):
     """Another writer replaced what this one built upon."""
 
@@ -54,20 +60,25 @@ class Files:
             stream.close()
 
     def create(self, name: str, text: str) -> bool:
-        """Whether this call created the file; never overwrites. The content is complete once it has its name."""
+        """Whether this call created the file; never overwrites. The content is complete once it has its name.
+
+        An exclusive claim decides among rivals, since a rename would replace on some stores. A claim
+        whose owner is gone is lifted after ``CLAIM_S`` seconds.
+        """
         if self.fs.exists(self.path(name)):
             return False
-        draft = self.path(f"_log/.{uuid.uuid4().hex}")
-        stream = self.fs.create(draft, False)
-        stream.write(bytearray(text.encode()))
-        stream.close()
-        # An exclusive create decides among rivals; the rename would replace on some stores.
         claim = self.path(f"{name}.claim")
         try:
             self.fs.create(claim, False).close()
-        except Exception:  # noqa: BLE001 - the claim exists: a rival has it
-            self.fs.delete(draft, False)
+        except Py4JJavaError:
+            if self.fs.exists(claim) and time.time() * 1000 - self.fs.getFileStatus(claim).getModificationTime() > CLAIM_S * 1000 and not self.fs.exists(self.path(name)):
+                self.fs.delete(claim, False)
+            time.sleep(0.2)
             return False
+        draft = self.path(f"_log/.{uuid.uuid4().hex}")
+        stream = self.fs.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
         return bool(self.fs.rename(draft, self.path(name)))
 
     def delete(self, name: str) -> None:
