@@ -29,14 +29,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows without an id that are linked with no id are kept, one by component of equal texts; repeated
     rows of an id count as one document.
     """
-    found = cut(neardup.near_duplicates(docs).where("kept").select("doc_id").distinct())
-    rows = docs.withColumn("_hash", F.xxhash64(F.col("text")))
-    named = rows.join(found, "doc_id", "left_semi")
-    # Of an id's rows the first by text; ids that never repeat pay a window over narrow partitions only.
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash"))
-    named = named.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
-    nameless = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.unionByName(nameless)
+    found = cut(neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("id")).distinct())
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
+    first = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
+    named = rows.join(found, "id", "left_semi").withColumn("nth", first).where("nth = 1").select("row.*")
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
