@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirstone.functions import in_base_currency
 from weirstone.operators.dedup import latest_per_key
 from weirstone.operators.scd2 import current
 
@@ -57,12 +58,6 @@ def dim_customers(customers: DataFrame, accounts: DataFrame) -> DataFrame:
     return who.join(active, "customer_id", "left").groupBy(*keys).agg(F.countDistinct("account_id").alias("active_accounts"), total)
 
 
-def in_base_currency(amount: Column, currency: Column, rate: Column, base: str = "JPY", digits: int | None = 2) -> Column:
-    """The amount itself in the base currency; else divided by the rate, null where that is null or zero."""
-    value = amount / F.nullif(rate, F.lit(0.0))
-    return F.when(currency == base, amount).otherwise(value if digits is None else F.round(value, digits))
-
-
 def fct_transactions(transactions: DataFrame, accounts: DataFrame, rates: DataFrame, base: str = "JPY") -> DataFrame:
     """Transactions with their customer and the amount in the base currency.
 

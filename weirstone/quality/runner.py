@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weirstone.functions import epoch_ms
 from weirstone.quality.suite import AcceptedValues, Check, Freshness, NotNull, ReferentialIntegrity, RowCountBetween, Suite, Unique
 
 RESULTS = "check_no int, description string, severity string, status string, passed boolean, observed string"
@@ -30,7 +31,7 @@ def measure(check: Check) -> Column:
         case RowCountBetween():
             return F.count(F.lit(1))
         case Freshness():
-            return F.unix_millis(F.max(F.col(check.column).cast("timestamp")))
+            return epoch_ms(F.max(F.col(check.column)))
         case Unique():
             # Nulls are values here, so a tuple of them counts as one key.
             return F.count(F.lit(1)) - F.countDistinct(F.struct(*check.columns))

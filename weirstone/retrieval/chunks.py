@@ -9,23 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weirstone.functions import slug, strip
+
 MAX_CHARS, OVERLAP = 1200, 150
 
 #: Heading marks and titles at the start of a line.
 HEADING = r"(?m)^(#{1,3})\s+(.*)$"
 
 
-def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^a-z0-9]+", "-"), r"^-+|-+$", "")
-
-
-def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
-
-
 def pieces(body: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> Column:
     """A section's pieces as an array, in order."""
-    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), _strip), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(body, "\n\n"), strip), lambda p: p != "")
     begin = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("held"))
 
     def step(acc: Column, paragraph: Column) -> Column:
@@ -35,7 +29,7 @@ def pieces(body: Column, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) ->
         return F.struct(done.alias("done"), F.concat(F.when(full, tail).otherwise(acc["held"]), paragraph, F.lit("\n\n")).alias("held"))
 
     made = F.aggregate(paragraphs, begin, step, lambda acc: F.concat(acc["done"], F.array(acc["held"])))
-    return F.when(F.char_length(body) <= max_chars, F.array(body)).otherwise(F.transform(made, _strip))
+    return F.when(F.char_length(body) <= max_chars, F.array(body)).otherwise(F.transform(made, strip))
 
 
 def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
@@ -45,8 +39,8 @@ def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
     first heading of level one, or the slug.
     """
     marks = F.regexp_extract_all("text", F.lit(HEADING), 1)
-    titles = F.transform(F.regexp_extract_all("text", F.lit(HEADING), 2), _strip)
-    bodies = F.slice(F.transform(F.split("text", HEADING), _strip), 2, 1 << 30)
+    titles = F.transform(F.regexp_extract_all("text", F.lit(HEADING), 2), strip)
+    bodies = F.slice(F.transform(F.split("text", HEADING), strip), 2, 1 << 30)
     cut = docs.select("doc_slug", F.arrays_zip(marks.alias("mark"), titles.alias("heading"), bodies.alias("body")).alias("sections"))
     first = F.filter("sections", lambda s: s["mark"] == "#")
     cut = cut.withColumn("doc_title", F.coalesce(F.when(F.size(first) > 0, F.get(first, F.lit(0))["heading"]), F.col("doc_slug")))

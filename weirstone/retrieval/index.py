@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirstone.functions import dot
 from weirstone.retrieval.chunks import citation
 from weirstone.retrieval.embed import Embedder, embedded
 
@@ -29,11 +30,6 @@ def load_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def dot(a: Column, b: Column) -> Column:
-    """The inner product of two arrays, in doubles, in order."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def top_k(rows: DataFrame, vector: Sequence[float], k: int, vec_col: str = "vec", tie: str = "chunk_idx") -> DataFrame:
     """The k rows of highest inner product; each task keeps k, the driver merges k by task. Ties go to the larger ``tie``."""
     asked = F.array(*(F.lit(float(x)) for x in vector))

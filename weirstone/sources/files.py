@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirstone.functions import plain_path
 from weirstone.operators.reconcile import per_file_counts
 from weirstone.storage.table import Files, Table
 
@@ -31,11 +32,6 @@ FEEDS = {
 LEDGER = "file_path string not null, dataset string not null, rows_loaded long not null, run_id string not null, loaded_at timestamp not null"
 
 
-def plain_path(path: Column) -> Column:
-    """A file URI without its scheme."""
-    return F.regexp_replace(path, r"^file:/{0,2}(?=/)", "")
-
-
 def read_feed(spark: SparkSession, feed: Feed, paths: Sequence[str]) -> DataFrame:
     """The files' rows, each with the plain path it came from in ``_source_file``."""
     rows = spark.read.format(feed.format).options(**feed.options).load(list(paths))
