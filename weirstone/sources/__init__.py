@@ -1 +1 @@
-"""See the modules."""
+"""Where rows come from: landing folders, message streams, batch files."""

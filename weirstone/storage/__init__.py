@@ -1 +1 @@
-"""See the modules."""
+"""Versioned tables and scratch folders."""
