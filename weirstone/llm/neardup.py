@@ -3,9 +3,10 @@
 Two small collections of ``bands`` MinHash tuples (``rows`` values each) are made per text. A table
 key pairs one tuple of either collection, so ``bands ** 2`` tables cost only ``2 * bands * rows``
 MinHash values. Texts with equal shingle sets are one node from the start. In each table bucket the
-members are tried against the smallest member (linear in the bucket), confirmed on full sets; where
-that leaves members of one bucket in different components, every remaining pair across components is
-tried too, so no candidate of any bucket goes untested and no bucket is capped.
+members are tried against the smallest member (linear in the bucket), confirmed on full sets. Where
+that leaves members of one bucket in different components, all texts involved (but those that an exact
+bound rules out) meet in blocks inside tasks, which give back links only; so every link between
+members of any bucket is found or implied, no bucket is capped, and no pairs are listed.
 """
 
 from __future__ import annotations
@@ -95,14 +96,16 @@ def _near(threshold: int, n: str, m: str) -> str:
     return f"100 * least({n}, {m}) >= {threshold} * greatest({n}, {m})"
 
 
-def _confirmed(base: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs (x, y) that hold on full sets, as edges (a, b). Only the texts that occur in pairs are read into sets."""
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+def _read_sets(base: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, shingles) of the given nodes; only their texts are made into sets."""
     wanted = broadcast_below(cut(classes.join(nodes, "node", "left_semi").select("node", "sig1", "sig2")), 64)
-    ids = wanted.select(F.col("node").alias("doc_id"))
-    texts = base.join(ids, "doc_id", "left_semi").union(base.where("doc_id is null"))
+    texts = base.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").union(base.where("doc_id is null"))
     sets = texts.mapInArrow(per_slice(partial(_sets, shingle), "text"), "sig1 long, sig2 long, shingles array<long>")
-    sets = sets.join(wanted, ["sig1", "sig2"]).select("node", "shingles").dropDuplicates(["node"])
+    return sets.join(wanted, ["sig1", "sig2"]).select("node", "shingles").dropDuplicates(["node"])
+
+
+def _confirmed(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (x, y) that hold on full sets, as edges (a, b)."""
     left = sets.select(F.col("node").alias("x"), F.col("shingles").alias("sx"))
     right = sets.select(F.col("node").alias("y"), F.col("shingles").alias("sy"))
     both = F.size(F.array_intersect("sx", "sy")).cast("long")
@@ -110,6 +113,104 @@ def _confirmed(base: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: i
     return cut(out.where(F.expr(f"100 * both >= {threshold} * (sizes - both)")).select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+
+
+def _unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets that span several components, with their component."""
+    rest = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+    return rest.join(mixed, "key", "left_semi")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The intersection sizes of all sets of one list with all of the other."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    if not left or not right:
+        return out
+    (a, i), (b, j) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right))
+    common = np.intersect1d(a, b)
+    (a, i), (b, j) = ((np.searchsorted(common, x[ok]), row[ok]) for x, row in ((a, i), (b, j)) for ok in [np.isin(x, common)])
+    a_order, b_order = np.argsort(a, kind="stable"), np.argsort(b, kind="stable")
+    a, i, b, j = a[a_order], i[a_order], b[b_order], j[b_order]
+    n_a, n_b = np.bincount(a, minlength=len(common)), np.bincount(b, minlength=len(common))
+    # Shingles of few texts: count their pairs. The others: products of 0/1 matrices, some columns at a time.
+    rare = n_a * n_b <= 64
+    times = np.where(rare[a], n_b[a], 0)
+    begin = (np.cumsum(n_b) - n_b)[a]
+    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    np.add.at(out, (np.repeat(i, times), j[np.repeat(begin, times) + inside]), 1)
+    often = np.flatnonzero(~rare)
+    for k in range(0, len(often), 2048):
+        some = often[k : k + 2048]
+        parts = []
+        for token, row, n in ((a, i, len(left)), (b, j, len(right))):
+            at = np.searchsorted(some, token)
+            ok = (at < len(some)) & (some[np.minimum(at, len(some) - 1)] == token)
+            dense = np.zeros((n, len(some)), np.float32)
+            dense[row[ok], at[ok]] = 1
+            parts.append(dense)
+        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+    return out
+
+
+def _links(threshold: int, group: pa.Table) -> pa.Table:
+    """One link for every two components that have any between the two blocks of a group."""
+    one, two = group["one"][0].as_py(), group["two"][0].as_py()
+    block = group["block"].to_numpy()
+    node, component = group["node"].to_numpy(), group["component"].to_numpy()
+    sets = group["shingles"].combine_chunks()
+    sets = [x.values.to_numpy(zero_copy_only=False) for x in sets]
+    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    both = _overlaps([sets[x] for x in left], [sets[x] for x in right])
+    linked = (100 * both >= threshold * (sizes[left][:, None] + sizes[right][None] - both)) & (component[left][:, None] != component[right][None])
+    x, y = np.nonzero(linked)
+    x, y = left[x], right[y]
+    ends = np.sort(np.column_stack([component[x], component[y]]), 1)
+    _, first = np.unique(ends, axis=0, return_index=True) if len(ends) else (None, np.zeros(0, int))
+    return pa.table({"a": pa.array(node[x[first]], pa.int64()), "b": pa.array(node[y[first]], pa.int64())})
+
+
+#: Shingles in a block of texts that meets another one.
+BLOCK_SHINGLES = 500_000
+
+
+def _settle(base: DataFrame, classes: DataFrame, met: DataFrame, edges: DataFrame, found: DataFrame, shingle: int, threshold: int) -> DataFrame:
+    """Components once all members of the buckets in ``met`` (key, node, n) that may still link have been tried.
+
+    A shingle that one member alone has is in no intersection, so a text with too many of them is
+    out. The others are gathered into loose clusters, connected by buckets, and the texts of each
+    cluster meet block by block: tasks hold two blocks of sets and give links only, no pairs.
+    """
+
+    def between(group: pa.Table) -> pa.Table:
+        return _links(threshold, group)
+
+    rest = cut(_unsettled(met.select("key", "node", "n"), found))
+    if rest.isEmpty():
+        return found
+    sets = cut(_read_sets(base, classes, rest.select("node").distinct(), shingle))
+    single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("texts")).where("texts = 1")
+    own = single.groupBy("node").agg(F.count("*").alias("u"))
+    rest = rest.join(own, "node", "left").where(f"100 * (n - coalesce(u, 0)) >= {threshold} * n").select("key", "node", "n", "component")
+    least = Window.partitionBy("key")
+    rest = rest.withColumn("least", F.min("node").over(least)).withColumn("lo", F.min("component").over(least)).withColumn("hi", F.max("component").over(least))
+    rest = cut(rest.where("lo < hi").select("node", "least", "n", "component"))
+    if rest.isEmpty():
+        return found
+    clusters = connected_components(rest.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()).withColumnRenamed("component", "cluster")
+    members = rest.select("node", "n", "component").distinct().join(clusters, "node")
+    upto = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0))
+    members = members.withColumn("block", F.floor((upto - F.col("n")) / BLOCK_SHINGLES))
+    members = cut(members.withColumn("blocks", F.max("block").over(Window.partitionBy("cluster"))))
+    meet = members.join(sets, "node").withColumn("other", F.explode(F.expr("sequence(0L, blocks)")))
+    meet = meet.select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "shingles")
+    more = cut(meet.groupBy("cluster", "one", "two").applyInArrow(between, "a long, b long"))
+    return found if more.isEmpty() else connected_components(edges.union(more))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, threshold: int = 85, bands: int = 10, rows: int = 3, seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -132,18 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = keys.select("key", "node", "n", F.first(F.struct("node", "n")).over(in_bucket).alias("least")).where("least.node <> node")
     met = cut(met.select("key", "node", "n", F.col("least.node").alias("rep"), F.col("least.n").alias("rep_n")))
     pairs = cut(met.where(_near(threshold, "n", "rep_n")).select(F.col("node").alias("x"), F.col("rep").alias("y")).distinct())
-    edges = _confirmed(base, classes, pairs, shingle, threshold)
-    found = connected_components(edges)
-    # What is left of a bucket once its smallest member has been tried: pairs across components.
-    rest = met.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = cut(rest.join(mixed, "key", "left_semi"))
-    if not rest.isEmpty():
-        other = rest.select("key", F.col("node").alias("y"), F.col("n").alias("m"), F.col("component").alias("beyond"))
-        across = rest.withColumnRenamed("node", "x").join(other, "key").where("x < y and component <> beyond").where(_near(threshold, "n", "m"))
-        across = cut(across.select("x", "y").distinct().join(pairs.select(F.col("y").alias("x"), F.col("x").alias("y")), ["x", "y"], "left_anti"))
-        if not across.isEmpty():
-            found = connected_components(edges.union(_confirmed(base, classes, across, shingle, threshold)))
+    edges = _confirmed(_read_sets(base, classes, _ends(pairs), shingle), pairs, threshold)
+    found = _settle(base, classes, met, edges, connected_components(edges), shingle, threshold)
     place = classes.select("sig1", "sig2", "node").join(found, "node", "left").select("sig1", "sig2", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "sig1", "sig2").join(place, ["sig1", "sig2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("component_id") < NO_ID, F.col("component_id"))
