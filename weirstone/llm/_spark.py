@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +37,17 @@ def spread(*cols: Column | str, parts: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(parts)).cast("int")
 
 
+def rows_with_text(docs: DataFrame, text_col: str, carry: Sequence[str] | None) -> tuple[DataFrame, str | None]:
+    """(rows for a task: ``row``, a struct of the columns to carry through, and ``text``; where the text is in the row).
+
+    All columns are carried by default, and a string column among them then goes over once only.
+    """
+    row = F.struct(*(docs.columns if carry is None else carry)).alias("row")
+    if carry is None and isinstance(docs.schema[text_col].dataType, T.StringType):
+        return docs.select(row), text_col
+    return docs.select(row, F.col(text_col).cast("string").alias("text")), None
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality of the columns that both sides have."""
     out = F.lit(True)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from weirstone.llm._spark import shared_dir
 from weirstone.llm._text import slices
 from weirstone.llm.feistel import permute
-from weirstone.llm.tokens import SLICE_BYTES, Memo, PreTokens, load
+from weirstone.llm.tokens import SLICE_BYTES, PreTokens, encode, load
 
 HEADER = 16
 NO_ID = -(1 << 63)
@@ -38,18 +38,10 @@ def stride(length: int) -> int:
     return HEADER + 2 * length + 2
 
 
-_IDS: dict[str, Memo] = {}
-_LENGTHS: dict[str, Memo] = {}
-
-
-def _as_ids(ids: list[int]) -> np.ndarray:
-    return np.array(ids, np.uint16)
-
-
 def _sequences(model: str, length: int, tokens: PreTokens) -> np.ndarray:
     """The number of sequences of each row; a row without text has none."""
-    memo = _LENGTHS.setdefault(model, Memo(load(model), len))
-    count = tokens.per_row(np.array(memo(tokens.distinct), np.int64))
+    _, lengths = encode(load(model), tokens.distinct)
+    count = tokens.per_row(lengths)
     return np.where(count > 0, (count + length) // length, 0)  # ceil((count + 1) / length), with the end id
 
 
@@ -60,10 +52,8 @@ def _totals(model: str, length: int, batches: Iterator[pa.RecordBatch]) -> Itera
     yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([total], pa.int64())})
 
 
-def records(doc_ids: np.ndarray, tokens: PreTokens, ids: list[np.ndarray], length: int, end: int) -> np.ndarray:
+def records(doc_ids: np.ndarray, tokens: PreTokens, flat: np.ndarray, lengths: np.ndarray, length: int, end: int) -> np.ndarray:
     """All records of a slice, as rows of bytes, in input order."""
-    lengths = np.array([len(x) for x in ids], np.int64)
-    flat = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
     begin = np.cumsum(lengths) - lengths
     count = tokens.per_row(lengths)
     with_end = np.where(count > 0, count + 1, 0)
@@ -77,7 +67,11 @@ def records(doc_ids: np.ndarray, tokens: PreTokens, ids: list[np.ndarray], lengt
     target = row_at[row] + before - row_before[row] if len(row) else before
     inside = np.arange(per_token.sum()) - np.repeat(before, per_token)
     body = np.zeros(int(n_seq.sum()) * length, np.uint16)
-    body[np.repeat(target, per_token) + inside] = flat[np.repeat(begin[tokens.code], per_token) + inside]
+    source = np.repeat(begin[tokens.code], per_token)
+    source += inside
+    inside += np.repeat(target, per_token)
+    body[inside] = flat[source]
+    del inside, source
     some = count > 0
     body[row_at[some] + count[some]] = end
     owner = np.repeat(np.arange(len(count)), n_seq)
@@ -91,13 +85,12 @@ def records(doc_ids: np.ndarray, tokens: PreTokens, ids: list[np.ndarray], lengt
 
 def _records(model: str, length: int, per_shard: int, key: int, offsets: object, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made, size = load(model), stride(length)
-    memo = _IDS.setdefault(model, Memo(made, _as_ids))
     part = TaskContext.get().partitionId()
     at, upto = offsets.value.get(part, (0, 0))
     for batch in slices(batches, "text", SLICE_BYTES):
         doc_ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
         tokens = PreTokens(batch.column("text"))
-        rows = records(doc_ids, tokens, memo(tokens.distinct), length, made.eos_id())
+        rows = records(doc_ids, tokens, *encode(made, tokens.distinct), length, made.eos_id())
         if at + len(rows) > upto:
             raise RuntimeError(f"partition {part} holds other rows than when it was counted")
         slot = permute(np.arange(at, at + len(rows)), n, key)
@@ -124,7 +117,7 @@ def _same_partitions(spark: SparkSession):
         spark.conf.set(name, was) if was else spark.conf.unset(name)
 
 
-def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256, per_shard: int = 1 << 16, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> int:
+def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256, per_shard: int = 1 << 14, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> int:
     """Write all sequences of ``docs`` as shards below ``path`` (shard=0, shard=1, ...); the number of sequences.
 
     ``docs`` is scanned twice, so it must be a table's rows (or a checkpoint), not the outcome of a
@@ -153,25 +146,27 @@ def _parsed(length: int, per_shard: int, batches: Iterator[pa.RecordBatch]) -> I
     kind = np.dtype([("doc_id", "<i8"), ("sequence", "<u4"), ("used", "<u4"), ("ids", "<u2", (length,)), ("zero", "<u2")])
     for batch in batches:
         for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-            rows = np.frombuffer(content.as_buffer(), kind)
-            at = np.arange(len(rows), dtype=np.int64)
-            crc = [zlib.crc32(x["ids"][: x["used"]].tobytes()) for x in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(shard * per_shard + at), pa.array(np.full(len(rows), shard, np.int32)), pa.array(at * kind.itemsize), pa.array(rows["doc_id"], mask=rows["doc_id"] == NO_ID), pa.array(rows["sequence"].astype(np.int64)), pa.array(rows["used"].astype(np.int64)), pa.array(crc, pa.int64())],
-                names=["slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "ids_crc32"],
-            )
+            every = np.frombuffer(content.as_buffer(), kind)
+            for k in range(0, len(every), 1 << 13):
+                rows = every[k : k + (1 << 13)]
+                at = np.arange(k, k + len(rows), dtype=np.int64)
+                crc = [zlib.crc32(x["ids"][: x["used"]].tobytes()) for x in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard * per_shard + at), pa.array(np.full(len(rows), shard, np.int32)), pa.array(at * kind.itemsize), pa.array(rows["doc_id"], mask=rows["doc_id"] == NO_ID), pa.array(rows["sequence"].astype(np.int64)), pa.array(rows["used"].astype(np.int64)), pa.array(crc, pa.int64())],
+                    names=["slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "ids_crc32"],
+                )
 
 
 READ = "slot long, shard int, byte_offset long, doc_id long, sequence long, n_tokens long, ids_crc32 long"
 
 
-def read_sequences(spark: SparkSession, path: str, *, length: int = 256, per_shard: int = 1 << 16) -> DataFrame:
+def read_sequences(spark: SparkSession, path: str, *, length: int = 256, per_shard: int = 1 << 14) -> DataFrame:
     """What the shards below ``path`` hold, one row per record, from the files themselves."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select(F.col("shard").cast("int").alias("shard"), "content").mapInArrow(partial(_parsed, length, per_shard), READ)
 
 
-def materialise(docs: DataFrame, model: str, *, length: int = 256, per_shard: int = 1 << 16, key: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, model: str, *, length: int = 256, per_shard: int = 1 << 14, key: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards (by default into a new folder of the shared one) and read back every record's slot, place and owner."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"

@@ -3,29 +3,29 @@
 A text is cut into pre-tokens at places that no piece of the vocabulary spans: before a run of
 spaces, and before a line feed. BPE merges never cross such a place, so the tokens of a text are
 those of its pre-tokens, one after the other. Each worker dictionary-encodes the pre-tokens of a
-slice of documents, has the model encode each distinct one once (a bounded memo carries them from
-slice to slice), joins the lengths to the documents' pre-token frequencies by code, and sums.
+slice of documents, has the model encode each distinct one of the slice once, joins the lengths to
+the documents' pre-token frequencies by code, and sums.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirstone.llm._text import slices, text_buffer
+from weirstone.llm._spark import rows_with_text
+from weirstone.llm._text import opened, slices, text_buffer
 
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 
-#: Bytes of text whose pre-tokens are made distinct together, and pre-tokens that a worker's memo holds.
-SLICE_BYTES, MEMO = 16 << 20, 1 << 20
+#: Bytes of text whose pre-tokens are made distinct together, and distinct ones that the model gets in one string.
+SLICE_BYTES, JOINED = 8 << 20, 2000
 
 
 @lru_cache(maxsize=4)
@@ -46,7 +46,7 @@ def load(model: str):
 
 
 class PreTokens:
-    """Pre-tokens of a slice: ``distinct`` (bytes), each one's ``code``, and each row's ``first``."""
+    """Pre-tokens of a slice: ``distinct`` ones, each one's ``code``, and each row's ``first``."""
 
     def __init__(self, column: pa.Array):
         column = pc.fill_null(column, "") if column.null_count else column
@@ -63,7 +63,7 @@ class PreTokens:
         bounds = np.append(starts, n).astype(np.int32)
         self.first = np.searchsorted(starts, offsets)
         coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        self.distinct = coded.dictionary.to_pylist()
+        self.distinct: pa.Array = coded.dictionary
         self.code = coded.indices.to_numpy(zero_copy_only=False)
 
     def per_row(self, values: np.ndarray) -> np.ndarray:
@@ -72,48 +72,52 @@ class PreTokens:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
 
-def encode(made, tokens: list[bytes]) -> list[list[int]]:
-    """The ids of each pre-token. The model puts its mark first in whatever it gets."""
-    said = made.encode([(x if x[:1] == b"\n" else x[1:]).decode("utf-8", "replace") for x in tokens], num_threads=1)
-    alone = [made.piece_to_id(MARK)]
-    return [alone if x == b" " else y[1:] if x[:1] == b"\n" else y for x, y in zip(tokens, said, strict=True)]
+def encode(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all given pre-tokens, end to end, and the number of each one's.
 
-
-class Memo:
-    """What a pre-token gave, for up to ``MEMO`` of them; beyond that it starts anew."""
-
-    def __init__(self, made, value):
-        self.made, self.value, self.held = made, value, {}
-
-    def __call__(self, tokens: list[bytes]) -> list:
-        if len(self.held) > MEMO:
-            self.held = {}
-        new = [x for x in tokens if x not in self.held]
-        if new:
-            self.held.update(zip(new, map(self.value, encode(self.made, new)), strict=True))
-        return [self.held[x] for x in tokens]
-
-
-_COUNTS: dict[str, Memo] = {}
-
-
-def _count(model: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _COUNTS.setdefault(model, Memo(load(model), len))
-    for batch in slices(batches, "text", SLICE_BYTES):
+    The model gets many at a time, each on a line of its own: a line feed is a piece by itself that
+    nothing else gives. A pre-token that begins with a line feed goes in without it.
+    """
+    data, offsets = text_buffer(tokens)
+    n = len(tokens)
+    fed = data[offsets[:-1]] == 0x0A if n else np.zeros(0, bool)
+    keep = np.ones(len(data), bool)
+    keep[offsets[:-1][fed]] = False
+    ends = (offsets - np.concatenate([[0], np.cumsum(fed)])).astype(np.int32)
+    lines = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
+    bounds = np.append(np.arange(0, n, JOINED), n).astype(np.int32)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), lines), b"\n")
+    feed = made.encode("\n")[-1]
+    ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for k, text in enumerate(joined):
+        said = np.array(made.encode("\n" + text.as_py().decode("utf-8", "replace"), num_threads=1), np.uint32)[1:]
+        # Every line begins with its feed, which stays for those that began with one.
+        at = np.flatnonzero(said == feed)
+        own = fed[bounds[k] : bounds[k + 1]]
+        counts.append(np.diff(np.append(at, len(said))) - ~own)
+        keep = np.ones(len(said), bool)
+        keep[at[~own]] = False
+        ids.append(said[keep])
+    return np.concatenate(ids), np.concatenate(counts)
+
+
+def _count(model: str, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made = load(model)
+    for batch in slices(opened(batches, inside), "text", SLICE_BYTES):
         tokens = PreTokens(batch.column("text"))
-        lengths = np.array(memo(tokens.distinct), np.int64)
+        _, lengths = encode(made, tokens.distinct)
         _, offsets = text_buffer(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), pa.array(tokens.per_row(lengths))], names=["row", "n_bytes", "n_tokens"])
 
 
-def count_tokens(docs: DataFrame, model: str, text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: ``row`` (the row itself, as a struct), n_bytes (UTF-8), n_tokens.
+def count_tokens(docs: DataFrame, model: str, text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: ``row`` (a struct of its columns, or of those to ``carry``), n_bytes (UTF-8), n_tokens.
 
     ``model`` is the path of a sentencepiece model, which the executors have at the same place.
     Special strings in texts are plain text; no begin, end or other special token is added. Null
     counts as empty, and an empty text has no tokens.
     """
     load(model)
-    out = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    out, inside = rows_with_text(docs, text_col, carry)
     schema = T.StructType([out.schema["row"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
-    return out.mapInArrow(partial(_count, model), schema)
+    return out.mapInArrow(partial(_count, model, inside), schema)
