@@ -26,7 +26,7 @@ BUCKET_ROWS, QUERY_ROWS = 4096, 512
 #: From this local cosine on, coordinates prune more than lengths do.
 COORDINATE_FROM = 0.6
 
-PACKED = "rows int, dim int, ids binary, body binary"
+PACKED = "rows int, dim int, ids array<long>, body binary"
 
 
 def _pack(ids: np.ndarray, vectors: list[np.ndarray]) -> dict:
@@ -35,7 +35,7 @@ def _pack(ids: np.ndarray, vectors: list[np.ndarray]) -> dict:
     body = np.zeros((len(vectors), dim), np.int64)
     for i, x in enumerate(vectors):
         body[i, : len(x)] = x
-    return {"rows": len(vectors), "dim": dim, "ids": np.asarray(ids, np.int64).tobytes(), "body": body.tobytes()}
+    return {"rows": len(vectors), "dim": dim, "ids": ids.tolist(), "body": body.tobytes()}
 
 
 def _blocks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def _blocks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
     def out(number: int) -> pa.RecordBatch:
         rows = held.pop(number)
-        return pa.RecordBatch.from_pylist([{"block": number, **_pack(np.array([i for i, _ in rows]), [x for _, x in rows])}], pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("body", pa.binary())]))
+        return pa.RecordBatch.from_pylist([{"block": number, **_pack(np.array([i for i, _ in rows]), [x for _, x in rows])}], pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())]))
 
     for batch in batches:
         numbers, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "vec_id"))
@@ -59,7 +59,7 @@ def _blocks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(row["ids"], np.int64)
+    ids = np.array(row["ids"], np.int64)
     return ids, np.frombuffer(row["body"], np.int64).reshape(row["rows"], row["dim"])
 
 
@@ -115,7 +115,7 @@ def _met(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dim = max(body.shape[1], queries.shape[1])
             wide, queries, shape = _fit(body, dim), _fit(queries, dim), _fit(unit, dim)
             exact = dim * float(np.abs(wide).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2.0**53
-            bounds = np.frombuffer(row["bounds"], float) if row["bounds"] else np.full(len(q_ids), -np.inf)
+            bounds = np.array(row["bounds"], float) if row["bounds"] else np.full(len(q_ids), -np.inf)
             out = [best_of(x, i, ids, wide, k, t, exact, lengths, shape) for x, i, t in zip(queries, q_ids, bounds, strict=True)]
             count = [len(s) for s, _ in out]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, count)), pa.array(np.concatenate([n for _, n in out]) if out else np.zeros(0, np.int64)), pa.array(np.concatenate([s for s, _ in out]) if out else np.zeros(0, np.int64))], names=["query_id", "vec_id", "score"])
@@ -162,25 +162,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     answers = "query_id long, vec_id long, score long"
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
-    seeds = q.withColumn("bucket", F.lit(0).cast("long")).withColumn("bounds", F.lit(None).cast("binary"))
+    # Exploded, so that the planner sees a join by bucket number here too, and no constant.
+    seeds = q.withColumn("bucket", F.explode(F.array(F.lit(0).cast("long")))).withColumn("bounds", F.lit(None).cast("array<double>"))
     first = seeds.join(b, "bucket").select("bucket", "b", "q", "bounds").mapInArrow(partial(_met, k), answers)
     bounds = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("bound"))
     # Each block's bounds, in the order of its queries.
-    with_bounds = cut(queries.mapInArrow(_ids_of, "q_block long, at int, query_id long").join(bounds, "query_id", "left").groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")))).alias("listed")))
-    q = q.join(with_bounds, "q_block").mapInArrow(_with_bounds, "q_block long, q struct<rows:int,dim:int,ids:binary,body:binary>, bounds binary")
-    pairs = q.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_buckets - 1).cast("long"))))
-    met = pairs.join(b, "bucket").select("bucket", "b", "q", "bounds").mapInArrow(partial(_met, k), answers)
+    asking = queries.select(F.col("block").alias("q_block"), F.posexplode("ids").alias("at", "query_id"))
+    listed = asking.join(bounds, "query_id", "left").groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")))).alias("listed"))
+    bounded = cut(listed.select("q_block", F.col("listed.bound").alias("bounds")))
+    pairs = q.join(bounded, "q_block").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_buckets - 1).cast("long"))))
+    met = pairs.join(b.hint("merge"), "bucket").select("bucket", "b", "q", "bounds").mapInArrow(partial(_met, k), answers)
     return met.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, ids in zip(batch.column("block").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-            held = np.frombuffer(ids, np.int64)
-            yield pa.RecordBatch.from_pydict({"q_block": np.full(len(held), block), "at": np.arange(len(held), dtype=np.int32), "query_id": held})
-
-
-def _with_bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        bounds = [np.array([x["bound"] for x in row], float).tobytes() for row in batch.column("listed").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("q_block"), batch.column("q"), pa.array(bounds, pa.binary())], names=["q_block", "q", "bounds"])
