@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from weirstone.llm._spark import broadcast_below, cut, same, spread
 from weirstone.llm.feistel import permuted
 
-#: Parts of each source's stream, so that no task sums a whole source, and slots that one row is exploded to.
-STREAM_PARTS, CHUNK = 1024, 4096
+#: Parts of each source's stream, so that no task sums a whole source; slots that one row is exploded to, and that a task makes.
+STREAM_PARTS, CHUNK, SLOTS_BY_TASK = 1024, 4096, 1 << 17
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
@@ -91,7 +91,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float =
     pieces = pieces.select("sid", "block", "part", "place", "doc_id", "hash", "size", lo.alias("lo"), hi.alias("hi"))
 
     chunks = sources.where("n_slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_slots") - 1) / CHUNK))))
-    chunks = chunks.repartition("sid", "chunk")
+    # One number reaches the driver. The planner takes exploded rows for as many as there were before, so it is told how many tasks there are.
+    all_slots = sources.agg(F.max("all_slots")).first()[0] or 0
+    chunks = chunks.repartition(1 + all_slots // SLOTS_BY_TASK, "sid", "chunk")
     slots = chunks.withColumn("number", F.explode(F.sequence(F.col("chunk") * CHUNK, F.least((F.col("chunk") + 1) * CHUNK, "n_slots") - 1)))
     slots = slots.select("sid", F.floor(F.col("number") / F.col("n_blocks")).alias("epoch"), permuted(F.pmod("number", F.col("n_blocks")), F.col("n_blocks"), F.col("sid") + (seed << 8)).alias("block"), permuted(F.col("slots_before") + F.col("number"), F.col("all_slots"), F.lit(seed)).alias("at"))
     slots = slots.select("sid", "block", "epoch", F.floor(F.col("at") / per_shard).alias("shard"), F.pmod("at", F.lit(per_shard)).alias("position"))
@@ -101,7 +103,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), *, share: float =
 def _uses(plan: Mix) -> DataFrame:
     """Pieces with the number of times that the mix takes their block."""
     uses = plan.slots.groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    return plan.pieces.join(uses, ["sid", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
+    return plan.pieces.join(uses.hint("merge"), ["sid", "block"], "left").withColumn("uses", F.coalesce("uses", F.lit(0)))
 
 
 def taken(plan: Mix) -> DataFrame:
@@ -126,7 +128,7 @@ def mixed(docs: DataFrame, plan: Mix, id_col: str = "doc_id", text_col: str = "t
     text = F.col(text_col).cast("string")
     some = _uses(plan).where("uses > 0").groupBy("doc_id", "hash").agg(F.collect_list(F.struct("part", "place", "lo", "hi", "uses", "size")).alias("taken_pieces"))
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("hash")).dropDuplicates(["doc_id", "hash"])
-    rows = row.join(some, same(row, some, "doc_id", "hash")).select("row", "taken_pieces")
+    rows = row.join(some.hint("merge"), same(row, some, "doc_id", "hash")).select("row", "taken_pieces")
     rows = rows.withColumn("time", F.explode(F.expr("sequence(1L, array_max(taken_pieces.uses))")))
     # Copies of a row (other part or place) and pieces of one row, at this time of taking.
     rows = rows.withColumn("now", F.expr("filter(taken_pieces, p -> p.uses >= time)"))
