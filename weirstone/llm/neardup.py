@@ -233,7 +233,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = keys.select("key", "node", "n", F.first(F.struct("node", "n")).over(in_bucket).alias("least")).where("least.node <> node")
     met = cut(met.select("key", "node", "n", F.col("least.node").alias("rep"), F.col("least.n").alias("rep_n")))
     pairs = cut(met.where(_near(threshold, "n", "rep_n")).select(F.col("node").alias("x"), F.col("rep").alias("y")).distinct())
-    edges = _confirmed(_read_sets(base, classes, _ends(pairs), shingle), pairs, threshold)
+    # Written out, so that both joins with the sets have plain shuffles, which adaptive execution splits where one text is in many pairs.
+    edges = _confirmed(cut(_read_sets(base, classes, _ends(pairs), shingle)), pairs, threshold)
     found = _settle(base, classes, met, edges, connected_components(edges), shingle, threshold)
     place = classes.select("sig1", "sig2", "node").join(found, "node", "left").select("sig1", "sig2", F.coalesce("component", "node").alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "sig1", "sig2").join(place, ["sig1", "sig2"], "left")
