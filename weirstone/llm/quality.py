@@ -8,7 +8,7 @@ kinds, and the smallest ratio of their upper tails bounds the share of positives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -18,11 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirstone.llm._text import SPACED, Words, slices, text_buffer
+from weirstone.llm._spark import rows_with_text
+from weirstone.llm._text import SPACED, Words, opened, slices, text_buffer
 
 #: Rows of either kind that the model is fitted on, at most about (they are drawn by a hash of doc_id).
 SAMPLE_ROWS = 20_000
 
+#: Bytes of text whose features are made together; several numbers by byte are held meanwhile.
+SLICE_BYTES = 1 << 20
+
 #: Classes of bytes whose shares are features.
 CLASSES = [
     np.isin(np.arange(256), np.frombuffer(x, np.uint8))
@@ -55,7 +59,7 @@ def features(column: pa.Array) -> np.ndarray:
     marked = np.bincount(row, weights=ends[words.code], minlength=n) / least if len(row) else np.zeros(n)
     shares = counts / size[:, None]
     case = counts[:, 0] / np.maximum(counts[:, 0] + counts[:, 1], 1)
-    extra = [np.log1p(count) / 10, size / least / 20, repeated, distinct, marked, case]
+    extra = [np.log1p(count) / 10, np.diff(offsets) / least / 20, repeated, distinct, marked, case]
     return np.column_stack([shares, *extra]).reshape(n, N_FEATURES)
 
 
@@ -112,9 +116,9 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 
 
 def fit(p: np.ndarray, u: np.ndarray) -> Model:
-    """The model from features of positives and of unlabelled rows. Without positives every score is the same."""
+    """The model from features of positives and of unlabelled rows. Without either nothing can be told apart, and every score is 1."""
     if not len(p) or not len(u):
-        return Model(np.zeros(2 * N_FEATURES), np.ones(2 * N_FEATURES), np.zeros(2 * N_FEATURES + 1), 0.5)
+        return Model(np.zeros(2 * N_FEATURES), np.ones(2 * N_FEATURES), np.append(np.zeros(2 * N_FEATURES), 30.0), 0.5)
     p, u = expand(p), expand(u)
     mean, scale = u.mean(0), u.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
@@ -128,7 +132,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", SLICE_BYTES):
         x = features(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["positive", "x"])
 
@@ -156,13 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: st
     return fit(x[positive], x[~positive])
 
 
-def _scored(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text"):
+def _scored(model: Model, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(opened(batches, inside), "text", SLICE_BYTES):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(features(batch.column("text"))))], names=["row", "score"])
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """Per row of ``docs``: ``row`` (the row itself, as a struct), score, predicted. A null text counts as empty."""
-    out = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    scored = out.mapInArrow(partial(_scored, model), T.StructType([out.schema["row"], T.StructField("score", T.DoubleType())]))
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, carry: Sequence[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: ``row`` (a struct of its columns, or of those to ``carry``), score, predicted. A null text counts as empty."""
+    out, inside = rows_with_text(docs, text_col, carry)
+    scored = out.mapInArrow(partial(_scored, model, inside), T.StructType([out.schema["row"], T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
