@@ -42,9 +42,9 @@ def shingles(text, n=3):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def components(docs, threshold=85):
+def components(docs, threshold=85, n=3):
     """Smallest reachable id by id, for unique ids."""
-    ids, sets = [i for i, _ in docs], [shingles(t) for _, t in docs]
+    ids, sets = [i for i, _ in docs], [shingles(t, n) for _, t in docs]
     root = list(range(len(ids)))
 
     def find(x):
