@@ -37,6 +37,21 @@ def test_top_k(spark, monkeypatch, bucket):
     assert sorted(tuple(r) for r in found.collect()) == best(rows, 7)
 
 
+@pytest.mark.parametrize("bucket", [64, 4096])
+def test_top_k_of_repeated_rows(spark, monkeypatch, bucket):
+    monkeypatch.setattr(topk, "BUCKET_ROWS", bucket)
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(vectors(300, 1))]
+    long = max((r for r in rows if r[0] % 10), key=lambda r: sum(y * y for y in r[1]))
+    rows += [long] * 12 + [rows[10], rows[20], rows[20], (20, rows[31][1]), (5, rows[6][1])]
+    expected = []
+    for i in sorted({i for i, _ in rows if i % 10 == 0}):
+        asks = [np.floor(1024 * np.array(v)).astype(int) for j, v in rows if j == i]
+        scores = sorted((-max(int(q @ np.floor(1024 * np.array(v)).astype(int)) for q in asks), j) for j, v in rows if j != i)
+        expected += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:7])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in topk.top_k(frame, F.col("vec_id") % 10 == 0, k=7).collect()) == expected
+
+
 def test_few_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(frame, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 1024 * 2048)]

@@ -6,6 +6,7 @@ divided by both lengths, is a cosine threshold that is local to the bucket: abov
 skipped; high, the query's largest coordinate bounds that coordinate of any answer (coordinate
 pruning); else the vectors too short for the bound are left out (length pruning). What stays is
 verified by its full product. Queries meet buckets as packed blocks, joined by bucket number.
+Every row has a key of its own, so rows that repeat are told apart.
 """
 
 from __future__ import annotations
@@ -26,41 +27,42 @@ BUCKET_ROWS, QUERY_ROWS = 4096, 512
 #: From this local cosine on, coordinates prune more than lengths do.
 COORDINATE_FROM = 0.6
 
-PACKED = "rows int, dim int, ids array<long>, body binary"
+PACKED = "rows int, dim int, ids array<long>, keys array<long>, body binary"
 
 
-def _pack(ids: np.ndarray, vectors: list[np.ndarray]) -> dict:
+def _pack(ids: np.ndarray, keys: np.ndarray, vectors: list[np.ndarray]) -> dict:
     """Vectors as one block, padded with zeros to the longest."""
     dim = max((len(x) for x in vectors), default=0)
     body = np.zeros((len(vectors), dim), np.int64)
     for i, x in enumerate(vectors):
         body[i, : len(x)] = x
-    return {"rows": len(vectors), "dim": dim, "ids": ids.tolist(), "body": body.tobytes()}
+    return {"rows": len(vectors), "dim": dim, "ids": ids.tolist(), "keys": keys.tolist(), "body": body.tobytes()}
 
 
 def _blocks(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's rows (number, vec_id, vector) as blocks of rows whose numbers agree by ``size``."""
+    """A partition's rows (number, vec_id, vector) as blocks of rows whose numbers agree by ``size``; a row's number is its key."""
     held: dict[int, list] = {}
 
     def out(number: int) -> pa.RecordBatch:
         rows = held.pop(number)
-        return pa.RecordBatch.from_pylist([{"block": number, **_pack(np.array([i for i, _ in rows]), [x for _, x in rows])}], pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("body", pa.binary())]))
+        return pa.RecordBatch.from_pylist([{"block": number, **_pack(np.array([i for _, i, _ in rows]), np.array([n for n, _, _ in rows]), [x for _, _, x in rows])}], pa.schema([("block", pa.int64()), ("rows", pa.int32()), ("dim", pa.int32()), ("ids", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("body", pa.binary())]))
 
     for batch in batches:
         numbers, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("number", "vec_id"))
-        for number, i, x in zip(numbers // size, ids, batch.column("vector"), strict=True):
+        for key, i, x in zip(numbers, ids, batch.column("vector"), strict=True):
+            number = key // size
             if number not in held:
                 for old in list(held):
                     yield out(old)
                 held[number] = []
-            held[number].append((i, x.values.to_numpy(zero_copy_only=False)))
+            held[number].append((key, i, x.values.to_numpy(zero_copy_only=False)))
     for old in list(held):
         yield out(old)
 
 
-def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.array(row["ids"], np.int64)
-    return ids, np.frombuffer(row["body"], np.int64).reshape(row["rows"], row["dim"])
+def _unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, keys = np.array(row["ids"], np.int64), np.array(row["keys"], np.int64)
+    return ids, keys, np.frombuffer(row["body"], np.int64).reshape(row["rows"], row["dim"])
 
 
 def _fit(x: np.ndarray, dim: int) -> np.ndarray:
@@ -68,7 +70,7 @@ def _fit(x: np.ndarray, dim: int) -> np.ndarray:
 
 
 def best_of(query: np.ndarray, own: int, ids: np.ndarray, body: np.ndarray, k: int, least: float, exact: bool, lengths: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket's k best for one query among scores of at least ``least``: scores and ids, best first."""
+    """The bucket's k best rows for one query among scores of at least ``least``: scores and places, best first."""
     norm = float(np.sqrt((query.astype(float) ** 2).sum()))
     keep = np.flatnonzero(ids != own) if (ids == own).any() else None
     if np.isfinite(least) and norm > 0 and len(lengths):
@@ -88,15 +90,15 @@ def best_of(query: np.ndarray, own: int, ids: np.ndarray, body: np.ndarray, k: i
             near = None
         if near is not None:
             keep = near if keep is None else near[ids[near] != own]
-    some, names = (body, ids) if keep is None else (body[keep], ids[keep])
+    some, places = (body, np.arange(len(ids))) if keep is None else (body[keep], keep)
     scores = (some.astype(float) @ query.astype(float)).astype(np.int64) if exact else some @ query
     if len(scores) > k:
         edge = np.partition(scores, len(scores) - k)[len(scores) - k]
         top = np.flatnonzero(scores >= edge)
-        scores, names = scores[top], names[top]
-    order = np.lexsort((names, -scores))[:k]
+        scores, places = scores[top], places[top]
+    order = np.lexsort((ids[places], -scores))[:k]
     order = order[scores[order] >= least] if np.isfinite(least) else order
-    return scores[order], names[order]
+    return scores[order], places[order]
 
 
 def _met(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,20 +107,21 @@ def _met(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             if held is None or held[0] != row["bucket"]:
-                ids, body = _unpack(row["b"])
+                ids, keys, body = _unpack(row["b"])
                 lengths = np.sqrt((body.astype(float) ** 2).sum(1))
                 order = np.argsort(-lengths, kind="stable")
-                ids, body, lengths = ids[order], body[order], lengths[order]
-                held = (row["bucket"], ids, body, lengths, body / np.maximum(lengths, 1e-300)[:, None])
-            _, ids, body, lengths, unit = held
-            q_ids, queries = _unpack(row["q"])
+                ids, keys, body, lengths = ids[order], keys[order], body[order], lengths[order]
+                held = (row["bucket"], ids, keys, body, lengths, body / np.maximum(lengths, 1e-300)[:, None])
+            _, ids, keys, body, lengths, unit = held
+            q_ids, q_keys, queries = _unpack(row["q"])
             dim = max(body.shape[1], queries.shape[1])
             wide, queries, shape = _fit(body, dim), _fit(queries, dim), _fit(unit, dim)
             exact = dim * float(np.abs(wide).max(initial=0)) * float(np.abs(queries).max(initial=0)) < 2.0**53
             bounds = np.array(row["bounds"], float) if row["bounds"] else np.full(len(q_ids), -np.inf)
             out = [best_of(x, i, ids, wide, k, t, exact, lengths, shape) for x, i, t in zip(queries, q_ids, bounds, strict=True)]
             count = [len(s) for s, _ in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, count)), pa.array(np.concatenate([n for _, n in out]) if out else np.zeros(0, np.int64)), pa.array(np.concatenate([s for s, _ in out]) if out else np.zeros(0, np.int64))], names=["query_id", "vec_id", "score"])
+            scores, places = (np.concatenate([x[at] for x in out] or [np.zeros(0, np.int64)]) for at in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(q_keys, count), np.repeat(q_ids, count), keys[places], ids[places], scores)], names=["query_key", "query_id", "key", "vec_id", "score"])
 
 
 def quantised(embedding: Column, scale: int = 1024) -> Column:
@@ -133,7 +136,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     Queries are the rows for which ``is_query`` holds; ties go to the smaller id. Null vectors, and
     those with null or non-finite components, take no part, nor do rows without an id. Shorter
     vectors count as padded with zeros. A repeated id is a candidate with each of its vectors, but
-    never of a query of the same id; a query id that repeats is answered by its best over its rows.
+    never of a query of the same id, and equal rows are answers of their own; a query id that repeats is
+    answered by each candidate row's best score over its rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("vector"), is_query.alias("asks"))
     rows = rows.where("vec_id is not null and vector is not null")
@@ -156,20 +160,22 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     asked = numbered.where("asks").withColumn("q", F.floor(F.col("number") / (BUCKET_ROWS * 8))).repartition("q").sortWithinPartitions("number")
     asked = asked.select((F.col("q") * QUERY_ROWS * 64 + F.row_number().over(Window.partitionBy("q").orderBy("number")) - 1).alias("number"), "vec_id", "vector")
     queries = cut(asked.mapInArrow(partial(_blocks, QUERY_ROWS), packed))
-    q = queries.select(F.col("block").alias("q_block"), F.struct("rows", "dim", "ids", "body").alias("q"))
-    b = buckets.select(F.col("block").alias("bucket"), F.struct("rows", "dim", "ids", "body").alias("b"))
+    q = queries.select(F.col("block").alias("q_block"), F.struct("rows", "dim", "ids", "keys", "body").alias("q"))
+    b = buckets.select(F.col("block").alias("bucket"), F.struct("rows", "dim", "ids", "keys", "body").alias("b"))
     n_buckets = -(-before // BUCKET_ROWS)
-    answers = "query_id long, vec_id long, score long"
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    answers = "query_key long, query_id long, key long, vec_id long, score long"
+    best = lambda by: Window.partitionBy(by).orderBy(F.desc("score"), "vec_id", "key")
 
     # Exploded, so that the planner sees a join by bucket number here too, and no constant.
     seeds = q.withColumn("bucket", F.explode(F.array(F.lit(0).cast("long")))).withColumn("bounds", F.lit(None).cast("array<double>"))
     first = seeds.join(b, "bucket").select("bucket", "b", "q", "bounds").mapInArrow(partial(_met, k), answers)
-    bounds = first.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").cast("double").alias("bound"))
+    bounds = first.withColumn("r", F.row_number().over(best("query_key"))).where(F.col("r") == k).select("query_key", F.col("score").cast("double").alias("bound"))
     # Each block's bounds, in the order of its queries.
-    asking = queries.select(F.col("block").alias("q_block"), F.posexplode("ids").alias("at", "query_id"))
-    listed = asking.join(bounds, "query_id", "left").groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")))).alias("listed"))
+    asking = queries.select(F.col("block").alias("q_block"), F.posexplode("keys").alias("at", "query_key"))
+    listed = asking.join(bounds, "query_key", "left").groupBy("q_block").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("bound")))).alias("listed"))
     bounded = cut(listed.select("q_block", F.col("listed.bound").alias("bounds")))
     pairs = q.join(bounded, "q_block").withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_buckets - 1).cast("long"))))
     met = pairs.join(b.hint("merge"), "bucket").select("bucket", "b", "q", "bounds").mapInArrow(partial(_met, k), answers)
-    return met.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # The rows of a repeated query id give one answer by candidate row.
+    folded = met.groupBy("query_id", "key", "vec_id").agg(F.max("score").alias("score"))
+    return folded.withColumn("rank", F.row_number().over(best("query_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
