@@ -39,6 +39,14 @@ def test_near_duplicates_of_odd_rows(spark, prose):
     assert found == sorted([(None, 48, 7, False), (7, 48, 7, True), (7, 48, 7, True), (7, 48, 7, True), (None, 48, None, False), (None, 0, None, False), (8, 0, 8, True)], key=repr)
 
 
+def test_near_duplicates_of_an_id_with_two_texts(spark, prose):
+    """Whichever text of an id comes first, a near-copy of either is linked with it."""
+    pairs = [(prose(100 + k, 60), prose(200 + k, 60)) for k in range(20)]
+    rows = [row for k, (x, y) in enumerate(pairs) for row in ((k, x), (k, y), (1000 + k, x + " more"), (2000 + k, y + " more"))]
+    found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {i: (i % 1000, i < 1000) for i, _ in rows}
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, extra int")
     assert neardup.near_duplicates(empty).count() == 0

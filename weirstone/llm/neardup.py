@@ -22,7 +22,7 @@ from weirstone.llm._spark import broadcast_below, cut
 from weirstone.llm._text import SPACED, Words, hash_binary, lists, mix, per_slice
 from weirstone.llm.components import connected_components
 
-#: Nodes of texts whose every row lacks an id; above all ids.
+#: Nodes of texts whose every row lacks an id, and of further texts of an id; above all ids.
 NO_ID = 1 << 62
 
 
@@ -78,8 +78,8 @@ def _sketch(shingle: int, bands: int, rows: int, seed: int, batch: pa.RecordBatc
             tuples[full, band] = value
     fixed = np.full(n, bands)
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id"), pa.array(count), *(pa.array(x.view(np.int64)) for x in sig), *(lists(np.ascontiguousarray(part).view(np.int64).ravel(), fixed) for part in (tuples[:, :bands], tuples[:, bands:]))],
-        names=["doc_id", "n_shingles", "sig1", "sig2", "a", "b"],
+        [batch.column("doc_id"), batch.column("hash"), pa.array(count), *(pa.array(x.view(np.int64)) for x in sig), *(lists(np.ascontiguousarray(part).view(np.int64).ravel(), fixed) for part in (tuples[:, :bands], tuples[:, bands:]))],
+        names=["doc_id", "hash", "n_shingles", "sig1", "sig2", "a", "b"],
     )
 
 
@@ -97,11 +97,11 @@ def _near(threshold: int, n: str, m: str) -> str:
 
 
 def _read_sets(base: DataFrame, classes: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles) of the given nodes; only their texts are made into sets."""
-    wanted = broadcast_below(cut(classes.join(nodes, "node", "left_semi").select("node", "sig1", "sig2")), 64)
-    texts = base.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").union(base.where("doc_id is null"))
+    """(node, shingles) of the given nodes; only texts of their smallest ids, and those without an id, are made into sets."""
+    wanted = broadcast_below(cut(classes.join(nodes, "node", "left_semi").select("node", F.col("first.doc_id").alias("doc_id"), "sig1", "sig2")), 72)
+    texts = base.join(wanted.select("doc_id"), "doc_id", "left_semi").union(base.where("doc_id is null"))
     sets = texts.mapInArrow(per_slice(partial(_sets, shingle), "text"), "sig1 long, sig2 long, shingles array<long>")
-    return sets.join(wanted, ["sig1", "sig2"]).select("node", "shingles").dropDuplicates(["node"])
+    return sets.join(wanted.drop("doc_id"), ["sig1", "sig2"]).select("node", "shingles").dropDuplicates(["node"])
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
@@ -211,6 +211,35 @@ def _settle(base: DataFrame, classes: DataFrame, met: DataFrame, edges: DataFram
     return found if more.isEmpty() else connected_components(edges.union(more))
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, bands: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches of all rows; classes of equal sets: node, sig1, sig2, first; component of each node that has a link).
+
+    ``first`` is the class's row with the smallest id, and of one id the smallest hash of the text; rows without an id come last.
+    """
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hashed = base.withColumn("hash", F.xxhash64("text"))
+    schema = "doc_id long, hash long, n_shingles long, sig1 long, sig2 long, a array<long>, b array<long>"
+    sketches = cut(hashed.mapInArrow(per_slice(partial(_sketch, shingle, bands, rows, seed), "text"), schema))
+    classes = cut(sketches.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b")))
+    # A class has its smallest id for a node, so that buckets agree on the smallest member; of several with one id, the first has.
+    own = F.lit(NO_ID) + F.shiftrightunsigned("sig1", 3)
+    shared = classes.where("first.doc_id is not null").groupBy(F.col("first.doc_id").alias("shared")).agg(F.min("first.hash").alias("named"), F.count("*").alias("texts"))
+    shared = cut(shared.where("texts > 1").select("shared", "named"))
+    if shared.isEmpty():
+        classes = classes.withColumn("node", F.coalesce("first.doc_id", own))
+    else:
+        classes = classes.join(broadcast_below(shared, 16), F.col("first.doc_id") == F.col("shared"), "left")
+        classes = cut(classes.withColumn("node", F.when(F.col("first.hash") != F.col("named"), own).otherwise(F.coalesce("first.doc_id", own))).drop("shared", "named"))
+    keys = classes.select("node", "n", F.explode(F.expr(f"transform(sequence(0, {bands * bands - 1}), t -> xxhash64(a[t div {bands}], b[t % {bands}], t))")).alias("key"))
+    in_bucket = Window.partitionBy("key").orderBy("node")
+    met = keys.select("key", "node", "n", F.first(F.struct("node", "n")).over(in_bucket).alias("least")).where("least.node <> node")
+    met = cut(met.select("key", "node", "n", F.col("least.node").alias("rep"), F.col("least.n").alias("rep_n")))
+    pairs = cut(met.where(_near(threshold, "n", "rep_n")).select(F.col("node").alias("x"), F.col("rep").alias("y")).distinct())
+    # Written out, so that both joins with the sets have plain shuffles, which adaptive execution splits where one text is in many pairs.
+    edges = _confirmed(cut(_read_sets(base, classes, _ends(pairs), shingle)), pairs, threshold)
+    return sketches, classes, _settle(base, classes, met, edges, connected_components(edges), shingle, threshold)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, threshold: int = 85, bands: int = 10, rows: int = 3, seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
@@ -222,21 +251,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one component. A row without an id gets the smallest id of its component, or null if none has
     one, and is not kept; repeated ids each follow their own text. An empty table gives no rows.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id long, n_shingles long, sig1 long, sig2 long, a array<long>, b array<long>"
-    sketches = cut(base.mapInArrow(per_slice(partial(_sketch, shingle, bands, rows, seed), "text"), schema))
-    nameless = F.lit(NO_ID) + F.shiftrightunsigned("sig1", 3)
-    classes = sketches.where("n_shingles > 0").groupBy("sig1", "sig2").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    classes = cut(classes.withColumn("node", F.coalesce("node", nameless)))
-    keys = classes.select("node", "n", F.explode(F.expr(f"transform(sequence(0, {bands * bands - 1}), t -> xxhash64(a[t div {bands}], b[t % {bands}], t))")).alias("key"))
-    in_bucket = Window.partitionBy("key").orderBy("node")
-    met = keys.select("key", "node", "n", F.first(F.struct("node", "n")).over(in_bucket).alias("least")).where("least.node <> node")
-    met = cut(met.select("key", "node", "n", F.col("least.node").alias("rep"), F.col("least.n").alias("rep_n")))
-    pairs = cut(met.where(_near(threshold, "n", "rep_n")).select(F.col("node").alias("x"), F.col("rep").alias("y")).distinct())
-    # Written out, so that both joins with the sets have plain shuffles, which adaptive execution splits where one text is in many pairs.
-    edges = _confirmed(cut(_read_sets(base, classes, _ends(pairs), shingle)), pairs, threshold)
-    found = _settle(base, classes, met, edges, connected_components(edges), shingle, threshold)
-    place = classes.select("sig1", "sig2", "node").join(found, "node", "left").select("sig1", "sig2", F.coalesce("component", "node").alias("component_id"))
+    sketches, classes, found = _grouped(docs, id_col, text_col, shingle, threshold, bands, rows, seed)
+    linked = found.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
+    # Cut, so that the join has plain shuffles on both sides; nodes without links stay out of it, as a null component would be one key.
+    named = found.join(cut(linked), "component").select("node", "component_id", F.lit(True).alias("linked"))
+    place = classes.join(named, "node", "left").select("sig1", "sig2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "sig1", "sig2").join(place, ["sig1", "sig2"], "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("component_id") < NO_ID, F.col("component_id"))
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
