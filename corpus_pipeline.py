@@ -9,11 +9,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from weirstone.llm import binary, decontam, mixing, neardup, quality
-from weirstone.llm._spark import cut, shared_dir
+from weirstone.llm._spark import shared_dir
 from weirstone.llm.queries import model_path, table
 
 
@@ -28,16 +27,11 @@ NEAR = {"shingle": 5, "threshold": 80, "bands": 13}
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id.
+    """One document of each group of near-duplicates: the one with the smallest doc_id, or one of a group without any.
 
-    Rows without an id that are linked with no id are kept, one by component of equal texts; repeated
-    rows of an id count as one document.
+    Repeated rows of an id and a text count as one document; a text without words is in no group.
     """
-    found = cut(neardup.near_duplicates(docs, **NEAR).where("kept").select(F.col("doc_id").alias("id")).distinct())
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"))
-    first = F.row_number().over(Window.partitionBy("id").orderBy("hash"))
-    named = rows.join(found, "id", "left_semi").withColumn("nth", first).where("nth = 1").select("row.*")
-    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return neardup.one_of_each(docs, **NEAR)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,3 +31,17 @@ def test_five_words(spark, prose):
     near, tight = brute.components(docs, 80, 5), brute.components(docs)
     assert near[2][1] == 1 != tight[2][1] and near[11][1] == 11 != tight[11][1]
     assert staged(spark, docs) == sorted([(i, t) for i, t in docs if near[i][1] == i], key=str)
+
+
+def test_rows_without_an_id_and_ids_with_two_texts(spark, prose):
+    a, b, c, d, e = (prose(70 + k, 60) for k in range(5))
+    alone = [(None, a), (None, a + " more"), (None, a), (None, a.replace(" ", "\t"))]
+    wordless = [(None, None), (None, None), (None, ""), (4, " "), (5, None), (5, None)]
+    rows = [*alone, *wordless, (7, b), (None, b), (None, b + " more"), (8, c), (8, d), (8, d), (9, c + " more"), (10, d + " more"), (3, e + " more"), (8, e)]
+    out = staged(spark, rows)
+    assert sum(x in set(alone) for x in out) == 1
+    assert [x for x in out if x not in set(alone)] == sorted([*wordless[:5], (7, b), (8, c), (8, d), (3, e + " more")], key=str)
+
+
+def test_no_rows(spark):
+    assert staged(spark, []) == []

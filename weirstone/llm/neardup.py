@@ -259,3 +259,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = sketches.select("doc_id", "n_shingles", "sig1", "sig2").join(place, ["sig1", "sig2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, threshold: int = 85, bands: int = 10, rows: int = 3, seed: int = 7) -> DataFrame:
+    """The rows of ``docs`` that stay if one of each component of near-duplicates does: that with the smallest id, or one of those without.
+
+    Rows of one id and one text count as one; other texts of an id are documents of their own. Texts
+    without words are linked with nothing, so all of them stay, and all rows of those without an id.
+    """
+    sketches, classes, found = _grouped(docs, id_col, text_col, shingle, threshold, bands, rows, seed)
+    linked = found.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("first"))
+    firsts = linked.select("first.*").union(classes.join(found, "node", "left_anti").select("first.*"))
+    wordless = sketches.where("n_shingles = 0 and doc_id is not null").select(F.lit(False).alias("nameless"), "doc_id", "hash")
+    key = ["nameless", "id", "hash"]
+    firsts = cut(firsts.union(wordless.distinct()).select("nameless", F.coalesce("doc_id", F.lit(0)).alias("id"), "hash"))
+    nameless, worded = docs.where(F.col(id_col).isNull()), F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    # Copies without an id collapse before the shuffle, as they all have one key.
+    some = docs.where(F.col(id_col).isNotNull()).unionByName(nameless.where(worded).dropDuplicates([text_col]))
+    held = some.select(F.struct("*").alias("row"), F.col(id_col).isNull().alias("nameless"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy("whole"))
+    kept = held.join(firsts, key, "left_semi").withColumn("whole", F.xxhash64("row")).withColumn("nth", nth).where("nth = 1")
+    return kept.select("row.*").unionByName(nameless.where(~worded))
