@@ -58,8 +58,8 @@ def dim_customers(customers: DataFrame, accounts: DataFrame) -> DataFrame:
     return who.join(active, "customer_id", "left").groupBy(*keys).agg(F.countDistinct("account_id").alias("active_accounts"), total)
 
 
-def fct_transactions(transactions: DataFrame, accounts: DataFrame, rates: DataFrame, base: str = "JPY") -> DataFrame:
-    """Transactions with their customer and the amount in the base currency.
+def fct_transactions(transactions: DataFrame, accounts: DataFrame, rates: DataFrame, base: str = "JPY", digits: int | None = 2) -> DataFrame:
+    """Transactions with their customer and the amount in the base currency, rounded to ``digits`` unless that is None.
 
     Rates join by currency alone: a currency quoted for two dates doubles its rows, which the unique
     check on (quote_currency) of the rates guards.
@@ -67,7 +67,7 @@ def fct_transactions(transactions: DataFrame, accounts: DataFrame, rates: DataFr
     owner = accounts.select("account_id", "customer_id")
     rates = rates.where(F.col("base_currency") == base).select(F.col("quote_currency").alias("_quote"), F.col("rate").alias("_rate"))
     joined = transactions.join(owner, "account_id", "left").join(rates, F.col("currency") == F.col("_quote"), "left")
-    amount = in_base_currency(F.col("amount"), F.col("currency"), F.col("_rate"), base).alias("amount_jpy")
+    amount = in_base_currency(F.col("amount"), F.col("currency"), F.col("_rate"), base, digits).alias("amount_jpy")
     return joined.select("transaction_id", "account_id", "customer_id", "booked_date", "booked_at", "txn_type", "channel", "status", "currency", "amount", amount)
 
 

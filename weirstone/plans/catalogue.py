@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weirstone.config import Config, Entity, Source, Storage
 from weirstone.contracts import Contract, check_all
-from weirstone.functions import dot, in_base_currency
+from weirstone.functions import dot
 from weirstone.governance import access_matrix, pii_inventory
 from weirstone.observability import detectors as D
 from weirstone.observability import metrics as M
@@ -347,10 +347,8 @@ def fct_fx_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     t = o.select(F.col("o_orderkey").alias("transaction_id"), F.col("o_custkey").alias("account_id"), F.col("o_totalprice").alias("amount"), currency.alias("currency"), none.alias("txn_type"), none.alias("channel"), none.alias("status"), F.col("o_orderdate").alias("booked_at"), F.to_date("o_orderdate").alias("booked_date"))
     accounts = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("account_id"), F.col("c_custkey").alias("customer_id"))
-    out = marts.fct_transactions(t, accounts, spark.createDataFrame(_FX, "base_currency string, quote_currency string, rate double, business_date string"))
-    exact = in_base_currency(F.col("amount"), F.col("currency"), F.element_at(F.create_map(*(F.lit(x) for _, q, r, _ in _FX for x in (q, r))), F.col("currency")), digits=None)
-    same = F.when(F.col("amount_jpy").isNull() == exact.isNull(), exact)  # the mart rounds to cents, halves up; the SQL side doesn't
-    return out.select("transaction_id", "account_id", "customer_id", "booked_date", "currency", "amount", same.alias("amount_jpy"))
+    out = marts.fct_transactions(t, accounts, spark.createDataFrame(_FX, "base_currency string, quote_currency string, rate double, business_date string"), digits=None)  # the SQL side doesn't round
+    return out.select("transaction_id", "account_id", "customer_id", "booked_date", "currency", "amount", "amount_jpy")
 
 
 @query("""
