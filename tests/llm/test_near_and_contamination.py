@@ -8,6 +8,10 @@ from weirstone.llm import decontam, neardup
 from weirstone.llm.components import connected_components
 
 
+#: As the query has it.
+TIGHT = {"shingle": 3, "threshold": 85, "bands": 10}
+
+
 def loud(text):
     return "".join(x.upper() if x.isascii() else x for x in text)
 
@@ -27,7 +31,7 @@ def test_near_duplicates(spark, prose):
     docs += [(100 + k, edited(base, 100 + k, 2 + k % 5)) for k in range(60)]
     docs += [(200 + k, prose(50 + k, 40)) for k in range(30)]
     frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], "doc_id long, text string, node string, key int, n_shingles int")
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame).collect()}
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(frame, **TIGHT).collect()}
     assert found == brute.components(docs)
     assert len({c for _, c in found.values()}) < len(docs) - 40
 
@@ -35,7 +39,7 @@ def test_near_duplicates(spark, prose):
 def test_near_duplicates_of_odd_rows(spark, prose):
     text = prose(1, 50)
     rows = [(None, text), (7, text), (7, text), (7, prose(2, 50)), (None, prose(3, 50)), (None, None), (8, None)]
-    found = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    found = sorted((tuple(r) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **TIGHT).collect()), key=repr)
     assert found == sorted([(None, 48, 7, False), (7, 48, 7, True), (7, 48, 7, True), (7, 48, 7, True), (None, 48, None, False), (None, 0, None, False), (8, 0, 8, True)], key=repr)
 
 
@@ -43,7 +47,7 @@ def test_near_duplicates_of_an_id_with_two_texts(spark, prose):
     """Whichever text of an id comes first, a near-copy of either is linked with it."""
     pairs = [(prose(100 + k, 60), prose(200 + k, 60)) for k in range(20)]
     rows = [row for k, (x, y) in enumerate(pairs) for row in ((k, x), (k, y), (1000 + k, x + " more"), (2000 + k, y + " more"))]
-    found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: (r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **TIGHT).collect()}
     assert found == {i: (i % 1000, i < 1000) for i, _ in rows}
 
 
@@ -61,6 +65,40 @@ def test_overlaps():
     assert neardup._overlaps(sets[:20], sets[20:]).tolist() == expected
 
 
+def test_blocks_of_many_short_texts_take_little_memory():
+    """Two blocks of the most texts that a task holds: 1,500 on average, here 2,000 of mostly the same words."""
+    import tracemalloc
+
+    chance = np.random.default_rng(2)
+    blocks = []
+    for k in range(2):
+        sets = [np.unique(np.append(np.arange(25), chance.integers(100, 160, 3))).astype(np.int64) for _ in range(2000)]
+        blocks.append((np.arange(2000) + k * 2000, np.arange(2000) + k * 2000, sets))
+    tracemalloc.start()
+    a, b = neardup.links(85, *blocks)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20
+    sample = {(x, y) for x in range(40) for y in range(2000) for both in [len(np.intersect1d(blocks[0][2][x], blocks[1][2][y]))] if 100 * both >= 85 * (len(blocks[0][2][x]) + len(blocks[1][2][y]) - both)}
+    assert {(x, y - 2000) for x, y in zip(a.tolist(), b.tolist(), strict=True) if x < 40} == sample and sample
+
+
+def test_loose_cluster(spark):
+    """Texts that share most words, of several sizes, of which only some are linked: in small blocks, against brute force."""
+    chance = random.Random(5)
+    docs = []
+    for k in range(260):
+        body = [f"w{x}" for x in range(20 + 3 * (k % 4))] + [f"u{chance.randrange(9)}" for _ in range(chance.choice([1, 4, 6]))]
+        docs.append((k, " ".join(body)))
+    was = neardup.BLOCK_TEXTS
+    neardup.BLOCK_TEXTS = 16
+    try:
+        found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), **TIGHT).collect()}
+    finally:
+        neardup.BLOCK_TEXTS = was
+    assert found == brute.components(docs)
+
+
 def test_components(spark):
     edges = [(1, 2), (3, 2), (3, 4), (9, 8), (8, 7), (5, 5), (None, 1), *((k, k + 1) for k in range(100, 140))]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,11 +12,12 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it. Set here only where it is unset, as in tests."""
+    """The folder that all executors share, as the session names it. A local one only for a session whose executors are local, as in tests."""
     held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         held = tempfile.mkdtemp(prefix="weirstone-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", held)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(held)
     return held
@@ -27,6 +29,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a table in the shared folder, for loops.
+
+    A checkpoint keeps the planner's guess of its size, and each join multiplies the guesses of its
+    sides, so after some rounds the numbers themselves take longer than the work. A table's size is measured.
+    """
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def broadcast_below(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """``df`` with a broadcast hint if counting shows that it stays below ``limit`` bytes; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

@@ -5,18 +5,22 @@ key pairs one tuple of either collection, so ``bands ** 2`` tables cost only ``2
 MinHash values. Texts with equal shingle sets are one node from the start. In each table bucket the
 members are tried against the smallest member (linear in the bucket), confirmed on full sets. Where
 that leaves members of one bucket in different components, all texts involved (but those that an exact
-bound rules out) meet in blocks inside tasks, which give back links only; so every link between
-members of any bucket is found or implied, no bucket is capped, and no pairs are listed.
+bound on their rarest shingles rules out) meet in blocks inside tasks, which give back links only; so
+every link between members of any bucket is found or implied, no bucket is capped, and no pairs are listed.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weirstone.llm._spark import broadcast_below, cut
 from weirstone.llm._text import SPACED, Words, hash_binary, lists, mix, per_slice
@@ -117,16 +121,17 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
 
 
-def _unsettled(met: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets that span several components, with their component."""
-    rest = met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    return rest.join(mixed, "key", "left_semi")
+def _rest(met: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, n, component) of the members of buckets that span several components."""
+    rest = cut(met.join(found, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    mixed = cut(rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"))
+    return cut(rest.join(mixed, "key", "left_semi").select("node", "n", "component").distinct())
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """The intersection sizes of all sets of one list with all of the other."""
-    out = np.zeros((len(left), len(right)), np.int64)
+    shape = (len(left), len(right))
+    out = np.zeros(shape, np.int32)
     if not left or not right:
         return out
     (a, i), (b, j) = ((np.concatenate(x), np.repeat(np.arange(len(x)), [len(y) for y in x])) for x in (left, right))
@@ -139,11 +144,14 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     rare = n_a * n_b <= 64
     times = np.where(rare[a], n_b[a], 0)
     begin = (np.cumsum(n_b) - n_b)[a]
-    inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    np.add.at(out, (np.repeat(i, times), j[np.repeat(begin, times) + inside]), 1)
+    for some in np.array_split(np.arange(len(a)), 1 + int(times.sum()) // PAIRS_AT_ONCE):
+        inside = np.arange(times[some].sum()) - np.repeat(np.cumsum(times[some]) - times[some], times[some])
+        cell = np.repeat(i[some] * shape[1], times[some]) + j[np.repeat(begin[some], times[some]) + inside]
+        cell, n = np.unique(cell, return_counts=True)
+        out.ravel()[cell] += n.astype(np.int32)
     often = np.flatnonzero(~rare)
-    for k in range(0, len(often), 2048):
-        some = often[k : k + 2048]
+    for k in range(0, len(often), 1024):
+        some = often[k : k + 1024]
         parts = []
         for token, row, n in ((a, i, len(left)), (b, j, len(right))):
             at = np.searchsorted(some, token)
@@ -151,66 +159,147 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             dense = np.zeros((n, len(some)), np.float32)
             dense[row[ok], at[ok]] = 1
             parts.append(dense)
-        out += np.rint(parts[0] @ parts[1].T).astype(np.int64)
+        out += (parts[0] @ parts[1].T).astype(np.int32)  # whole numbers below 2 ** 24 are exact
     return out
 
 
-def _links(threshold: int, group: pa.Table) -> pa.Table:
-    """One link for every two components that have any between the two blocks of a group."""
-    one, two = group["one"][0].as_py(), group["two"][0].as_py()
-    block = group["block"].to_numpy()
-    node, component = group["node"].to_numpy(), group["component"].to_numpy()
-    sets = group["shingles"].combine_chunks()
-    sets = [x.values.to_numpy(zero_copy_only=False) for x in sets]
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    sizes = np.array([len(x) for x in sets], np.int64)
-    both = _overlaps([sets[x] for x in left], [sets[x] for x in right])
-    linked = (100 * both >= threshold * (sizes[left][:, None] + sizes[right][None] - both)) & (component[left][:, None] != component[right][None])
+def links(threshold: int, left: tuple, right: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): one linked pair of nodes for every two components with a link between two blocks of (node, component, sets)."""
+    (node_a, comp_a, sets_a), (node_b, comp_b, sets_b) = left, right
+    none = np.zeros(0, np.int64)
+    if not len(node_a) or not len(node_b) or (np.concatenate([comp_a, comp_b]) == comp_a[0]).all():
+        return none, none
+    both = _overlaps(sets_a, sets_b)
+    size_a, size_b = (np.array([len(x) for x in sets], np.int64) for sets in (sets_a, sets_b))
+    if max(size_a.max(), size_b.max()) < 5_000_000:  # else the products below need more bits
+        both, size_a, size_b = (x.astype(np.int32) for x in (both, size_a, size_b))
+    else:
+        both = both.astype(np.int64)
+    linked = both * (100 + threshold) >= threshold * (size_a[:, None] + size_b[None])  # 100 * both >= threshold * union
+    linked &= comp_a[:, None] != comp_b[None]
     x, y = np.nonzero(linked)
-    x, y = left[x], right[y]
-    ends = np.sort(np.column_stack([component[x], component[y]]), 1)
+    ends = np.sort(np.column_stack([comp_a[x], comp_b[y]]), 1)
     _, first = np.unique(ends, axis=0, return_index=True) if len(ends) else (None, np.zeros(0, int))
-    return pa.table({"a": pa.array(node[x[first]], pa.int64()), "b": pa.array(node[y[first]], pa.int64())})
+    return node_a[x[first]], node_b[y[first]]
+
+
+def _links(threshold: int, group: pa.Table) -> pa.Table:
+    """The links between the two blocks of a group; one block with itself where only that is there."""
+    side = group["side"].to_numpy()
+    node, component = group["node"].to_numpy(), group["component"].to_numpy()
+    sets = [x.values.to_numpy(zero_copy_only=False) for x in group["shingles"].combine_chunks()]
+    blocks = [(node[at], component[at], [sets[k] for k in at]) for at in (np.flatnonzero(side == k) for k in (0, 1))]
+    a, b = links(threshold, blocks[0], blocks[1] if len(blocks[1][0]) else blocks[0])
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+#: Texts and shingles, on average, in a block of texts that meets another one; pairs that are counted at once.
+BLOCK_TEXTS, BLOCK_SHINGLES, PAIRS_AT_ONCE = 1500, 300_000, 1 << 22
+
+#: Bits of a shingle that choose its place in the table of counts, which is 8 MB whatever the input.
+COUNT_BITS = 20
+
 
+def _lead(threshold: int, counts: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s, node, component): of each set the shingles that come first, the rarest ones leading."""
+    often = counts.value
+    for batch in batches:
+        column = batch.column("shingles")
+        values, n = column.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((values, often[values & (len(often) - 1)], row))
+        place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+        reach = n - -(-n * threshold // 100) + 1
+        taken = order[place < reach[row]]
+        at = pa.array(row[taken])
+        yield pa.RecordBatch.from_arrays([pa.array(values[taken]), batch.column("node").take(at), batch.column("component").take(at)], names=["s", "node", "component"])
 
-#: Shingles in a block of texts that meets another one.
-BLOCK_SHINGLES = 500_000
+
+def _rare_first(sets: DataFrame, rest: DataFrame, threshold: int) -> DataFrame:
+    """(node, n, component, cluster) of the texts that may have a link into another component.
+
+    Shingles have one order for all: the rarer by a table of counts first (of fixed size, by some of
+    the hash's bits), then by hash. Of two linked sets, each as long a list of its first shingles as
+    its size allows shares one with the other's. So a text stays only if such a shingle of its own is
+    in another component's list too, and texts that no chain of them connects never meet.
+    """
+    spark = sets.sparkSession
+    mask = (1 << COUNT_BITS) - 1
+    table = sets.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit(mask)).alias("at")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << COUNT_BITS, np.int64)
+    counts[table["at"].to_numpy()] = table["n"].to_numpy()
+    fn = partial(_lead, threshold, spark.sparkContext.broadcast(counts))
+    lead = cut(sets.join(rest.select("node", "component"), "node").select("node", "component", "shingles").mapInArrow(fn, "s long, node long, component long"))
+    shared = cut(lead.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("least")).where("lo < hi").select("s", "least"))
+    tied = cut(lead.join(shared, "s").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    clusters = connected_components(tied).withColumnRenamed("component", "cluster")
+    return rest.join(clusters, "node").select("node", "n", "component", "cluster")
+
+
+def _meetings(members: DataFrame, threshold: int) -> DataFrame:
+    """(node, component, group columns, side): who meets whom, block by block.
+
+    Sizes go in classes that grow by 100 / threshold, so a link joins texts of one class or of
+    neighbouring ones. A class of a cluster is dealt into blocks by a hash; their number follows from
+    its texts and shingles, so no task numbers or sorts a cluster.
+    """
+    # A little wider than 100 / threshold, so that rounding never sets linked texts two classes apart.
+    kind = F.floor(F.ln(F.col("n").cast("double")) / (math.log(100 / threshold) * (1 + 1e-6))).cast("int") if threshold < 100 else F.col("n").cast("int")
+    members = cut(members.withColumn("kind", kind))
+    load = members.groupBy("cluster", "kind").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    load = load.select("cluster", "kind", "lo", "hi", F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    above = load.select("cluster", (F.col("kind") - 1).alias("kind"), F.col("blocks").alias("above"), F.col("lo").alias("lo_above"), F.col("hi").alias("hi_above"))
+    below = load.select("cluster", (F.col("kind") + 1).alias("kind"), F.col("blocks").alias("below"), F.col("lo").alias("lo_below"), F.col("hi").alias("hi_below"))
+    # Classes that are of one component together need not meet.
+    load = load.join(above, ["cluster", "kind"], "left").join(below, ["cluster", "kind"], "left")
+    load = load.select("cluster", "kind", "blocks", (F.col("lo") < F.col("hi")).alias("inside"), F.when(F.least("lo", "lo_above") < F.greatest("hi", "hi_above"), F.col("above")).alias("above"), F.when(F.least("lo", "lo_below") < F.greatest("hi", "hi_below"), F.col("below")).alias("below"))
+    load = cut(load.where("inside or above is not null or below is not null"))
+    placed = members.join(load, ["cluster", "kind"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = "if(inside, transform(sequence(0, blocks - 1), o -> struct(kind as k1, least(block, o) as b1, kind as k2, greatest(block, o) as b2, int(block > o) as side)), array())"
+    up = "if(above is null, array(), transform(sequence(0, above - 1), o -> struct(kind as k1, block as b1, kind + 1 as k2, o as b2, 0 as side)))"
+    down = "if(below is null, array(), transform(sequence(0, below - 1), o -> struct(kind - 1 as k1, o as b1, kind as k2, block as b2, 1 as side)))"
+    return placed.select("node", "component", "cluster", F.explode(F.expr(f"concat({own}, {up}, {down})")).alias("m")).select("node", "component", "cluster", "m.*")
 
 
 def _settle(base: DataFrame, classes: DataFrame, met: DataFrame, edges: DataFrame, found: DataFrame, shingle: int, threshold: int) -> DataFrame:
     """Components once all members of the buckets in ``met`` (key, node, n) that may still link have been tried.
 
-    A shingle that one member alone has is in no intersection, so a text with too many of them is
-    out. The others are gathered into loose clusters, connected by buckets, and the texts of each
-    cluster meet block by block: tasks hold two blocks of sets and give links only, no pairs.
+    Texts of buckets that span several components are thinned out and gathered by their rarest
+    shingles; within such a cluster, blocks of texts of like size meet in tasks of bounded memory,
+    which give links only, no pairs.
     """
 
     def between(group: pa.Table) -> pa.Table:
         return _links(threshold, group)
 
-    rest = cut(_unsettled(met.select("key", "node", "n"), found))
-    if rest.isEmpty():
-        return found
-    sets = cut(_read_sets(base, classes, rest.select("node").distinct(), shingle))
-    single = sets.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.count("*").alias("texts")).where("texts = 1")
-    own = single.groupBy("node").agg(F.count("*").alias("u"))
-    rest = rest.join(own, "node", "left").where(f"100 * (n - coalesce(u, 0)) >= {threshold} * n").select("key", "node", "n", "component")
-    least = Window.partitionBy("key")
-    rest = rest.withColumn("least", F.min("node").over(least)).withColumn("lo", F.min("component").over(least)).withColumn("hi", F.max("component").over(least))
-    rest = cut(rest.where("lo < hi").select("node", "least", "n", "component"))
+    rest = _rest(met.select("key", "node", "n"), found)
     if rest.isEmpty():
         return found
-    clusters = connected_components(rest.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()).withColumnRenamed("component", "cluster")
-    members = rest.select("node", "n", "component").distinct().join(clusters, "node")
-    upto = F.sum("n").over(Window.partitionBy("cluster").orderBy("n", "node").rowsBetween(Window.unboundedPreceding, 0))
-    members = members.withColumn("block", F.floor((upto - F.col("n")) / BLOCK_SHINGLES))
-    members = cut(members.withColumn("blocks", F.max("block").over(Window.partitionBy("cluster"))))
-    meet = members.join(sets, "node").withColumn("other", F.explode(F.expr("sequence(0L, blocks)")))
-    meet = meet.select("cluster", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "component", "shingles")
-    more = cut(meet.groupBy("cluster", "one", "two").applyInArrow(between, "a long, b long"))
+    sets = cut(_read_sets(base, classes, rest.select("node"), shingle))
+    members = _rare_first(sets, rest, threshold)
+    meet = cut(_meetings(members, threshold)).join(sets, "node")
+    more = cut(meet.groupBy("cluster", "k1", "b1", "k2", "b2").applyInArrow(between, "a long, b long"))
     return found if more.isEmpty() else connected_components(edges.union(more))
 
 
+def _bucket_members(classes: DataFrame, bands: int) -> DataFrame:
+    """(key, node, n, rep, rep_n): members of table buckets with each bucket's smallest node, which is left out.
+
+    A table key needs both its tuples to be shared, so keys are made of shared tuples only. A hot
+    bucket is never one task's: its smallest member comes from a partial aggregation, and the join
+    that hands it out can be split.
+    """
+    tuples = classes.select("node", F.posexplode(F.concat("a", "b")).alias("t", "v")).select("node", "t", F.xxhash64("t", "v").alias("v"))
+    shared = cut(tuples.groupBy("v").agg(F.count("*").alias("texts")).where("texts > 1").select("v"))
+    held = cut(tuples.join(shared, "v").groupBy("node").agg(F.collect_list(F.when(F.col("t") < bands, F.col("v"))).alias("a"), F.collect_list(F.when(F.col("t") >= bands, F.col("v"))).alias("b")).where("size(a) > 0 and size(b) > 0"))
+    # Classes by node: their sizes come with them.
+    held = held.join(classes.select("node", "n"), "node")
+    keys = cut(held.select("node", "n", F.explode(F.expr("flatten(transform(a, x -> transform(b, y -> xxhash64(x, y))))")).alias("key")))
+    least = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("least"), F.max("node").alias("last")).where("least.node < last")
+    met = keys.join(cut(least.select("key", F.col("least.node").alias("rep"), F.col("least.n").alias("rep_n"))), "key")
+    return cut(met.where("rep <> node").select("key", "node", "n", "rep", "rep_n"))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshold: int, bands: int, rows: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sketches of all rows; classes of equal sets: node, sig1, sig2, first; component of each node that has a link).
 
@@ -230,22 +319,20 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, threshol
     else:
         classes = classes.join(broadcast_below(shared, 16), F.col("first.doc_id") == F.col("shared"), "left")
         classes = cut(classes.withColumn("node", F.when(F.col("first.hash") != F.col("named"), own).otherwise(F.coalesce("first.doc_id", own))).drop("shared", "named"))
-    keys = classes.select("node", "n", F.explode(F.expr(f"transform(sequence(0, {bands * bands - 1}), t -> xxhash64(a[t div {bands}], b[t % {bands}], t))")).alias("key"))
-    in_bucket = Window.partitionBy("key").orderBy("node")
-    met = keys.select("key", "node", "n", F.first(F.struct("node", "n")).over(in_bucket).alias("least")).where("least.node <> node")
-    met = cut(met.select("key", "node", "n", F.col("least.node").alias("rep"), F.col("least.n").alias("rep_n")))
+    met = _bucket_members(classes, bands)
     pairs = cut(met.where(_near(threshold, "n", "rep_n")).select(F.col("node").alias("x"), F.col("rep").alias("y")).distinct())
     # Written out, so that both joins with the sets have plain shuffles, which adaptive execution splits where one text is in many pairs.
     edges = _confirmed(cut(_read_sets(base, classes, _ends(pairs), shingle)), pairs, threshold)
     return sketches, classes, _settle(base, classes, met, edges, connected_components(edges), shingle, threshold)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, threshold: int = 85, bands: int = 10, rows: int = 3, seed: int = 7) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: int = 80, bands: int = 13, rows: int = 3, seed: int = 7) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links), kept.
 
     Texts are lower-cased (A-Z) and cut at white space. Two are linked if 100 * intersection >=
     threshold * union of their sets of distinct word shingles; a pair at a similarity s shares a
-    table with probability (1 - (1 - s ** rows) ** bands) ** 2, about 0.9998 at 0.85 as set here.
+    table with probability (1 - (1 - s ** rows) ** bands) ** 2, about 0.9998 at 0.8 as set here (and
+    at 0.85 with 10 bands).
 
     Null and empty texts have no shingles and are linked with nothing. Rows with the same text are
     one component. A row without an id gets the smallest id of its component, or null if none has
@@ -261,7 +348,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, threshold: int = 85, bands: int = 10, rows: int = 3, seed: int = 7) -> DataFrame:
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, threshold: int = 80, bands: int = 13, rows: int = 3, seed: int = 7) -> DataFrame:
     """The rows of ``docs`` that stay if one of each component of near-duplicates does: that with the smallest id, or one of those without.
 
     Rows of one id and one text count as one; other texts of an id are documents of their own. Texts
@@ -277,6 +364,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Copies without an id collapse before the shuffle, as they all have one key.
     some = docs.where(F.col(id_col).isNotNull()).unionByName(nameless.where(worded).dropDuplicates([text_col]))
     held = some.select(F.struct("*").alias("row"), F.col(id_col).isNull().alias("nameless"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
-    nth = F.row_number().over(Window.partitionBy(*key).orderBy("whole"))
-    kept = held.join(firsts, key, "left_semi").withColumn("whole", F.xxhash64("row")).withColumn("nth", nth).where("nth = 1")
+    kept = held.join(firsts, key, "left_semi")
+    # Rows that share an id and a text are rare, and one of them stays: that with the smallest hash of all columns.
+    repeated = cut(held.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
+    if not repeated.isEmpty():
+        whole = F.xxhash64(*(F.map_entries(F.col("row")[x.name]) if isinstance(x.dataType, T.MapType) else F.col("row")[x.name] for x in docs.schema))
+        one = kept.join(repeated, key, "left_semi").withColumn("whole", whole).groupBy(*key).agg(F.min_by("row", "whole").alias("row"))
+        kept = kept.join(repeated, key, "left_anti").select("row").union(one.select("row"))
     return kept.select("row.*").unionByName(nameless.where(~worded))

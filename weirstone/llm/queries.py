@@ -62,7 +62,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85, bands=10)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
