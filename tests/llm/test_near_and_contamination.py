@@ -66,7 +66,7 @@ def test_overlaps():
 
 
 def test_blocks_of_many_short_texts_take_little_memory():
-    """Two blocks of the most texts that a task holds: 1,500 on average, here 2,000 of mostly the same words."""
+    """Two blocks of the most texts that a task holds: some hundreds, here 2,000 of mostly the same words."""
     import tracemalloc
 
     chance = np.random.default_rng(2)
@@ -118,9 +118,51 @@ def test_matches(spark, prose, block_bytes):
     found = decontam.find_matches(docs, benchmark, block_bytes=block_bytes).collect()
     assert len(found) == len(texts) + 1
     for r in found:
-        assert (r["n_words"], r["n_hit"], sorted({s["item"] for s in r["spans"]})) == brute.contamination(texts[r["row"]["doc_id"]], items), texts[r["row"]["doc_id"]]
+        assert (r["n_words"], r["n_hit"], r["items"]) == brute.contamination(texts[r["row"]["doc_id"]], items), texts[r["row"]["doc_id"]]
+        w = brute.words(texts[r["row"]["doc_id"]])
+        said = dict((str(i), [brute.words(t) for j, t in items if j == i]) for i, _ in items)
+        for x in r["spans"]:
+            own = w[x["start"] : x["start"] + x["length"]]
+            assert any(own == v[x["item_start"] : x["item_start"] + x["length"]] for v in said[x["item"]])
+            # As long as it gets, in both directions.
+            for v in said[x["item"]]:
+                if own == v[x["item_start"] : x["item_start"] + x["length"]]:
+                    after, item_after = x["start"] + x["length"], x["item_start"] + x["length"]
+                    assert after == len(w) or item_after == len(v) or w[after] != v[item_after]
+                    assert x["start"] == 0 or x["item_start"] == 0 or w[x["start"] - 1] != v[x["item_start"] - 1]
     longest = max(s["length"] for r in found if r["row"]["doc_id"] == 4 for s in r["spans"])
     assert longest == 25
     kept = decontam.decontaminate(docs, benchmark)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted([i for i, t in enumerate(texts) if not brute.contamination(t, items)[1]] + [0])
+
+
+def test_suffix_array():
+    chance = np.random.default_rng(4)
+    code = np.concatenate([chance.integers(1, 4, 300), np.tile([1, 2, 3, 1], 40), [5]])
+    order = decontam.suffix_array(code, 5, len(code))[0]
+    assert order.tolist() == sorted(range(len(code)), key=lambda k: code[k:].tolist())
+
+
+def test_a_passage_that_many_items_share_stays_linear(prose):
+    """300 items of one passage, a text that repeats it: as many spans as places, and a broadcast within its bound."""
+    import pickle
+
+    import pyarrow as pa
+
+    passage = prose(1, 30)
+    items = [(str(k), f"own{k} {passage} end{k}") for k in range(300)]
+    tests = decontam.Suffixes(items, 10)
+    n_words, n_hit, spans, found = decontam.matches(pa.array([" ".join([passage] * 300), passage, "x"]), tests)
+    assert n_words.tolist() == n_hit.tolist()[:2] + [1] and n_hit.tolist() == [9000, 30, 0]
+    assert [len(x) for x in spans.to_pylist()][1:] == [1, 0] and len(spans[0]) <= 600
+    assert [len(x) for x in found.to_pylist()] == [300, 300, 0]
+    many = [(str(k), prose(1000 + k, 150)) for k in range(2000)]
+    assert len(pickle.dumps(decontam.Suffixes(many, 10))) < 4 * sum(len(t.encode()) for _, t in many)
+
+
+def test_items_without_an_id(spark, prose):
+    items = spark.createDataFrame([(None, prose(1, 12)), ("", prose(2, 12)), (None, prose(3, 12))], "item_id string, text string")
+    docs = spark.createDataFrame([(1, prose(1, 12) + " " + prose(2, 12) + " " + prose(3, 12), "x")], ["doc_id", "text", "meta.lang"])
+    row = decontam.find_matches(docs, items).first()
+    assert row["items"] == ["", None] and row["n_hit"] == 36

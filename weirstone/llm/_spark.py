@@ -55,7 +55,7 @@ def rows_with_text(docs: DataFrame, text_col: str, carry: Sequence[str] | None)
 
     All columns are carried by default, and a string column among them then goes over once only.
     """
-    row = F.struct(*(docs.columns if carry is None else carry)).alias("row")
+    row = F.struct(*(F.col(f"`{name.replace('`', '``')}`") for name in (docs.columns if carry is None else carry))).alias("row")
     if carry is None and isinstance(docs.schema[text_col].dataType, T.StringType):
         return docs.select(row), text_col
     return docs.select(row, F.col(text_col).cast("string").alias("text")), None

@@ -1,10 +1,12 @@
 """Benchmark decontamination with suffix arrays over shards of the training texts.
 
-Each shard (a few megabytes of documents inside a task) gets a word-level suffix array of the
-suffixes that can match at all: those whose leading words occur as the leading words of some
-benchmark suffix. Every benchmark suffix is binary-searched in it; runs of matches on one diagonal
-(document place minus item place) merge into the longest verbatim matches, with their locations.
-The benchmark reaches the tasks in blocks of a fixed size bound, one pass over the texts per block.
+Each shard (a few megabytes of whole documents inside a task) gets a word-level suffix array of all
+its suffixes: sorted by their first words, then by doubling, where only suffixes that are still tied
+are sorted again, until they are told apart or tied for as long as any benchmark item. Every benchmark
+suffix that holds a window is binary-searched in it (equal ones once), which gives all places of its
+window. From these places matches are followed in both directions to their whole verbatim length. So
+work goes with the places and the distinct windows, not with the items that share a window. The
+benchmark reaches the tasks in blocks of a fixed size bound, one pass over the texts per block.
 """
 
 from __future__ import annotations
@@ -19,128 +21,200 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirstone.llm._text import ALNUM, Words, lists, mix, slices
+from weirstone.llm._spark import rows_with_text
+from weirstone.llm._text import ALNUM, Words, lists, mix, opened, slices
 
-#: Bytes of benchmark text that are broadcast at once.
-BLOCK_BYTES = 16 << 20
+#: Bytes of benchmark text that are broadcast at once. What is broadcast takes about three times as much; a test holds it to four.
+BLOCK_BYTES = 8 << 20
 
-#: Bits of the filter on leading words.
-FILTER_BITS = 20
-
-SPANS = "array<struct<start:int,length:int,item:string,item_start:int>>"
+SPANS, ITEMS = "array<struct<start:int,length:int,item:string,item_start:int>>", "array<string>"
 
 
 class Suffixes:
-    """All suffixes of a block of benchmark items, as ranks of their words, big-endian, ``window`` words deep."""
+    """The benchmark suffixes of a block of items that hold a window; equal windows are one, with a class for the items that share it."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        items = sorted(items, key=lambda x: (x[0] is None, x[0] or "", x[1]))
         words = Words(pa.array([text for _, text in items], pa.string()), ALNUM)
-        self.names = [name for name, _ in items]
-        self.window = window
-        self.vocabulary = pc.array_sort_indices(words.distinct)
-        self.vocabulary = words.distinct.take(self.vocabulary)
-        rank = np.asarray(pc.index_in(words.distinct, self.vocabulary).to_numpy(zero_copy_only=False), np.int64) + 1
-        code = np.concatenate([rank[words.code], np.zeros(window, np.int64)]) if len(words.code) else np.zeros(window, np.int64)
-        row = words.row
-        depth = np.minimum(words.per_row, window)
-        place = np.arange(len(words.code))
-        ok = place + depth[row] <= words.first[row + 1] if len(row) else np.zeros(0, bool)
-        place, row = place[ok], row[ok]
-        self.item, self.start, self.depth = row, place - words.first[row], depth[row]
-        self.code = code[place[:, None] + np.arange(window)]
-        self.code[np.arange(window) >= self.depth[:, None]] = 0
-        self.lead = int(min(3, self.depth.min())) if len(row) else 1
-        self.leads = np.unique(lead_hash(self.code, self.lead))
-        self.filter = np.zeros(1 << FILTER_BITS, bool)
-        self.filter[self.leads >> np.uint64(64 - FILTER_BITS)] = True
-
-
-def lead_hash(code: np.ndarray, lead: int) -> np.ndarray:
-    out = np.zeros(len(code), np.uint64)
-    for i in range(lead):
-        out = mix(out * np.uint64(0x9FB21C651E98DF25) + code[:, i].astype(np.uint64))
-    return out
-
-
-def _bytes(code: np.ndarray) -> np.ndarray:
-    """Rows of ranks as byte strings that compare as the rows do."""
-    return np.ascontiguousarray(code.astype(">u4")).view(f"S{4 * code.shape[1]}").ravel()
-
-
-def search(words: Words, tests: Suffixes) -> tuple[np.ndarray, np.ndarray]:
-    """The occurrences of benchmark windows: places among the shard's words, and which benchmark suffix each is."""
-    n, none = len(words.code), np.zeros(0, np.int64)
-    if not n or not len(tests.item):
-        return none, none
-    known = pc.fill_null(pc.index_in(words.distinct, tests.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    code = np.concatenate([known[words.code], np.zeros(tests.window, np.int64)])
-    # Suffixes that begin with `lead` known words of one document, as some benchmark suffix does.
-    limit = np.repeat(words.first[1:], words.per_row)
-    live = code[:n] > 0
-    for i in range(1, tests.lead):
-        live &= code[i : n + i] > 0
-    place = np.flatnonzero(live)
-    place = place[place + tests.lead <= limit[place]]
-    hashed = lead_hash(code[place[:, None] + np.arange(tests.lead)], tests.lead)
-    near = tests.filter[hashed >> np.uint64(64 - FILTER_BITS)]
-    place, hashed = place[near], hashed[near]
-    at = np.minimum(np.searchsorted(tests.leads, hashed), len(tests.leads) - 1)
-    place = place[tests.leads[at] == hashed]
-    if not len(place):
+        names = sorted({name for name, _ in items}, key=lambda x: (x is None, x or ""))
+        number = {name: k for k, name in enumerate(names)}
+        self.names = pa.array(names, pa.string())
+        self.name = np.array([number[name] for name, _ in items], np.int32)
+        self.window, self.vocabulary = window, words.distinct
+        self.code, self.first = words.code.astype(np.int32), words.first.astype(np.int32)
+        self.longest = int(words.per_row.max(initial=0))
+        depth = np.minimum(words.per_row, window)[words.row]
+        place = np.arange(len(self.code))
+        ok = place + depth <= words.first[words.row + 1]
+        place, depth, row = place[ok], depth[ok], words.row[ok]
+        padded = np.append(self.code, np.zeros(window, np.int32))
+        matrix = padded[place[:, None] + np.arange(window)] + 1
+        matrix[np.arange(window) >= depth[:, None]] = 0
+        _, begin, which = np.unique(np.ascontiguousarray(matrix).view(f"V{4 * window}").ravel(), return_index=True, return_inverse=True)
+        #: Each distinct window: where it stands first, and its words.
+        self.place, self.depth = place[begin].astype(np.int32), depth[begin].astype(np.int16)
+        # Windows that the same items share are of one class.
+        pairs = np.unique(which.ravel() * np.int64(len(names) + 1) + self.name[row]) if len(place) else np.zeros(0, np.int64)
+        owner, name = pairs // (len(names) + 1), pairs % (len(names) + 1)
+        count = np.bincount(owner, minlength=len(begin))
+        begins = np.cumsum(count) - count
+        told = np.add.reduceat(mix(name.astype(np.uint64) + np.uint64(1)), begins) if len(begin) else np.zeros(0, np.uint64)
+        _, one, kind = np.unique(told + count.astype(np.uint64), return_index=True, return_inverse=True)
+        self.kind, self.kind_count = kind.ravel().astype(np.int32), count[one]
+        self.kind_names = np.concatenate([name[begins[k] : begins[k] + count[k]] for k in one] or [np.zeros(0, np.int64)]).astype(np.int32)
+
+
+def suffix_array(code: np.ndarray, top: int, depth: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """(suffixes in order, their leading words as sorted keys, words in a key, bits of a word), told apart over ``depth`` words.
+
+    Codes are from 1 to ``top``.
+    """
+    n, bits = len(code), max(int(top + 1).bit_length(), 1)
+    lead = min(63 // bits, 8)
+    padded = np.append(code.astype(np.int64), np.zeros(lead, np.int64))
+    key = np.zeros(n, np.int64)
+    for k in range(lead):
+        key = (key << bits) | padded[k : n + k]
+    order = np.argsort(key)
+    key = key[order]
+    at = np.arange(n)
+    head = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), at, 0)) if n else at
+    rank = np.empty(n, np.int64)
+    rank[order] = head
+    reach = lead
+    last = np.append(head[1:] != head[:-1], True) if n else np.zeros(0, bool)
+    tied = np.flatnonzero(~((head == at) & last))
+    while len(tied) and reach < depth:
+        place = order[tied]
+        beyond = place + reach
+        pair = rank[place] * (n + 1) + np.where(beyond < n, rank[np.minimum(beyond, n - 1)] + 1, 0)
+        again = np.argsort(pair)
+        place, pair = place[again], pair[again]
+        order[tied] = place
+        fresh = np.append(True, pair[1:] != pair[:-1])
+        rank[place] = tied[np.maximum.accumulate(np.where(fresh, np.arange(len(tied)), 0))]
+        tied = tied[~(fresh & np.append(fresh[1:], True))]
+        reach *= 2
+    return order, key, lead, bits
+
+
+def search(code: np.ndarray, top: int, tests: Suffixes, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the distinct windows occur: places in ``code``, and which window each is. ``spelt`` has the items' words in the shard's codes, 0 for strangers."""
+    none = np.zeros(0, np.int64)
+    strange = np.append(0, np.cumsum(spelt == 0))
+    live = np.flatnonzero(strange[tests.place + tests.depth] == strange[tests.place])
+    if not len(live) or not len(code):
         return none, none
-    deep = code[place[:, None] + np.arange(tests.window)]
-    deep[place[:, None] + np.arange(tests.window) >= limit[place][:, None]] = 0
-    keys = _bytes(deep)
-    array = np.argsort(keys, kind="stable")  # the suffix array
-    keys = keys[array]
-    top = tests.code.copy()
-    top[np.arange(tests.window) >= tests.depth[:, None]] = 0xFFFFFFFF
-    low, high = np.searchsorted(keys, _bytes(tests.code), "left"), np.searchsorted(keys, _bytes(top), "right")
+    order, key, lead, bits = suffix_array(code, top, max(tests.window, tests.longest))
+    place, depth = tests.place[live].astype(np.int64), tests.depth[live].astype(np.int64)
+    steps = np.arange(tests.window)
+    words, texts = np.append(spelt, np.zeros(max(tests.window, lead), np.int64)), np.append(code, np.zeros(tests.window, code.dtype))
+    low = high = np.zeros(len(live), np.int64)
+    for k in range(lead):
+        inside = k < depth
+        low = (low << bits) | np.where(inside, words[place + k], 0)
+        high = (high << bits) | np.where(inside, words[place + k], (1 << bits) - 1)
+    low, high = np.searchsorted(key, low, "left"), np.searchsorted(key, high, "right")
+    some = low < high
+    live, place, depth, low, high = live[some], place[some], depth[some], low[some], high[some]
+    deep = np.flatnonzero(depth > lead)
+
+    def bisect(begin: np.ndarray, end: np.ndarray, beyond: bool) -> np.ndarray:
+        """The first suffix that is not before (or, with ``beyond``, that is after) its window."""
+        begin, end = begin.copy(), end.copy()
+        while len(open_ := np.flatnonzero(begin < end)):
+            middle = (begin[open_] + end[open_]) // 2
+            own, other = words[place[deep[open_]][:, None] + steps], texts[order[middle][:, None] + steps]
+            differs = (own != other) & (steps < depth[deep[open_]][:, None])
+            at = np.argmax(differs, 1)
+            rows = np.arange(len(open_))
+            after = np.where(differs[rows, at], other[rows, at] < own[rows, at], beyond)
+            begin[open_] = np.where(after, middle + 1, begin[open_])
+            end[open_] = np.where(after, end[open_], middle)
+        return begin
+
+    low[deep], high[deep] = bisect(low[deep], high[deep], False), bisect(low[deep], high[deep], True)
     count = high - low
-    which = np.repeat(np.arange(len(count)), count)
+    which = np.repeat(np.arange(len(live)), count)
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    return place[array[low[which] + inside]], which
-
-
-def _scan(tests: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tests = tests.value
-    for batch in slices(batches, "text"):
-        words = Words(batch.column("text"), ALNUM)
-        place, which = search(words, tests)
-        item, depth = tests.item[which], tests.depth[which]
-        diagonal = place - tests.start[which]
-        order = np.lexsort((place, diagonal, item))
-        place, item, depth, diagonal = place[order], item[order], depth[order], diagonal[order]
-        row = np.searchsorted(words.first, place, "right") - 1
-        fresh = np.ones(len(place), bool)
-        fresh[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (place[1:] > place[:-1] + 1) | (row[1:] != row[:-1])
-        begin = np.flatnonzero(fresh)
-        last = np.append(begin[1:], len(place))[: len(begin)] - 1
-        start, length = place[begin], place[last] + depth[last] - place[begin]
-        row, item, item_start = row[begin], item[begin], (place - diagonal)[begin]
-        by_row = np.lexsort((item_start, item, start, row))
-        start, length, row, item, item_start = (x[by_row] for x in (start, length, row, item, item_start))
-        spans = pa.StructArray.from_arrays(
-            [pa.array((start - words.first[row]).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(tests.names, pa.string()).take(pa.array(item)), pa.array(item_start.astype(np.int32))],
-            names=["start", "length", "item", "item_start"],
-        )
-        # Words under any span.
-        turns = np.zeros(len(words.code) + 1, np.int64)
-        np.add.at(turns, start, 1)
-        np.add.at(turns, start + length, -1)
-        hit = np.concatenate([[0], np.cumsum(np.cumsum(turns[:-1]) > 0)])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("text"), pa.array(words.per_row.astype(np.int64)), pa.array(hit[words.first[1:]] - hit[words.first[:-1]]), lists(spans, np.bincount(row, minlength=batch.num_rows))],
-            names=["row", "text", "n_words", "n_hit", "spans"],
-        )
-
-
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark's items, ``limit`` bytes at a time; the driver holds one block."""
-    held: list[tuple[str, str]] = []
+    return order[low[which] + inside], live[which]
+
+
+def _followed(text: np.ndarray, items: np.ndarray, at: np.ndarray, item_at: np.ndarray, lowest: np.ndarray, beyond: np.ndarray, step: int) -> np.ndarray:
+    """How many more words agree, going by ``step`` from the given places; item places stay from ``lowest`` to before ``beyond``."""
+    more = np.zeros(len(at), np.int64)
+    open_ = np.arange(len(at))
+    while len(open_):
+        x, y = at[open_] + step * (more[open_] + 1), item_at[open_] + step * (more[open_] + 1)
+        ok = (x >= 0) & (x < len(text)) & (y >= lowest[open_]) & (y < beyond[open_])
+        ok[ok] = text[x[ok]] == items[y[ok]]
+        open_ = open_[ok]
+        more[open_] += 1
+    return more
+
+
+def matches(column: pa.Array, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """(n_words, n_hit, spans, items) of each text of a shard."""
+    words = Words(column, ALNUM)
+    n, top = len(column), len(words.distinct) + len(column)
+    # Every document ends with a mark of its own, so no suffix agrees with another beyond its document.
+    begins = words.first[:-1] + np.arange(n)
+    code = np.empty(len(words.code) + n, np.int64)
+    ends = words.first[1:] + np.arange(n)
+    is_end = np.zeros(len(code), bool)
+    is_end[ends] = True
+    code[is_end], code[~is_end] = len(words.distinct) + 1 + np.arange(n), words.code + 1
+    known = pc.fill_null(pc.index_in(tests.vocabulary, words.distinct), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    spelt = known[tests.code] if len(tests.code) else np.zeros(0, np.int64)
+    place, which = search(code, top, tests, spelt)
+
+    turns = np.zeros(len(code) + 1, np.int64)
+    np.add.at(turns, place, 1)
+    np.add.at(turns, place + tests.depth[which], -1)
+    hit = np.append(0, np.cumsum(np.cumsum(turns[:-1]) > 0))
+    n_hit = hit[ends] - hit[begins]
+
+    # Runs of places on one diagonal, followed to where text and item part.
+    row = np.searchsorted(begins, place, "right") - 1
+    item = np.searchsorted(tests.first, tests.place[which], "right") - 1
+    diagonal = place - tests.place[which]
+    order = np.lexsort((place, diagonal))
+    at, line, item = place[order], diagonal[order], item[order]
+    fresh = np.append(True, (line[1:] != line[:-1]) | (at[1:] > at[:-1] + 1) | (item[1:] != item[:-1]))[: len(at)]
+    first = np.flatnonzero(fresh)
+    last = np.append(first[1:], len(at))[: len(first)] - 1
+    start, item, line, end = at[first], item[first], line[first], at[last] + tests.depth[which][order][last] - 1
+    lowest, beyond = tests.first[item].astype(np.int64), tests.first[item + 1].astype(np.int64)
+    end = end + _followed(code, spelt, end, end - line, lowest, beyond, 1)
+    start = start - _followed(code, spelt, start, start - line, lowest, beyond, -1)
+    spans = np.unique(np.column_stack([np.searchsorted(begins, start, "right") - 1, start, end + 1 - start, tests.name[item], start - line - lowest]), axis=0) if len(start) else np.zeros((0, 5), np.int64)
+    span_list = pa.StructArray.from_arrays(
+        [pa.array((spans[:, 1] - begins[spans[:, 0]]).astype(np.int32)), pa.array(spans[:, 2].astype(np.int32)), tests.names.take(pa.array(spans[:, 3])), pa.array(spans[:, 4].astype(np.int32))],
+        names=["start", "length", "item", "item_start"],
+    )
+    # Items by document: over the classes of its windows, so a class is spelt out once by document.
+    kinds = len(tests.kind_count)
+    held = np.unique(row * np.int64(kinds + 1) + tests.kind[which])
+    row, kind = held // (kinds + 1), held % (kinds + 1)
+    count, begin = tests.kind_count[kind], (np.cumsum(tests.kind_count) - tests.kind_count)[kind]
+    inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    held = np.unique(np.repeat(row, count) * np.int64(len(tests.names) + 1) + tests.kind_names[np.repeat(begin, count) + inside])
+    row, name = held // (len(tests.names) + 1), held % (len(tests.names) + 1)
+    return words.per_row.astype(np.int64), n_hit, lists(span_list, np.bincount(spans[:, 0], minlength=n)), lists(tests.names.take(pa.array(name)), np.bincount(row, minlength=n))
+
+
+def _scan(tests: object, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(opened(batches, inside), "text"):
+        n_words, n_hit, spans, items = matches(batch.column("text"), tests.value)
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_words), pa.array(n_hit), spans, items], names=["row", "n_words", "n_hit", "spans", "items"])
+
+
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
+    """The benchmark's items in order, ``limit`` bytes at a time; the driver holds one block."""
+    held: list[tuple[str | None, str]] = []
     size = 0
-    items = benchmark.where(F.col(text_col).isNotNull()).select(F.coalesce(F.col(item_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).distinct()
-    for name, text in items.toLocalIterator():
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+    for name, text in items.orderBy("item", "text").toLocalIterator():
         if held and size + len(text.encode()) > limit:
             yield held
             held, size = [], 0
@@ -151,31 +225,36 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) ->
 
 
 def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: ``row`` (the row itself, as a struct), n_words, n_hit, spans (longest verbatim matches).
+    """Per row of ``docs``: ``row`` (the row itself, as a struct), n_words, n_hit, spans, items.
 
-    A span has its first word and length in the document, the item and its first word there. n_hit
-    counts the document's words inside any occurrence of ``window`` consecutive item words (of the
-    whole item if shorter). Null and empty texts have no words, and items without words match
-    nothing. Items of the same id count as one item. An empty benchmark gives no spans.
+    n_hit counts the document's words inside any occurrence of ``window`` consecutive item words (of
+    the whole item if shorter); ``items`` are the ids, as sorted text, of all items with one. A span
+    is a verbatim match of its whole length: its first word and length in the document, an item that
+    it is in and its first word there (where items share a passage, the first of them); spans cover
+    all hits. Null and empty texts have no words, and items without words match nothing. Items of the
+    same id count as one; those without an id count as one more, whose id is null. Repeated rows each
+    have their matches. An empty benchmark gives no spans.
     """
     spark = docs.sparkSession
-    out = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    row_type = out.schema["row"].dataType
-    schema = T.StructType([T.StructField("row", row_type), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.DataType.fromDDL(SPANS))])
+    out, inside = rows_with_text(docs, text_col, None)
     found = None
     for items in blocks_of(benchmark, item_col, item_text_col, block_bytes) if not benchmark.isEmpty() else ():
         tests = spark.sparkContext.broadcast(Suffixes(items, window))
         if found is None:
-            found = out.mapInArrow(partial(_scan, tests), schema)
+            found = out.mapInArrow(partial(_scan, tests, inside), _schema(out))
             continue
-        # A further block: the spans so far travel with the row, and hits are counted over the union.
-        carried = found.select(F.struct("row", "spans").alias("row"), "text")
-        held = T.StructType([T.StructField("row", carried.schema["row"].dataType), *schema.fields[1:]])
-        found = carried.mapInArrow(partial(_scan, tests), held).select("row.row", "text", "n_words", F.concat("row.spans", "spans").alias("spans"))
-        found = found.select("row", "text", "n_words", F.expr(COVERED).alias("n_hit"), "spans")
+        # A further block: what was found so far travels with the row, and hits are counted over the union of spans.
+        carried = found.select(F.struct("row", "spans", "items").alias("row"), F.col("row")[text_col].cast("string").alias("text"))
+        more = carried.mapInArrow(partial(_scan, tests, None), _schema(carried))
+        found = more.select("row.row", "n_words", F.concat("row.spans", "spans").alias("spans"), F.array_sort(F.array_distinct(F.concat("row.items", "items"))).alias("items"))
+        found = found.select("row", "n_words", F.expr(COVERED).alias("n_hit"), "spans", "items")
     if found is None:
-        found = out.mapInArrow(partial(_scan, spark.sparkContext.broadcast(Suffixes([], window))), schema)
-    return found.select("row", "n_words", "n_hit", "spans")
+        found = out.mapInArrow(partial(_scan, spark.sparkContext.broadcast(Suffixes([], window)), inside), _schema(out))
+    return found
+
+
+def _schema(rows: DataFrame) -> T.StructType:
+    return T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.DataType.fromDDL(SPANS)), T.StructField("items", T.DataType.fromDDL(ITEMS))])
 
 
 #: Words covered by any of the spans.
