@@ -59,6 +59,40 @@ def test_few_vectors(spark):
     assert topk.top_k(frame.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """Scores are exact up to a 64-bit number, and count as its end beyond."""
+    big = [(0, [1e16, 3.0]), (1, [1e16, 1.0]), (2, [-1e16, 0.0]), (3, [0.5, 0.5]), (4, [2e5, 1e5]), (5, [1e300, -1e300])]
+    found = topk.top_k(spark.createDataFrame(big, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 4), k=5).collect()
+    end = (1 << 63) - 1
+    whole = {i: [max(-end - 1, min(end, int(1024 * x // 1))) for x in v] for i, v in big}
+    for q in (0, 4):
+        scores = sorted(((max(-end - 1, min(end, sum(a * b for a, b in zip(whole[q], whole[i], strict=True)))), -i) for i in whole if i != q), reverse=True)
+        assert [(r["score"], -r["vec_id"]) for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == scores
+
+
+def test_pruned_pairs_lose_nothing(spark):
+    """Small buckets, lengths that fall fast: most pairs of blocks never meet, and the answers are those of brute force."""
+    import numpy as np
+
+    chance = np.random.default_rng(8)
+    vectors = chance.normal(size=(600, 6)) * np.exp(-np.arange(600) / 90)[:, None]
+    vectors[::50] = vectors[3]
+    was = topk.BUCKET_ROWS, topk.QUERY_ROWS, topk.STEPS
+    topk.BUCKET_ROWS, topk.QUERY_ROWS, topk.STEPS = 16, 4, 7
+    try:
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        found = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(frame, F.col("vec_id") % 9 == 0, k=5).collect())
+    finally:
+        topk.BUCKET_ROWS, topk.QUERY_ROWS, topk.STEPS = was
+    whole = np.floor(1024 * vectors).astype(np.int64)
+    expected = []
+    for q in range(0, 600, 9):
+        scores = whole @ whole[q]
+        order = sorted((i for i in range(600) if i != q), key=lambda i: (-scores[i], i))[:5]
+        expected += [(q, n + 1, i, int(scores[i])) for n, i in enumerate(order)]
+    assert found == expected
+
+
 def test_shards(spark):
     rows = [(i, f"text é {i % 40}") for i in range(3000)] + [(7, None), (7, ""), (None, "x"), (8, "text é 8"), (8, "text é 8")]
     frame = spark.createDataFrame([(i, t, -1) for i, t in rows], "doc_id long, text string, shard int")
