@@ -1,5 +1,6 @@
 import math
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -162,8 +163,36 @@ def test_mix(documents):
     assert sorted(map(tuple, found), key=str) == sorted(map(tuple, mixing.taken(mixing.mix(frame, block=16, per_shard=50)).collect()), key=str)
     slots = plan.slots.collect()
     assert sorted((r["shard"], r["position"]) for r in slots) == [(k // 50, k % 50) for k in range(len(slots))]
-    per_shard = [r["blocks"] for r in mixing.shard_counts(plan).collect()]
-    assert sum(per_shard) == len(slots)
+    drawn = {(r["shard"], r["sid"]): r["blocks"] for r in plan.draw.collect()}
+    assert drawn == Counter((r["shard"], r["sid"]) for r in slots)
+    # A source's slots take its blocks in turn: all of them once before any comes again.
+    for r in held:
+        uses = Counter(x["block"] for x in slots if x["sid"] == r["sid"])
+        assert sum(uses.values()) == r["n_slots"] and (not uses or max(uses.values()) - min([uses[b] for b in range(r["n_blocks"])]) <= 1)
+
+
+def test_packed_blocks(documents):
+    """In order, the pieces of a slot are a block of its source's words."""
+    rows, frame = documents
+    plan = mixing.mix(frame, block=16, per_shard=50)
+    made, sizes = {}, {}
+    for r in mixing.packed(frame, plan).collect():
+        made.setdefault((r["shard"], r["position"]), []).append((r["offset"], r["row"]["text"], r["row"]["source"]))
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(brute.spaced(t))
+    slots = {(r["shard"], r["position"]): (r["sid"], r["block"]) for r in plan.slots.collect()}
+    sources = {r["sid"]: (r["source"], r["n_blocks"]) for r in plan.sources.collect()}
+    assert made.keys() == slots.keys()
+    seen = {}
+    for slot, pieces in made.items():
+        source, n_blocks = sources[slots[slot][0]]
+        at, body = 0, []
+        for offset, text, said in sorted(pieces):
+            assert said == source and offset == at
+            at += len(brute.spaced(text))
+            body += brute.spaced(text)
+        assert at == (16 if slots[slot][1] < n_blocks - 1 else sizes[source] - 16 * (n_blocks - 1))
+        assert seen.setdefault(slots[slot], body) == body
 
 
 def test_mixed_texts(documents):

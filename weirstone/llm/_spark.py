@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +40,47 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "number") -> tuple[DataFrame, int]:
+    """(rows with gapless numbers from 0 in the given order, their count); only the partitions' sizes reach the driver."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    marked = rows.withColumn("_part", F.spark_partition_id()).withColumn("_inside", F.monotonically_increasing_id() % (1 << 33))
+    sizes = {r["_part"]: r["n"] for r in marked.groupBy("_part").agg(F.count("*").alias("n")).collect()}
+    starts, total = [], 0
+    for part in range(max(sizes, default=-1) + 1):
+        starts.append(total)
+        total += sizes.get(part, 0)
+    start = F.element_at(F.lit(starts or [0]).cast("array<long>"), F.col("_part") + 1)
+    return marked.withColumn(name, start + F.col("_inside")).drop("_part", "_inside"), total
+
+
+def before(df: DataFrame, within: Sequence[str], order: str, value: str, name: str, group: int = 1024) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows with smaller ``order`` (whole numbers, one row each): in two levels, so that no task holds a long line."""
+    rows = df.withColumn("_group", F.floor(F.col(order) / group))
+    sums = rows.groupBy(*within, "_group").agg(F.sum(value).alias("_sum"))
+    upto = Window.partitionBy(*within).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    sums = cut(sums.withColumn("_before", F.coalesce(F.sum("_sum").over(upto), F.lit(0))).drop("_sum"))
+    inside = Window.partitionBy(*within, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum(value).over(inside), F.lit(0)))
+    return rows.join(sums, [*within, "_group"]).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_before", "_group")
+
+
+def row_key(df: DataFrame) -> list[Column]:
+    """Two hashes of all columns, for rows to be told apart by what they hold."""
+    cells = [F.map_entries(cell) if isinstance(field.dataType, T.MapType) else cell for field in df.schema for cell in [F.col(f"`{field.name.replace('`', '``')}`")]]
+    return [F.xxhash64(*cells), F.xxhash64(F.lit("again"), *cells)]
+
+
+def one_by(rows: DataFrame, keys: Sequence[str], row: str, order: Column | None = None) -> DataFrame:
+    """One row by ``keys`` (not null): that with the least ``order``. Keys that come once, as most do, are not shuffled with their ``row``."""
+    repeated = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    if repeated.isEmpty():
+        return rows.select(*keys, row)
+    some = rows if order is None else rows.withColumn("_order", order)
+    first = F.first(row) if order is None else F.min_by(row, "_order")
+    one = some.join(repeated, list(keys), "left_semi").groupBy(*keys).agg(first.alias(row))
+    return rows.join(repeated, list(keys), "left_anti").select(*keys, row).union(one.select(*keys, row))
+
+
 def broadcast_below(df: DataFrame, row_bytes: int, limit: int = 32 << 20) -> DataFrame:
     """``df`` with a broadcast hint if counting shows that it stays below ``limit`` bytes; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df

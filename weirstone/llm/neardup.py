@@ -20,9 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weirstone.llm._spark import broadcast_below, cut
+from weirstone.llm._spark import broadcast_below, cut, one_by, row_key
 from weirstone.llm._text import SPACED, Words, hash_binary, lists, mix, per_slice
 from weirstone.llm.components import connected_components
 
@@ -363,12 +362,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nameless, worded = docs.where(F.col(id_col).isNull()), F.coalesce(F.col(text_col).cast("string"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
     # Copies without an id collapse before the shuffle, as they all have one key.
     some = docs.where(F.col(id_col).isNotNull()).unionByName(nameless.where(worded).dropDuplicates([text_col]))
-    held = some.select(F.struct("*").alias("row"), F.col(id_col).isNull().alias("nameless"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
-    kept = held.join(firsts, key, "left_semi")
-    # Rows that share an id and a text are rare, and one of them stays: that with the smallest hash of all columns.
-    repeated = cut(held.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key))
-    if not repeated.isEmpty():
-        whole = F.xxhash64(*(F.map_entries(F.col("row")[x.name]) if isinstance(x.dataType, T.MapType) else F.col("row")[x.name] for x in docs.schema))
-        one = kept.join(repeated, key, "left_semi").withColumn("whole", whole).groupBy(*key).agg(F.min_by("row", "whole").alias("row"))
-        kept = kept.join(repeated, key, "left_anti").select("row").union(one.select("row"))
+    held = some.select(F.struct("*").alias("row"), row_key(some)[0].alias("whole"), F.col(id_col).isNull().alias("nameless"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("hash"))
+    kept = one_by(held.join(firsts, key, "left_semi"), key, "row", F.col("whole"))
     return kept.select("row.*").unionByName(nameless.where(~worded))

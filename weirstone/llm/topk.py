@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirstone.llm._spark import cut
+from weirstone.llm._spark import cut, numbered
 
 #: Vectors in a bucket; queries in a block.
 BUCKET_ROWS, QUERY_ROWS = 4096, 512
@@ -164,27 +164,19 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("vector"), is_query.alias("asks"))
     rows = rows.where("vec_id is not null and vector is not null")
     rows = rows.withColumn("length", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))))
-    rows = cut(rows.repartitionByRange(F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id"))
-    # Numbers from 0, longest first: the partitions are in order, so only their sizes are needed.
-    marked = rows.withColumn("part", F.spark_partition_id()).withColumn("in_part", F.monotonically_increasing_id() % (1 << 33))
-    sizes = [(r.part, r.n) for r in marked.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect()]  # a number for each partition
-    before, starts = 0, []
-    for part, n in sizes:
-        starts.append((part, before))
-        before += n
-    spark = vectors.sparkSession
-    if not starts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    numbered = marked.join(F.broadcast(spark.createDataFrame(starts, "part int, start long")), "part").select((F.col("start") + F.col("in_part")).alias("number"), "vec_id", "vector", "length", "asks")
+    # Numbers from 0, longest first.
+    numbers, total = numbered(rows, F.desc("length"), F.col("vec_id"))
+    if not total:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     packed = f"block long, {PACKED}"
-    by_bucket = numbered.withColumn("bucket", F.floor(F.col("number") / BUCKET_ROWS)).repartition("bucket").sortWithinPartitions("number")
+    by_bucket = numbers.withColumn("bucket", F.floor(F.col("number") / BUCKET_ROWS)).repartition("bucket").sortWithinPartitions("number")
     buckets = cut(by_bucket.select("number", "vec_id", "vector").mapInArrow(partial(_blocks, BUCKET_ROWS), packed))
-    asked = numbered.where("asks").withColumn("q", F.floor(F.col("number") / (BUCKET_ROWS * 8))).repartition("q").sortWithinPartitions("number")
+    asked = numbers.where("asks").withColumn("q", F.floor(F.col("number") / (BUCKET_ROWS * 8))).repartition("q").sortWithinPartitions("number")
     asked = asked.select((F.col("q") * QUERY_ROWS * 64 + F.row_number().over(Window.partitionBy("q").orderBy("number")) - 1).alias("number"), "vec_id", "vector")
     queries = cut(asked.mapInArrow(partial(_blocks, QUERY_ROWS), packed))
     q = queries.select(F.col("block").alias("q_block"), F.struct("rows", "dim", "width", "ids", "keys", "body").alias("q"))
     b = buckets.select(F.col("block").alias("bucket"), F.struct("rows", "dim", "width", "ids", "keys", "body").alias("b"))
-    n_buckets = -(-before // BUCKET_ROWS)
+    n_buckets = -(-total // BUCKET_ROWS)
     answers = "query_key long, query_id long, key long, vec_id long, score long"
     best = lambda by: Window.partitionBy(by).orderBy(F.desc("score"), "vec_id", "key")
 
@@ -199,7 +191,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     # Which buckets a block of queries may need, before any vectors move: lengths fall with the bucket's number, so each bound
     # allows the buckets up to a last one. It is looked up among at most STEPS lengths, whatever the number of buckets.
     step = -(-n_buckets // STEPS)
-    longest = numbered.where(F.col("number") % (BUCKET_ROWS * step) == 0).select("number", "length").orderBy("number").collect()
+    longest = numbers.where(F.col("number") % (BUCKET_ROWS * step) == 0).select("number", "length").orderBy("number").collect()
     norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double")))
     needs = asked.select(F.floor(F.col("number") / QUERY_ROWS).alias("q_block"), F.col("number").alias("query_key"), norm.alias("norm")).join(bounds, "query_key", "left")
     need = F.min(F.when(F.col("bound") > 0, F.col("bound") * (1 - 1e-9) / F.greatest("norm", F.lit(1e-300))).otherwise(float("-inf")))
