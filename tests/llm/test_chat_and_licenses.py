@@ -63,6 +63,23 @@ def test_windows(spark):
     assert several > 20
 
 
+def test_hot_turn_numbers(spark):
+    """A conversation whose turns all have no number, and one that repeats a number: cut into blocks, with nothing lost."""
+    rows = [(c, t, ("user", "assistant")[k % 2], f"t{c}x{k}") for c, t in ((1, None), (2, 7), (None, 3)) for k in range(150)] + [(2, 0, "system", "lead"), (2, 9, "user", "last")]
+    was = chat.BLOCK_ROWS
+    chat.BLOCK_ROWS = 40
+    try:
+        made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget=60, history=20, tokens=words).collect()
+        back = {r["conv_id"]: r for r in chat.read_back(spark.createDataFrame(made)).collect()}
+    finally:
+        chat.BLOCK_ROWS = was
+    for c in (1, 2, None):
+        assert sorted(map(tuple, back[c]["turns"])) == sorted((r, t) for i, _, r, t in rows if i == c)
+        assert sorted(back[c]["targets"]) == sorted(t for i, _, r, t in rows if i == c and r == "assistant")
+    assert [x["text"] for x in back[2]["turns"]][:1] == ["lead"] and back[2]["turns"][-1]["text"] == "last"
+    assert all(r["formatted"].startswith("<|turn|>system<|say|>lead") for r in made if r["conv_id"] == 2)
+
+
 def test_ties_and_no_turns(spark):
     rows = [(1, None, "user", "b"), (1, 1, "user", "b"), (1, 1, "assistant", "a"), (1, 1, "user", "b"), (1, 1, "user", "a")]
     back = chat.read_back(chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
