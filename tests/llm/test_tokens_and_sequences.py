@@ -24,6 +24,15 @@ def counted(texts):
     return cut.per_row(tokens.encode(tokens.load(model_path()), cut.distinct)[1]).tolist()
 
 
+def test_frequencies():
+    cut = tokens.PreTokens(pa.array(["a b a", None, "b b"]))
+    row, code, n = cut.frequencies()
+    names = [x.as_py() for x in cut.distinct]
+    assert sorted((r, names[c], k) for r, c, k in zip(row, code, n, strict=True)) == [(0, b" a", 2), (0, b" b", 1), (2, b" b", 2)]
+    made = tokens.load(model_path())
+    assert tokens.piece_counts(made, cut.distinct).tolist() == tokens.encode(made, cut.distinct)[1].tolist()
+
+
 def test_odd_texts(model):
     assert counted(ODD) == [len(model.encode(t or "")) for t in ODD]
 
@@ -49,25 +58,49 @@ def test_sequences_round_trip(spark, model, tmp_path):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(5, ODD[5]), (None, "no id")]
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, shard string").coalesce(3)
     path = f"{tmp_path}/s"
-    n = binary.write_sequences(docs, model_path(), path, length=16, per_shard=100, key=5)
+    n = binary.write_sequences(docs, model_path(), path, length=16, per_file=50, per_shard=100, key=5)
     expected = []
     for i, t in rows:
         ids = model.encode(t) + [model.eos_id()] if t else []
         expected += [(i, k // 16, ids[k : k + 16]) for k in range(0, len(ids), 16)]
     assert n == len(expected)
-    found = binary.read_sequences(spark, path, length=16, per_shard=100).collect()
+    found = binary.read_sequences(spark, path, length=16, per_file=50, per_shard=100).collect()
     assert sorted(r["slot"] for r in found) == list(range(n))
     crc = lambda ids: zlib.crc32(np.array(ids, np.uint16).tobytes())
     key = lambda x: tuple(map(str, x))
     assert sorted(((r["doc_id"], r["sequence"], r["n_tokens"], r["ids_crc32"]) for r in found), key=key) == sorted(((i, k, len(x), crc(x)) for i, k, x in expected), key=key)
-    # A record is found at slot % per_shard times the stride.
+    assert sorted(((r["doc_id"], r["sequence"], r["ids"]) for r in found), key=key) == sorted(expected, key=key)
+    # A record is found in file slot // per_file, at slot % per_file times the stride, and in its shard at byte_offset.
     by_slot = {r["slot"]: r for r in found}
-    for shard in range(-(-n // 100)):
-        (file,) = (tmp_path / "s" / f"shard={shard}").glob("part-*")
-        raw = file.read_bytes()
-        assert len(raw) == min(100, n - 100 * shard) * binary.stride(16)
-        record = raw[3 * binary.stride(16) :][: binary.stride(16)]
-        assert int.from_bytes(record[12:16], "little") == by_slot[100 * shard + 3]["n_tokens"]
+    for file in range(-(-n // 50)):
+        (part,) = (tmp_path / "s" / f"shard={file // 2}" / f"file={file}").glob("part-*")
+        raw = part.read_bytes()
+        assert len(raw) == min(50, n - 50 * file) * binary.stride(16)
+        record, at = raw[3 * binary.stride(16) :][: binary.stride(16)], by_slot[50 * file + 3]
+        assert int.from_bytes(record[12:16], "little") == at["n_tokens"]
+        assert (at["shard"], at["byte_offset"]) == (file // 2, (50 * (file % 2) + 3) * binary.stride(16))
+    # Reading goes on from any slot, and opens no file without the slots.
+    some = binary.read_sequences(spark, path, length=16, per_file=50, per_shard=100, begin=70, end=120)
+    assert sorted(r["slot"] for r in some.collect()) == list(range(70, min(n, 120)))
+    (tmp_path / "s" / "shard=0" / "file=0").rename(tmp_path / "gone")
+    assert binary.read_sequences(spark, path, length=16, per_file=50, per_shard=100, begin=50).count() == n - 50
+
+
+def test_wide_ids():
+    """Ids beyond two bytes are kept whole."""
+    made = binary.records(np.array([7]), tokens.PreTokens(pa.array(["ab"])), np.array([70_000, 3], np.uint32), np.array([2]), 4, 99_999, 4)
+    record = made.view(binary.record_type(4, 4)).ravel()[0]
+    assert record["ids"].tolist() == [70_000, 3, 99_999, 0] and record["used"] == 3 and made.shape[1] == binary.stride(4, 4)
+
+
+def test_a_session_that_limits_records_of_a_file(spark, model, tmp_path):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        docs = spark.createDataFrame([(i, "word " * 90) for i in range(40)], "doc_id long, text string")
+        found = binary.materialise(docs, model_path(), length=32, path=f"{tmp_path}/s").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert sorted(r["slot"] for r in found) == list(range(len(found))) and len(found) >= 40
 
 
 def test_sequences_of_nothing(spark):

@@ -3,13 +3,15 @@
 Every document's ids (and an end id) are cut into sequences of ``length`` tokens, the last padded. A
 first pass counts the sequences of each input partition; their running sum numbers all sequences
 densely. A keyed Feistel permutation with cycle-walking sends each number to its global slot. Slots
-are range-partitioned into shards of ``per_shard`` records, sorted, and written by Spark's own file
-writer, so a lost executor costs a task, and a store that only Spark reaches will do. A record is
+are range-partitioned into shards of ``per_shard`` records, each a row of files of ``per_file``
+records (shard=0/file=0, shard=0/file=1, ...), sorted, and written by Spark's own file writer, so a
+lost executor costs a task, and a store that only Spark reaches will do. A record is
 
     int64 doc_id (the smallest if null), uint32 sequence in the document, uint32 tokens in use,
-    ``length`` uint16 ids, uint16 zero
+    ``length`` ids (uint16 where the vocabulary fits, else uint32), uint16 zero
 
-little-endian, so record i of a shard starts at byte i * stride, and reading resumes anywhere.
+little-endian, so slot i is in file i // per_file (numbered through all shards), at byte
+(i % per_file) * stride, and reading resumes anywhere.
 """
 
 from __future__ import annotations
@@ -26,16 +28,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirstone.llm._spark import shared_dir
-from weirstone.llm._text import slices
+from weirstone.llm._text import lists, slices
 from weirstone.llm.feistel import permute
 from weirstone.llm.tokens import SLICE_BYTES, PreTokens, encode, load
 
 HEADER = 16
+
+#: Records of a file (34 MB of 256 tokens) and of a shard (2.2 GB). Beyond some 10 TB of records, files should grow too.
+PER_FILE, PER_SHARD = 1 << 16, 1 << 22
 NO_ID = -(1 << 63)
 
 
-def stride(length: int) -> int:
-    return HEADER + 2 * length + 2
+def id_width(model: str) -> int:
+    """Bytes of an id: two if all ids of the vocabulary fit, else four."""
+    return 2 if load(model).get_piece_size() <= 1 << 16 else 4
+
+
+def end_id(model: str) -> int:
+    end = load(model).eos_id()
+    if end < 0:
+        raise ValueError(f"{model} has no end id to close documents with")
+    return end
+
+
+def stride(length: int, width: int = 2) -> int:
+    return HEADER + width * length + 2
+
+
+def record_type(length: int, width: int) -> np.dtype:
+    return np.dtype([("doc_id", "<i8"), ("sequence", "<u4"), ("used", "<u4"), ("ids", f"<u{width}", (length,)), ("zero", "<u2")])
 
 
 def _sequences(model: str, length: int, tokens: PreTokens) -> np.ndarray:
@@ -52,7 +73,7 @@ def _totals(model: str, length: int, batches: Iterator[pa.RecordBatch]) -> Itera
     yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "n": pa.array([total], pa.int64())})
 
 
-def records(doc_ids: np.ndarray, tokens: PreTokens, flat: np.ndarray, lengths: np.ndarray, length: int, end: int) -> np.ndarray:
+def records(doc_ids: np.ndarray, tokens: PreTokens, flat: np.ndarray, lengths: np.ndarray, length: int, end: int, width: int = 2) -> np.ndarray:
     """All records of a slice, as rows of bytes, in input order."""
     begin = np.cumsum(lengths) - lengths
     count = tokens.per_row(lengths)
@@ -66,7 +87,7 @@ def records(doc_ids: np.ndarray, tokens: PreTokens, flat: np.ndarray, lengths: n
     row_before = np.concatenate([before, [per_token.sum()]])[tokens.first[:-1]] if len(before) else np.zeros(len(count), np.int64)
     target = row_at[row] + before - row_before[row] if len(row) else before
     inside = np.arange(per_token.sum()) - np.repeat(before, per_token)
-    body = np.zeros(int(n_seq.sum()) * length, np.uint16)
+    body = np.zeros(int(n_seq.sum()) * length, f"<u{width}")
     source = np.repeat(begin[tokens.code], per_token)
     source += inside
     inside += np.repeat(target, per_token)
@@ -76,21 +97,21 @@ def records(doc_ids: np.ndarray, tokens: PreTokens, flat: np.ndarray, lengths: n
     body[row_at[some] + count[some]] = end
     owner = np.repeat(np.arange(len(count)), n_seq)
     number = np.arange(len(owner)) - np.repeat(np.cumsum(n_seq) - n_seq, n_seq)
-    out = np.zeros(len(owner), np.dtype([("doc_id", "<i8"), ("sequence", "<u4"), ("used", "<u4"), ("ids", "<u2", (length,)), ("zero", "<u2")]))
+    out = np.zeros(len(owner), record_type(length, width))
     out["doc_id"], out["sequence"] = doc_ids[owner], number
     out["used"] = np.minimum(with_end[owner] - number * length, length)
     out["ids"] = body.reshape(-1, length)
-    return out.view(np.uint8).reshape(len(owner), stride(length)) if len(owner) else np.zeros((0, stride(length)), np.uint8)
+    return out.view(np.uint8).reshape(len(owner), out.itemsize) if len(owner) else np.zeros((0, out.itemsize), np.uint8)
 
 
-def _records(model: str, length: int, per_shard: int, key: int, offsets: object, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    made, size = load(model), stride(length)
+def _records(model: str, length: int, width: int, end: int, per_file: int, key: int, offsets: object, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    made, size = load(model), stride(length, width)
     part = TaskContext.get().partitionId()
     at, upto = offsets.value.get(part, (0, 0))
     for batch in slices(batches, "text", SLICE_BYTES):
         doc_ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
         tokens = PreTokens(batch.column("text"))
-        rows = records(doc_ids, tokens, *encode(made, tokens.distinct), length, made.eos_id())
+        rows = records(doc_ids, tokens, *encode(made, tokens.distinct), length, end, width)
         if at + len(rows) > upto:
             raise RuntimeError(f"partition {part} holds other rows than when it was counted")
         slot = permute(np.arange(at, at + len(rows)), n, key)
@@ -100,7 +121,7 @@ def _records(model: str, length: int, per_shard: int, key: int, offsets: object,
             bounds = np.arange(len(some) + 1, dtype=np.int32) * (size - 1)
             body = pa.Array.from_buffers(pa.string(), len(some), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(some))])
             where = slot[k : k + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([pa.array((where // per_shard).astype(np.int32)), pa.array(where), body], names=["shard", "slot", "record"])
+            yield pa.RecordBatch.from_arrays([pa.array((where // per_file).astype(np.int32)), pa.array(where), body], names=["file", "slot", "record"])
     if at != upto:
         raise RuntimeError(f"partition {part} holds other rows than when it was counted")
 
@@ -117,14 +138,17 @@ def _same_partitions(spark: SparkSession):
         spark.conf.set(name, was) if was else spark.conf.unset(name)
 
 
-def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256, per_shard: int = 1 << 14, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Write all sequences of ``docs`` as shards below ``path`` (shard=0, shard=1, ...); the number of sequences.
+def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256, per_file: int = PER_FILE, per_shard: int = PER_SHARD, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> int:
+    """Write all sequences of ``docs`` as shards below ``path``; the number of sequences.
 
     ``docs`` is scanned twice, so it must be a table's rows (or a checkpoint), not the outcome of a
     shuffle; a task that finds other rows than were counted fails. Null and empty texts have no
-    sequence; repeated rows each have their own. Without any sequence nothing is written.
+    sequence; repeated rows each have their own, and rows without an id too. Without any sequence
+    nothing is written. A model without an end id is refused.
     """
-    spark = docs.sparkSession
+    if per_shard % per_file:
+        raise ValueError("a shard holds whole files")
+    spark, width, end = docs.sparkSession, id_width(model), end_id(model)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     with _same_partitions(spark):
         totals = sorted((r.part, r.n) for r in base.mapInArrow(partial(_totals, model, length), "part long, n long").collect())  # a number for each partition
@@ -133,43 +157,50 @@ def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256
             offsets[part] = (n, n + count)
             n += count
         if n:
-            fn = partial(_records, model, length, per_shard, key, spark.sparkContext.broadcast(offsets), n)
-            rows = base.mapInArrow(fn, "shard int, slot long, record string")
-            rows = rows.repartitionById(-(-n // per_shard), "shard").sortWithinPartitions("shard", "slot")
-            rows.select("shard", "record").write.partitionBy("shard").option("lineSep", "\0").option("compression", "none").text(path)
+            fn = partial(_records, model, length, width, end, per_file, key, spark.sparkContext.broadcast(offsets), n)
+            rows = base.mapInArrow(fn, "file int, slot long, record string")
+            rows = rows.repartitionById(-(-n // per_file), "file").sortWithinPartitions("file", "slot")
+            rows = rows.select(F.floor(F.col("file") / (per_shard // per_file)).cast("int").alias("shard"), "file", "record")
+            # One file by number, whatever the session says of the records of a file.
+            rows.write.partitionBy("shard", "file").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 0).text(path)
     return n
 
 
-def _parsed(length: int, per_shard: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parsed(length: int, width: int, per_file: int, per_shard: int, begin: int, end: int | None, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zlib
 
-    kind = np.dtype([("doc_id", "<i8"), ("sequence", "<u4"), ("used", "<u4"), ("ids", "<u2", (length,)), ("zero", "<u2")])
+    kind = record_type(length, width)
     for batch in batches:
-        for shard, content in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
+        for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
             every = np.frombuffer(content.as_buffer(), kind)
-            for k in range(0, len(every), 1 << 13):
-                rows = every[k : k + (1 << 13)]
-                at = np.arange(k, k + len(rows), dtype=np.int64)
+            first = file * per_file
+            low, high = max(0, begin - first), len(every) if end is None else min(len(every), end - first)
+            for k in range(low, high, 1 << 13):
+                rows = every[k : min(k + (1 << 13), high)]
+                slot = np.arange(k, k + len(rows), dtype=np.int64) + first
                 crc = [zlib.crc32(x["ids"][: x["used"]].tobytes()) for x in rows]
+                said = {"ids": lists(rows["ids"][np.arange(length) < rows["used"][:, None]].astype(np.int32), rows["used"])} if with_ids else {}
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard * per_shard + at), pa.array(np.full(len(rows), shard, np.int32)), pa.array(at * kind.itemsize), pa.array(rows["doc_id"], mask=rows["doc_id"] == NO_ID), pa.array(rows["sequence"].astype(np.int64)), pa.array(rows["used"].astype(np.int64)), pa.array(crc, pa.int64())],
-                    names=["slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "ids_crc32"],
+                    [pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * kind.itemsize), pa.array(rows["doc_id"], mask=rows["doc_id"] == NO_ID), pa.array(rows["sequence"].astype(np.int64)), pa.array(rows["used"].astype(np.int64)), pa.array(crc, pa.int64()), *said.values()],
+                    names=["slot", "shard", "byte_offset", "doc_id", "sequence", "n_tokens", "ids_crc32", *said],
                 )
 
 
 READ = "slot long, shard int, byte_offset long, doc_id long, sequence long, n_tokens long, ids_crc32 long"
 
 
-def read_sequences(spark: SparkSession, path: str, *, length: int = 256, per_shard: int = 1 << 14) -> DataFrame:
-    """What the shards below ``path`` hold, one row per record, from the files themselves."""
+def read_sequences(spark: SparkSession, path: str, *, length: int = 256, width: int = 2, per_file: int = PER_FILE, per_shard: int = PER_SHARD, begin: int = 0, end: int | None = None, with_ids: bool = True) -> DataFrame:
+    """The records of slots ``begin`` to before ``end`` below ``path``, one row each, from the files themselves. Files without such slots are not opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select(F.col("shard").cast("int").alias("shard"), "content").mapInArrow(partial(_parsed, length, per_shard), READ)
+    files = files.where(F.col("file") >= begin // per_file)
+    files = files if end is None else files.where(F.col("file") <= (end - 1) // per_file)
+    return files.select(F.col("file").cast("int").alias("file"), "content").mapInArrow(partial(_parsed, length, width, per_file, per_shard, begin, end, with_ids), READ + ", ids array<int>" * with_ids)
 
 
-def materialise(docs: DataFrame, model: str, *, length: int = 256, per_shard: int = 1 << 14, key: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shards (by default into a new folder of the shared one) and read back every record's slot, place and owner."""
+def materialise(docs: DataFrame, model: str, *, length: int = 256, per_file: int = PER_FILE, per_shard: int = PER_SHARD, key: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the shards (by default into a new folder of the shared one) and read back every record's slot, place (byte of the shard), owner and a digest of its ids."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
-    if not write_sequences(docs, model, path, length=length, per_shard=per_shard, key=key, id_col=id_col, text_col=text_col):
+    if not write_sequences(docs, model, path, length=length, per_file=per_file, per_shard=per_shard, key=key, id_col=id_col, text_col=text_col):
         return spark.createDataFrame([], READ)
-    return read_sequences(spark, path, length=length, per_shard=per_shard)
+    return read_sequences(spark, path, length=length, width=id_width(model), per_file=per_file, per_shard=per_shard, with_ids=False)

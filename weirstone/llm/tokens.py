@@ -3,8 +3,9 @@
 A text is cut into pre-tokens at places that no piece of the vocabulary spans: before a run of
 spaces, and before a line feed. BPE merges never cross such a place, so the tokens of a text are
 those of its pre-tokens, one after the other. Each worker dictionary-encodes the pre-tokens of a
-slice of documents, has the model encode each distinct one of the slice once, joins the lengths to
-the documents' pre-token frequencies by code, and sums.
+slice of documents and counts each document's distinct ones; the model encodes each distinct one of
+the slice once, of which only the number of pieces is kept; these are joined to the frequencies by
+code and summed.
 """
 
 from __future__ import annotations
@@ -66,14 +67,23 @@ class PreTokens:
         self.distinct: pa.Array = coded.dictionary
         self.code = coded.indices.to_numpy(zero_copy_only=False)
 
+    def frequencies(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, code, n): how often each row has each of its distinct pre-tokens."""
+        width = max(len(self.distinct), 1)
+        rows = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        pairs = np.sort(rows * np.int64(width) + self.code)
+        begin = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)])
+        pairs, n = pairs[begin], np.diff(np.append(begin, len(pairs)))
+        return pairs // width, pairs % width, n
+
     def per_row(self, values: np.ndarray) -> np.ndarray:
-        """The sum over each row of a value by distinct pre-token."""
+        """The sum over each row of a value by distinct pre-token, occurrence by occurrence."""
         sums = np.concatenate([[0], np.cumsum(values[self.code], dtype=np.int64)])
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
 
-def encode(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all given pre-tokens, end to end, and the number of each one's.
+def _encoded(made, tokens: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some of the given pre-tokens at a time: their ids, end to end, and the number of each one's.
 
     The model gets many at a time, each on a line of its own: a line feed is a piece by itself that
     nothing else gives. A pre-token that begins with a line feed goes in without it.
@@ -88,26 +98,35 @@ def encode(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.append(np.arange(0, n, JOINED), n).astype(np.int32)
     joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), lines), b"\n")
     feed = made.encode("\n")[-1]
-    ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for k, text in enumerate(joined):
         said = np.array(made.encode("\n" + text.as_py().decode("utf-8", "replace"), num_threads=1), np.uint32)[1:]
         # Every line begins with its feed, which stays for those that began with one.
         at = np.flatnonzero(said == feed)
         own = fed[bounds[k] : bounds[k + 1]]
-        counts.append(np.diff(np.append(at, len(said))) - ~own)
         keep = np.ones(len(said), bool)
         keep[at[~own]] = False
-        ids.append(said[keep])
-    return np.concatenate(ids), np.concatenate(counts)
+        yield said[keep], np.diff(np.append(at, len(said))) - ~own
+
+
+def encode(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all given pre-tokens, end to end, and the number of each one's."""
+    parts = [(np.zeros(0, np.uint32), np.zeros(0, np.int64)), *_encoded(made, tokens)]
+    return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+
+def piece_counts(made, tokens: pa.Array) -> np.ndarray:
+    """The number of each given pre-token's ids, which are dropped as they come."""
+    return np.concatenate([np.zeros(0, np.int64), *(counts for _, counts in _encoded(made, tokens))])
 
 
 def _count(model: str, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = load(model)
     for batch in slices(opened(batches, inside), "text", SLICE_BYTES):
         tokens = PreTokens(batch.column("text"))
-        _, lengths = encode(made, tokens.distinct)
+        row, code, n = tokens.frequencies()
+        total = np.bincount(row, weights=n * piece_counts(made, tokens.distinct)[code], minlength=batch.num_rows).astype(np.int64)
         _, offsets = text_buffer(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), pa.array(tokens.per_row(lengths))], names=["row", "n_bytes", "n_tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), pa.array(total)], names=["row", "n_bytes", "n_tokens"])
 
 
 def count_tokens(docs: DataFrame, model: str, text_col: str = "text", carry: Sequence[str] | None = None) -> DataFrame:
@@ -115,7 +134,7 @@ def count_tokens(docs: DataFrame, model: str, text_col: str = "text", carry: Seq
 
     ``model`` is the path of a sentencepiece model, which the executors have at the same place.
     Special strings in texts are plain text; no begin, end or other special token is added. Null
-    counts as empty, and an empty text has no tokens.
+    counts as empty, and an empty text has no tokens. Repeated rows are counted each; an empty table gives no rows.
     """
     load(model)
     out, inside = rows_with_text(docs, text_col, carry)
