@@ -43,14 +43,14 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches' rows, at most ``limit`` bytes of ``text`` at a time, and at least one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches' rows, at most ``limit`` bytes of ``text`` and ``rows`` rows at a time, and at least one row."""
     for batch in batches:
         _, offsets = text_buffer(batch.column(text))
         start, n = 0, batch.num_rows
         while start < n:
             end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            end = min(n, max(end, start + 1), start + (1 << 16))
+            end = min(n, max(end, start + 1), start + rows)
             yield batch.slice(start, end - start)
             start = end
 

@@ -1,7 +1,7 @@
 """A quality classifier learnt from trusted positives and unlabelled text.
 
-Shape features of whole texts go through a logistic model that minimises the non-negative unbiased
-risk of positive-unlabelled learning: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). The prior is
+Features of whole texts (shares of kinds of bytes, shapes of words, hashed byte 3-grams) go through a
+logistic model that minimises the non-negative unbiased risk of positive-unlabelled learning: prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)). The prior is
 estimated from the data: a plain positive-against-unlabelled model ranks held-back rows of both
 kinds, and the smallest ratio of their upper tails bounds the share of positives among the unlabelled.
 """
@@ -19,23 +19,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirstone.llm._spark import rows_with_text
-from weirstone.llm._text import SPACED, Words, opened, slices, text_buffer
+from weirstone.llm._text import ALNUM, LOWER, SPACED, Words, opened, slices, text_buffer
 
 #: Rows of either kind that the model is fitted on, at most about (they are drawn by a hash of doc_id).
 SAMPLE_ROWS = 20_000
 
-#: Bytes of text whose features are made together; several numbers by byte are held meanwhile.
-SLICE_BYTES = 1 << 20
+#: Bytes and rows of text whose features are made together; several numbers by byte, and all features by row, are held meanwhile.
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 4096
 
-#: Classes of bytes whose shares are features.
-CLASSES = [
-    np.isin(np.arange(256), np.frombuffer(x, np.uint8))
-    for x in (bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), bytes(range(128, 256)), b" ", b"\n", b".", b",", b"!?", b"|", b"#$%&*", b"@/\\:;_=+-~^<>", b"(){}[]\"'`", bytes([*range(9), *range(11, 32), 127]))
-]
+#: Kinds of bytes whose shares are features: capitals, small letters, digits, beyond ASCII, space, line feed, stops, brackets and quotes, other marks, controls.
+KINDS = [bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), bytes(range(128, 256)), b" ", b"\n", b".,;:!?", b"(){}[]\"'`", b"#$%&*+-/<=>@\\^_|~", bytes([*range(10), *range(11, 32), 127])]
 TABLE = np.zeros(256, np.uint8)
-for _k, _x in enumerate(CLASSES):
-    TABLE[_x] = _k + 1
-N_FEATURES = len(CLASSES) + 6
+for _k, _x in enumerate(KINDS):
+    TABLE[np.frombuffer(_x, np.uint8)] = _k
+#: Shares of kinds and shapes of words; buckets of hashed 3-grams, a power of two.
+N_SHAPES, GRAM_BITS = len(KINDS) + 6, 7
+N_FEATURES = N_SHAPES + (1 << GRAM_BITS)
+
+#: How much a bucket of 3-grams counts beside another feature: there are many, and small samples fit chance in them.
+GRAM_SHARE = 0.3
+
+
+def grams(data: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The share of each bucket among a text's byte 3-grams, in small letters."""
+    low = LOWER[data].astype(np.uint32)
+    whole = (low[:-2] << np.uint32(16)) | (low[1:-1] << np.uint32(8)) | low[2:]
+    bucket = (whole * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
+    inside = rows[2:] == rows[:-2]
+    count = np.bincount((rows[2:][inside] << GRAM_BITS) + bucket[inside], minlength=n << GRAM_BITS).reshape(n, 1 << GRAM_BITS)
+    return count / np.maximum(count.sum(1, keepdims=True), 1)
 
 
 def features(column: pa.Array) -> np.ndarray:
@@ -43,7 +55,7 @@ def features(column: pa.Array) -> np.ndarray:
     data, offsets = text_buffer(column)
     n = len(offsets) - 1
     rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(offsets))
-    counts = np.bincount(rows * 16 + TABLE[data], minlength=16 * n).reshape(n, 16)[:, 1 : len(CLASSES) + 1].astype(float)
+    counts = np.bincount(rows * 16 + TABLE[data], minlength=16 * n).reshape(n, 16)[:, : len(KINDS)].astype(float)
     size = np.maximum(np.diff(offsets), 1).astype(float)
     words = Words(column, SPACED)
     count, row = words.per_row, words.row
@@ -54,13 +66,17 @@ def features(column: pa.Array) -> np.ndarray:
         repeated = np.bincount(row[1:][again], minlength=n) / least
     pairs = np.unique(row * np.int64(len(words.distinct) + 1) + words.code)
     distinct = np.bincount(pairs // (len(words.distinct) + 1), minlength=n) / least
-    # Words that end with a mark or are one.
-    ends = np.array([x[-1:] in (b"#", b"$", b"%", b"&", b"*", b"!", b"|", b"@", b"~", b"^") for x in words.distinct.to_pylist()], bool) if len(words.distinct) else np.zeros(0, bool)
+    # Words whose last byte is neither a letter, a digit nor a stop.
+    ends = np.zeros(0, bool)
+    if len(words.distinct):
+        body, bounds = text_buffer(words.distinct)
+        last = body[bounds[1:] - 1]
+        ends = ~ALNUM[last] & (TABLE[last] != 6)
     marked = np.bincount(row, weights=ends[words.code], minlength=n) / least if len(row) else np.zeros(n)
     shares = counts / size[:, None]
     case = counts[:, 0] / np.maximum(counts[:, 0] + counts[:, 1], 1)
     extra = [np.log1p(count) / 10, np.diff(offsets) / least / 20, repeated, distinct, marked, case]
-    return np.column_stack([shares, *extra]).reshape(n, N_FEATURES)
+    return np.column_stack([shares, *extra, grams(data, rows, n)]).reshape(n, N_FEATURES).astype(np.float32)
 
 
 @dataclass(frozen=True)
@@ -72,24 +88,24 @@ class Model:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((expand(x) - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(z.astype(float), -30, 30)))
 
 
 def expand(x: np.ndarray) -> np.ndarray:
-    """Shares near zero matter most, so their roots go in as well."""
-    return np.column_stack([x, np.sqrt(np.maximum(x, 0))])
+    """Shares near zero matter most, so their roots go in, and the shapes as they are as well."""
+    return np.column_stack([x[:, :N_SHAPES], np.sqrt(np.maximum(x, 0))])
 
 
-def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 800, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+def _fit(p: np.ndarray, u: np.ndarray, prior: float | None, steps: int = 500, rate: float = 0.05, decay: float = 3e-3) -> np.ndarray:
     """Full-batch Adam. Without a prior: positives against unlabelled, plain."""
-    p, u = (np.column_stack([x, np.ones(len(x))]) for x in (p, u))
-    w, m, v = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+    p, u = (np.column_stack([x, np.ones(len(x), x.dtype)]) for x in (p, u))
+    w, m, v = (np.zeros(p.shape[1], p.dtype) for _ in range(3))
+    every = p.sum(0)
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         zp, zu = p @ w, u @ w
-        sp, su = sigmoid(zp), sigmoid(zu)
-        plus = p.T @ (sp - 1) / len(p)  # of log(1 + exp(-z)) over positives
-        minus_p, minus_u = p.T @ sp / len(p), u.T @ su / len(u)  # of log(1 + exp(z))
+        minus_p, minus_u = p.T @ sigmoid(zp) / len(p), u.T @ sigmoid(zu) / len(u)  # of log(1 + exp(z))
+        plus = minus_p - every / len(p)  # of log(1 + exp(-z)) over positives
         if prior is None:
             grad = plus + minus_u
         else:
@@ -118,9 +134,11 @@ def estimate_prior(p: np.ndarray, u: np.ndarray) -> float:
 def fit(p: np.ndarray, u: np.ndarray) -> Model:
     """The model from features of positives and of unlabelled rows. Without either nothing can be told apart, and every score is 1."""
     if not len(p) or not len(u):
-        return Model(np.zeros(2 * N_FEATURES), np.ones(2 * N_FEATURES), np.append(np.zeros(2 * N_FEATURES), 30.0), 0.5)
+        size = N_SHAPES + N_FEATURES
+        return Model(np.zeros(size), np.ones(size), np.append(np.zeros(size), 30.0), 0.5)
     p, u = expand(p), expand(u)
-    mean, scale = u.mean(0), u.std(0) + 1e-3
+    mean, scale = u.mean(0, dtype=float).astype(u.dtype), u.std(0, dtype=float).astype(u.dtype) + np.float32(1e-2)
+    scale[-(1 << GRAM_BITS) :] /= GRAM_SHARE
     p, u = (np.clip((x - mean) / scale, -8, 8) for x in (p, u))
     prior = estimate_prior(p, u)
     return Model(mean, scale, _fit(p, u, prior), prior)
@@ -132,41 +150,43 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", SLICE_BYTES):
+    for batch in slices(batches, "text", SLICE_BYTES, SLICE_ROWS):
         x = features(batch.column("text"))
-        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float64()))], names=["positive", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), N_FEATURES).cast(pa.list_(pa.float32()))], names=["positive", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on about ``sample_rows`` positives and as many unlabelled rows, outside the held-out fold.
 
-    Both are drawn by a hash of the id, so the draw is the same on every run. A document with labels
-    of both kinds is not a trusted positive. Null ids and texts are not drawn.
+    Both are drawn by a hash of the id, so the draw is the same on every run; the two draws are
+    apart, and a trusted positive that is drawn is not among the unlabelled. A document with labels
+    of both kinds is not a trusted positive. Null ids and texts are not drawn; repeated rows are
+    drawn together. Without rows of either kind every score is 1.
     """
     good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").where(~held_out(F.col("id")))
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    good = good.where(drawn < sample_rows / max(good.count(), 1)).select("id", F.lit(True).alias("known"))
+    drawn = lambda what: F.pmod(F.xxhash64(F.col("id"), F.lit(what)), F.lit(1 << 30)) / float(1 << 30)
+    good = good.where(drawn("positive") < sample_rows / max(good.count(), 1)).select("id", F.lit(True).alias("positive"))
     part = sample_rows / max(docs.count(), 1)
     # The positives drawn are about sample_rows in number, whatever the table holds: safe to broadcast.
-    both = base.join(F.broadcast(good), "id", "left").withColumn("unlabelled", (drawn < part) & ~held_out(F.col("id"))).where("known or unlabelled")
-    both = both.select(F.explode(F.expr("filter(array(if(known, true, null), if(unlabelled, false, null)), x -> x is not null)")).alias("positive"), "text")
-    rows = both.mapInArrow(_features, "positive boolean, x array<double>").toPandas()
-    x = np.array(rows["x"].tolist(), float).reshape(len(rows), N_FEATURES)
+    both = base.join(F.broadcast(good), "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
+    both = both.where(F.col("positive") | ((drawn("unlabelled") < part) & ~held_out(F.col("id")))).select("positive", "text")
+    rows = both.mapInArrow(_features, "positive boolean, x array<float>").toArrow()
+    x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), N_FEATURES)
+    positive = rows["positive"].to_numpy()
     order = np.lexsort(x.T)
-    x, positive = x[order], rows["positive"].to_numpy(bool)[order]
-    mixed = np.random.default_rng(3).permutation(len(x))
-    x, positive = x[mixed], positive[mixed]
+    order = order[np.random.default_rng(3).permutation(len(x))]
+    x, positive = x[order], positive[order].astype(bool)
     return fit(x[positive], x[~positive])
 
 
 def _scored(model: Model, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(opened(batches, inside), "text", SLICE_BYTES):
+    for batch in slices(opened(batches, inside), "text", SLICE_BYTES, SLICE_ROWS):
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(model.score(features(batch.column("text"))))], names=["row", "score"])
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, carry: Sequence[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: ``row`` (a struct of its columns, or of those to ``carry``), score, predicted. A null text counts as empty."""
+    """Per row of ``docs``: ``row`` (a struct of its columns, or of those to ``carry``), score, predicted. A null text counts as empty; repeated rows score alike; an empty table gives no rows."""
     out, inside = rows_with_text(docs, text_col, carry)
     scored = out.mapInArrow(partial(_scored, model, inside), T.StructType([out.schema["row"], T.StructField("score", T.DoubleType())]))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
