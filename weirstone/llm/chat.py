@@ -147,9 +147,9 @@ def windows(turns: DataFrame, *, budget: int = 2048, history: int = 512, conv_co
     loss = """aggregate(x.own, struct(aggregate(x.repeated, 0, (n, p) -> n + char_length(p.chunk)) as upto, cast(array() as array<struct<start:int,length:int>>) as spans), (acc, p) -> struct(
         acc.upto + char_length(p.chunk) as upto, if(p.targeted, concat(acc.spans, array(struct(acc.upto + p.lead as start, p.length as length))), acc.spans) as spans), acc -> acc.spans)"""
     tokens_of = "aggregate(concat(x.repeated, x.own), 0L, (n, p) -> n + p.tokens)"
-    out = held.withColumn("alone", (F.col("n_blocks") == 1) & (F.size("w") == 1))
-    out = out.select("conv_id", "alone", F.explode(F.expr(f"transform(made, x -> struct(x.window as window, {formatted} as formatted, size(x.repeated) as n_repeated, size(x.own) as n_own, {tokens_of} as tokens, {loss} as loss_spans))")).alias("x"))
-    return out.select("conv_id", "x.*", "alone")
+    # "alone" comes out of the generator like the rest: a filter on it then can't be pushed below, where it would repeat the expressions above.
+    every = f"transform(made, x -> struct(x.window as window, {formatted} as formatted, size(x.repeated) as n_repeated, size(x.own) as n_own, {tokens_of} as tokens, {loss} as loss_spans, n_blocks = 1 and size(made) = 1 as alone))"
+    return held.select("conv_id", F.explode(F.expr(every)).alias("x")).select("conv_id", "x.*")
 
 
 def read_back(made: DataFrame) -> DataFrame:
