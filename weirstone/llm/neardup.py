@@ -193,10 +193,13 @@ def _links(threshold: int, group: pa.Table) -> pa.Table:
 
 
 #: Texts and shingles, on average, in a block of texts that meets another one; pairs that are counted at once.
-BLOCK_TEXTS, BLOCK_SHINGLES, PAIRS_AT_ONCE = 1500, 300_000, 1 << 22
+BLOCK_TEXTS, BLOCK_SHINGLES, PAIRS_AT_ONCE = 768, 200_000, 1 << 22
 
-#: Bits of a shingle that choose its place in the table of counts, which is 8 MB whatever the input.
-COUNT_BITS = 20
+#: A smaller cluster is dealt as well: into at most so many blocks, which its texts are copied to, of so many texts.
+FEW_BLOCKS, SMALL_TEXTS = 8, 64
+
+#: Bits of a shingle that choose its place in the table of counts, which is 2 MB whatever the input.
+COUNT_BITS = 18
 
 
 def _lead(threshold: int, counts: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +249,7 @@ def _meetings(members: DataFrame, threshold: int) -> DataFrame:
     kind = F.floor(F.ln(F.col("n").cast("double")) / (math.log(100 / threshold) * (1 + 1e-6))).cast("int") if threshold < 100 else F.col("n").cast("int")
     members = cut(members.withColumn("kind", kind))
     load = members.groupBy("cluster", "kind").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    load = load.select("cluster", "kind", "lo", "hi", F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    load = load.select("cluster", "kind", "lo", "hi", F.ceil(F.greatest(F.col("texts") / BLOCK_TEXTS, F.col("shingles") / BLOCK_SHINGLES, F.least(F.col("texts") / SMALL_TEXTS, F.lit(FEW_BLOCKS)))).cast("int").alias("blocks"))
     above = load.select("cluster", (F.col("kind") - 1).alias("kind"), F.col("blocks").alias("above"), F.col("lo").alias("lo_above"), F.col("hi").alias("hi_above"))
     below = load.select("cluster", (F.col("kind") + 1).alias("kind"), F.col("blocks").alias("below"), F.col("lo").alias("lo_below"), F.col("hi").alias("hi_below"))
     # Classes that are of one component together need not meet.
