@@ -21,7 +21,7 @@ def model():
 
 def counted(texts):
     cut = tokens.PreTokens(pa.array(texts, pa.string()))
-    return cut.per_row(tokens.encode(tokens.load(model_path()), cut.distinct)[1]).tolist()
+    return cut.per_row(tokens.encode(model_path(), cut.distinct)[1]).tolist()
 
 
 def test_frequencies():
@@ -29,8 +29,22 @@ def test_frequencies():
     row, code, n = cut.frequencies()
     names = [x.as_py() for x in cut.distinct]
     assert sorted((r, names[c], k) for r, c, k in zip(row, code, n, strict=True)) == [(0, b" a", 2), (0, b" b", 1), (2, b" b", 2)]
-    made = tokens.load(model_path())
-    assert tokens.piece_counts(made, cut.distinct).tolist() == tokens.encode(made, cut.distinct)[1].tolist()
+
+
+def test_ids(model):
+    """Of pre-tokens that are met for the first time, and again, and some of each; also when no more can be kept."""
+    was = tokens.KEPT
+    tokens.KEPT = 6
+    tokens._kept.cache_clear()
+    try:
+        for text in ("one two\n three", "two one  four\nfive ", "one six seven two", "eight\n\n  nine one"):
+            cut = tokens.PreTokens(pa.array([text]))
+            ids, count = tokens.encode(model_path(), cut.distinct)
+            ends = np.cumsum(count)
+            assert [i for c in cut.code for i in ids[ends[c] - count[c] : ends[c]]] == model.encode(text)
+    finally:
+        tokens.KEPT = was
+        tokens._kept.cache_clear()
 
 
 def test_odd_texts(model):

@@ -30,12 +30,15 @@ from pyspark.sql import functions as F
 from weirstone.llm._spark import shared_dir
 from weirstone.llm._text import lists, slices
 from weirstone.llm.feistel import permute
-from weirstone.llm.tokens import SLICE_BYTES, PreTokens, encode, load
+from weirstone.llm.tokens import SLICE_BYTES, PreTokens, encode, load, piece_counts
 
 HEADER = 16
 
-#: Records of a file (34 MB of 256 tokens) and of a shard (2.2 GB). Beyond some 10 TB of records, files should grow too.
-PER_FILE, PER_SHARD = 1 << 16, 1 << 22
+#: Bytes of text whose records are made together: several numbers by token are held meanwhile.
+RECORD_BYTES = 5 << 20
+
+#: Records of a file (17 MB of 256 tokens) and of a shard (2.2 GB). Beyond some 10 TB of records, files should grow too.
+PER_FILE, PER_SHARD = 1 << 15, 1 << 22
 NO_ID = -(1 << 63)
 
 
@@ -61,8 +64,7 @@ def record_type(length: int, width: int) -> np.dtype:
 
 def _sequences(model: str, length: int, tokens: PreTokens) -> np.ndarray:
     """The number of sequences of each row; a row without text has none."""
-    _, lengths = encode(load(model), tokens.distinct)
-    count = tokens.per_row(lengths)
+    count = tokens.per_row(piece_counts(model, tokens.distinct))
     return np.where(count > 0, (count + length) // length, 0)  # ceil((count + 1) / length), with the end id
 
 
@@ -105,13 +107,13 @@ def records(doc_ids: np.ndarray, tokens: PreTokens, flat: np.ndarray, lengths: n
 
 
 def _records(model: str, length: int, width: int, end: int, per_file: int, key: int, offsets: object, n: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    made, size = load(model), stride(length, width)
+    size = stride(length, width)
     part = TaskContext.get().partitionId()
     at, upto = offsets.value.get(part, (0, 0))
-    for batch in slices(batches, "text", SLICE_BYTES):
+    for batch in slices(batches, "text", RECORD_BYTES):
         doc_ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
         tokens = PreTokens(batch.column("text"))
-        rows = records(doc_ids, tokens, *encode(made, tokens.distinct), length, end, width)
+        rows = records(doc_ids, tokens, *encode(model, tokens.distinct), length, end, width)
         if at + len(rows) > upto:
             raise RuntimeError(f"partition {part} holds other rows than when it was counted")
         slot = permute(np.arange(at, at + len(rows)), n, key)
@@ -159,8 +161,9 @@ def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256
         if n:
             fn = partial(_records, model, length, width, end, per_file, key, spark.sparkContext.broadcast(offsets), n)
             rows = base.mapInArrow(fn, "file int, slot long, record string")
-            rows = rows.repartitionById(-(-n // per_file), "file").sortWithinPartitions("file", "slot")
-            rows = rows.select(F.floor(F.col("file") / (per_shard // per_file)).cast("int").alias("shard"), "file", "record")
+            rows = rows.withColumn("shard", F.floor(F.col("file") / (per_shard // per_file)).cast("int"))
+            # In the order of the folders first, as the writer would sort once more otherwise.
+            rows = rows.repartitionById(-(-n // per_file), "file").sortWithinPartitions("shard", "file", "slot").select("shard", "file", "record")
             # One file by number, whatever the session says of the records of a file.
             rows.write.partitionBy("shard", "file").option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", 0).text(path)
     return n
@@ -178,7 +181,9 @@ def _parsed(length: int, width: int, per_file: int, per_shard: int, begin: int,
             for k in range(low, high, 1 << 13):
                 rows = every[k : min(k + (1 << 13), high)]
                 slot = np.arange(k, k + len(rows), dtype=np.int64) + first
-                crc = [zlib.crc32(x["ids"][: x["used"]].tobytes()) for x in rows]
+                held = memoryview(np.ascontiguousarray(rows["ids"]).tobytes())
+                begins, ends = np.arange(len(rows)) * length * width, rows["used"].astype(np.int64) * width
+                crc = [zlib.crc32(held[i:j]) for i, j in zip(begins.tolist(), (begins + ends).tolist(), strict=True)]
                 said = {"ids": lists(rows["ids"][np.arange(length) < rows["used"][:, None]].astype(np.int32), rows["used"])} if with_ids else {}
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(slot), pa.array((slot // per_shard).astype(np.int32)), pa.array(slot % per_shard * kind.itemsize), pa.array(rows["doc_id"], mask=rows["doc_id"] == NO_ID), pa.array(rows["sequence"].astype(np.int64)), pa.array(rows["used"].astype(np.int64)), pa.array(crc, pa.int64()), *said.values()],

@@ -3,15 +3,16 @@
 A text is cut into pre-tokens at places that no piece of the vocabulary spans: before a run of
 spaces, and before a line feed. BPE merges never cross such a place, so the tokens of a text are
 those of its pre-tokens, one after the other. Each worker dictionary-encodes the pre-tokens of a
-slice of documents and counts each document's distinct ones; the model encodes each distinct one of
-the slice once, of which only the number of pieces is kept; these are joined to the frequencies by
-code and summed.
+slice of documents and counts each document's distinct ones; the model encodes each distinct one that
+the worker hasn't met yet; the numbers of pieces are joined to the frequencies by code and summed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import lru_cache, partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from weirstone.llm._text import opened, slices, text_buffer
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 
-#: Bytes of text whose pre-tokens are made distinct together, and distinct ones that the model gets in one string.
-SLICE_BYTES, JOINED = 8 << 20, 2000
+#: Bytes of text whose pre-tokens are made distinct together, and distinct ones that the model gets at once.
+SLICE_BYTES, AT_ONCE = 8 << 20, 4096
 
 
 @lru_cache(maxsize=4)
@@ -82,49 +83,83 @@ class PreTokens:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
 
-def _encoded(made, tokens: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Some of the given pre-tokens at a time: their ids, end to end, and the number of each one's.
+def _encoded(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all given pre-tokens, end to end, and the number of each one's, as the model says them now.
 
-    The model gets many at a time, each on a line of its own: a line feed is a piece by itself that
-    nothing else gives. A pre-token that begins with a line feed goes in without it.
+    The model puts a mark of its own before a text, so a pre-token goes in without its first space.
+    One that begins with a line feed gets that mark in vain.
     """
     data, offsets = text_buffer(tokens)
-    n = len(tokens)
-    fed = data[offsets[:-1]] == 0x0A if n else np.zeros(0, bool)
+    fed = data[offsets[:-1]] == 0x0A if len(tokens) else np.zeros(0, bool)
     keep = np.ones(len(data), bool)
-    keep[offsets[:-1][fed]] = False
-    ends = (offsets - np.concatenate([[0], np.cumsum(fed)])).astype(np.int32)
-    lines = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
-    bounds = np.append(np.arange(0, n, JOINED), n).astype(np.int32)
-    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), lines), b"\n")
-    feed = made.encode("\n")[-1]
-    for k, text in enumerate(joined):
-        said = np.array(made.encode("\n" + text.as_py().decode("utf-8", "replace"), num_threads=1), np.uint32)[1:]
-        # Every line begins with its feed, which stays for those that began with one.
-        at = np.flatnonzero(said == feed)
-        own = fed[bounds[k] : bounds[k + 1]]
-        keep = np.ones(len(said), bool)
-        keep[at[~own]] = False
-        yield said[keep], np.diff(np.append(at, len(said))) - ~own
+    keep[offsets[:-1][~fed]] = False
+    ends = (offsets - np.concatenate([[0], np.cumsum(~fed)])).astype(np.int32)
+    bare = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
+    alone = [made.piece_to_id(MARK)]
+    ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    for k in range(0, len(tokens), AT_ONCE):
+        texts = bare.slice(k, AT_ONCE).to_pylist()
+        # A single space is the mark itself, while the model says nothing to an empty text.
+        said = [x or alone for x in made.encode([x.decode("utf-8", "replace") for x in texts], num_threads=1)]
+        counts.append(np.fromiter(map(len, said), np.int64, len(said)))
+        ids.append(np.fromiter(chain.from_iterable(said), np.uint32, int(counts[-1].sum())))
+    count, said = np.concatenate(counts), np.concatenate(ids)
+    return np.delete(said, (np.cumsum(count) - count)[fed]), count - fed
 
 
-def encode(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all given pre-tokens, end to end, and the number of each one's."""
-    parts = [(np.zeros(0, np.uint32), np.zeros(0, np.int64)), *_encoded(made, tokens)]
-    return np.concatenate([ids for ids, _ in parts]), np.concatenate([counts for _, counts in parts])
+#: Pre-tokens whose ids a worker keeps for its next slices and tasks, at most.
+KEPT = 1 << 18
 
 
-def piece_counts(made, tokens: pa.Array) -> np.ndarray:
-    """The number of each given pre-token's ids, which are dropped as they come."""
-    return np.concatenate([np.zeros(0, np.int64), *(counts for _, counts in _encoded(made, tokens))])
+@dataclass
+class _Known:
+    """The pre-tokens that a worker has met, their ids end to end, and where each one's begin."""
+
+    tokens: pa.Array
+    ids: np.ndarray
+    bounds: np.ndarray
+
+
+@lru_cache(maxsize=4)
+def _kept(model: str) -> _Known:
+    return _Known(pa.array([], pa.binary()), np.zeros(0, np.uint32), np.zeros(1, np.int64))
+
+
+def _met(model: str, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, where each given distinct pre-token's begin there, their number); those met before are looked up."""
+    made, known = load(model), _kept(model)
+    at = pc.fill_null(pc.index_in(tokens, known.tokens), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    old, new = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+    fresh, length = _encoded(made, tokens.take(pa.array(new)))
+    begin, count = np.empty(len(tokens), np.int64), np.empty(len(tokens), np.int64)
+    begin[old], count[old] = known.bounds[at[old]], known.bounds[at[old] + 1] - known.bounds[at[old]]
+    begin[new], count[new] = len(known.ids) + np.cumsum(length) - length, length
+    pool = np.concatenate([known.ids, fresh])
+    room = min(KEPT - len(known.tokens), len(new))
+    if room > 0:
+        bounds = np.cumsum(length[:room])
+        known.tokens = pa.concat_arrays([known.tokens, tokens.take(pa.array(new[:room]))])
+        known.bounds = np.append(known.bounds, known.bounds[-1] + bounds)
+        known.ids = np.concatenate([known.ids, fresh[: bounds[-1]]])
+    return pool, begin, count
+
+
+def encode(model: str, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all given (distinct) pre-tokens, end to end, and the number of each one's."""
+    pool, begin, count = _met(model, tokens)
+    return pool[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
+
+
+def piece_counts(model: str, tokens: pa.Array) -> np.ndarray:
+    """The number of each given (distinct) pre-token's pieces."""
+    return _met(model, tokens)[2]
 
 
 def _count(model: str, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    made = load(model)
     for batch in slices(opened(batches, inside), "text", SLICE_BYTES):
         tokens = PreTokens(batch.column("text"))
         row, code, n = tokens.frequencies()
-        total = np.bincount(row, weights=n * piece_counts(made, tokens.distinct)[code], minlength=batch.num_rows).astype(np.int64)
+        total = np.bincount(row, weights=n * piece_counts(model, tokens.distinct)[code], minlength=batch.num_rows).astype(np.int64)
         _, offsets = text_buffer(batch.column("text"))
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(np.diff(offsets)), pa.array(total)], names=["row", "n_bytes", "n_tokens"])
 
