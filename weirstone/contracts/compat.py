@@ -2,39 +2,51 @@
 
 from __future__ import annotations
 
-from itertools import pairwise
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from weirstone.contracts.model import DEFINITIONS, Contract, load_definitions
+from weirstone.contracts.model import DEFINITIONS, Contract, Field, load_definitions
+
+#: What breaks the readers of a field, given its old and its new form: (text, whether it holds). Dropping a list of allowed values as a whole loses all of them.
+BREAKS: list[tuple[Callable[[Field, Field], str], Callable[[Field, Field], object]]] = [
+    (lambda was, now: f"type of {was.name} changed from {was.type} to {now.type}", lambda was, now: was.type != now.type),
+    (lambda was, now: f"{was.name} became required", lambda was, now: was.nullable and not now.nullable),
+    (lambda was, now: f"{was.name} lost allowed values {lost_values(was, now)}", lambda was, now: lost_values(was, now)),
+]
+
+
+def lost_values(was: Field, now: Field) -> list[str]:
+    return sorted(set(was.allowed_values or ()).difference(now.allowed_values or ()))
+
+
+def _breaks(old: Contract, new: Contract) -> Iterator[str]:
+    for what in ("primary_key", "event_time_field"):
+        before, after = getattr(old, what), getattr(new, what)
+        if before != after:
+            yield f"{what} changed from {before} to {after}"
+    was, now = ({f.name: f for f in c.fields} for c in (old, new))
+    for name in was:
+        if name in now:
+            yield from (text(was[name], now[name]) for text, holds in BREAKS if holds(was[name], now[name]))
+        else:
+            yield f"field removed: {name}"
+    yield from (f"new field must be nullable: {name}" for name, field in now.items() if name not in was and not field.nullable)
 
 
 def check_compatibility(old: Contract, new: Contract) -> list[str]:
     """What breaks, in the order of keys, old fields, new fields. Empty if nothing does."""
-    breaks = []
-    for what in ("primary_key", "event_time_field"):
-        if getattr(old, what) != getattr(new, what):
-            breaks.append(f"{what} changed from {getattr(old, what)} to {getattr(new, what)}")
-    now = {f.name: f for f in new.fields}
-    for was in old.fields:
-        field = now.pop(was.name, None)
-        if field is None:
-            breaks.append(f"field removed: {was.name}")
-            continue
-        if field.type != was.type:
-            breaks.append(f"type of {was.name} changed from {was.type} to {field.type}")
-        if was.nullable and not field.nullable:
-            breaks.append(f"{was.name} became required")
-        # Dropping the list as a whole loses all its values for those who switch on them.
-        if was.allowed_values and (lost := sorted(set(was.allowed_values) - set(field.allowed_values or []))):
-            breaks.append(f"{was.name} lost allowed values {lost}")
-    breaks += [f"new field must be nullable: {f.name}" for f in now.values() if not f.nullable]
-    return breaks
+    return list(_breaks(old, new))
 
 
 def check_all(folder: str | Path = DEFINITIONS) -> dict[str, list[str]]:
     """Breaks between adjacent versions, as 'name vA -> vB'; only steps that break."""
-    steps = [(a, b) for a, b in pairwise(load_definitions(folder)) if a.contract == b.contract]
-    return {f"{a.contract} v{a.version} -> v{b.version}": found for a, b in steps if (found := check_compatibility(a, b))}
+    known = {(c.contract, c.version): c for c in load_definitions(folder)}
+    out, last = {}, {}
+    for (name, version), contract in sorted(known.items()):
+        if name in last and (found := check_compatibility(last[name], contract)):
+            out[f"{name} v{last[name].version} -> v{version}"] = found
+        last[name] = contract
+    return out
 
 
 def main() -> int:

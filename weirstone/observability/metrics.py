@@ -81,4 +81,4 @@ def run_kpis(run: DataFrame) -> DataFrame:
 
 
 def export_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.coalesce(1).write.mode("overwrite").parquet(path)
+    metrics.write.mode("overwrite").parquet(path)

@@ -17,11 +17,11 @@ def parse_payloads(events: DataFrame, contract: Contract, raw_col: str = "raw_va
     return events.withColumn("after", image("after")).withColumn("before", image("before"))
 
 
-def rules(contract: Contract, image: str = "after") -> list[Column]:
-    """One column by rule, in field order: the violation's name, or null. Nulls pass value lists."""
+def rules(contract: Contract, image: Column) -> list[Column]:
+    """One column by rule on the image, in field order: the violation's name, or null. Nulls pass value lists."""
     out = []
     for field in contract.fields:
-        value = F.col(image)[field.name]
+        value = image[field.name]
         if not field.nullable:
             out.append(F.when(value.isNull(), F.lit(f"null_violation:{field.name}")))
         if field.allowed_values:
@@ -33,20 +33,32 @@ def rules(contract: Contract, image: str = "after") -> list[Column]:
 NO_IMAGE = "payload_violation:after_missing_or_unparseable"
 
 
-def violations(contract: Contract) -> Column:
-    """All violations of an event. Creates, updates and reads need an after image; deletes pass."""
-    found = rules(contract)
+def violations(contract: Contract, image: Column) -> Column:
+    """All violations of an event with this after image. Creates, updates and reads need one; deletes pass."""
+    found = rules(contract, image)
     none = F.array().cast(NO_VIOLATION)
     every = F.array_compact(F.array(*found)) if found else none
     imaged = F.col("op").isin("c", "u", "r")
-    return F.when(imaged & F.col("after").isNull(), F.array(F.lit(NO_IMAGE))).when(imaged, every).otherwise(none)
+    return F.when(imaged & image.isNull(), F.array(F.lit(NO_IMAGE))).when(imaged, every).otherwise(none)
 
 
 def enforce_contract(events: DataFrame, contract: Contract) -> tuple[DataFrame, DataFrame, int]:
     """(valid, quarantined, number of rules); quarantined rows name all their violations in field order."""
-    checked = parse_payloads(events, contract).withColumn("violations", violations(contract))
+    checked = check_payloads(events, contract)
     valid = checked.where(F.size("violations") == 0).drop("violations")
-    return valid, checked.where(F.size("violations") > 0), len(rules(contract))
+    return valid, checked.where(F.size("violations") > 0), len(rules(contract, F.col("after")))
+
+
+def check_payloads(events: DataFrame, contract: Contract, raw_col: str = "raw_value") -> DataFrame:
+    """``events`` with ``after``, ``before`` and ``violations``, parsed once a row.
+
+    The parsed images are named by a lambda and come out of a generator, so neither the rules nor a
+    filter on their outcome make the planner repeat the parsing.
+    """
+    schema = struct_type(contract)
+    image = lambda part: F.from_json(F.get_json_object(F.col(raw_col), f"$.{part}"), schema)
+    once = F.transform(F.array(F.struct(image("after").alias("after"), image("before").alias("before"))), lambda x: F.struct(x["after"].alias("after"), x["before"].alias("before"), violations(contract, x["after"]).alias("violations")))
+    return events.select("*", F.inline(once))
 
 
 def quarantine_rows(broken: DataFrame, contract: Contract) -> DataFrame:

@@ -161,14 +161,14 @@ def run_marts(run: Run) -> dict[str, int]:
 
 
 def run_export(run: Run) -> dict[str, int]:
-    """Silver and batch tables as plain Parquet, one file each, for engines that know no versions."""
+    """Silver and batch tables as plain Parquet, for engines that know no versions."""
     out = {}
     with M.track_step(run.spark, run.lake, run.run_id, "silver", "export", "silver") as step:
         for layer, names in (("silver", [e.name for e in run.config.entities]), ("bronze", BATCH_TABLES)):
             for name in names:
                 if run.table(layer, name).exists():
                     path = f"{run.config.storage.exports_dir}/silver/{name}"
-                    run.table(layer, name).read().coalesce(1).write.mode("overwrite").parquet(path)
+                    run.table(layer, name).read().write.mode("overwrite").parquet(path)
                     out[name] = run.spark.read.parquet(path).count()
         step.rows_written = sum(out.values())
     return out

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weirstone.functions import epoch_ms
-from weirstone.quality.suite import AcceptedValues, Check, Freshness, NotNull, ReferentialIntegrity, RowCountBetween, Suite, Unique
+from weirstone.quality.suite import Check, Suite
 
 RESULTS = "check_no int, description string, severity string, status string, passed boolean, observed string"
 
@@ -21,25 +21,24 @@ def _millis(at: datetime) -> int:
     return round((at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * 1000)
 
 
+#: What a check needs to know of the rows, as an aggregate. Nulls are values to a key, so a tuple of them counts as one.
+MEASURES: dict[str, Callable[[Check], Column]] = {
+    "not_null": lambda c: F.count_if(F.col(c.column).isNull()),
+    "accepted_values": lambda c: F.count_if(~F.col(c.column).isin(*c.values)),
+    "row_count_between": lambda c: F.count(F.lit(1)),
+    "freshness": lambda c: epoch_ms(F.max(F.col(c.column))),
+    "unique": lambda c: F.count(F.lit(1)) - F.countDistinct(F.struct(*c.columns)),
+}
+
+#: What is counted by the checks that want a count of zero.
+COUNTED = {"not_null": "null values", "unique": "duplicate keys", "accepted_values": "out-of-domain values", "referential_integrity": "orphaned values"}
+
+
 def measure(check: Check) -> Column:
-    """What a check needs to know of the rows, as an aggregate."""
-    match check:
-        case NotNull():
-            return F.count_if(F.col(check.column).isNull())
-        case AcceptedValues():
-            return F.count_if(~F.col(check.column).isin(*check.values))
-        case RowCountBetween():
-            return F.count(F.lit(1))
-        case Freshness():
-            return epoch_ms(F.max(F.col(check.column)))
-        case Unique():
-            # Nulls are values here, so a tuple of them counts as one key.
-            return F.count(F.lit(1)) - F.countDistinct(F.struct(*check.columns))
-        case _:
-            raise TypeError(f"no aggregate for {check!r}")
-
-
-def orphans(rows: DataFrame, check: ReferentialIntegrity, ref: DataFrame) -> DataFrame:
+    return MEASURES[check.type](check)
+
+
+def orphans(rows: DataFrame, check: Check, ref: DataFrame) -> DataFrame:
     """Rows whose non-null value no reference row has."""
     parents = (ref.where(check.ref_filter) if check.ref_filter else ref).select(F.col(check.ref_column).alias("_parent")).distinct()
     held = rows.where(F.col(check.column).isNotNull())
@@ -49,34 +48,25 @@ def orphans(rows: DataFrame, check: ReferentialIntegrity, ref: DataFrame) -> Dat
 def verdict(check: Check, value: Column, now: datetime) -> tuple[Column, Column]:
     """(passed, observed) from a measure."""
     count = F.coalesce(value, F.lit(0)).cast("string")
-    match check:
-        case RowCountBetween():
-            return (value >= check.min_rows) & (F.lit(True) if check.max_rows is None else value <= check.max_rows), F.concat(count, F.lit(" rows"))
-        case Freshness():
-            age = (F.lit(_millis(now)) - value) / 3_600_000
-            return F.coalesce(age <= check.max_age_hours, F.lit(False)), F.when(age.isNull(), "no rows / all-null event time").otherwise(F.format_string("latest event %.1fh old", age))
-        case NotNull():
-            what = " null values"
-        case Unique():
-            what = " duplicate keys"
-        case AcceptedValues():
-            what = " out-of-domain values"
-        case _:
-            what = " orphaned values"
-    return value == 0, F.concat(count, F.lit(what))
+    if check.type in COUNTED:
+        return value == 0, F.concat(count, F.lit(f" {COUNTED[check.type]}"))
+    if check.type == "row_count_between":
+        return value.between(check.min_rows, (1 << 63) - 1 if check.max_rows is None else check.max_rows), F.concat(count, F.lit(" rows"))
+    age = (F.lit(_millis(now)) - value) / 3_600_000
+    return F.coalesce(age <= check.max_age_hours, F.lit(False)), F.when(age.isNull(), "no rows / all-null event time").otherwise(F.format_string("latest event %.1fh old", age))
 
 
 def run_suite(rows: DataFrame, suite: Suite, ref: Callable[[str], DataFrame], now: datetime) -> DataFrame:
     """One row by check: check_no, description, severity, status (pass, fail, warn), passed, observed. Lazy; ``now`` is given, never read from a clock."""
     rows = rows.where(suite.filter) if suite.filter else rows
-    plain = [(i, c) for i, c in enumerate(suite.checks) if not isinstance(c, (ReferentialIntegrity, Unique))]
+    plain = [(i, c) for i, c in enumerate(suite.checks) if not c.type in ("referential_integrity", "unique")]
     parts = []
     # Distinct counts would make Spark expand every row by check, so each has its own aggregation.
-    groups = [plain] * bool(plain) + [[(i, c)] for i, c in enumerate(suite.checks) if isinstance(c, Unique)]
+    groups = [plain] * bool(plain) + [[(i, c)] for i, c in enumerate(suite.checks) if c.type == "unique"]
     for group in groups:
         parts.append((group, rows.agg(*(measure(c).cast("long").alias(f"m{i}") for i, c in group))))
     for i, c in enumerate(suite.checks):
-        if isinstance(c, ReferentialIntegrity):
+        if c.type == "referential_integrity":
             parts.append(([(i, c)], orphans(rows, c, ref(c.ref_table)).agg(F.count(F.lit(1)).alias(f"m{i}"))))
     out = None
     for group, measured in parts:
@@ -93,7 +83,7 @@ def run_suite(rows: DataFrame, suite: Suite, ref: Callable[[str], DataFrame], no
 def suite_summary(results: DataFrame) -> DataFrame:
     """n_passed, n_failed, n_warned, pass_rate (1.0 without checks)."""
     n = lambda s: F.count_if(F.col("status") == s)
-    rate = F.coalesce(F.nullif(n("pass"), F.lit(-1)) / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(1.0))
+    rate = F.coalesce(n("pass") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(1.0))
     return results.agg(n("pass").alias("n_passed"), n("fail").alias("n_failed"), n("warn").alias("n_warned"), rate.alias("pass_rate"))
 
 

@@ -48,8 +48,9 @@ def landed(spark: SparkSession, folder: str, feed: Feed) -> list[str]:
 def copy_into(spark: SparkSession, landing: str, lake: str, run_id: str, feeds: Mapping[str, Feed] = FEEDS) -> dict[str, int]:
     """Load each file once, by its path; rows by dataset. A resend under another name loads again.
 
-    A dataset's rows and its ledger entries carry the same mark, so a run that broke off between the
-    two commits finishes the ledger on its next try, without loading the rows again.
+    Rows carry their file, and a commit takes all rows of a file or none. So a file that is in the table
+    but not in the ledger (a run broke off between the two commits) is only entered on the next try,
+    whatever other files have landed since.
     """
     ledger, counts = Table(spark, f"{lake}/_copy_ledger"), {}
     known = ledger.read() if ledger.exists() else spark.createDataFrame([], LEDGER)
@@ -61,13 +62,17 @@ def copy_into(spark: SparkSession, landing: str, lake: str, run_id: str, feeds:
             continue
         rows = read_feed(spark, feed, new).withColumns({"_run_id": F.lit(run_id), "_ingest_ts": F.current_timestamp()}).persist()
         try:
-            mark = (f"{name}:{min(new)}", len(new))
-            Table(spark, f"{lake}/{name}").append(rows, mark=mark)
+            table, paths = Table(spark, f"{lake}/{name}"), [p.removeprefix("file://") for p in new]
+            held = table.read().where(F.col("_source_file").isin(paths)).select("_source_file").distinct().collect() if table.exists() else []
+            loaded = {r[0] for r in held}  # file names of one dataset
             per_file = {r[0]: r[1] for r in per_file_counts(rows).collect()}
+            fresh = [p for p in paths if p not in loaded]
+            if fresh:
+                table.append(rows.where(F.col("_source_file").isin(fresh)))
             # Files without rows are entered too, and are not read again.
-            entries = spark.createDataFrame([(p, name, per_file.get(p, 0), run_id) for p in (q.removeprefix("file://") for q in new)], "file_path string, dataset string, rows_loaded long, run_id string")
+            entries = spark.createDataFrame([(p, name, per_file.get(p, 0), run_id) for p in paths], "file_path string, dataset string, rows_loaded long, run_id string")
             ledger.append(entries.withColumn("loaded_at", F.current_timestamp()))
-            counts[name] = sum(per_file.values())
+            counts[name] = sum(per_file.get(p, 0) for p in fresh)
         finally:
             rows.unpersist()
     return counts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from weirstone.config import Config
 from weirstone.operators.envelope import events_of, mark_unknown_entities, parse_envelope, quarantined
 from weirstone.sources.landing import change_events
-from weirstone.storage.table import Table
+from weirstone.storage.table import Files, Table
 
 
 @dataclass
@@ -20,10 +21,29 @@ class Counts:
     rows_quarantined: int = 0
 
 
-def write_batch(batch: DataFrame, number: int, *, config: Config, run_id: str, counts: Counts, query: str = "ingest", strict: bool = False) -> None:
+def _append(table: Table, rows: DataFrame, n: int, mark: tuple[str, int]) -> int:
+    """Add a batch's rows for a table; the number added.
+
+    A batch of the same query that was committed before adds nothing. A table that another query wrote
+    (its checkpoint was lost, and batches count from 0 again) may hold what the source delivers anew: a
+    commit takes all rows of a file or message or none, so those whose source is there are left out.
+    """
+    held = table.latest()
+    if held and held.marks.get(mark[0], -1) >= mark[1]:
+        return 0
+    if held and set(held.marks) - {mark[0]}:
+        rows = rows.join(table.read().select("source_ref").distinct(), "source_ref", "left_anti").select(*rows.columns)
+        n = rows.count()
+    if n:
+        table.append(rows, ["ingest_date"], mark)
+    return n
+
+
+def write_batch(batch: DataFrame, number: int, *, config: Config, run_id: str, counts: Counts, query: str, strict: bool = False) -> None:
     """Classify a micro-batch once, then append its quarantine and its entities' events.
 
-    Every table remembers the batch number, so a batch that is delivered again adds nothing.
+    Every table remembers the query and the batch number, so a batch that is delivered again adds
+    nothing. ``query`` is the id that the checkpoint holds. Rows count as written where they were added.
     """
     spark, names = batch.sparkSession, [e.name for e in config.entities]
     parsed = parse_envelope(batch)
@@ -37,14 +57,12 @@ def write_batch(batch: DataFrame, number: int, *, config: Config, run_id: str, c
         parsed.write.format("noop").mode("overwrite").save()
         found = seen.get
         mark = (query, number)
+        counts.rows_read += found["read"]
         if found["bad"]:
-            Table(spark, config.table("bronze", "_quarantine")).append(quarantined(parsed).withColumns(stamp), ["ingest_date"], mark)
+            counts.rows_quarantined += _append(Table(spark, config.table("bronze", "_quarantine")), quarantined(parsed).withColumns(stamp), found["bad"], mark)
         for i, name in enumerate(names):
-            if found[f"n_{i}"]:
-                Table(spark, config.table("bronze", name)).append(events_of(parsed, name).withColumns(stamp), ["ingest_date"], mark)
-        counts.rows_read += found["read"]
-        counts.rows_quarantined += found["bad"]
-        counts.rows_written += sum(found[f"n_{i}"] for i in range(len(names)))
+            if n := found[f"n_{i}"]:
+                counts.rows_written += _append(Table(spark, config.table("bronze", name)), events_of(parsed, name).withColumns(stamp), n, mark)
     finally:
         parsed.unpersist()
 
@@ -55,7 +73,9 @@ def run_stream(spark: SparkSession, config: Config, run_id: str, *, mode: str |
     checkpoint = f"{config.storage.checkpoints_dir}/bronze_events"
 
     def each(batch: DataFrame, number: int) -> None:
-        write_batch(batch, number, config=config, run_id=run_id, counts=counts, strict=strict)
+        # The id that Spark keeps in the checkpoint, which a new checkpoint has anew.
+        query = json.loads(Files(spark, checkpoint).read("metadata"))["id"]
+        write_batch(batch, number, config=config, run_id=run_id, counts=counts, query=query, strict=strict)
 
     stream = change_events(spark, config, mode).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     stream.trigger(availableNow=True).start().awaitTermination()
