@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirstone.config import Config, Entity, Source, Storage
-from weirstone.contracts import Contract, check_all
+from weirstone.contracts import Contract, check_all, check_compatibility
 from weirstone.functions import dot
 from weirstone.governance import access_matrix, pii_inventory
 from weirstone.observability import detectors as D
@@ -206,11 +206,30 @@ def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd2.fact_rows(valid, ORDER_CONTRACT).select("id", "price")
 
 
-@query()
+#: The order contract as later versions might be: (name, keys of the contract, changes by field, fields left out, fields put in).
+_LATER = [
+    ("same", {}, {}, (), ()),
+    ("optional", {}, {}, (), ({"name": "remark", "type": "string"},)),
+    ("narrow", {}, {"status": {"allowed_values": ["F"]}}, ("price",), ({"name": "must", "type": "date", "nullable": False},)),
+    ("rekeyed", {"event_time_field": "price"}, {"price": {"type": "double"}}, (), ()),
+]
+
+
+def _later(keys: dict, changes: dict, left_out: tuple, put_in: tuple) -> Contract:
+    raw = ORDER_CONTRACT.model_dump()
+    fields = [f | changes.get(f["name"], {}) for f in raw["fields"] if f["name"] not in left_out]
+    return Contract.model_validate(raw | {"version": 2, "fields": [*fields, *put_in]} | keys)
+
+
+@query("""
+select * from (values ('narrow', 0, 'status lost allowed values [''O'']'), ('narrow', 1, 'field removed: price'), ('narrow', 2, 'new field must be nullable: must'),
+  ('rekeyed', 0, 'event_time_field changed from id to price'), ('rekeyed', 1, 'type of price changed from decimal(18,2) to double')) t(step, no, break)
+""")
 def contract_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks between the versions of the shipped contracts: none."""
-    rows = [(step, b) for step, breaks in check_all().items() for b in breaks]
-    return spark.createDataFrame(rows, "step string, break string")
+    """Breaks between the shipped contracts' versions (none), and between the order contract and made-up later ones."""
+    made = {name: check_compatibility(ORDER_CONTRACT, _later(*rest)) for name, *rest in _LATER}
+    rows = [(step, i, b) for step, breaks in (check_all() | made).items() for i, b in enumerate(breaks)]
+    return spark.createDataFrame(rows, "step string, no int, break string")
 
 
 # --- histories ----------------------------------------------------------------------------------
@@ -255,14 +274,17 @@ def scd2_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd2.as_of(_versions(spark, sf_dir), probes, "user_id", "at").select("user_id", "at", "event_id", "value")
 
 
-@query(_SCD2)
+_EARLY = _SCD2.replace("from events window", "from events where event_id % 3 <> 0 window")
+
+
+@query(f"with whole as ({_SCD2}), early as ({_EARLY}) select * from whole union all select * from early where (user_id, event_id, valid_from) not in (select (user_id, event_id, valid_from) from whole)")
 def scd2_merge_late(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A history of two thirds of the events, into which the whole one is merged: late events close and split versions."""
-    whole = _versions(spark, sf_dir)
-    base = _versions(spark, sf_dir, F.col("event_id") % 3 != 0)
-    # What an early history had that the whole one hasn't stays in a merge; here only rows of the whole are shown.
-    merged = merge.upsert(base, whole, ["user_id", "event_id", "valid_from"], ["valid_to", "is_current", "is_deleted"])
-    return merged.join(whole.select("user_id", "event_id"), ["user_id", "event_id"], "left_semi").select(*whole.columns)
+    """A table with the history of two thirds of the events, into which the whole one is merged: late events close and split
+    versions. What only the early history has (versions that the whole one gives no time) stays as it was."""
+    held = Table(spark, scratch_folder(spark, "history"))
+    held.append(_versions(spark, sf_dir, F.col("event_id") % 3 != 0))
+    held.merge(_versions(spark, sf_dir), ["user_id", "event_id", "valid_from"], ["valid_to", "is_current", "is_deleted"])
+    return held.read()
 
 
 @query(f"select * from ({_SCD2}) where user_id in (select user_id from events where event_id % 50 = 0)")
@@ -384,6 +406,76 @@ def stg_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.stg_branches(sent)
 
 
+@query("""
+select c_custkey as customer_id, c_name as full_name, c_mktsegment as segment, case when c_acctbal < 0 then 'high' else 'low' end as risk_rating,
+  timestamp '2024-01-01 10:00:00' as created_at, timestamp '2024-01-02 10:00:00' as valid_from, cast(c_custkey as varchar) as business_key
+from customer where c_custkey % 3 <> 0 and c_custkey % 7 <> 0
+""")
+def stg_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Current customers, neither closed nor deleted. The tables have no mail, phone or address, so these columns are left out."""
+    c, at = table(spark, sf_dir, "customer"), lambda day: F.to_timestamp_ntz(F.lit(f"2024-01-0{day} 10:00:00"))
+    held = c.select(
+        F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("full_name"), *(F.lit(None).cast("string").alias(x) for x in ("email", "phone", "address")),
+        F.col("c_mktsegment").alias("segment"), F.when(F.col("c_acctbal") < 0, "high").otherwise("low").alias("risk_rating"), at(1).alias("created_at"), at(1).alias("updated_at"), at(2).alias("valid_from"),
+        F.col("c_custkey").cast("string").alias("business_key"), (F.col("c_custkey") % 3 != 0).alias("is_current"), (F.col("c_custkey") % 7 == 0).alias("is_deleted"),
+    )
+    return marts.stg_customers(held).drop("email", "phone", "address", "updated_at")
+
+
+def _loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as loan applications: even keys are current, every eleventh is deleted."""
+    o = table(spark, sf_dir, "orders")
+    state = F.element_at(F.create_map(*(F.lit(x) for x in ("P", "submitted", "F", "approved", "O", "rejected"))), F.col("o_orderstatus"))
+    return o.select(
+        F.col("o_orderkey").alias("application_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderpriority").alias("product"), F.col("o_totalprice").alias("amount"),
+        (F.col("o_orderkey") % 48).alias("term_months"), state.alias("status"), (F.col("o_orderkey") % 500 + 300).alias("credit_score"), F.col("o_orderdate").alias("submitted_at"), F.col("o_orderdate").alias("updated_at"),
+        (F.col("o_orderkey") % 2 == 0).alias("is_current"), (F.col("o_orderkey") % 11 == 0).alias("is_deleted"),
+    )
+
+
+_LOANS = """(select o_orderkey as application_id, o_custkey as customer_id, o_orderpriority as product, o_totalprice as amount, o_orderkey % 48 as term_months,
+  case o_orderstatus when 'P' then 'submitted' when 'F' then 'approved' when 'O' then 'rejected' end as status, o_orderkey % 500 + 300 as credit_score, o_orderdate as submitted_at
+  from orders where o_orderkey % 2 = 0 and o_orderkey % 11 <> 0)"""
+
+
+@query(f"select * from {_LOANS}")
+def stg_loan_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.stg_loan_applications(_loans(spark, sf_dir)).drop("updated_at")
+
+
+@query(f"""
+select product, count(*) as applications, count(*) filter (status = 'submitted') as submitted, cast(0 as bigint) as under_review, count(*) filter (status = 'approved') as approved,
+  count(*) filter (status = 'rejected') as rejected, round(count(*) filter (status = 'approved') / nullif(count(*) filter (status in ('approved', 'rejected')), 0), 3) as approval_rate,
+  round(avg(amount), 2) as avg_amount, round(avg(credit_score), 0) as avg_credit_score from {_LOANS} group by product
+""")
+def mart_loan_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return marts.mart_loan_funnel(marts.stg_loan_applications(_loans(spark, sf_dir)))
+
+
+@query("""
+select l_orderkey * 10 + l_linenumber as transaction_id, l_suppkey as account_id, l_extendedprice as amount, 'JPY' as currency, l_returnflag as txn_type, 'part ' || l_partkey as counterparty,
+  'line ' || l_linenumber as channel, l_linestatus as status, cast(l_shipdate as date) as booked_date from lineitem
+""")
+def stg_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    rows = li.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("transaction_id"), F.col("l_suppkey").alias("account_id"), F.col("l_extendedprice").alias("amount"), F.lit("JPY").alias("currency"),
+        F.col("l_returnflag").alias("txn_type"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("counterparty"), F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("channel"), F.col("l_linestatus").alias("status"), F.col("l_shipdate").alias("booked_at"),
+    )
+    return marts.stg_transactions(rows).drop("booked_at")
+
+
+@query("""
+select 'JPY' as base_currency, 'C' || n_nationkey as quote_currency, cast(n_nationkey * 0.5 + 2 as double) as rate, date '2024-01-01' + cast(d as int) as business_date from nation, range(3) t(d)
+""")
+def stg_fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of three days by currency, each sent twice; the later load wins."""
+    sent = table(spark, sf_dir, "nation").select(F.concat(F.lit("C"), F.col("n_nationkey").cast("string")).alias("quote_currency"), F.col("n_nationkey").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("d"))
+    sent = sent.withColumn("_ingest_ts", F.explode(F.array(F.lit(1), F.lit(2))))
+    rate = F.col("k") * F.lit(0.5) + F.col("_ingest_ts")
+    return marts.stg_fx_rates(sent.select(F.lit("JPY").alias("base_currency"), "quote_currency", rate.alias("rate"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("d")).cast("string").alias("business_date"), "_ingest_ts"))
+
+
 # --- data quality -------------------------------------------------------------------------------
 
 ORDER_SUITE = Suite.model_validate({
@@ -577,7 +669,8 @@ def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents),
-g as (select doc_id, substr('^' || word || '$', i, 3) as gram from (select doc_id, word, unnest(range(1, greatest(length(word), 1) + 1)) as i from w))
+s as (select doc_id, word, n, unnest(range(1, greatest(length(word) + 4 - n, 2))) as i from w, (values (3), (4), (5)) t(n)),
+g as (select doc_id, substr('^' || word || '$', cast(i as int), n) as gram from s)
 select gram, count(*) as n, count(distinct doc_id) as docs from g group by gram
 """)
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -585,7 +678,12 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
     # A word repeats often, so its grams are counted by word and document first.
     per_word = words.groupBy("doc_id", "word").agg(F.count("*").alias("times"))
-    grams = per_word.select("doc_id", "times", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("word")), lambda i: F.substring(marked, i, F.lit(3)))).alias("gram"))
+    # A word that is shorter than a gram gives one cut-off gram.
+
+    def cuts(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("word") + 3 - n, F.lit(1))), lambda i: F.substring(marked, i, F.lit(n)))
+
+    grams = per_word.select("doc_id", "times", F.explode(F.concat(*(cuts(n) for n in (3, 4, 5)))).alias("gram"))
     return grams.groupBy("gram").agg(F.sum("times").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -637,6 +735,36 @@ def table_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.read().select("c_custkey", "segment", F.coalesce("seen", F.lit(False)).alias("seen"))
 
 
+@query("select s_suppkey, s_acctbal from supplier where s_acctbal > 0")
+def table_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A versioned table that is replaced while its rows are read; the first version can be read on."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal")
+    held = Table(spark, scratch_folder(spark, "replaced"))
+    held.append(s)
+    held.overwrite(held.read().where("s_acctbal > 0"), on=held.latest())
+    if held.read(1).count() != s.count():
+        raise RuntimeError("the first version is gone")
+    return held.read()
+
+
+@query("""
+select 'load' as step, 'success' as status, (select count(*) from nation) as rows_read, cast(null as bigint) as rows_written, cast(null as varchar) as error
+union all select 'build', 'failed', null, (select count(*) from region), 'ValueError: broken'
+""")
+def run_metrics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step that succeeds and one that fails, as the metrics table and its export have them."""
+    lake = scratch_folder(spark, "metrics")
+    with M.track_step(spark, lake, "run", "p", "load", "bronze") as step:
+        step.rows_read = table(spark, sf_dir, "nation").count()
+    try:
+        with M.track_step(spark, lake, "run", "p", "build", "gold") as step:
+            step.rows_written = table(spark, sf_dir, "region").count()
+            raise ValueError("broken")
+    except ValueError:
+        M.export_metrics(M.metrics_table(spark, lake).read(), f"{lake}/export")
+    return spark.read.parquet(f"{lake}/export").select("step", "status", "rows_read", "rows_written", "error")
+
+
 @query("select n_nationkey, n_name, n_regionkey, 'run' as _run_id from nation")
 def copy_into_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations landed as CSV files and loaded by the ledger, twice; the second load adds nothing. CSV columns are strings."""

@@ -3,11 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -25,7 +22,11 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Words ``[a-z0-9]+`` in marks ^ and $, their n-grams by blake2b into buckets, 1 + ln(count), unit length."""
+    """Words ``[a-z0-9]+`` in marks ^ and $, their n-grams by blake2b into buckets, 1 + ln(count), unit length.
+
+    A batch is worked on as a whole: its distinct words are cut into grams by their offsets in one
+    string, each distinct gram is hashed once, and the counts of all texts are summed in one array.
+    """
 
     def __init__(self, dim: int = 384, shortest: int = 3, longest: int = 5):
         self.dim, self.shortest, self.longest = dim, shortest, longest
@@ -34,30 +35,45 @@ class HashingEmbedder:
     def fingerprint(self) -> str:
         return f"hashing-v1-dim{self.dim}-ngram{self.shortest}-{self.longest}"
 
+    def word_buckets(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(which word, bucket) of all grams of the given words; a word shorter than a gram gives one cut-off gram."""
+        line = "".join(f"^{w}$" for w in words)
+        length = np.array([len(w) + 2 for w in words], np.int64)
+        begin = np.cumsum(length) - length
+        owner, start, size = [], [], []
+        for n in range(self.shortest, self.longest + 1):
+            many = np.maximum(length - n + 1, 1)
+            owner.append(np.repeat(np.arange(len(words)), many))
+            start.append(np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many))
+            size.append(np.minimum(length, n)[owner[-1]])
+        cuts = [line[i : i + k] for i, k in zip(np.concatenate(start).tolist(), np.concatenate(size).tolist(), strict=True)]
+        place: dict[str, int] = {}
+        which = np.fromiter((place.setdefault(g, len(place)) for g in cuts), np.int64, len(cuts))
+        hashed = np.fromiter((int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") % self.dim for g in place), np.int64, len(place))
+        owner = np.concatenate(owner)
+        by_word = np.argsort(owner, kind="stable")
+        return owner[by_word], hashed[which][by_word]
+
     def buckets(self, word: str) -> tuple[int, ...]:
-        """One bucket by n-gram; a word shorter than n gives one cut-off gram."""
-        return _buckets(word, self.dim, self.shortest, self.longest)
+        return tuple(self.word_buckets([word])[1].tolist())
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
-        for row, text in zip(out, texts, strict=True):
-            words = Counter(re.findall(r"[a-z0-9]+", (text or "").lower()))
-            counts: Counter[int] = Counter()
-            for word, times in words.items():
-                for bucket in self.buckets(word):
-                    counts[bucket] += times
-            for bucket, n in counts.items():
-                row[bucket] = 1 + math.log(n)
-            if norm := float(np.linalg.norm(row)):
-                row /= norm
-        return out
-
-
-@lru_cache(maxsize=1 << 16)
-def _buckets(word: str, dim: int, shortest: int, longest: int) -> tuple[int, ...]:
-    marked = f"^{word}$"
-    grams = (marked[i : i + n] for n in range(shortest, longest + 1) for i in range(max(1, len(marked) - n + 1)))
-    return tuple(int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") % dim for g in grams)
+        out = np.zeros((len(texts), self.dim))
+        found = [re.findall(r"[a-z0-9]+", (text or "").lower()) for text in texts]
+        words = sorted(set().union(*found))
+        if words:
+            number = {w: k for k, w in enumerate(words)}
+            owner, bucket = self.word_buckets(words)
+            count = np.bincount(owner, minlength=len(words))
+            first = np.cumsum(count) - count
+            for row, said in zip(out, found, strict=True):
+                which, times = np.unique(np.array([number[w] for w in said], np.int64), return_counts=True)
+                many = count[which]
+                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[which], many)
+                row += np.bincount(bucket[at], weights=np.repeat(times, many), minlength=self.dim)
+        some = out > 0
+        out[some] = 1 + np.log(out[some])
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
 
 class SentenceTransformerEmbedder:
