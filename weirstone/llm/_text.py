@@ -7,6 +7,7 @@ Arrow batch holds; a single longer text is a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -53,6 +54,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
             end = min(n, max(end, start + 1), start + rows)
             yield batch.slice(start, end - start)
             start = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers stay on for later tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 class Words:

@@ -37,8 +37,8 @@ HEADER = 16
 #: Bytes of text whose records are made together: several numbers by token are held meanwhile.
 RECORD_BYTES = 5 << 20
 
-#: Records of a file (17 MB of 256 tokens) and of a shard (2.2 GB). Beyond some 10 TB of records, files should grow too.
-PER_FILE, PER_SHARD = 1 << 15, 1 << 22
+#: Records of a file (9 MB of 256 tokens) and of a shard (2.2 GB). Beyond some 10 TB of records, files should grow too.
+PER_FILE, PER_SHARD = 1 << 14, 1 << 22
 NO_ID = -(1 << 63)
 
 
@@ -77,18 +77,19 @@ def _totals(model: str, length: int, batches: Iterator[pa.RecordBatch]) -> Itera
 
 def records(doc_ids: np.ndarray, tokens: PreTokens, flat: np.ndarray, lengths: np.ndarray, length: int, end: int, width: int = 2) -> np.ndarray:
     """All records of a slice, as rows of bytes, in input order."""
-    begin = np.cumsum(lengths) - lengths
     count = tokens.per_row(lengths)
     with_end = np.where(count > 0, count + 1, 0)
     n_seq = -(-with_end // length)
-    per_token = lengths[tokens.code]
+    # Half the bytes where they do, as there are several numbers by token.
+    kind = np.int32 if max(int(n_seq.sum()) * length, int(count.sum())) < 1 << 31 else np.int64
+    begin = (np.cumsum(lengths) - lengths).astype(kind)
+    per_token = lengths.astype(kind)[tokens.code]
     # Where each pre-token's ids go: rows begin at whole sequences.
     row_at = (np.cumsum(n_seq) - n_seq) * length
-    before = np.cumsum(per_token) - per_token
-    row = np.repeat(np.arange(len(count)), np.diff(tokens.first))
-    row_before = np.concatenate([before, [per_token.sum()]])[tokens.first[:-1]] if len(before) else np.zeros(len(count), np.int64)
-    target = row_at[row] + before - row_before[row] if len(row) else before
-    inside = np.arange(per_token.sum()) - np.repeat(before, per_token)
+    before = np.cumsum(per_token, dtype=kind) - per_token
+    shift = (row_at - (np.cumsum(count) - count)).astype(kind)
+    target = before + np.repeat(shift, np.diff(tokens.first))
+    inside = np.arange(int(count.sum()), dtype=kind) - np.repeat(before, per_token)
     body = np.zeros(int(n_seq.sum()) * length, f"<u{width}")
     source = np.repeat(begin[tokens.code], per_token)
     source += inside
