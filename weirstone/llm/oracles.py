@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weirstone.llm import chat, licenses
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -40,3 +42,56 @@ r as (select doc_id as a, doc_id as b from d union select r.a, l.b from r join l
 c as (select a as doc_id, min(b) as component_id from r group by a)
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept from d left join n using (doc_id) join c using (doc_id)
 """
+
+#: What stands for an escape: one character more for each control string. (The other engine's patterns can't look ahead, and its white space lacks one character.)
+_CONTROL = r"[<\[]\\*(?:" + "|".join(chat.CONTROL_RESTS) + ")"
+_PIECE = chat.PIECE.replace(r"\s", r"\t\n\x0B\f\r ")
+_ESCAPED = "length({0}) + len(regexp_extract_all({0}, '" + _CONTROL + "'))"
+_MARKS = len(chat.TURN + chat.SAY + chat.END)
+
+# Windows of a block: line (turns just before it, own turns), prefix sums of tokens u and of formatted characters c, greedy starts.
+# Blocks that repeat turn numbers to more than chat.BLOCK_ROWS rows are cut by hashes, which is left out here.
+CHAT = f"""
+with recursive t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as said from conversations
+  union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+o as (select *, floor(turn / {chat.BLOCK_TURNS}) as b, len(regexp_extract_all(said, '{_PIECE}')) + {chat.MARKER_TOKENS} as tok,
+  {_MARKS} + {_ESCAPED.format("role")} + {_ESCAPED.format("said")} as chars, row_number() over (partition by conv_id order by turn nulls first, role, said) as k from t),
+whole as (select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || said || chr(10), '' order by k)) as turns_sha256,
+  coalesce(string_agg(said, '' order by k) filter (role = 'assistant'), '') as loss from o group by conv_id),
+blocks as (select conv_id, b, row_number() over (partition by conv_id order by b nulls first) = 1 as leads from (select distinct conv_id, b from o)),
+line as (select conv_id, b, 1 as own, k, tok, chars from o
+  union all select conv_id, b + 1, 0, k, tok, chars from o where (turn % {chat.BLOCK_TURNS} + {chat.BLOCK_TURNS}) % {chat.BLOCK_TURNS} >= {chat.BLOCK_TURNS - chat.HISTORY_TURNS}),
+sums as (select l.*, sum(tok) over w as u, sum(chars) over w as c from line l window w as (partition by conv_id, b order by own, k)),
+lists as (select conv_id, b, [0] || list(u order by own, k) as u, [0] || list(c order by own, k) as c, count(*) as n, count(*) filter (own = 0) as late from sums group by conv_id, b having max(own) = 1),
+held as (select l.*, h.tok is not null and x.leads as leads, h.tok is not null and not x.leads as sent, coalesce(h.tok, 0) as sys, coalesce(h.chars, 0) as sys_chars
+  from lists l join blocks x on l.conv_id is not distinct from x.conv_id and l.b is not distinct from x.b
+  left join (select * from o where k = 1 and role = 'system') h on h.conv_id is not distinct from l.conv_id),
+walk as (select *, late as s from held
+  union all select * replace (list_filter(range(s + 1, n), lambda k: u[k + 2] - u[s + 1] > greatest(2048 - 512 - sys, 1))[1] as s) from walk where s is not null),
+spans as (select *, coalesce(lead(s) over (partition by conv_id, b order by s), n) as e from walk where s is not null),
+fits as (select *, case when sys + u[e + 1] - u[s + 1] > 2048 - 512 then 2048 - sys - (u[e + 1] - u[s + 1]) else 512 end as room from spans),
+made as (select *, s - len(list_filter(range(cast(leads as int), s), lambda k: u[s + 1] - u[k + 1] <= room)) as p from fits),
+f as (select conv_id, sum(case when sent or (leads and s > 0) then sys_chars else 0 end + c[e + 1] - c[p + 1]) as formatted_chars from made group by conv_id)
+select w.conv_id, n_turns, turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(formatted_chars as bigint) as formatted_chars
+from whole w join f on w.conv_id is not distinct from f.conv_id
+"""
+
+_TEMPLATES = ", ".join(f"({t}, '{x.label}', {x.base}, {x.drift}, {x.words})" for t, x in enumerate((*licenses.PHRASES, *licenses.NOTICES)))
+
+LICENSES = f"""
+with d as (select row_number() over () as r, doc_id, {_words(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")} as w from documents),
+p as (select *, len(v) - {licenses.GRAM - 1} as grams from (values {_TEMPLATES}) x(t, label, base, drift, v)),
+pg as (select p.*, j, array_to_string(v[j + 1:j + {licenses.GRAM}], ' ') as gram from p, unnest(range(0, grams)) y(j)),
+dg as (select r, i, array_to_string(w[i + 1:i + {licenses.GRAM}], ' ') as gram from d, unnest(range(0, len(w) - {licenses.GRAM - 1})) y(i)),
+hits as (select r, t, label, base, drift, grams, i, j, i - j as diagonal from dg join pg using (gram)),
+diagonals as (select distinct r, t, drift, diagonal from hits),
+apart as (select *, coalesce(diagonal - lag(diagonal) over (partition by r, t order by diagonal) > drift, true) as new from diagonals),
+numbered as (select *, sum(cast(new as int)) over (partition by r, t order by diagonal) as span from apart),
+spans as (select r, t, span, any_value(label) as label, any_value(base) as base, min(i) as first, count(distinct j) / any_value(grams) as score
+  from hits join numbered using (r, t, diagonal) group by r, t, span),
+kept as (select * from spans where not base or score = 1),
+found as (select r, count(*) filter (base) as n_base, min(first) filter (base) as first_word, max(first) filter (base) as last_word, max(score) as score,
+  string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) filter (base or score >= 0.8) as labels from kept group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score
+from d left join found using (r)
+"""

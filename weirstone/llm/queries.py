@@ -85,4 +85,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """The other queries give hashes, draws, scores or token counts that SQL lacks; tests hold them against brute force."""
-    return {"op3_top_k": oracles.TOP_K, "op6_decontaminate": oracles.DECONTAMINATE, "op7_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op1_chat_format": oracles.CHAT, "op2_license_scan": oracles.LICENSES, "op3_top_k": oracles.TOP_K, "op6_decontaminate": oracles.DECONTAMINATE, "op7_near_duplicates": oracles.NEAR_DUPLICATES}
