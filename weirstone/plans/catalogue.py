@@ -655,7 +655,27 @@ def _pages_as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("doc_slug"), F.concat(F.lit("# Title "), F.col("source"), F.lit("\n\nIntro.\n\n## Body Part\n\n"), body).alias("text"))
 
 
-@query()
+#: White space, as Java's patterns have it, and a text without it at either end.
+_SPACE = r"[\t\n\x0B\f\r ]+"
+
+
+def _stripped(text: str) -> str:
+    return f"regexp_replace({text}, '^{_SPACE}|{_SPACE}$', '', 'g')"
+
+
+@query(f"""
+with recursive d as (select 'doc-' || doc_id as slug, 'Title ' || source as title, {_stripped("replace(replace(text, '#', ''), chr(10), chr(10) || chr(10))")} as body from documents),
+p as (select slug, body, list_filter(list_transform(string_split(body, chr(10) || chr(10)), lambda x: {_stripped("x")}), lambda x: x <> '') as ps from d where length(body) > {chunks.MAX_CHARS}),
+walk as (select slug, ps, 0 as k, '' as held, cast(null as varchar) as done from p
+  union all select slug, ps, k + 1, case when full_up then right(held, {chunks.OVERLAP}) || chr(10) || chr(10) else held end || ps[k + 1] || chr(10) || chr(10), case when full_up then held end
+  from (select *, held <> '' and length(held) + length(ps[k + 1]) + 2 > {chunks.MAX_CHARS} as full_up from walk where k < len(ps))),
+long as (select slug, k, {_stripped("done")} as text from walk where done is not null union all select slug, k + 1, {_stripped("held")} from walk where k = len(ps)),
+pieces as (select slug, row_number() over (partition by slug order by k) - 1 as piece, text from long
+  union all select slug, 0, body from d where body <> '' and length(body) <= {chunks.MAX_CHARS}),
+every as (select slug, title as heading, 0 as piece, 'Intro.' as text from d where body is not null union all select slug, 'Body Part', piece, text from pieces)
+select e.slug || '/' || trim(regexp_replace(lower(e.heading), '[^a-z0-9]+', '-', 'g'), '-') || case when piece > 0 then '-' || piece else '' end as chunk_id,
+  title as doc_title, e.heading, length(e.text) as n_chars, sha256(e.text) as text_sha256 from every e join d using (slug)
+""")
 def chunk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.chunk_documents(_pages_as_markdown(spark, sf_dir)).select("chunk_id", "doc_title", "heading", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
