@@ -17,7 +17,11 @@ from weirstone.llm.queries import model_path, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier accepts. A null text is scored as an empty one."""
+    """Documents that the positive-unlabelled classifier accepts.
+
+    A null text is scored as an empty one, and repeated rows score alike. Without labels, or without
+    documents, nothing can be told apart and all documents stay.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).where("predicted = 1").select("row.*")
 
@@ -35,17 +39,29 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any occurrence of ten consecutive words of a benchmark item (or of a whole shorter one)."""
+    """Documents without any occurrence of ten consecutive words of a benchmark item (or of a whole shorter one).
+
+    Documents without words or without an id stay like any other, repeated rows stay or go together,
+    and items without words match nothing.
+    """
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document: whole texts, or blocks of them, and twice what it takes twice."""
+    """What the mix takes of each document: the pieces of its blocks, and twice what it takes twice.
+
+    ``n_chars`` is that of a piece; all other columns are the document's. Texts without words have no
+    pieces, a null source is a source of its own, and repeated rows each add their words.
+    """
     return mixing.mixed(docs, mixing.mix(docs))
 
 
 def write_token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every record of the binary shards, with its slot, place and owner, as read from the files."""
+    """Every record of the binary shards, with its slot, place and owner, as read from the files.
+
+    Each row of ``docs`` has sequences of its own, repeated rows and rows without an id too; null and
+    empty texts have none. Without any sequence nothing is written.
+    """
     return binary.materialise(docs, model_path())
 
 
