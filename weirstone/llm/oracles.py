@@ -95,3 +95,23 @@ found as (select r, count(*) filter (base) as n_base, min(first) filter (base) a
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0.0) as score
 from d left join found using (r)
 """
+
+#: Starts follow each other by recursion: the next one is the next hard start, or the first click beyond the longest length.
+SESSIONS = """
+with recursive c as (select distinct click_id, client_id, epoch_us(ts) as us, epoch_us(arrived_at) as arrived, kind, value from clicks where click_id is not null and client_id is not null and ts is not null),
+t as (select client_id, click_id, us, coalesce(kind = 'purchase' and value >= 60, false) as final, cast(coalesce(floor(100 * value + 0.5), 0) as bigint) as cents,
+  row_number() over (partition by client_id order by us, click_id) as k from c where coalesce(arrived - us <= 3600000000, true)),
+h as (select *, coalesce(lag(final) over w or us - lag(us) over w >= 1800000000, true) as hard from t window w as (partition by client_id order by k)),
+n as (select client_id, k, least(min(case when hard then k end) over (partition by client_id order by k rows between 1 following and unbounded following),
+  min(k) over (partition by client_id order by us range between 7200000001 following and unbounded following)) as to_k from h),
+s as (select client_id, k from h where k = 1 union all select client_id, to_k from s join n using (client_id, k) where to_k is not null),
+b as (select client_id, k as lo, lead(k) over (partition by client_id order by k) as hi from s),
+g as (select client_id, lo, any_value(hi) as hi, min(us) as start_us, max(us) as end_us, count(*) as n_clicks, cast(sum(cents) as bigint) as value_cents,
+  arg_min(click_id, k) as session_id, arg_max(final, k) as ended, sha256(string_agg(cast(click_id as varchar), ',' order by k)) as path_sha256
+  from b join t using (client_id) where k >= lo and (hi is null or k < hi) group by client_id, lo),
+o as (select g.*, t.us as next_us from g left join t on t.client_id = g.client_id and t.k = g.hi),
+l as (select o.client_id, o.lo, count(*) as n_late from o join c on c.client_id = o.client_id and c.arrived - c.us > 3600000000 and c.us >= o.start_us and (o.next_us is null or c.us < o.next_us) group by o.client_id, o.lo)
+select o.client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0) as n_late, value_cents,
+  case when ended then 'end' when next_us is null then 'none' when next_us - end_us >= 1800000000 then 'gap' else 'length' end as closed_by, path_sha256
+from o left join l on l.client_id = o.client_id and l.lo = o.lo
+"""

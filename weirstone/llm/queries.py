@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import binary, chat, decontam, licenses, mixing, neardup, oracles, quality, shards, tokens, topk
+from weirstone.llm import binary, chat, decontam, licenses, mixing, neardup, oracles, quality, sessions, shards, tokens, topk
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -79,10 +79,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("row.doc_id", quality.held_out(F.col("row.doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sessions.sessions(table(spark, sf_dir, "clicks"))
+    path = F.array_join(F.col("path").cast("array<string>"), ",")
+    return found.select(*sessions.COLUMNS[:-1], F.sha2(path.cast("binary"), 256).alias("path_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_top_k, op4_rendezvous_shards, op5_mix_sources, op6_decontaminate, op7_near_duplicates, op8_token_counts, op9_sequences, op10_quality)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_top_k, op4_rendezvous_shards, op5_mix_sources, op6_decontaminate, op7_near_duplicates, op8_token_counts, op9_sequences, op10_quality, op11_gap_sessions)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries give hashes, draws, scores or token counts that SQL lacks; tests hold them against brute force."""
-    return {"op1_chat_format": oracles.CHAT, "op2_license_scan": oracles.LICENSES, "op3_top_k": oracles.TOP_K, "op6_decontaminate": oracles.DECONTAMINATE, "op7_near_duplicates": oracles.NEAR_DUPLICATES}
+    return {"op1_chat_format": oracles.CHAT, "op2_license_scan": oracles.LICENSES, "op3_top_k": oracles.TOP_K, "op6_decontaminate": oracles.DECONTAMINATE, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op11_gap_sessions": oracles.SESSIONS}
