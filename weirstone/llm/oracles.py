@@ -115,3 +115,30 @@ select o.client_id, session_id, start_us, end_us, n_clicks, coalesce(n_late, 0)
   case when ended then 'end' when next_us is null then 'none' when next_us - end_us >= 1800000000 then 'gap' else 'length' end as closed_by, path_sha256
 from o left join l on l.client_id = o.client_id and l.lo = o.lo
 """
+
+#: All kept terms of a language for each of its sources, and all pairs of these.
+DIVERGENCE = f"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_words(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")} as w from documents),
+x as (select r, lang, source, unnest(w) as term from d),
+kept as (select lang, term, count(*) as lang_n from x group by lang, term having count(distinct r) >= 10),
+v as (select lang, cast(count(*) as hugeint) as v, cast(sum(lang_n) as hugeint) as lang_total from kept group by lang),
+c as (select lang, source, term, count(*) as n from x join kept using (lang, term) group by lang, source, term),
+g as (select d.lang, d.source, coalesce(any_value(n), 0) as total from (select distinct lang, source from d) d left join (select lang, source, cast(sum(n) as hugeint) as n from c group by lang, source) s on s.lang = d.lang and s.source = d.source group by d.lang, d.source),
+p as (select g.lang, g.source, k.term, coalesce(n, 0) as n, 1 + 1000000000::hugeint * (coalesce(n, 0) + 2) // (total + 2 * v) as p, 1 + 1000000000::hugeint * (lang_n + 2) // (lang_total + 2 * v) as q
+  from g join v using (lang) join kept k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, cast(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as bigint) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // (p + q) as bigint) as value from p where n > 0 and p > q),
+r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) as rank from (select * from pairs union all select * from terms))
+select lang, source, part, item, value, rank from r where part = 'pair' or rank <= 10
+"""
+
+NEAR_VECTORS = """
+with recursive v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+u as (select * from v where len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+l as (select a.r as a, b.r as b from u a join u b on a.r <> b.r and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95),
+n as (select a as r, count(*) as n_links from l group by a),
+c as (select r as a, r as b from v union select c.a, l.b from c join l on l.a = c.b),
+m as (select c.a as r, min(v.vec_id) as component_id from c join v on v.r = c.b group by c.a)
+select vec_id, coalesce(n_links, 0) as n_links, component_id, coalesce(vec_id = component_id, false) as kept from v join m using (r) left join n using (r)
+"""

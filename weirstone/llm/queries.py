@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm import binary, chat, decontam, licenses, mixing, neardup, oracles, quality, sessions, shards, tokens, topk
+from weirstone.llm import binary, capfilters, chat, decontam, divergence, licenses, mixing, neardup, oracles, quality, sessions, shards, tokens, topk
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -85,10 +85,18 @@ def op11_gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*sessions.COLUMNS[:-1], F.sha2(path.cast("binary"), 256).alias("path_sha256"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=10, top=10)
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return capfilters.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_top_k, op4_rendezvous_shards, op5_mix_sources, op6_decontaminate, op7_near_duplicates, op8_token_counts, op9_sequences, op10_quality, op11_gap_sessions)}
+    return {f.__name__: f for f in (op1_chat_format, op2_license_scan, op3_top_k, op4_rendezvous_shards, op5_mix_sources, op6_decontaminate, op7_near_duplicates, op8_token_counts, op9_sequences, op10_quality, op11_gap_sessions, op12_source_divergence, op13_near_vectors)}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries give hashes, draws, scores or token counts that SQL lacks; tests hold them against brute force."""
-    return {"op1_chat_format": oracles.CHAT, "op2_license_scan": oracles.LICENSES, "op3_top_k": oracles.TOP_K, "op6_decontaminate": oracles.DECONTAMINATE, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op11_gap_sessions": oracles.SESSIONS}
+    return {"op1_chat_format": oracles.CHAT, "op2_license_scan": oracles.LICENSES, "op3_top_k": oracles.TOP_K, "op6_decontaminate": oracles.DECONTAMINATE, "op7_near_duplicates": oracles.NEAR_DUPLICATES, "op11_gap_sessions": oracles.SESSIONS, "op12_source_divergence": oracles.DIVERGENCE, "op13_near_vectors": oracles.NEAR_VECTORS}
