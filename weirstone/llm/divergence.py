@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirstone.llm._spark import cut
+from weirstone.llm._spark import cut, written
 from weirstone.llm._text import LOWER, per_slice, text_buffer
 
 #: Bytes of a term: letters (upper case becomes lower) and all of other scripts.
@@ -123,7 +123,7 @@ def grouped_terms(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, has
 
 
 def _term_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """(lang, source, term, n, docs) of a slice; and a row without a term for each lang and source."""
+    """(lang, source, term, n, docs) of a slice."""
     lang, source = (batch.column(name).dictionary_encode() for name in ("lang", "source"))
     n_sources = len(source.dictionary)
     both = lang.indices.to_numpy().astype(np.int64) * n_sources + source.indices.to_numpy()
@@ -145,26 +145,19 @@ def _term_counts(batch: pa.RecordBatch) -> pa.RecordBatch:
     np.cumsum(size, out=bounds[1:])
     body = data[np.repeat(begin - bounds[:-1], size) + np.arange(bounds[-1])]
     spelt = pa.StringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(body))
-    there = np.unique(both)
-    of = np.concatenate([there, group[first]])
-    zeros = np.zeros(len(there), np.int64)
-    return pa.RecordBatch.from_arrays(
-        [
-            lang.dictionary.take(pa.array(of // n_sources)),
-            source.dictionary.take(pa.array(of % n_sources)),
-            pa.concat_arrays([pa.array([""] * len(there), pa.string()), spelt]),
-            pa.array(np.concatenate([zeros, count])),
-            pa.array(np.concatenate([zeros, docs])),
-        ],
-        names=["lang", "source", "term", "n", "docs"],
-    )
+    of = group[first]
+    columns = [lang.dictionary.take(pa.array(of // n_sources)), source.dictionary.take(pa.array(of % n_sources)), spelt, pa.array(count), pa.array(docs)]
+    return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
+
+
+def _texts(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """(text, lang, source), nulls as empty ones."""
+    return docs.select(*(F.coalesce(F.col(f"`{name}`").cast("string"), F.lit("")).alias(to) for name, to in ((text_col, "text"), (lang_col, "lang"), (source_col, "source"))))
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term and rows that hold it; the empty term stands for the group itself."""
-    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
-    rows = docs.select(text(text_col).alias("text"), text(lang_col).alias("lang"), text(source_col).alias("source"))
-    counted = rows.mapInArrow(per_slice(_term_counts, "text"), "lang string, source string, term string, n long, docs long")
+    """(lang, source, term, n, docs): occurrences of each term and rows that hold it."""
+    counted = _texts(docs, text_col, lang_col, source_col).mapInArrow(per_slice(_term_counts, "text"), "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
@@ -245,20 +238,22 @@ def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     Null texts, languages and sources count as empty ones; a group without terms has its pairs all the
     same; repeated rows count again. An empty table gives no rows. Other columns are ignored.
     """
-    counts = cut(term_counts(docs, text_col, lang_col, source_col))
-    kept = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
-    mine = cut(counts.where("term <> ''").select("lang", "source", "term", "n").join(kept, ["lang", "term"]))
+    # One row by source meets in a window; only kept terms are written.
+    of_term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs, text_col, lang_col, source_col).withColumns({"lang_n": F.sum("n").over(of_term), "lang_docs": F.sum("docs").over(of_term)})
+    mine = written(counts.where(F.col("lang_docs") >= min_docs).select("lang", "source", "term", "n", "lang_n"))
+    there = cut(_texts(docs, text_col, lang_col, source_col).select("lang", "source").distinct())
     # Every kept term is in some source, so a language's sums come from its sources.
     in_lang = mine.groupBy("lang", "term").agg(F.first("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("lang_n").alias("lang_total"))
     in_group = mine.groupBy("lang", "source").agg(F.sum("n").alias("group_total"))
-    tiles = counts.where("term = ''").groupBy("lang").agg(F.ceil(F.count("*") / tile_sources).cast("int").alias("tiles"))
-    groups = counts.where("term = ''").select("lang", "source").join(in_group, ["lang", "source"], "left").join(in_lang, "lang", "left").join(tiles, "lang")
+    tiles = there.groupBy("lang").agg(F.ceil(F.count("*") / tile_sources).cast("int").alias("tiles"))
+    groups = there.join(in_group, ["lang", "source"], "left").join(in_lang, "lang", "left").join(tiles, "lang")
     groups = groups.na.fill(0, ["group_total", "v", "lang_total"])
     groups = groups.withColumns({"total": F.expr("group_total + 2 * v"), "lang_total": F.expr("lang_total + 2 * v")})
     groups = cut(groups.withColumn("zero", F.expr(f"case when v > 0 then {_share('0', 'total')} end")).drop("group_total"))
     held = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0] or 0
     shared = mine.join(F.broadcast(groups) if held <= SMALL else groups.hint("merge"), ["lang", "source"])
-    shared = cut(shared.select("lang", "source", "term", "zero", "tiles", F.expr(_share("n", "total")).alias("p"), F.expr(_share("lang_n", "lang_total")).alias("q")))
+    shared = written(shared.select("lang", "source", "term", "zero", "tiles", F.expr(_share("n", "total")).alias("p"), F.expr(_share("lang_n", "lang_total")).alias("q")))
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     standing = shared.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), F.expr(_divergence("p", "q")).alias("value"))
