@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,9 @@ def slug(text: Column) -> Column:
 def epoch_ms(at: Column) -> Column:
     """Milliseconds since 1970 of a timestamp, null for null."""
     return F.unix_millis(at.cast("timestamp"))
+
+
+def broadcast_if_small(df: DataFrame, text: str, limit: int = 32 << 20) -> DataFrame:
+    """``df`` with a broadcast hint if its strings in ``text``, which are measured, and 32 bytes a row beside them stay below ``limit``; else with one for a shuffled join."""
+    held = df.agg(F.sum(F.octet_length(text) + 32)).first()[0] or 0
+    return F.broadcast(df) if held <= limit else df.hint("merge")
