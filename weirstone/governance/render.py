@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from pathlib import Path
 from typing import Any
 
@@ -40,16 +40,30 @@ def pii_tag_sql(contracts: Mapping[str, Contract] | None = None, schema: str = S
     return "\n".join(out)
 
 
+def privileges_by_principal(who: DataFrame, held: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows of ``who`` (principal, kind) with a column by securable: the privileges shown, USE if there are only those, a dash for none.
+
+    ``held``: principal, securable, privileges (an array). Several rows of a cell are taken together.
+    """
+    cells = held.groupBy("principal").pivot("securable", list(columns)).agg(F.array_distinct(F.flatten(F.collect_list("privileges"))).alias("all"))
+    shown = lambda c: F.array_join(F.filter(F.col(f"`{c}`"), lambda p: ~p.startswith("USE_")), ", ")
+    cell = lambda c: F.when(F.coalesce(F.size(F.col(f"`{c}`")), F.lit(0)) <= 0, NONE).when(shown(c) == "", "USE").otherwise(shown(c)).alias(c)
+    return who.join(cells, "principal", "left").select("principal", "kind", *(cell(c) for c in columns))
+
+
 def access_matrix(spark: SparkSession, grants: Mapping[str, Any] | None = None) -> DataFrame:
-    """Principals by securable: the privileges shown, USE if there are only those, a dash for none."""
+    """Principals by securable, from the grants file."""
     grants = grants or load_grants()
     who = spark.createDataFrame([(p["name"], p["kind"]) for p in grants["principals"]], "principal string, kind string")
     held = spark.createDataFrame([(g["principal"], g["securable"].partition("/")[2], g["privileges"]) for g in grants["grants"]], "principal string, securable string, privileges array<string>")
-    shown = F.array_join(F.filter("privileges", lambda p: ~p.startswith("USE_")), ", ")
-    columns = sorted({g["securable"].partition("/")[2] for g in grants["grants"]})
-    cells = held.groupBy("principal").pivot("securable", columns).agg(F.first(F.when(shown == "", "USE").otherwise(shown)))
-    out = who.join(cells, "principal", "left").select("principal", "kind", *(F.coalesce(c, F.lit(NONE)).alias(c) for c in columns))
-    return out.orderBy("principal")
+    return privileges_by_principal(who, held, sorted({g["securable"].partition("/")[2] for g in grants["grants"]})).orderBy("principal")
+
+
+def pii_in_rows(rows: DataFrame, tagged: Mapping[str, str]) -> DataFrame:
+    """(column_name, category, filled, distinct_values) of a table's tagged columns: what an inventory says of the data itself."""
+    cells = F.array(*(F.struct(F.lit(name).alias("column_name"), F.lit(category).alias("category"), F.col(name).cast("string").alias("value")) for name, category in tagged.items()))
+    per_value = rows.select(F.inline(cells)).groupBy("column_name", "category", "value").agg(F.count("*").alias("n"))
+    return per_value.groupBy("column_name", "category").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0)).alias("filled"), F.count("value").alias("distinct_values"))
 
 
 def render_access_matrix(spark: SparkSession, grants: Mapping[str, Any] | None = None) -> str:
