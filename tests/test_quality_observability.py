@@ -76,20 +76,20 @@ def past(step="s", seconds=10, bad=10, n=4):
 @pytest.mark.parametrize(("history", "bad", "found"), [(past(), 200, True), (past(bad=15), 16, False), ([], 200, True), ([], 50, False), ([], 51, True), (past(n=2), 40, False)])
 def test_spikes(spark, history, bad, found):
     run, old = D.split_runs(metrics(spark, *history, ("now", "s", "silver", "success", 9, 10, 1000, bad)))
-    assert (D.quarantine_spikes(run, old).count() == 1) == found
+    assert (D.quarantine_spikes(run, D.merged(D.moments(old, "run_id"))).count() == 1) == found
 
 
 @pytest.mark.parametrize(("history", "seconds", "found"), [(past(), 500, True), (past(), 11, False), (past(n=2), 500, False)])
 def test_slow_steps(spark, history, seconds, found):
     run, old = D.split_runs(metrics(spark, *history, ("now", "s", "silver", "success", 9, seconds, 1000, 0)))
-    assert (D.duration_anomalies(run, old).count() == 1) == found
+    assert (D.duration_anomalies(run, D.merged(D.moments(old, "run_id"))).count() == 1) == found
 
 
 def test_findings_are_sorted_and_told(spark):
     rows = metrics(spark, *past(), ("now", "s", "silver", "success", 9, 900, 1000, 300), ("now", "g", "gold", "failed", 9, 1, None, None), ("now", "b", "bronze", "failed", 9, 1, None, None))
     checks = spark.createDataFrame([("t", "referential_integrity(a -> b.c)", "warn", "warn", "2 orphaned values"), ("t", "unique(a)", "error", "fail", "1 duplicate keys"), ("t", "freshness(x)", "warn", "warn", "old"), ("t", "not_null(a)", "error", "pass", "0")], "table string, description string, severity string, status string, observed string")
     run, old = D.split_runs(rows, "now")
-    found = D.all_findings(run, old, checks)
+    found = D.all_findings(run, D.merged(D.moments(old, "run_id")), checks)
     assert [r["severity"] for r in found.collect()] == ["critical", "high", "high", "medium", "medium", "low", "low"]
     assert tuple(D.overall_status(found).first()) == ("SEV-1 CANDIDATE", 7)
     assert {r["severity"]: r["n"] for r in D.severity_counts(found).collect()} == {"critical": 1, "high": 2, "medium": 2, "low": 2}
@@ -118,7 +118,7 @@ def test_tracked_steps_and_reports(spark, tmp_path):
     assert "steps=2 failed=1" in text and "2/3" in text and "bad&lt;er&gt;" in page
     assert tuple(M.run_kpis(M.latest_run(rows)).first()) == (2, 1, 0, 0)
     assert M.runs_over_time(rows).first()["failed_steps"] == 1
-    M.export_metrics(rows, f"{tmp_path}/out")
+    assert M.export_metrics(spark, lake, f"{tmp_path}/out") == 2
     assert spark.read.parquet(f"{tmp_path}/out").where(F.col("extra").isNotNull()).count() == 1
     assert render_html("r", []).startswith("<!doctype html>")
     with pytest.raises(RuntimeError):
@@ -130,3 +130,43 @@ def test_run_ids(monkeypatch):
     assert M.current_run_id() == "from-env" and M.current_run_id("given") == "given"
     monkeypatch.delenv("LAKEHOUSE_RUN_ID")
     assert M.current_run_id().startswith("adhoc-") and len(M.current_run_id()) == 16
+
+
+def test_moments_merge_to_those_of_all(spark):
+    import numpy as np
+
+    chance = np.random.default_rng(1)
+    rows = [(f"r{k % 7}", s, "silver", "success", 1, float(x), int(n), int(b)) for k in range(60) for s in ("a", "b") for x, n, b in [(chance.normal(1000, 3), chance.integers(0, 3) * 100, chance.integers(0, 50))]]
+    m = metrics(spark, *rows)
+    merged = {(r["step"], r["metric"]): (r["runs"], r["mean"], r["m2"]) for r in D.merged(D.moments(m, "run_id")).collect()}
+    whole = {(r["step"], r["metric"]): (r["runs"], r["mean"], r["m2"]) for r in D.moments(m).collect()}
+    assert set(merged) == set(whole) and len(whole) == 4
+    for k in whole:
+        assert merged[k] == pytest.approx(whole[k], rel=1e-9)
+    assert D.merged(D.moments(m.where("false"), "run_id")).count() == 0
+
+
+def test_past_moments_are_worked_out_once_a_run(spark, tmp_path):
+    lake = str(tmp_path)
+    for run in ("r1", "r2", "r3"):
+        with M.track_step(spark, lake, run, "p", "s", "gold") as step:
+            step.rows_read, step.rows_quarantined = 100, 5
+        past = M.past_moments(spark, lake, run)
+    held = past.where("metric = 'quarantine_ratio'").orderBy("run_id").collect()
+    assert [(r["run_id"], r["runs"], r["mean"]) for r in held] == [("r1", 1, 0.05), ("r2", 1, 0.05)]
+    assert {r["run_id"] for r in past.collect()} == {"r1", "r2"}
+
+
+def test_all_checks_in_one_scan(spark, tmp_path):
+    """Keys of several columns, doubles with both zeros, references of another type, nulls: as counted apart, in one scan."""
+    rows = [(1, "a", 0.0), (1, "a", -0.0), (2, None, 1.5), (2, None, 1.5), (3, "b", None), (None, "b", float("nan"))]
+    spark.createDataFrame(rows, "k int, s string, d double").write.parquet(f"{tmp_path}/t")
+    t, ref = spark.read.parquet(f"{tmp_path}/t"), spark.createDataFrame([(1,), (3,), (3,)], "id long")
+    suite = Suite.model_validate({"table": "t", "layer": "silver", "checks": [
+        {"type": "unique", "columns": ["k", "s", "d"]}, {"type": "unique", "columns": ["d"]}, {"type": "unique", "columns": ["s"]},
+        {"type": "referential_integrity", "column": "k", "ref_table": "r", "ref_column": "id"}, {"type": "not_null", "column": "s"}, {"type": "row_count_between", "min_rows": 1},
+    ]})
+    found = run_suite(t, suite, lambda _: ref, NOW, with_rows=True)
+    assert [r["observed"] for r in found.collect()] == ["2 duplicate keys", "2 duplicate keys", "3 duplicate keys", "2 orphaned values", "2 null values", "6 rows"]
+    assert {r["row_count"] for r in found.collect()} == {6}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1

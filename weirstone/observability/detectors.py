@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Severities from worst to least.
@@ -45,17 +45,33 @@ def quality_findings(results: DataFrame) -> DataFrame:
     return results.where(F.col("status").isin("fail", "warn")).select(*_finding(severity, title, F.col("table"), cause, advice, observed=F.col("observed"), severity=F.col("severity")))
 
 
-def _baseline(history: DataFrame, value: Column) -> DataFrame:
-    """Per step: the number, mean and population deviation of a value; rows without one don't count."""
-    held = history.select("step", value.alias("v")).where("v is not null")
-    return held.groupBy("step").agg(F.count("v").alias("runs"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+#: What of a step is held against past runs; null where a run says nothing of it.
+OBSERVED = {"quarantine_ratio": "case when rows_read > 0 then coalesce(rows_quarantined, 0) / rows_read end", "duration_s": "cast(duration_s as double)"}
 
 
-def quarantine_spikes(run: DataFrame, history: DataFrame) -> DataFrame:
-    """Steps whose quarantined share is above mean + max(2 sd, 0.01) of past runs, or 0.05 with fewer than three."""
+def moments(metrics: DataFrame, *by: str) -> DataFrame:
+    """(by, step, metric, runs, mean, m2): how often a value was observed, its mean and its squared deviations from it."""
+    values = F.array(*(F.struct(F.lit(name).alias("metric"), F.expr(value).alias("v")) for name, value in OBSERVED.items()))
+    seen = metrics.select(*by, "step", F.inline(values)).where("v is not null")
+    return seen.groupBy(*by, "step", "metric").agg(F.count("v").alias("runs"), F.avg("v").alias("mean"), (F.var_pop("v") * F.count("v")).alias("m2"))
+
+
+def merged(parts: DataFrame) -> DataFrame:
+    """(step, metric, runs, mean, m2) of several rows of moments, as if of all that they observed."""
+    of = Window.partitionBy("step", "metric")
+    whole = parts.withColumn("_mean", F.sum(F.col("runs") * F.col("mean")).over(of) / F.sum("runs").over(of))
+    off = F.col("mean") - F.col("_mean")
+    return whole.groupBy("step", "metric").agg(F.sum("runs").alias("runs"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("runs") * off * off).alias("m2"))
+
+
+def _past(baseline: DataFrame, metric: str) -> DataFrame:
+    return baseline.where(F.col("metric") == metric).select("step", "runs", "mean", F.sqrt(F.col("m2") / F.col("runs")).alias("sd"))
+
+
+def quarantine_spikes(run: DataFrame, baseline: DataFrame) -> DataFrame:
+    """Steps whose quarantined share is above mean + max(2 sd, 0.01) of past runs (merged moments), or 0.05 with fewer than three."""
     ratio = F.col("rows_quarantined") / F.col("rows_read")
-    past = _baseline(history, F.when(F.col("rows_read") > 0, F.coalesce("rows_quarantined", F.lit(0)) / F.col("rows_read")))
-    now = run.where("rows_read > 0 and rows_quarantined > 0").withColumn("ratio", ratio).join(past, "step", "left")
+    now = run.where("rows_read > 0 and rows_quarantined > 0").withColumn("ratio", ratio).join(_past(baseline, "quarantine_ratio"), "step", "left")
     known = F.coalesce(F.col("runs") >= MIN_HISTORY, F.lit(False))
     now = now.withColumn("threshold", F.when(known, F.col("mean") + F.greatest(F.col("sd") * SPIKE_SIGMAS, F.lit(SPIKE_MARGIN))).otherwise(SPIKE_STATIC))
     percent = lambda c: F.format_string("%.1f%%", F.col(c) * 100)
@@ -63,9 +79,9 @@ def quarantine_spikes(run: DataFrame, history: DataFrame) -> DataFrame:
     return now.where("ratio > threshold").select(*_finding(F.lit("medium"), F.concat(F.lit("Quarantine spike in "), _place()), F.col("step"), F.lit("Payloads changed upstream, or a producer sends more malformed events."), F.lit("Count the quarantine by reason; if a contract changed, evolve it rather than patch rows."), quarantine_ratio=percent("ratio"), threshold=percent("threshold"), basis=basis, rows_quarantined=F.col("rows_quarantined")))
 
 
-def duration_anomalies(run: DataFrame, history: DataFrame) -> DataFrame:
+def duration_anomalies(run: DataFrame, baseline: DataFrame) -> DataFrame:
     """Steps that took longer than mean + max(3 sd, 0.5 s) of at least three past runs."""
-    now = run.join(_baseline(history, F.col("duration_s")).where(F.col("runs") >= MIN_HISTORY), "step").withColumn("threshold", F.col("mean") + F.greatest(F.col("sd") * SLOW_SIGMAS, F.lit(SLOW_MARGIN)))
+    now = run.join(_past(baseline, "duration_s").where(F.col("runs") >= MIN_HISTORY), "step").withColumn("threshold", F.col("mean") + F.greatest(F.col("sd") * SLOW_SIGMAS, F.lit(SLOW_MARGIN)))
     one = lambda c: F.format_string("%.1f", F.col(c))
     return now.where("duration_s > threshold").select(*_finding(F.lit("low"), F.concat(F.lit("Duration anomaly in "), _place()), F.col("step"), F.lit("More rows, skew, or a busy machine; results are not in doubt."), F.lit("Hold rows_read against past runs; if it is level, look at file sizes and shuffles."), duration_s=one("duration_s"), baseline_mean_s=one("mean"), threshold_s=one("threshold"), history_runs=F.col("runs")))
 
@@ -74,9 +90,9 @@ def rank(severity: Column) -> Column:
     return F.array_position(F.array(*(F.lit(s) for s in SEVERITIES)), severity)
 
 
-def all_findings(run: DataFrame, history: DataFrame, results: DataFrame | None = None) -> DataFrame:
-    """Every detector's findings, worst first, then by title."""
-    found = failed_steps(run).unionByName(quarantine_spikes(run, history)).unionByName(duration_anomalies(run, history))
+def all_findings(run: DataFrame, baseline: DataFrame, results: DataFrame | None = None) -> DataFrame:
+    """Every detector's findings, worst first, then by title. ``baseline``: the merged moments of past runs."""
+    found = failed_steps(run).unionByName(quarantine_spikes(run, baseline)).unionByName(duration_anomalies(run, baseline))
     found = found.unionByName(quality_findings(results)) if results is not None else found
     return found.orderBy(rank(F.col("severity")), "title")
 

@@ -13,6 +13,8 @@ from datetime import datetime, timezone
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weirstone.observability.detectors import moments
+from weirstone.storage.export import export_table
 from weirstone.storage.table import Table
 
 #: The columns of the metrics table.
@@ -47,7 +49,14 @@ def metrics_table(spark: SparkSession, lake: str) -> Table:
 def append_row(spark: SparkSession, lake: str, run_id: str, pipeline: str, step: str, layer: str | None, started: datetime, seconds: float, said: Step) -> None:
     done = datetime.fromtimestamp(started.timestamp() + seconds, timezone.utc)
     row = (run_id, started.date(), pipeline, step, layer, said.status, started, done, seconds, said.rows_read, said.rows_written, said.rows_quarantined, said.dq_checks_passed, said.dq_checks_failed, said.dq_pass_rate, said.error, said.extra or None)
-    metrics_table(spark, lake).append(spark.createDataFrame([row], SCHEMA).coalesce(1), ["run_date"])
+    # Not under the step's tags: a step that is cancelled still gets its row.
+    context, tags = spark.sparkContext, spark.sparkContext.getJobTags()
+    context.clearJobTags()
+    try:
+        metrics_table(spark, lake).append(spark.createDataFrame([row], SCHEMA).coalesce(1), ["run_date"])
+    finally:
+        for tag in tags:
+            context.addJobTag(tag)
 
 
 @contextmanager
@@ -80,5 +89,14 @@ def run_kpis(run: DataFrame) -> DataFrame:
     return run.agg(F.count(F.lit(1)).alias("steps"), F.count_if(F.col("status") == "failed").alias("failed_steps"), total("rows_written"), total("rows_quarantined"))
 
 
-def export_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("overwrite").parquet(path)
+def export_metrics(spark: SparkSession, lake: str, path: str, file_bytes: int = 32 << 20) -> int:
+    """The metrics table as plain Parquet in files of about ``file_bytes``; the number of rows."""
+    return export_table(metrics_table(spark, lake), path, file_bytes)
+
+
+def past_moments(spark: SparkSession, lake: str, run_id: str) -> DataFrame:
+    """Moments of all runs but this one, by run. They are kept in a table: each run's are worked out once, when a later one asks."""
+    held, rows = Table(spark, f"{lake}/_observability/step_moments"), metrics_table(spark, lake).read().where(F.col("run_id") != run_id)
+    fresh = rows.join(held.read().select("run_id").distinct(), "run_id", "left_anti") if held.exists() else rows
+    held.merge_absent(moments(fresh, "run_id"), ["run_id", "step", "metric"])
+    return held.read().where(F.col("run_id") != run_id)

@@ -9,7 +9,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
-from weirstone.observability.detectors import all_findings, overall_status, split_runs
+from weirstone.observability.detectors import all_findings, merged, moments, overall_status, split_runs
 
 
 def _timeline(run: Sequence[Any]) -> list[str]:
@@ -36,10 +36,10 @@ def render(run_id: str, run: Sequence[Any], findings: Sequence[Any], status: str
     return "\n".join(parts)
 
 
-def incident_report(metrics: DataFrame, results: DataFrame | None, at: datetime, run_id: str | None = None) -> str:
-    """The report on a run (by default the last)."""
+def incident_report(metrics: DataFrame, results: DataFrame | None, at: datetime, run_id: str | None = None, past: DataFrame | None = None) -> str:
+    """The report on a run (by default the last). ``past``: moments of earlier runs, where they are kept; else they are worked out of the metrics."""
     run, history = split_runs(metrics, run_id)
-    findings = all_findings(run, history, results).persist()
+    findings = all_findings(run, merged(moments(history, "run_id") if past is None else past), results).persist()
     try:
         rows, found, status = run.orderBy("started_at").collect(), findings.collect(), overall_status(findings).first()["status"]
     finally:
