@@ -1,5 +1,6 @@
 """One small bank through the whole pipeline, twice."""
 
+import time
 import json
 from collections import Counter
 from datetime import datetime, timezone
@@ -64,7 +65,7 @@ def test_deleted_keys_have_no_current_version(run):
 
 
 def test_quality_files(run):
-    said = {p.name: json.loads(p.read_text()) for p in (run.config.storage.run_dir / "dq").iterdir()}
+    said = {p.name: json.loads(p.read_text()) for p in Path(run.checks).iterdir() if p.suffix == ".json"}
     assert set(said) == {"silver_customers.json", "silver_accounts.json", "silver_transactions.json", "gold_account_daily_metrics.json"}
     assert sum(len(x["checks"]) for x in said.values()) == 25
 
@@ -90,6 +91,37 @@ def test_needed_steps_block_the_rest(run):
 
     out = L.run_all(run, [("a", broken, False), ("b", broken, True), ("c", lambda _: None, True)])
     assert out == {"a": "failed: ValueError: no", "b": "failed: ValueError: no", "c": "skipped"}
+    assert [tuple(r) for r in M.metrics_table(run.spark, run.lake).read().where("pipeline = 'run' and step = 'c'").select("status", "error").collect()] == [("skipped", "b failed")]
+
+
+def test_a_slow_step_is_cancelled(run):
+    """Its own jobs end, others go on, later steps are skipped, and all of it is in the run's rows."""
+    other = run.__class__(run.spark, run.config, "slow-run", run.now)
+    nap = F.udf(lambda x: __import__("time").sleep(0.5) or x, "long")
+
+    def slow(r):
+        with M.track_step(r.spark, r.lake, r.run_id, "p", "slow", "silver"):
+            r.spark.range(0, 400, 1, 4).select(nap("id").alias("x")).agg(F.sum("x")).collect()
+
+    def stubborn(r):
+        for _ in range(3):
+            try:
+                slow(r)
+            except Exception:  # noqa: BLE001, S110 - it tries again
+                pass
+
+    began = time.monotonic()
+    out = L.run_all(other, [("quick", lambda r: r.spark.range(5).count(), True), ("slow", slow, False), ("stubborn", stubborn, True), ("after", slow, True)], {"*": 60, "slow": 4, "stubborn": 4})
+    assert time.monotonic() - began < 60
+    assert out["quick"] == "success" and out["after"] == "skipped"
+    assert out["slow"] == "failed: StepTimeout: slow took more than 4 s" and out["stubborn"].startswith("failed: StepTimeout")
+    rows = {(r["pipeline"], r["step"], r["status"]) for r in M.metrics_table(run.spark, run.lake).read().where("run_id = 'slow-run'").collect()}
+    assert rows >= {("p", "slow", "failed"), ("run", "slow", "failed"), ("run", "stubborn", "failed"), ("run", "after", "skipped")}
+    assert run.spark.range(7).count() == 7
+
+
+def test_limits_of_the_command_line():
+    assert L._limits(["90", "gold=5", "marts=2.5"]) == {"*": 90.0, "gold": 5.0, "marts": 2.5} and L._limits([]) == {}
 
 
 def test_generators_repeat_themselves(tmp_path):
@@ -138,7 +170,7 @@ def test_table_versions(spark, tmp_path):
     with pytest.raises(TypeError):
         t.append(spark.createDataFrame([("x",)], "k string"))
     assert t.merge_absent(rows((5, "no"), (6, "f"), (6, "f")), ["k"]) == 2 and t.read().count() == 6
-    assert len(t.vacuum()) > 0 and t.read().count() == 6
+    assert t.vacuum() == [] and len(t.vacuum(unlisted_s=0)) > 0 and t.read().count() == 6
 
 
 def test_a_claim_whose_writer_is_gone(spark, tmp_path, monkeypatch):

@@ -4,12 +4,13 @@ import pytest
 from weirstone.governance import access_matrix, pii_inventory, pii_tag_sql, render_access_matrix
 from weirstone.retrieval import chunks, embed, index
 from weirstone.retrieval.corpus import write_corpus
+from weirstone.storage.table import Files
 
 
 @pytest.fixture(scope="module")
 def corpus(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("corpus")
-    write_corpus(folder)
+    write_corpus(Files(spark, str(folder)))
     return str(folder)
 
 
@@ -84,3 +85,20 @@ def test_access_matrix(spark):
 def test_pii(spark):
     assert pii_inventory(spark).count() == 9
     assert pii_tag_sql().count("SET TAGS") == 9 and pii_tag_sql().startswith("-- accounts (contract v1)\nALTER TABLE silver.banking.accounts ALTER COLUMN balance SET TAGS")
+
+
+@pytest.mark.parametrize("blocks", [(8192, 1024), (7, 3)])
+def test_many_questions_at_once(spark, monkeypatch, blocks):
+    monkeypatch.setattr(index, "ROW_BLOCK", blocks[0])
+    monkeypatch.setattr(index, "QUESTION_BLOCK", blocks[1])
+    chance = np.random.default_rng(3)
+    vectors = np.round(chance.normal(size=(60, 5)), 1)
+    vectors[10:20] = vectors[0]  # ties
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)] + [(99, None)], "id long, vec array<double>")
+    found = index.top_k_many(rows, rows.where("id % 6 = 0"), 4)
+    got = {}
+    for r in found.orderBy("question", "rank").collect():
+        got.setdefault(r["question"], []).append((r["id"], round(r["score"], 9)))
+    scores = vectors @ vectors.T
+    assert got == {q: [(k, round(float(scores[q, k]), 9)) for k in sorted(range(60), key=lambda k: (-round(scores[q, k], 12), -k))[:4]] for q in range(0, 60, 6)}
+    assert index.top_k_many(rows.limit(0), rows, 4).count() == 0 == index.top_k_many(rows, rows.limit(0), 4).count()

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirstone.config import Config, Entity, Source, Storage
-from weirstone.contracts import Contract, check_all, check_compatibility
+from weirstone.contracts import Contract, breaks, observed_fields
 from weirstone.functions import dot
-from weirstone.governance import access_matrix, pii_inventory
+from weirstone.governance import pii_in_rows, privileges_by_principal
 from weirstone.observability import detectors as D
 from weirstone.observability import metrics as M
 from weirstone.operators import dedup, enforcement, envelope, gold, marts, merge, reconcile, scd2
@@ -22,9 +22,10 @@ from weirstone.quality.runner import run_suite, suite_summary
 from weirstone.quality.suite import Suite
 from weirstone.retrieval import chunks, embed, index
 from weirstone.sources.files import Feed, copy_into
+from weirstone.storage.export import export_table
 from weirstone.storage.scratch import scratch_folder
-from weirstone.storage.table import Table
-from weirstone.streaming.ingest import run_stream
+from weirstone.storage.table import Files, Layout, Table
+from weirstone.streaming.ingest import bronze, run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -189,47 +190,49 @@ _VIOLATIONS = """case when o_orderkey % 17 = 0 then '' when o_orderkey % 13 = 0
 
 @query(f"select o_orderkey as id, {_VIOLATIONS} as violations from orders where {_VIOLATIONS} <> ''")
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, broken, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT)
+    _, broken, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT, before=False)
     return broken.select(F.col("lsn").alias("id"), F.array_join("violations", ",").alias("violations"))
 
 
 @query(f"select case when {_VIOLATIONS} = '' then 'valid' else 'quarantined' end as side, count(*) as n from orders group by 1")
 def contract_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, broken, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT)
+    valid, broken, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT, before=False)
     sides = valid.select(F.lit("valid").alias("side")).union(broken.select(F.lit("quarantined").alias("side")))
     return sides.groupBy("side").agg(F.count("*").alias("n"))
 
 
 @query(f"select o_orderkey as id, round(cast(o_totalprice as decimal(18,2)), 2) as price from orders where {_VIOLATIONS} = '' and o_orderkey % 17 <> 0")
 def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid, _, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT)
+    valid, _, _ = enforcement.enforce_contract(_order_events(spark, sf_dir), ORDER_CONTRACT, before=False)
     return scd2.fact_rows(valid, ORDER_CONTRACT).select("id", "price")
 
 
-#: The order contract as later versions might be: (name, keys of the contract, changes by field, fields left out, fields put in).
-_LATER = [
-    ("same", {}, {}, (), ()),
-    ("optional", {}, {}, (), ({"name": "remark", "type": "string"},)),
-    ("narrow", {}, {"status": {"allowed_values": ["F"]}}, ("price",), ({"name": "must", "type": "date", "nullable": False},)),
-    ("rekeyed", {"event_time_field": "price"}, {"price": {"type": "double"}}, (), ()),
-]
+_DAY = "datediff('day', date '2023-12-31', cast(valid_at as date))"
 
 
-def _later(keys: dict, changes: dict, left_out: tuple, put_in: tuple) -> Contract:
-    raw = ORDER_CONTRACT.model_dump()
-    fields = [f | changes.get(f["name"], {}) for f in raw["fields"] if f["name"] not in left_out]
-    return Contract.model_validate(raw | {"version": 2, "fields": [*fields, *put_in]} | keys)
-
-
-@query("""
-select * from (values ('narrow', 0, 'status lost allowed values [''O'']'), ('narrow', 1, 'field removed: price'), ('narrow', 2, 'new field must be nullable: must'),
-  ('rekeyed', 0, 'event_time_field changed from id to price'), ('rekeyed', 1, 'type of price changed from decimal(18,2) to double')) t(step, no, break)
+@query(f"""
+with rows as (select coalesce(source, '') as contract, cast({_DAY} as int) as version, op, segment, balance from client_changes where valid_at is not null),
+seen as (select contract, version, 'op' as field, op as value, 'string' as type from rows union all select contract, version, 'segment', segment, 'string' from rows
+  union all select contract, version, 'balance', cast(balance as varchar), case when balance is not null then case when balance = floor(balance) then 'bigint' else 'double' end end from rows),
+f as (select contract, version, field, max(type) as type, bool_or(value is null) as nullable, case when field <> 'balance' then list_sort(list(distinct value) filter (value is not null)) end as vals
+  from seen group by contract, version, field having count(value) > 0),
+steps as (select contract, version, lag(version) over (partition by contract order by version) as old_version from (select distinct contract, version from f)),
+b as (select s.contract, s.old_version, s.version, coalesce(n.field, o.field) as field, o.type as otype, n.type as ntype, o.nullable as onull, n.nullable as nnull,
+    list_sort(list_filter(coalesce(o.vals, []), lambda x: not list_contains(coalesce(n.vals, []), x))) as lost, o.field is null as fresh, n.field is null as gone
+  from steps s join (select distinct contract, field from f) k on k.contract = s.contract
+  left join f n on n.contract = s.contract and n.version = s.version and n.field = k.field left join f o on o.contract = s.contract and o.version = s.old_version and o.field = k.field
+  where s.old_version is not null and (n.field is not null or o.field is not null))
+select contract, old_version, version, field, 'removed' as kind, '' as detail from b where gone
+union all select contract, old_version, version, field, 'added_required', '' from b where fresh and not nnull
+union all select contract, old_version, version, field, 'type_changed', otype || ' to ' || ntype from b where otype <> ntype
+union all select contract, old_version, version, field, 'became_required', '' from b where onull and not nnull
+union all select contract, old_version, version, field, 'values_lost', array_to_string(lost, ',') from b where len(lost) > 0 and not gone
 """)
 def contract_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks between the shipped contracts' versions (none), and between the order contract and made-up later ones."""
-    made = {name: check_compatibility(ORDER_CONTRACT, _later(*rest)) for name, *rest in _LATER}
-    rows = [(step, i, b) for step, breaks in (check_all() | made).items() for i, b in enumerate(breaks)]
-    return spark.createDataFrame(rows, "step string, no int, break string")
+    """The contract that each source's changes keep on a day, as their rows show it, and what each day breaks of the one before."""
+    rows = table(spark, sf_dir, "client_changes").where("valid_at is not null")
+    day = F.date_diff(F.col("valid_at").cast("date"), F.lit("2023-12-31").cast("date"))
+    return breaks(observed_fields(rows, F.coalesce("source", F.lit("")), day, ("op", "segment"), ("balance",)))
 
 
 # --- histories ----------------------------------------------------------------------------------
@@ -282,8 +285,9 @@ def scd2_merge_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table with the history of two thirds of the events, into which the whole one is merged: late events close and split
     versions. What only the early history has (versions that the whole one gives no time) stays as it was."""
     held = Table(spark, scratch_folder(spark, "history"))
-    held.append(_versions(spark, sf_dir, F.col("event_id") % 3 != 0))
-    held.merge(_versions(spark, sf_dir), ["user_id", "event_id", "valid_from"], ["valid_to", "is_current", "is_deleted"])
+    keys = ["user_id", "event_id", "valid_from"]
+    held.overwrite(_versions(spark, sf_dir, F.col("event_id") % 3 != 0), layout=Layout(tuple(keys), 8))
+    held.merge(_versions(spark, sf_dir), keys, ["valid_to", "is_current", "is_deleted"])
     return held.read()
 
 
@@ -597,28 +601,40 @@ def _every_run_against_history(sql: str) -> str:
     return f"with {_METRICS.replace('run as (select * from m where run_id in (select run_id from last))', 'run as (select * from m)').replace('hist as (select * from m where run_id not in (select run_id from last))', 'hist as (select * from m where cast(right(run_id, 2) as int) % 2 = 1)')} {sql}"
 
 
+def _kept_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run metrics as a table, so that detectors don't work them out anew."""
+    folder = scratch_folder(spark, "run-metrics")
+    _metrics(spark, sf_dir).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+def _last_and_past(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(the last run's rows, what is merged from the moments of each other run)."""
+    run, history = D.split_runs(_kept_metrics(spark, sf_dir))
+    return run, D.merged(D.moments(history, "run_id"))
+
+
 def _odd_days(metrics: DataFrame) -> DataFrame:
     return metrics.where(F.right("run_id", F.lit(2)).cast("int") % 2 == 1)
 
 
 @query(_every_run_against_history(_SPIKES))
 def quarantine_spike(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _metrics(spark, sf_dir)
-    return _shown(D.quarantine_spikes(m, _odd_days(m)))
+    m = _kept_metrics(spark, sf_dir)
+    return _shown(D.quarantine_spikes(m, D.merged(D.moments(_odd_days(m), "run_id"))))
 
 
 @query(_every_run_against_history(_SLOW))
 def duration_anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _metrics(spark, sf_dir)
-    return _shown(D.duration_anomalies(m, _odd_days(m)))
+    m = _kept_metrics(spark, sf_dir)
+    return _shown(D.duration_anomalies(m, D.merged(D.moments(_odd_days(m), "run_id"))))
 
 
 @query(f"""with {_METRICS}, f as ({_FAILED} union all {_SPIKES} union all {_SLOW}
   union all select case status when 'fail' then 'high' else case when description like 'referential_integrity%' then 'medium' else 'low' end end, case status when 'fail' then 'DQ check failed on orders: ' else 'DQ warning on orders: ' end || description, 'orders' from ({_EVERY_CHECK}) where status <> 'pass')
 select severity, title, affected from f""")
 def incident_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run, history = D.split_runs(_metrics(spark, sf_dir))
-    return _shown(D.all_findings(run, history, _order_checks(spark, sf_dir).withColumn("table", F.lit("orders"))))
+    return _shown(D.all_findings(*_last_and_past(spark, sf_dir), _order_checks(spark, sf_dir).withColumn("table", F.lit("orders"))))
 
 
 _STATUS = """case min(case severity when 'critical' then 1 when 'high' then 2 when 'medium' then 3 when 'low' then 4 end) when 1 then 'SEV-1 CANDIDATE' when 2 then 'SEV-2 CANDIDATE'
@@ -627,7 +643,7 @@ _STATUS = """case min(case severity when 'critical' then 1 when 'high' then 2 wh
 
 @query(f"with {_METRICS}, f as ({_FAILED} union all {_SPIKES} union all {_SLOW}) select {_STATUS} as status, count(*) as n_findings from f")
 def overall_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.overall_status(D.all_findings(*D.split_runs(_metrics(spark, sf_dir))))
+    return D.overall_status(D.all_findings(*_last_and_past(spark, sf_dir)))
 
 
 @query(f"with {_METRICS} select severity, count(*) as n from ({_FAILED.replace('from run', 'from m')}) group by 1")
@@ -648,6 +664,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.top_k(e, asked, 10, "embedding", "vec_id").select("vec_id", F.round("score", 9).alias("score"))
 
 
+@query("""
+with q as (select vec_id as question, cast(embedding as double[]) as qe from embeddings where vec_id % 20 = 0), r as (select vec_id as id, cast(embedding as double[]) as e from embeddings where embedding is not null),
+s as (select question, id, list_inner_product(e, qe) as score from r, q where qe is not null),
+k as (select *, cast(row_number() over (partition by question order by score desc, id desc) as int) as rank from s)
+select question, id, round(score, 9) as score, rank from k where rank <= 10
+""")
+def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of all vectors for each whose id is divisible by 20."""
+    e = table(spark, sf_dir, "embeddings")
+    return index.top_k_many(e, e.where("vec_id % 20 = 0"), 10, "embedding", "vec_id").withColumn("score", F.round("score", 9))
+
+
 def _pages_as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in a Markdown frame: the first line under a title, the rest as paragraphs."""
     d = table(spark, sf_dir, "documents")
@@ -708,20 +736,26 @@ def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-select * from (values ('analysts', 'group', '—', 'SELECT', '—'), ('data-engineers', 'group', 'SELECT, MODIFY, CREATE_TABLE', 'SELECT, MODIFY, CREATE_TABLE', 'SELECT, MODIFY, CREATE_TABLE'),
-  ('svc-ingest', 'service_principal', 'SELECT, MODIFY, CREATE_TABLE', '—', '—'), ('svc-transform', 'service_principal', 'SELECT', 'SELECT, MODIFY, CREATE_TABLE', 'SELECT, MODIFY, CREATE_TABLE')) t(principal, kind, bronze, gold, silver)
+with held as (select coalesce(source, '') as principal, coalesce(segment, '') as securable, op from client_changes),
+cells as (select principal, securable, string_agg(distinct op, ', ' order by op) as shown from held where op is not null group by 1, 2)
+select principal, case when min(n) over () > 0 then 'source' end as kind, coalesce(export, '—') as export, coalesce(online, '—') as online, coalesce(public, '—') as public, coalesce(retail, '—') as retail, coalesce(wholesale, '—') as wholesale
+from (select principal, count(*) as n, max(shown) filter (securable = 'export') as export, max(shown) filter (securable = 'online') as online, max(shown) filter (securable = 'public') as public,
+  max(shown) filter (securable = 'retail') as retail, max(shown) filter (securable = 'wholesale') as wholesale from (select distinct principal from held) p left join cells using (principal) group by principal)
 """)
 def grants_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return access_matrix(spark)
+    """What each source does to clients of each segment, as a matrix: the kinds of its changes stand for privileges."""
+    c = table(spark, sf_dir, "client_changes").select(F.coalesce("source", F.lit("")).alias("principal"), F.coalesce("segment", F.lit("")).alias("securable"), "op")
+    held = c.groupBy("principal", "securable").agg(F.sort_array(F.collect_set("op")).alias("privileges"))
+    return privileges_by_principal(c.select("principal", F.lit("source").alias("kind")).distinct(), held, ("export", "online", "public", "retail", "wholesale"))
 
 
 @query("""
-select table_name, cast(version as int) as version, column_name, category from (values ('accounts', 1, 'balance', 'financial'), ('customers', 2, 'full_name', 'direct_identifier'), ('customers', 2, 'email', 'direct_identifier'),
-  ('customers', 2, 'phone', 'direct_identifier'), ('customers', 2, 'address', 'quasi_identifier'), ('loan_applications', 1, 'amount', 'financial'), ('loan_applications', 1, 'credit_score', 'sensitive'),
-  ('transactions', 1, 'amount', 'financial'), ('transactions', 1, 'counterparty', 'quasi_identifier')) t(table_name, version, column_name, category)
+select 'name' as column_name, 'direct_identifier' as category, count(name) as filled, count(distinct name) as distinct_values from clients union all select 'email', 'direct_identifier', count(email), count(distinct email) from clients
+union all select 'city', 'quasi_identifier', count(city), count(distinct city) from clients union all select 'balance', 'financial', count(balance), count(distinct balance) from clients
 """)
 def pii_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_inventory(spark)
+    """The tagged columns of clients, and how many values of them the table holds."""
+    return pii_in_rows(table(spark, sf_dir, "clients"), {"name": "direct_identifier", "email": "direct_identifier", "city": "quasi_identifier", "balance": "financial"})
 
 
 # --- streaming and tables -----------------------------------------------------------------------
@@ -741,7 +775,7 @@ def stream_ingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = Config(source=Source(cdc_landing_dir=f"{folder}/cdc", cdc_pattern="*.txt"), storage=Storage(lakehouse_root=f"{folder}/lake", checkpoints_dir=f"{folder}/checkpoints"), entities=[Entity(name="events", primary_key="event_id", scd="type2")])
     run_stream(spark, config, "run-1")
     run_stream(spark, config, "run-2")
-    read = lambda name: Table(spark, config.table("bronze", name)).read().select(F.lit(name).alias("table_name"))
+    read = lambda name: bronze(spark, config).read(name).select(F.lit(name).alias("table_name"))
     return read("events").union(read("_quarantine")).groupBy("table_name").agg(F.count("*").alias("n"))
 
 
@@ -781,7 +815,7 @@ def run_metrics_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             step.rows_written = table(spark, sf_dir, "region").count()
             raise ValueError("broken")
     except ValueError:
-        M.export_metrics(M.metrics_table(spark, lake).read(), f"{lake}/export")
+        M.export_metrics(spark, lake, f"{lake}/export")
     return spark.read.parquet(f"{lake}/export").select("step", "status", "rows_read", "rows_written", "error")
 
 
@@ -795,3 +829,42 @@ def copy_into_once(spark: SparkSession, sf_dir: str) -> DataFrame:
         copy_into(spark, f"{folder}/landing", f"{folder}/lake", "run", feeds)
     rows = Table(spark, f"{folder}/lake/nation").read()
     return rows.select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("int").alias("n_regionkey"), "_run_id")
+
+
+@query("select p_partkey, p_name, p_brand, p_size, cast(4 as bigint) as n_files from part")
+def copy_into_odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts in four files whose names and folder have blanks, percent signs and letters beyond ASCII, loaded twice: by a URI, then by a path."""
+    folder = scratch_folder(spark, "odd names %20 é")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    rows.repartition(4, "p_partkey").write.option("header", "true").csv(f"{folder}/landing/part")
+    files = Files(spark, f"{folder}/landing/part")
+    for old, new in zip([n for n in files.names("") if n.startswith("part-")], ("a b.csv", "a%41.csv", "a+b%20.csv", "日 é.csv"), strict=True):
+        files.rename(old, new)
+    feeds = {"part": Feed("csv", "*.csv", {"header": "true"})}
+    for root in (folder if ":" in folder else f"file:{folder}", folder):
+        copy_into(spark, f"{root}/landing", f"{folder}/lake", "run", feeds)
+    ledger = Table(spark, f"{folder}/lake/_copy_ledger").read().where("rows_loaded > 0").agg(F.count("*").alias("n_files"))
+    loaded = Table(spark, f"{folder}/lake/part").read().select(F.col("p_partkey").cast(rows.schema["p_partkey"].dataType).alias("p_partkey"), "p_name", "p_brand", F.col("p_size").cast(rows.schema["p_size"].dataType).alias("p_size"))
+    return loaded.withColumn("n_files", F.lit(ledger.first()["n_files"]))
+
+
+@query("select c_custkey, case when c_custkey % 100 = 0 then 'new' else c_mktsegment end as segment from customer")
+def table_merge_touched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in buckets of its keys, into which a hundredth of the keys is merged: only the buckets of these are read and written."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    held = Table(spark, scratch_folder(spark, "touched"))
+    held.overwrite(c, layout=Layout(("c_custkey",)))
+    held.merge(c.where("c_custkey % 100 = 0").withColumn("segment", F.lit("new")), ["c_custkey"], ["segment"])
+    return held.read()
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, true as sized from lineitem")
+def export_sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items exported from a table in files of half a megabyte: as many as their bytes ask for, and all rows."""
+    folder, size = scratch_folder(spark, "export"), 1 << 19
+    held = Table(spark, f"{folder}/table")
+    held.append(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))
+    n = export_table(held, f"{folder}/out", size)
+    files = [x for x in Files(spark, f"{folder}/out").names("") if x.startswith("part-")]
+    out = spark.read.parquet(f"{folder}/out")
+    return out.withColumn("sized", F.lit(len(files) == max(1, -(-held.bytes() // size)) and n == held.read().count()))

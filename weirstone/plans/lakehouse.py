@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import argparse
-from collections.abc import Callable, Sequence
+import time
+import uuid
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,11 +29,15 @@ from weirstone.quality.suite import MART_SUITES
 from weirstone.retrieval import index
 from weirstone.retrieval.chunks import chunk_corpus
 from weirstone.retrieval.corpus import write_corpus
-from weirstone.retrieval.embed import default_embedder
+from weirstone.retrieval.embed import HashingEmbedder
 from weirstone.session import build_session
 from weirstone.sources.files import copy_into
-from weirstone.storage.table import Table
-from weirstone.streaming.ingest import run_stream
+from weirstone.storage.export import export_table
+from weirstone.storage.table import Files, Table
+from weirstone.streaming.ingest import bronze, run_stream
+
+#: Bytes of an exported file.
+EXPORT_BYTES = 128 << 20
 
 BATCH_TABLES = ("branches", "products", "fx_rates")
 
@@ -48,12 +55,18 @@ class Run:
     def lake(self) -> str:
         return self.config.storage.lakehouse_root
 
+    @property
+    def checks(self) -> str:
+        """Where the outcomes of suites are, in the lake's store."""
+        return f"{self.lake}/_observability/checks"
+
     def table(self, layer: str, name: str) -> Table:
         return Table(self.spark, self.config.table(layer, name))
 
     def read(self, place: str) -> DataFrame:
-        """A table by 'layer/name'."""
-        return self.table(*place.split("/", 1)).read()
+        """A table by 'layer/name'; those of bronze as of the last whole batch."""
+        layer, name = place.split("/", 1)
+        return bronze(self.spark, self.config).read(name) if layer == "bronze" else self.table(layer, name).read()
 
 
 def run_bronze(run: Run, mode: str | None = None, strict: bool = False) -> dict[str, int]:
@@ -77,7 +90,7 @@ def historize(run: Run, contract: Contract, scd: str, changed_since: str | None
     that have events since are worked out anew, over their whole history.
     """
     name = contract.contract
-    events = run.table("bronze", name).read()
+    events = run.read(f"bronze/{name}")
     valid, broken, _ = enforcement.enforce_contract(events, contract)
     if changed_since:
         key = F.coalesce(f"after.{contract.primary_key[0]}", f"before.{contract.primary_key[0]}")
@@ -156,37 +169,41 @@ def run_marts(run: Run) -> dict[str, int]:
         step.dq_checks_passed = sum(r.count("pass") for r in results)
         step.dq_checks_failed = sum(r.count("fail") + r.count("warn") for r in results)
         if broken := [f"{r.table}: {c['description']}" for r in results for c in r.checks if c["status"] == "fail"]:
-            raise ValueError(f"mart checks failed: {broken}")
+            raise ChecksFailed("; ".join(broken))
     return counts
 
 
-def run_export(run: Run) -> dict[str, int]:
-    """Silver and batch tables as plain Parquet, for engines that know no versions."""
+def run_export(run: Run, file_bytes: int = EXPORT_BYTES) -> dict[str, int]:
+    """Silver and batch tables as plain Parquet in files of about ``file_bytes``, for engines that know no versions."""
     out = {}
     with M.track_step(run.spark, run.lake, run.run_id, "silver", "export", "silver") as step:
         for layer, names in (("silver", [e.name for e in run.config.entities]), ("bronze", BATCH_TABLES)):
             for name in names:
                 if run.table(layer, name).exists():
-                    path = f"{run.config.storage.exports_dir}/silver/{name}"
-                    run.table(layer, name).read().write.mode("overwrite").parquet(path)
-                    out[name] = run.spark.read.parquet(path).count()
+                    out[name] = export_table(run.table(layer, name), f"{run.config.storage.exports_dir}/silver/{name}", file_bytes)
         step.rows_written = sum(out.values())
     return out
 
 
+class ChecksFailed(RuntimeError):
+    """Checks of error severity failed; the message names them."""
+
+
 def run_quality(run: Run) -> list:
+    """Run all suites; their outcomes are written before a failed check fails the step."""
     with M.track_step(run.spark, run.lake, run.run_id, "quality", "suites") as step:
-        results = run_suites(load_suites(), run.read, run.now, run.config.storage.run_dir / "dq")
+        results = run_suites(load_suites(), run.read, run.now, run.checks)
         step.dq_checks_passed = sum(r.count("pass") for r in results)
         step.dq_checks_failed = sum(r.count("fail") + r.count("warn") for r in results)
         step.dq_pass_rate = step.dq_checks_passed / max(1, step.dq_checks_passed + step.dq_checks_failed)
-        step.status = "failed" if any(r.count("fail") for r in results) else "success"
+        if broken := [f"{r.table}: {c['description']}" for r in results for c in r.checks if c["status"] == "fail"]:
+            raise ChecksFailed("; ".join(broken))
     return results
 
 
 def run_report(run: Run) -> tuple[Path, Path]:
     rows = M.metrics_table(run.spark, run.lake).read()
-    M.export_metrics(rows, f"{run.config.storage.exports_dir}/observability/pipeline_run_metrics")
+    M.export_metrics(run.spark, run.lake, f"{run.config.storage.exports_dir}/observability/pipeline_run_metrics")
     text, page = report(rows)
     folder = run.config.storage.reports_dir
     folder.mkdir(parents=True, exist_ok=True)
@@ -197,12 +214,12 @@ def run_report(run: Run) -> tuple[Path, Path]:
 
 
 def run_incidents(run: Run) -> Path:
-    folder = run.config.storage.run_dir / "dq"
     results = None
-    if folder.exists():
-        raw = run.spark.read.json(str(folder), multiLine=True)
+    if Files(run.spark, run.checks).exists():
+        raw = run.spark.read.json(run.checks, multiLine=True)
         results = raw.select("table", F.explode("checks").alias("c")).select("table", "c.*")
-    text = incident_report(M.metrics_table(run.spark, run.lake).read(), results, run.now, run.run_id)
+    past = M.past_moments(run.spark, run.lake, run.run_id)
+    text = incident_report(M.metrics_table(run.spark, run.lake).read(), results, run.now, run.run_id, past)
     path = run.config.storage.reports_dir / f"incident_{run.run_id}.md"
     path.parent.mkdir(parents=True, exist_ok=True)
     path.write_text(text, encoding="utf-8")
@@ -219,14 +236,24 @@ def run_governance(run: Run) -> list[Path]:
     return list(files)
 
 
+def build_retrieval(run: Run, seed: int = 42) -> str:
+    """Write the sample corpus and index it; the index's place."""
+    corpus, place = f"{run.config.storage.exports_dir}/retrieval_corpus", f"{run.config.storage.exports_dir}/retrieval_index"
+    write_corpus(Files(run.spark, corpus), seed)
+    index.save_index(index.build_index(chunk_corpus(run.spark, corpus), HashingEmbedder()), place)
+    return place
+
+
+def ask(run: Run, question: str, k: int = 3) -> str:
+    """The answer to a question from the index as it is; a passage and where else to look."""
+    held = index.load_index(run.spark, f"{run.config.storage.exports_dir}/retrieval_index")
+    return index.format_answer(question, index.search(held, HashingEmbedder(), question, k).collect())
+
+
 def run_retrieval(run: Run, questions: Sequence[str] = ("How long are bronze events kept?", "Who may read gold tables?"), k: int = 3, seed: int = 42) -> list[str]:
     """Write the sample corpus, index it, and answer questions from it."""
-    corpus, place = run.config.storage.run_dir / "corpus", f"{run.config.storage.exports_dir}/retrieval_index"
-    write_corpus(corpus, seed)
-    embedder = default_embedder()
-    index.save_index(index.build_index(chunk_corpus(run.spark, str(corpus)), embedder), place)
-    held = index.load_index(run.spark, place)
-    return [index.format_answer(q, index.search(held, embedder, q, k).collect()) for q in questions]
+    build_retrieval(run, seed)
+    return [ask(run, q, k) for q in questions]
 
 
 def land(run: Run, events: int = 2000, seed: int = 42, corrupt_pct: float = 2.0) -> changes.Summary:
@@ -252,42 +279,108 @@ STEPS: list[tuple[str, Callable[[Run], Any], bool]] = [
 ]
 
 
-def run_all(run: Run, steps: list[tuple[str, Callable[[Run], Any], bool]] | None = None) -> dict[str, str]:
-    """All steps in order. After a needed one fails, the rest are skipped; other failures are noted."""
-    out, blocked = {}, False
+class StepTimeout(RuntimeError):
+    """A step took longer than it may; its jobs were cancelled."""
+
+
+#: Seconds that a step whose jobs were cancelled gets to come to its end.
+GRACE_S = 30
+
+
+def within(run: Run, name: str, step: Callable[[Run], Any], limit_s: float) -> None:
+    """Call a step; once it has taken ``limit_s`` seconds, cancel its Spark jobs, and those it still begins, and fail.
+
+    The step runs in a thread whose jobs carry a tag of their own, so no other job is touched. Code that
+    never comes back to Spark can't be stopped; after ``GRACE_S`` more seconds it is left behind.
+    """
+    context, tag, outcome = run.spark.sparkContext, f"step-{uuid.uuid4().hex}", []
+
+    def body() -> None:
+        context.addJobTag(tag)
+        try:
+            step(run)
+            outcome.append(None)
+        except Exception as e:  # noqa: BLE001 - it goes on in the caller
+            outcome.append(e)
+        finally:
+            context.removeJobTag(tag)
+
+    thread = InheritableThread(target=body, daemon=True)
+    thread.start()
+    thread.join(limit_s)
+    if not thread.is_alive():
+        if outcome and outcome[0] is not None:
+            raise outcome[0]
+        return
+    end = time.monotonic() + GRACE_S
+    while thread.is_alive() and time.monotonic() < end:
+        context.cancelJobsWithTag(tag)
+        thread.join(0.5)
+    raise StepTimeout(f"{name} took more than {limit_s:g} s")
+
+
+def run_all(run: Run, steps: list[tuple[str, Callable[[Run], Any], bool]] | None = None, limits: Mapping[str, float] | None = None) -> dict[str, str]:
+    """All steps in order. After a needed one fails, the rest are skipped; other failures are noted.
+
+    ``limits`` has the seconds that steps may take; ``*`` stands for those not named. A skipped step
+    has a row in the run metrics too, and one that was stopped before it could write its own.
+    """
+    out, blocked, limits = {}, None, limits or {}
     for name, step, needed in steps if steps is not None else STEPS:
+        began, at = time.monotonic(), datetime.now(timezone.utc)
+        note = lambda status, error: M.append_row(run.spark, run.lake, run.run_id, "run", name, None, at, time.monotonic() - began, M.Step(status=status, error=error))  # noqa: B023, E731
         if blocked:
             out[name] = "skipped"
+            note("skipped", f"{blocked} failed")
             continue
+        limit = limits.get(name, limits.get("*"))
         try:
-            step(run)
+            step(run) if limit is None else within(run, name, step, limit)
             out[name] = "success"
         except Exception as e:  # noqa: BLE001 - the outcome is the report
             out[name] = f"failed: {type(e).__name__}: {e}"
-            blocked = needed
+            blocked = name if needed else None
+            if isinstance(e, StepTimeout):
+                note("failed", str(e))
     return out
 
 
+def _limits(given: Sequence[str]) -> dict[str, float]:
+    """From ``step=seconds`` or plain seconds for all steps."""
+    pairs = (text.rpartition("=") for text in given)
+    return {name or "*": float(seconds) for name, _, seconds in pairs}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description="Run the lakehouse pipeline, or one step of it.")
-    parser.add_argument("step", nargs="?", default="all", choices=["all", "land", *(n for n, _, _ in STEPS)])
+    parser.add_argument("step", nargs="?", default="all", choices=["all", "land", "ask", *(n for n, _, _ in STEPS)])
     parser.add_argument("--config")
     parser.add_argument("--root", default=".")
     parser.add_argument("--run-id")
     parser.add_argument("--events", type=int, default=2000)
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--corrupt-pct", type=float, default=2.0)
+    parser.add_argument("--limit", action="append", default=[], metavar="STEP=SECONDS", help="how long a step may take, or SECONDS for every step; may be given again")
+    parser.add_argument("--build", action="store_true", help="ask: write and index the corpus first")
+    parser.add_argument("--query", help="ask: the question")
+    parser.add_argument("--top-k", type=int, default=3, help="ask: how many passages")
     parser.add_argument("--now", help="reference time of freshness checks, ISO")
     given = parser.parse_args(argv)
     config = load_config(given.config, root=given.root)
     spark = build_session(memory=config.spark.driver_memory, shuffle_partitions=config.spark.shuffle_partitions)
     now = datetime.fromisoformat(given.now) if given.now else datetime.now(timezone.utc)
     run = Run(spark, config, M.current_run_id(given.run_id), now)
+    if given.step == "ask":
+        if given.build:
+            print(build_retrieval(run, given.seed))
+        if given.query:
+            print(ask(run, given.query, given.top_k))
+        return 0
     if given.step in ("all", "land"):
         print(land(run, given.events, given.seed, given.corrupt_pct))
     if given.step == "land":
         return 0
-    done = run_all(run, [s for s in STEPS if given.step in ("all", s[0])])
+    done = run_all(run, [s for s in STEPS if given.step in ("all", s[0])], _limits(given.limit))
     for name, outcome in done.items():
         print(f"{name:20s} {outcome}")
     return int(any(x != "success" for x in done.values()))

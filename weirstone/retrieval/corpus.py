@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import random
-from pathlib import Path
+
+from weirstone.storage.table import Files
 
 TOPICS = {
     "data-retention-policy": ("Data Retention Policy", [("Retention periods", "Bronze events are kept for 400 days. Silver histories are kept for seven years. Quarantined rows are kept for 90 days."), ("Deletion", "Erased records leave a closed version in the history; the payload is purged from bronze when its retention ends.")]),
@@ -15,13 +16,11 @@ TOPICS = {
 }
 
 
-def write_corpus(folder: str | Path, seed: int = 42) -> list[Path]:
-    """The same files for the same seed."""
-    out, chance, paths = Path(folder), random.Random(seed), []
-    out.mkdir(parents=True, exist_ok=True)
+def write_corpus(files: Files, seed: int = 42) -> list[str]:
+    """The same files for the same seed, in a folder of any store; their names."""
+    chance, names = random.Random(seed), []
     for name, (title, sections) in TOPICS.items():
         front = f"# {title}\n\nDocument {chance.randint(100, 999)}, revision {chance.randint(1, 9)}.\n"
-        path = out / f"{name}.md"
-        path.write_text(front + "".join(f"\n## {head}\n\n{body}\n" for head, body in sections), encoding="utf-8")
-        paths.append(path)
-    return paths
+        names.append(f"{name}.md")
+        files.write(names[-1], front + "".join(f"\n## {head}\n\n{body}\n" for head, body in sections))
+    return names
