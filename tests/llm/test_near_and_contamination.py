@@ -153,7 +153,7 @@ def test_a_passage_that_many_items_share_stays_linear(prose):
     passage = prose(1, 30)
     items = [(str(k), f"own{k} {passage} end{k}") for k in range(300)]
     tests = decontam.Suffixes(items, 10)
-    n_words, n_hit, spans, found = decontam.matches(pa.array([" ".join([passage] * 300), passage, "x"]), tests)
+    n_words, n_hit, spans, found = decontam.matches(pa.array([" ".join([passage] * 300), passage, "x"]), [tests], tests.longest)
     assert n_words.tolist() == n_hit.tolist()[:2] + [1] and n_hit.tolist() == [9000, 30, 0]
     assert [len(x) for x in spans.to_pylist()][1:] == [1, 0] and len(spans[0]) <= 600
     assert [len(x) for x in found.to_pylist()] == [300, 300, 0]
@@ -166,3 +166,29 @@ def test_items_without_an_id(spark, prose):
     docs = spark.createDataFrame([(1, prose(1, 12) + " " + prose(2, 12) + " " + prose(3, 12), "x")], ["doc_id", "text", "meta.lang"])
     row = decontam.find_matches(docs, items).first()
     assert row["items"] == ["", None] and row["n_hit"] == 36
+
+
+def test_many_blocks_are_one_pass(spark, prose, monkeypatch):
+    """Twenty blocks of benchmark: one node of the plan, the same rows as of one block, and no spans unless asked for."""
+    items = [(k, prose(k, 14)) for k in range(20)] + [(7, prose(3, 14))]
+    texts = [" ".join([prose(500 + k, 20), prose(k % 20, 14), prose((k + 5) % 20, 14)]) for k in range(25)] + [prose(900, 40), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    many = decontam.find_matches(docs, benchmark, block_bytes=80)
+    assert len(list(decontam.blocks_of(benchmark, "item_id", "text", 80))) >= 20
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    one = decontam.find_matches(docs, benchmark)
+    spread = lambda df: sorted((r["row"]["doc_id"], r["n_words"], r["n_hit"], r["items"], sorted(map(tuple, r["spans"]))) for r in df.collect())
+    got = spread(many)
+    assert [x[:4] for x in got] == [x[:4] for x in spread(one)]
+    assert [x[1:4] for x in got] == [brute.contamination(t, items) for t in texts]
+    plain = decontam.find_matches(docs, benchmark, block_bytes=80, with_spans=False)
+    assert plain.columns == ["row", "n_words", "n_hit", "items"] and sorted(tuple(r)[1:] for r in plain.collect()) == sorted((x[1], x[2], x[3]) for x in got)
+
+
+def test_windows_of_different_items_are_of_different_classes(prose):
+    items = [("a", prose(1, 10)), ("b", prose(1, 10)), ("c", prose(2, 10)), ("b", prose(2, 10)), ("a", prose(3, 10))]
+    tests = decontam.Suffixes(items, 10)
+    ends = np.cumsum(tests.kind_count)
+    sets = [sorted(tests.names.to_pylist()[k] for k in tests.kind_names[end - n : end]) for end, n in zip(ends, tests.kind_count, strict=True)]
+    assert sorted(sets) == [["a"], ["a", "b"], ["b", "c"]] and sorted(tests.kind.tolist()) == [0, 1, 2]

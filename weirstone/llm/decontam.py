@@ -6,27 +6,32 @@ are sorted again, until they are told apart or tied for as long as any benchmark
 suffix that holds a window is binary-searched in it (equal ones once), which gives all places of its
 window. From these places matches are followed in both directions to their whole verbatim length. So
 work goes with the places and the distinct windows, not with the items that share a window. The
-benchmark reaches the tasks in blocks of a fixed size bound, one pass over the texts per block.
+benchmark reaches the tasks in blocks of a fixed size bound; a shard's suffix array is built once and
+all blocks are searched in it, one after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weirstone.llm._spark import rows_with_text
-from weirstone.llm._text import ALNUM, Words, lists, mix, opened, slices
+from weirstone.llm._text import ALNUM, Words, lists, opened, slices
 
 #: Bytes of benchmark text that are broadcast at once. What is broadcast takes about three times as much; a test holds it to four.
 BLOCK_BYTES = 8 << 20
 
+#: Blocks up to which a worker keeps them all for its next shards.
+KEPT_BLOCKS = 4
+
 SPANS, ITEMS = "array<struct<start:int,length:int,item:string,item_start:int>>", "array<string>"
 
 
@@ -57,11 +62,12 @@ class Suffixes:
         pairs = np.unique(which.ravel() * np.int64(len(names) + 1) + self.name[row]) if len(place) else np.zeros(0, np.int64)
         owner, name = pairs // (len(names) + 1), pairs % (len(names) + 1)
         count = np.bincount(owner, minlength=len(begin))
-        begins = np.cumsum(count) - count
-        told = np.add.reduceat(mix(name.astype(np.uint64) + np.uint64(1)), begins) if len(begin) else np.zeros(0, np.uint64)
-        _, one, kind = np.unique(told + count.astype(np.uint64), return_index=True, return_inverse=True)
-        self.kind, self.kind_count = kind.ravel().astype(np.int32), count[one]
-        self.kind_names = np.concatenate([name[begins[k] : begins[k] + count[k]] for k in one] or [np.zeros(0, np.int64)]).astype(np.int32)
+        name, ends = name.astype(np.int32), np.cumsum(count)
+        kinds: dict[bytes, int] = {}
+        self.kind = np.array([kinds.setdefault(name[end - n : end].tobytes(), len(kinds)) for end, n in zip(ends.tolist(), count.tolist(), strict=True)], np.int32)
+        sets = [np.frombuffer(x, np.int32) for x in kinds]
+        self.kind_count = np.array([len(x) for x in sets], np.int64)
+        self.kind_names = np.concatenate([np.zeros(0, np.int32), *sets])
 
 
 def suffix_array(code: np.ndarray, top: int, depth: int) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -98,14 +104,14 @@ def suffix_array(code: np.ndarray, top: int, depth: int) -> tuple[np.ndarray, np
     return order, key, lead, bits
 
 
-def search(code: np.ndarray, top: int, tests: Suffixes, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def search(code: np.ndarray, suffixes: tuple[np.ndarray, np.ndarray, int, int], tests: Suffixes, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the distinct windows occur: places in ``code``, and which window each is. ``spelt`` has the items' words in the shard's codes, 0 for strangers."""
     none = np.zeros(0, np.int64)
     strange = np.append(0, np.cumsum(spelt == 0))
     live = np.flatnonzero(strange[tests.place + tests.depth] == strange[tests.place])
     if not len(live) or not len(code):
         return none, none
-    order, key, lead, bits = suffix_array(code, top, max(tests.window, tests.longest))
+    order, key, lead, bits = suffixes
     place, depth = tests.place[live].astype(np.int64), tests.depth[live].astype(np.int64)
     steps = np.arange(tests.window)
     words, texts = np.append(spelt, np.zeros(max(tests.window, lead), np.int64)), np.append(code, np.zeros(tests.window, code.dtype))
@@ -153,60 +159,103 @@ def _followed(text: np.ndarray, items: np.ndarray, at: np.ndarray, item_at: np.n
     return more
 
 
-def matches(column: pa.Array, tests: Suffixes) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
-    """(n_words, n_hit, spans, items) of each text of a shard."""
-    words = Words(column, ALNUM)
-    n, top = len(column), len(words.distinct) + len(column)
-    # Every document ends with a mark of its own, so no suffix agrees with another beyond its document.
-    begins = words.first[:-1] + np.arange(n)
-    code = np.empty(len(words.code) + n, np.int64)
-    ends = words.first[1:] + np.arange(n)
-    is_end = np.zeros(len(code), bool)
-    is_end[ends] = True
-    code[is_end], code[~is_end] = len(words.distinct) + 1 + np.arange(n), words.code + 1
-    known = pc.fill_null(pc.index_in(tests.vocabulary, words.distinct), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-    spelt = known[tests.code] if len(tests.code) else np.zeros(0, np.int64)
-    place, which = search(code, top, tests, spelt)
-
-    turns = np.zeros(len(code) + 1, np.int64)
-    np.add.at(turns, place, 1)
-    np.add.at(turns, place + tests.depth[which], -1)
-    hit = np.append(0, np.cumsum(np.cumsum(turns[:-1]) > 0))
-    n_hit = hit[ends] - hit[begins]
+class Shard:
+    """The words of some texts end to end, and their suffix array over ``depth`` words."""
+
+    def __init__(self, column: pa.Array, depth: int):
+        words = Words(column, ALNUM)
+        self.n, self.n_words, self.distinct = len(column), words.per_row.astype(np.int64), words.distinct
+        # Every document ends with a mark of its own, so no suffix agrees with another beyond its document.
+        self.begins, self.ends = words.first[:-1] + np.arange(self.n), words.first[1:] + np.arange(self.n)
+        self.code = np.empty(len(words.code) + self.n, np.int64)
+        is_end = np.zeros(len(self.code), bool)
+        is_end[self.ends] = True
+        self.code[is_end], self.code[~is_end] = len(words.distinct) + 1 + np.arange(self.n), words.code + 1
+        self.suffixes = suffix_array(self.code, len(words.distinct) + self.n, depth)
+
+    def row(self, place: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.begins, place, "right") - 1
 
-    # Runs of places on one diagonal, followed to where text and item part.
-    row = np.searchsorted(begins, place, "right") - 1
+
+def _spans(shard: Shard, tests: Suffixes, spelt: np.ndarray, place: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Runs of places on one diagonal, followed to where text and item part: (row, place, length, item's name, first word there), each once."""
+    if not len(place):
+        return np.zeros((0, 5), np.int64)
     item = np.searchsorted(tests.first, tests.place[which], "right") - 1
     diagonal = place - tests.place[which]
     order = np.lexsort((place, diagonal))
     at, line, item = place[order], diagonal[order], item[order]
-    fresh = np.append(True, (line[1:] != line[:-1]) | (at[1:] > at[:-1] + 1) | (item[1:] != item[:-1]))[: len(at)]
+    fresh = np.append(True, (line[1:] != line[:-1]) | (at[1:] > at[:-1] + 1) | (item[1:] != item[:-1]))
     first = np.flatnonzero(fresh)
-    last = np.append(first[1:], len(at))[: len(first)] - 1
+    last = np.append(first[1:], len(at)) - 1
     start, item, line, end = at[first], item[first], line[first], at[last] + tests.depth[which][order][last] - 1
     lowest, beyond = tests.first[item].astype(np.int64), tests.first[item + 1].astype(np.int64)
-    end = end + _followed(code, spelt, end, end - line, lowest, beyond, 1)
-    start = start - _followed(code, spelt, start, start - line, lowest, beyond, -1)
-    spans = np.unique(np.column_stack([np.searchsorted(begins, start, "right") - 1, start, end + 1 - start, tests.name[item], start - line - lowest]), axis=0) if len(start) else np.zeros((0, 5), np.int64)
-    span_list = pa.StructArray.from_arrays(
-        [pa.array((spans[:, 1] - begins[spans[:, 0]]).astype(np.int32)), pa.array(spans[:, 2].astype(np.int32)), tests.names.take(pa.array(spans[:, 3])), pa.array(spans[:, 4].astype(np.int32))],
-        names=["start", "length", "item", "item_start"],
-    )
-    # Items by document: over the classes of its windows, so a class is spelt out once by document.
+    end = end + _followed(shard.code, spelt, end, end - line, lowest, beyond, 1)
+    start = start - _followed(shard.code, spelt, start, start - line, lowest, beyond, -1)
+    return np.unique(np.column_stack([shard.row(start), start, end + 1 - start, tests.name[item], start - line - lowest]), axis=0)
+
+
+def _items(shard: Shard, tests: Suffixes, place: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, item's name) of all items by document: over the classes of its windows, so a class is spelt out once by document."""
     kinds = len(tests.kind_count)
-    held = np.unique(row * np.int64(kinds + 1) + tests.kind[which])
+    held = np.unique(shard.row(place) * np.int64(kinds + 1) + tests.kind[which])
     row, kind = held // (kinds + 1), held % (kinds + 1)
     count, begin = tests.kind_count[kind], (np.cumsum(tests.kind_count) - tests.kind_count)[kind]
     inside = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     held = np.unique(np.repeat(row, count) * np.int64(len(tests.names) + 1) + tests.kind_names[np.repeat(begin, count) + inside])
-    row, name = held // (len(tests.names) + 1), held % (len(tests.names) + 1)
-    return words.per_row.astype(np.int64), n_hit, lists(span_list, np.bincount(spans[:, 0], minlength=n)), lists(tests.names.take(pa.array(name)), np.bincount(row, minlength=n))
-
-
-def _scan(tests: object, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return held // (len(tests.names) + 1), held % (len(tests.names) + 1)
+
+
+def _in_order(rows: np.ndarray, names: pa.Array, n: int) -> pa.ListArray:
+    """A list by row of the distinct names, in order, null last."""
+    known = sorted(set(names.to_pylist()), key=lambda x: (x is None, x or ""))
+    number = {name: k for k, name in enumerate(known)}
+    held = np.unique(rows * np.int64(len(known) + 1) + np.array([number[x] for x in names.to_pylist()], np.int64)) if len(rows) else np.zeros(0, np.int64)
+    return lists(pa.array(known, pa.string()).take(pa.array(held % (len(known) + 1))), np.bincount(held // (len(known) + 1), minlength=n))
+
+
+def matches(column: pa.Array, blocks: Iterable[Suffixes], depth: int, with_spans: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array | None, pa.Array]:
+    """(n_words, n_hit, spans unless left out, items) of each text of a shard, over all blocks of the benchmark."""
+    shard = Shard(column, depth)
+    turns = np.zeros(len(shard.code) + 1, np.int64)
+    spans, named, rows, names = [np.zeros((0, 5), np.int64)], [pa.array([], pa.string())], [np.zeros(0, np.int64)], [pa.array([], pa.string())]
+    for tests in blocks:
+        known = pc.fill_null(pc.index_in(tests.vocabulary, shard.distinct), -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        spelt = known[tests.code] if len(tests.code) else np.zeros(0, np.int64)
+        place, which = search(shard.code, shard.suffixes, tests, spelt)
+        np.add.at(turns, place, 1)
+        np.add.at(turns, place + tests.depth[which], -1)
+        row, name = _items(shard, tests, place, which)
+        rows.append(row)
+        names.append(tests.names.take(pa.array(name)))
+        if with_spans:
+            spans.append(_spans(shard, tests, spelt, place, which))
+            named.append(tests.names.take(pa.array(spans[-1][:, 3])))
+    hit = np.append(0, np.cumsum(np.cumsum(turns[:-1]) > 0))
+    items = _in_order(np.concatenate(rows), pa.concat_arrays(names), shard.n)
+    told = None
+    if with_spans:
+        found, item = np.concatenate(spans), pa.concat_arrays(named)
+        by = np.argsort(found[:, 0], kind="stable")
+        found, item = found[by], item.take(pa.array(by))
+        told = pa.StructArray.from_arrays([pa.array((found[:, 1] - shard.begins[found[:, 0]]).astype(np.int32)), pa.array(found[:, 2].astype(np.int32)), item, pa.array(found[:, 4].astype(np.int32))], names=["start", "length", "item", "item_start"])
+        told = lists(told, np.bincount(found[:, 0], minlength=shard.n))
+    return shard.n_words, hit[shard.ends] - hit[shard.begins], told, items
+
+
+def _held(blocks: Sequence[Broadcast]) -> Iterator[Suffixes]:
+    """The blocks one after the other; of many, a worker holds one at a time."""
+    for block in blocks:
+        yield block.value
+        if len(blocks) > KEPT_BLOCKS:
+            block.__dict__.pop("_value", None)
+
+
+def _scan(blocks: Sequence[Broadcast], depth: int, with_spans: bool, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(opened(batches, inside), "text"):
-        n_words, n_hit, spans, items = matches(batch.column("text"), tests.value)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(n_words), pa.array(n_hit), spans, items], names=["row", "n_words", "n_hit", "spans", "items"])
+        n_words, n_hit, spans, items = matches(batch.column("text"), _held(blocks), depth, with_spans)
+        columns = {"row": batch.column("row"), "n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "spans": spans, "items": items}
+        yield pa.RecordBatch.from_pydict({name: x for name, x in columns.items() if x is not None})
 
 
 def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str | None, str]]]:
@@ -224,44 +273,28 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, limit: int) ->
         yield held
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, window: int = 10, block_bytes: int = BLOCK_BYTES, with_spans: bool = True) -> DataFrame:
     """Per row of ``docs``: ``row`` (the row itself, as a struct), n_words, n_hit, spans, items.
 
     n_hit counts the document's words inside any occurrence of ``window`` consecutive item words (of
     the whole item if shorter); ``items`` are the ids, as sorted text, of all items with one. A span
     is a verbatim match of its whole length: its first word and length in the document, an item that
-    it is in and its first word there (where items share a passage, the first of them); spans cover
-    all hits. Null and empty texts have no words, and items without words match nothing. Items of the
-    same id count as one; those without an id count as one more, whose id is null. Repeated rows each
-    have their matches. An empty benchmark gives no spans.
+    it is in and its first word there (where items share a passage, the first of them in its block); spans cover
+    all hits, and are left out unless asked for. Null and empty texts have no words, and items without words
+    match nothing. Items of the same id count as one; those without an id count as one more, whose id is null.
+    Repeated rows each have their matches. An empty benchmark gives no spans.
     """
     spark = docs.sparkSession
     out, inside = rows_with_text(docs, text_col, None)
-    found = None
+    blocks, depth = [], window
     for items in blocks_of(benchmark, item_col, item_text_col, block_bytes) if not benchmark.isEmpty() else ():
-        tests = spark.sparkContext.broadcast(Suffixes(items, window))
-        if found is None:
-            found = out.mapInArrow(partial(_scan, tests, inside), _schema(out))
-            continue
-        # A further block: what was found so far travels with the row, and hits are counted over the union of spans.
-        carried = found.select(F.struct("row", "spans", "items").alias("row"), F.col("row")[text_col].cast("string").alias("text"))
-        more = carried.mapInArrow(partial(_scan, tests, None), _schema(carried))
-        found = more.select("row.row", "n_words", F.concat("row.spans", "spans").alias("spans"), F.array_sort(F.array_distinct(F.concat("row.items", "items"))).alias("items"))
-        found = found.select("row", "n_words", F.expr(COVERED).alias("n_hit"), "spans", "items")
-    if found is None:
-        found = out.mapInArrow(partial(_scan, spark.sparkContext.broadcast(Suffixes([], window)), inside), _schema(out))
-    return found
-
-
-def _schema(rows: DataFrame) -> T.StructType:
-    return T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", T.DataType.fromDDL(SPANS)), T.StructField("items", T.DataType.fromDDL(ITEMS))])
-
-
-#: Words covered by any of the spans.
-COVERED = """aggregate(array_sort(transform(spans, s -> struct(s.start as lo, s.start + s.length as hi))),
-    struct(0L as n, 0 as upto), (acc, s) -> struct(acc.n + greatest(0, s.hi - greatest(s.lo, acc.upto)) as n, greatest(acc.upto, s.hi) as upto), acc -> acc.n)"""
+        tests = Suffixes(items, window)
+        blocks.append(spark.sparkContext.broadcast(tests))
+        depth = max(depth, tests.longest)
+    fields = [out.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), *[T.StructField("spans", T.DataType.fromDDL(SPANS))] * with_spans, T.StructField("items", T.DataType.fromDDL(ITEMS))]
+    return out.mapInArrow(partial(_scan, blocks, depth, with_spans, inside), T.StructType(fields))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *, window: int = 10) -> DataFrame:
     """The rows of ``docs`` that hold no occurrence of a benchmark window, with their columns as they were."""
-    return find_matches(docs, benchmark, text_col, window=window).where("n_hit = 0").select("row.*")
+    return find_matches(docs, benchmark, text_col, window=window, with_spans=False).where("n_hit = 0").select("row.*")

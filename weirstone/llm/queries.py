@@ -55,7 +55,7 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    found = decontam.find_matches(docs.select("doc_id", "text"), benchmark, window=10)
+    found = decontam.find_matches(docs.select("doc_id", "text"), benchmark, window=10, with_spans=False)
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
