@@ -72,3 +72,21 @@ def test_the_prior_is_estimated():
     u = np.concatenate([chance.normal(2, 1, (1400, 3)), chance.normal(-2, 1, (600, 3))])
     chance.shuffle(u)
     assert quality.estimate_prior(p, u) == pytest.approx(0.7, abs=0.06)
+
+
+@pytest.mark.parametrize("texts", ["one", "many"])
+def test_an_id_with_many_rows_adds_nothing_to_the_draw(spark, prose, monkeypatch, texts):
+    """One trusted id has nearly all rows: what reaches the driver stays in its bound, and both kinds are drawn."""
+    hot = spark.range(20_000).select(F.lit("a-1").alias("doc_id"), F.lit(prose(1, 30)) if texts == "one" else F.concat(F.lit(prose(1, 30) + " w"), F.col("id").cast("string")))
+    rest = spark.createDataFrame([(f"b-{k}", prose(k, 30) if k % 2 else spoilt(prose(k, 30), k)) for k in range(400)], "doc_id string, text string")
+    docs = hot.toDF("doc_id", "text").union(rest)
+    labels = spark.createDataFrame([("a-1", 1)] + [(f"b-{k}", k % 2) for k in range(0, 60)], "doc_id string, quality int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda p, u: seen.update(p=len(p), u=len(u)) or real(p, u))
+    model = quality.train(docs, labels, sample_rows=100)
+    assert 0 < seen["p"] <= 150 and 50 <= seen["u"] <= 150
+    found = quality.score(docs.dropDuplicates(["doc_id"]), model, carry=["doc_id"]).count()
+    assert found == 401
+
+
+real = quality.fit

@@ -158,19 +158,22 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on about ``sample_rows`` positives and as many unlabelled rows, outside the held-out fold.
 
-    Both are drawn by a hash of the id, so the draw is the same on every run; the two draws are
-    apart, and a trusted positive that is drawn is not among the unlabelled. A document with labels
-    of both kinds is not a trusted positive. Null ids and texts are not drawn; repeated rows are
-    drawn together. Without rows of either kind every score is 1.
+    Rows are drawn by a hash of id and text, so the draw is the same on every run; how many there are of
+    either kind is counted first (nearly, by distinct hashes), so neither a repeated row nor an id with many
+    texts adds to what is drawn. A trusted positive that is drawn is not among the unlabelled. A document with
+    labels of both kinds is not a trusted positive. Ids may be of any type that has a text. Null ids and
+    texts are not drawn, and repeated rows count once. Without rows of either kind every score is 1.
     """
-    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").where(~held_out(F.col("id")))
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
-    drawn = lambda what: F.pmod(F.xxhash64(F.col("id"), F.lit(what)), F.lit(1 << 30)) / float(1 << 30)
-    good = good.where(drawn("positive") < sample_rows / max(good.count(), 1)).select("id", F.lit(True).alias("positive"))
-    part = sample_rows / max(docs.count(), 1)
-    # The positives drawn are about sample_rows in number, whatever the table holds: safe to broadcast.
+    good = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("string").alias("id")).agg(F.min(label_col).alias("label")).where("label = 1").where(~held_out(F.col("id")))
+    base = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
+    drawn = lambda what, *by: F.pmod(F.xxhash64(F.lit(what), *by), F.lit(1 << 30)) / float(1 << 30)
+    # About sample_rows ids, whatever the table holds: safe to broadcast.
+    good = good.where(drawn("positive", "id") < sample_rows / max(good.count(), 1)).select("id", F.lit(True).alias("positive"))
     both = base.join(F.broadcast(good), "id", "left").withColumn("positive", F.coalesce("positive", F.lit(False)))
-    both = both.where(F.col("positive") | ((drawn("unlabelled") < part) & ~held_out(F.col("id")))).select("positive", "text")
+    both = both.where(F.col("positive") | ~held_out(F.col("id"))).withColumn("key", F.xxhash64("id", "text"))
+    there = {r["positive"]: r["n"] for r in both.groupBy("positive").agg(F.approx_count_distinct("key", 0.02).alias("n")).collect()}
+    share = F.when(F.col("positive"), sample_rows / max(there.get(True, 0), 1)).otherwise(sample_rows / max(there.get(False, 0), 1))
+    both = both.where(drawn("row", "key") < share).dropDuplicates(["positive", "key"]).select("positive", "text")
     rows = both.mapInArrow(_features, "positive boolean, x array<float>").toArrow()
     x = rows["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), N_FEATURES)
     positive = rows["positive"].to_numpy()
