@@ -220,3 +220,12 @@ def test_nothing_to_mix(spark, documents):
         plan = mixing.mix(none)
         assert [r["taken"] for r in mixing.taken(plan).collect()] == [0] * none.count()
         assert mixing.mixed(none, plan).count() == 0
+
+
+def test_written_shards_keep_a_column_of_their_own_name(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "t", f"own{k}", k) for k in range(40)], "doc_id long, text string, shard string, Shard_2 long")
+    shards.write_shards(docs, [1.0, 2.0], str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns[-1] == "shard_3" and {r["shard"] for r in back.collect()} == {f"own{k}" for k in range(40)}
+    placed = {r["doc_id"]: r["shard"] for r in shards.assign(docs, [1.0, 2.0]).collect()}
+    assert {r["doc_id"]: r["shard_3"] for r in back.collect()} == placed

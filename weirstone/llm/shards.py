@@ -58,7 +58,7 @@ def assign(docs: DataFrame, weights: Sequence[float], id_col: str = "doc_id", te
 
 
 def write_shards(docs: DataFrame, weights: Sequence[float], path: str, id_col: str = "doc_id", *, seed: int = 0) -> None:
-    """Write whole rows below ``path``, one folder by shard (shard=0 ...), as Parquet."""
-    docs.withColumn("shard", rendezvous(F.col(id_col), weights, seed)).repartition("shard", spread(id_col, parts=16)).write.partitionBy("shard").parquet(path)
-
-
+    """Write whole rows below ``path``, one folder by shard (shard=0 ...), as Parquet. A column of the rows that has the folders' name is written as it is, and the folders take the next free one (shard_2=0 ...)."""
+    taken = {name.lower() for name in docs.columns}
+    name = next(x for x in ("shard", *(f"shard_{k}" for k in range(2, len(taken) + 3))) if x not in taken)
+    docs.withColumn(name, rendezvous(F.col(id_col), weights, seed)).repartition(name, spread(id_col, parts=16)).write.partitionBy(name).parquet(path)
