@@ -3,8 +3,9 @@
 A text is cut into pre-tokens at places that no piece of the vocabulary spans: before a run of
 spaces, and before a line feed. BPE merges never cross such a place, so the tokens of a text are
 those of its pre-tokens, one after the other. Each worker dictionary-encodes the pre-tokens of a
-slice of documents and counts each document's distinct ones; the model encodes each distinct one that
-the worker hasn't met yet; the numbers of pieces are joined to the frequencies by code and summed.
+slice of documents and counts each document's distinct ones; the model says how many pieces each
+distinct one has that the worker doesn't remember; these numbers are joined to the frequencies by
+code and summed. No ids are held for that: ``encode`` is for those who write them.
 """
 
 from __future__ import annotations
@@ -83,8 +84,8 @@ class PreTokens:
         return sums[self.first[1:]] - sums[self.first[:-1]]
 
 
-def _encoded(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all given pre-tokens, end to end, and the number of each one's, as the model says them now.
+def _said(made, tokens: pa.Array) -> Iterator[tuple[list[list[int]], np.ndarray]]:
+    """What the model says to given pre-tokens, some at a time, and which of these begin with a line feed.
 
     The model puts a mark of its own before a text, so a pre-token goes in without its first space.
     One that begins with a line feed gets that mark in vain.
@@ -96,18 +97,24 @@ def _encoded(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = (offsets - np.concatenate([[0], np.cumsum(~fed)])).astype(np.int32)
     bare = pa.Array.from_buffers(pa.binary(), len(tokens), [None, pa.py_buffer(ends), pa.py_buffer(data[keep])])
     alone = [made.piece_to_id(MARK)]
-    ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for k in range(0, len(tokens), AT_ONCE):
         texts = bare.slice(k, AT_ONCE).to_pylist()
         # A single space is the mark itself, while the model says nothing to an empty text.
-        said = [x or alone for x in made.encode([x.decode("utf-8", "replace") for x in texts], num_threads=1)]
+        yield [x or alone for x in made.encode([x.decode("utf-8", "replace") for x in texts], num_threads=1)], fed[k : k + AT_ONCE]
+
+
+def _encoded(made, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all given pre-tokens, end to end, and the number of each one's, as the model says them now."""
+    ids, counts, feds = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for said, fed in _said(made, tokens):
         counts.append(np.fromiter(map(len, said), np.int64, len(said)))
         ids.append(np.fromiter(chain.from_iterable(said), np.uint32, int(counts[-1].sum())))
-    count, said = np.concatenate(counts), np.concatenate(ids)
+        feds.append(fed)
+    count, said, fed = np.concatenate(counts), np.concatenate(ids), np.concatenate(feds)
     return np.delete(said, (np.cumsum(count) - count)[fed]), count - fed
 
 
-#: Pre-tokens whose ids a worker keeps for its next slices and tasks, at most.
+#: Pre-tokens whose ids, or numbers of pieces, a worker keeps for its next slices and tasks, at most.
 KEPT = 1 << 18
 
 
@@ -150,9 +157,34 @@ def encode(model: str, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return pool[np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())], count
 
 
+class _Counts:
+    """Numbers of pieces that a worker remembers: those of its last slices. What hasn't come up for long is forgotten."""
+
+    def __init__(self) -> None:
+        self.young: dict[bytes, int] = {}
+        self.old: dict[bytes, int] = {}
+
+    def of(self, made, tokens: pa.Array) -> np.ndarray:
+        spelt = tokens.to_pylist()
+        young, old = self.young, self.old
+        out = np.fromiter((young.get(x) or old.get(x) or 0 for x in spelt), np.int64, len(spelt))
+        new = np.flatnonzero(out == 0)  # every pre-token has a piece
+        lengths = [np.fromiter(map(len, said), np.int64, len(said)) - fed for said, fed in _said(made, tokens.take(pa.array(new)))]
+        out[new] = np.concatenate([np.zeros(0, np.int64), *lengths])
+        if len(young) + len(spelt) > KEPT:
+            self.old, self.young = young, {}
+        self.young.update(zip(spelt[:KEPT], out[:KEPT].tolist(), strict=True))
+        return out
+
+
+@lru_cache(maxsize=4)
+def _counts(model: str) -> _Counts:
+    return _Counts()
+
+
 def piece_counts(model: str, tokens: pa.Array) -> np.ndarray:
     """The number of each given (distinct) pre-token's pieces."""
-    return _met(model, tokens)[2]
+    return _counts(model).of(load(model), tokens)
 
 
 def _count(model: str, inside: str | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
