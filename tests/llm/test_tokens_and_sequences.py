@@ -21,7 +21,9 @@ def model():
 
 def counted(texts):
     cut = tokens.PreTokens(pa.array(texts, pa.string()))
-    return cut.per_row(tokens.encode(model_path(), cut.distinct)[1]).tolist()
+    counts = tokens.piece_counts(model_path(), cut.distinct)
+    assert counts.tolist() == tokens.encode(model_path(), cut.distinct)[1].tolist()
+    return cut.per_row(counts).tolist()
 
 
 def test_frequencies():
@@ -135,3 +137,19 @@ def test_permutations_in_sql(spark):
     found = rows.select("n", feistel.permuted("i", "n", "n").alias("to")).collect()
     for n in sizes:
         assert sorted(r["to"] for r in found if r["n"] == n) == list(range(n))
+
+
+def test_counts_are_remembered_and_forgotten(model, monkeypatch):
+    """Numbers of pieces stay right while the table of them turns over, and it stays small."""
+    monkeypatch.setattr(tokens, "KEPT", 5)
+    held = tokens._Counts()
+    for text in ("one two\n three", "two one  four\nfive ", "one six seven two", "eight\n\n  nine one", "one two three four five six seven eight nine ten"):
+        cut = tokens.PreTokens(pa.array([text]))
+        assert cut.per_row(held.of(tokens.load(model_path()), cut.distinct)).tolist() == [len(model.encode(text))]
+        assert len(held.young) <= 10 and len(held.old) <= 10
+
+
+def test_files_grow_with_the_records():
+    sizes = [binary.file_records(n) for n in (0, 1, 10**6, 1 << 30, (1 << 30) + 1, 10**11, 10**13)]
+    assert sizes == [1 << 14, 1 << 14, 1 << 14, 1 << 14, 1 << 15, 1 << 21, 1 << 21]
+    assert all(binary.PER_SHARD % n == 0 for n in sizes)

@@ -4,7 +4,7 @@ Every document's ids (and an end id) are cut into sequences of ``length`` tokens
 first pass counts the sequences of each input partition; their running sum numbers all sequences
 densely. A keyed Feistel permutation with cycle-walking sends each number to its global slot. Slots
 are range-partitioned into shards of ``per_shard`` records, each a row of files of ``per_file``
-records (shard=0/file=0, shard=0/file=1, ...), sorted, and written by Spark's own file writer, so a
+records, which follow from the number of all (shard=0/file=0, shard=0/file=1, ...), sorted, and written by Spark's own file writer, so a
 lost executor costs a task, and a store that only Spark reaches will do. A record is
 
     int64 doc_id (the smallest if null), uint32 sequence in the document, uint32 tokens in use,
@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirstone.llm._spark import shared_dir
+from weirstone.llm._spark import shared_dir, whole
 from weirstone.llm._text import lists, slices
 from weirstone.llm.feistel import permute
 from weirstone.llm.tokens import SLICE_BYTES, PreTokens, encode, load, piece_counts
@@ -37,11 +37,16 @@ HEADER = 16
 #: Bytes of text whose records are made together: several numbers by token are held meanwhile.
 RECORD_BYTES = 5 << 20
 
-#: Records of a file (9 MB of 256 tokens) and of a shard (2.2 GB). Beyond some 10 TB of records, files should grow too.
-PER_FILE, PER_SHARD = 1 << 14, 1 << 22
+#: Records of a file (9 MB of 256 tokens) and of a shard (2.2 GB) at least. Files grow with the records, so that there are no more than MOST_FILES until they hold LARGEST records.
+PER_FILE, PER_SHARD, LARGEST, MOST_FILES = 1 << 14, 1 << 22, 1 << 21, 1 << 16
 NO_ID = -(1 << 63)
 
 
+def file_records(n: int) -> int:
+    """Records of a file, a power of two, for ``n`` in all."""
+    return min(max(PER_FILE, (1 << max(n - 1, 0).bit_length()) // MOST_FILES), LARGEST)
+
+
 def id_width(model: str) -> int:
     """Bytes of an id: two if all ids of the vocabulary fit, else four."""
     return 2 if load(model).get_piece_size() <= 1 << 16 else 4
@@ -141,15 +146,17 @@ def _same_partitions(spark: SparkSession):
         spark.conf.set(name, was) if was else spark.conf.unset(name)
 
 
-def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256, per_file: int = PER_FILE, per_shard: int = PER_SHARD, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Write all sequences of ``docs`` as shards below ``path``; the number of sequences.
+def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256, per_file: int | None = None, per_shard: int = PER_SHARD, key: int = 1, id_col: str = "doc_id", text_col: str = "text") -> int:
+    """Write all sequences of ``docs`` as shards below ``path``; the number of sequences, n. Files hold ``file_records(n)`` records unless ``per_file`` says otherwise.
 
     ``docs`` is scanned twice, so it must be a table's rows (or a checkpoint), not the outcome of a
     shuffle; a task that finds other rows than were counted fails. Null and empty texts have no
     sequence; repeated rows each have their own, and rows without an id too. Without any sequence
-    nothing is written. A model without an end id is refused.
+    nothing is written. A model without an end id is refused, and so are ids that are no whole numbers, as records have no place for them.
     """
-    if per_shard % per_file:
+    if not whole(docs, id_col):
+        raise TypeError(f"records hold whole numbers as ids; {id_col} is {docs.schema[id_col].dataType.simpleString()}")
+    if per_file and per_shard % per_file:
         raise ValueError("a shard holds whole files")
     spark, width, end = docs.sparkSession, id_width(model), end_id(model)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -159,6 +166,7 @@ def write_sequences(docs: DataFrame, model: str, path: str, *, length: int = 256
         for part, count in totals:
             offsets[part] = (n, n + count)
             n += count
+        per_file = per_file or file_records(n)
         if n:
             fn = partial(_records, model, length, width, end, per_file, key, spark.sparkContext.broadcast(offsets), n)
             rows = base.mapInArrow(fn, "file int, slot long, record string")
@@ -203,10 +211,11 @@ def read_sequences(spark: SparkSession, path: str, *, length: int = 256, width:
     return files.select(F.col("file").cast("int").alias("file"), "content").mapInArrow(partial(_parsed, length, width, per_file, per_shard, begin, end, with_ids), READ + ", ids array<int>" * with_ids)
 
 
-def materialise(docs: DataFrame, model: str, *, length: int = 256, per_file: int = PER_FILE, per_shard: int = PER_SHARD, key: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def materialise(docs: DataFrame, model: str, *, length: int = 256, per_file: int | None = None, per_shard: int = PER_SHARD, key: int = 1, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards (by default into a new folder of the shared one) and read back every record's slot, place (byte of the shard), owner and a digest of its ids."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/sequences-{uuid.uuid4().hex}"
-    if not write_sequences(docs, model, path, length=length, per_file=per_file, per_shard=per_shard, key=key, id_col=id_col, text_col=text_col):
+    n = write_sequences(docs, model, path, length=length, per_file=per_file, per_shard=per_shard, key=key, id_col=id_col, text_col=text_col)
+    if not n:
         return spark.createDataFrame([], READ)
-    return read_sequences(spark, path, length=length, width=id_width(model), per_file=per_file, per_shard=per_shard, with_ids=False)
+    return read_sequences(spark, path, length=length, width=id_width(model), per_file=per_file or file_records(n), per_shard=per_shard, with_ids=False)
