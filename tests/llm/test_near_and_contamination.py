@@ -192,3 +192,15 @@ def test_windows_of_different_items_are_of_different_classes(prose):
     ends = np.cumsum(tests.kind_count)
     sets = [sorted(tests.names.to_pylist()[k] for k in tests.kind_names[end - n : end]) for end, n in zip(ends, tests.kind_count, strict=True)]
     assert sorted(sets) == [["a"], ["a", "b"], ["b", "c"]] and sorted(tests.kind.tolist()) == [0, 1, 2]
+
+
+def test_ids_that_are_no_numbers(spark, prose):
+    from weirstone.llm import neardup
+
+    base = prose(1, 60)
+    rows = [("b-9", base), ("b-10", base + " end"), ("a", prose(2, 40)), (None, base), ("z", None), ("a", prose(3, 40)), ("c", prose(2, 40))]
+    docs = spark.createDataFrame([(t, i, "own") for i, t in rows], "text string, doc_id string, _named string")
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect()), key=str)
+    assert found == sorted([("b-9", "b-10", False), ("b-10", "b-10", True), ("a", "a", True), (None, "b-10", False), ("z", "z", True), ("a", "a", True), ("c", "a", False)], key=str)
+    kept = neardup.one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([("a", prose(2, 40)), ("a", prose(3, 40)), ("b-10", base + " end"), ("z", None)], key=str)

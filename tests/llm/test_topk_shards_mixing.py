@@ -229,3 +229,29 @@ def test_written_shards_keep_a_column_of_their_own_name(spark, tmp_path):
     assert back.columns[-1] == "shard_3" and {r["shard"] for r in back.collect()} == {f"own{k}" for k in range(40)}
     placed = {r["doc_id"]: r["shard"] for r in shards.assign(docs, [1.0, 2.0]).collect()}
     assert {r["doc_id"]: r["shard_3"] for r in back.collect()} == placed
+
+
+def test_vectors_named_by_texts(spark):
+    chance = np.random.default_rng(8)
+    rows = [(f"v{k:03}", [float(x) for x in chance.normal(size=4)]) for k in range(40)] + [(None, [1.0] * 4)]
+    vectors = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    numbers = spark.createDataFrame([(None if i is None else int(i[1:]), v) for i, v in rows], "vec_id long, embedding array<double>")
+    named = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(vectors, F.col("vec_id").endswith("0"), 3).collect()]
+    told = [(f"v{r['query_id']:03}", r["rank"], f"v{r['vec_id']:03}", r["score"]) for r in topk.top_k(numbers, F.col("vec_id") % 10 == 0, 3).collect()]
+    assert sorted(named) == sorted(told) and len(named) == 12
+
+
+def test_several_buckets_and_blocks_of_queries(spark, monkeypatch):
+    """The registered query's operator with buckets so small that lengths decide which of them meet."""
+    chance = np.random.default_rng(9)
+    lengths = np.exp(chance.normal(size=300))
+    x = chance.normal(size=(300, 6)) * lengths[:, None]
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 16)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 8)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = np.floor(1024 * x).astype(np.int64)
+    scores = whole @ whole.T
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(vectors, F.col("vec_id") % 5 == 0, 4).collect()}
+    for q in range(0, 300, 5):
+        best = sorted((k for k in range(300) if k != q), key=lambda k: (-scores[q, k], k))[:4]
+        assert [got[q, r] for r in range(1, 5)] == [(k, scores[q, k]) for k in best]

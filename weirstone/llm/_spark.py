@@ -108,3 +108,23 @@ def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     for name in names:
         out = out & left[name].eqNullSafe(right[name])
     return out
+
+
+def whole(df: DataFrame, name: str) -> bool:
+    """Whether a column holds whole numbers of 64 bits at most."""
+    return isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType))
+
+
+def with_numbers(df: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with ``_number``, a whole number for each id, null for null; the ids: ``_number`` and ``_id``). Numbers are in the order of the ids."""
+    ids = df.select(F.col(f"`{name}`").alias("_id")).where("_id is not null").distinct()
+    ids = cut(numbered(ids, "_id", name="_number")[0].select("_number", "_id"))
+    return df.join(ids.hint("merge"), df[name] == ids["_id"], "left").drop("_id"), ids
+
+
+def named(df: DataFrame, ids: DataFrame, *names: str) -> DataFrame:
+    """``df`` with the ids that numbers in the given columns stand for."""
+    for name in names:
+        one = ids.select(F.col("_number").alias("_n"), F.col("_id").alias("_named"))
+        df = df.join(one.hint("merge"), F.col(name) == F.col("_n"), "left").withColumn(name, F.col("_named")).drop("_n", "_named")
+    return df

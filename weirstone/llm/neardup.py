@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirstone.llm._spark import broadcast_below, cut, one_by, row_key
+from weirstone.llm._spark import broadcast_below, cut, named, one_by, row_key, whole, with_numbers
 from weirstone.llm._text import SPACED, Words, hash_binary, lists, mix, per_slice
 from weirstone.llm.components import connected_components
 
@@ -338,13 +338,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have no shingles and are linked with nothing. Rows with the same text are
     one component. A row without an id gets the smallest id of its component, or null if none has
-    one, and is not kept; repeated ids each follow their own text. An empty table gives no rows.
+    one, and is not kept; repeated ids each follow their own text. Ids have any type with an order; those that
+    are no whole numbers are numbered first. An empty table gives no rows.
     """
+    if not whole(docs, id_col):
+        told, ids = with_numbers(docs.select(id_col, text_col), id_col)
+        found = near_duplicates(told, "_number", text_col, shingle=shingle, threshold=threshold, bands=bands, rows=rows, seed=seed)
+        return named(found, ids, "doc_id", "component_id")
     sketches, classes, found = _grouped(docs, id_col, text_col, shingle, threshold, bands, rows, seed)
     linked = found.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first.doc_id").alias("component_id"))
     # Cut, so that the join has plain shuffles on both sides; nodes without links stay out of it, as a null component would be one key.
-    named = found.join(cut(linked), "component").select("node", "component_id", F.lit(True).alias("linked"))
-    place = classes.join(named, "node", "left").select("sig1", "sig2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
+    tied = found.join(cut(linked), "component").select("node", "component_id", F.lit(True).alias("linked"))
+    place = classes.join(tied, "node", "left").select("sig1", "sig2", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("first.doc_id")).alias("component_id"))
     out = sketches.select("doc_id", "n_shingles", "sig1", "sig2").join(place, ["sig1", "sig2"], "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
@@ -355,7 +360,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows of one id and one text count as one; other texts of an id are documents of their own. Texts
     without words are linked with nothing, so all of them stay, and all rows of those without an id.
+    Ids have any type with an order; those that are no whole numbers are numbered first.
     """
+    if not whole(docs, id_col):
+        rows_of, _ = with_numbers(docs, id_col)
+        return one_of_each(rows_of, "_number", text_col, shingle=shingle, threshold=threshold, bands=bands, rows=rows, seed=seed).select(*(f"`{n}`" for n in docs.columns))
     sketches, classes, found = _grouped(docs, id_col, text_col, shingle, threshold, bands, rows, seed)
     linked = found.join(classes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("first"))
     firsts = linked.select("first.*").union(classes.join(found, "node", "left_anti").select("first.*"))

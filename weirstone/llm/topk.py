@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirstone.llm._spark import cut, numbered
+from weirstone.llm._spark import cut, named, numbered, whole, with_numbers
 
 #: Vectors in a bucket; queries in a block.
 BUCKET_ROWS, QUERY_ROWS = 4096, 512
@@ -159,8 +159,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     vectors count as padded with zeros. A repeated id is a candidate with each of its vectors, but
     never of a query of the same id. Scores are exact; one beyond a 64-bit number counts as its end,
     and so ties with others beyond. Equal rows are answers of their own; a query id that repeats is
-    answered by each candidate row's best score over its rows.
+    answered by each candidate row's best score over its rows. Ids have any type with an order; those that
+    are no whole numbers are numbered first. An empty table gives no rows.
     """
+    if not whole(vectors, id_col):
+        told, ids = with_numbers(vectors.withColumn("_asks", is_query), id_col)
+        return named(top_k(told, F.col("_asks"), k, "_number", vector_col, scale), ids, "query_id", "vec_id")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("vector"), is_query.alias("asks"))
     rows = rows.where("vec_id is not null and vector is not null")
     rows = rows.withColumn("length", F.sqrt(F.aggregate("vector", F.lit(0.0), lambda n, x: n + x.cast("double") * x.cast("double"))))
@@ -182,7 +186,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
 
     # Exploded, so that the planner sees a join by bucket number here too, and no constant.
     seeds = q.withColumn("bucket", F.explode(F.array(F.lit(0).cast("long")))).withColumn("bounds", F.lit(None).cast("array<double>"))
-    first = seeds.join(b, "bucket").select("bucket", "b", "q", "bounds").mapInArrow(partial(_met, k), answers)
+    # The bucket of the longest vectors is one row of BUCKET_ROWS vectors at most; all blocks of queries meet it where they are.
+    first = seeds.join(F.broadcast(b.where("bucket = 0")), "bucket").select("bucket", "b", "q", "bounds").mapInArrow(partial(_met, k), answers)
     bounds = cut(first.withColumn("r", F.row_number().over(best("query_key"))).where(F.col("r") == k).select("query_key", F.col("score").cast("double").alias("bound")))
     # Each block's bounds, in the order of its queries.
     asking = queries.select(F.col("block").alias("q_block"), F.posexplode("keys").alias("at", "query_key"))
