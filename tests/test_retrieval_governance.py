@@ -102,3 +102,30 @@ def test_many_questions_at_once(spark, monkeypatch, blocks):
     scores = vectors @ vectors.T
     assert got == {q: [(k, round(float(scores[q, k]), 9)) for k in sorted(range(60), key=lambda k: (-round(scores[q, k], 12), -k))[:4]] for q in range(0, 60, 6)}
     assert index.top_k_many(rows.limit(0), rows, 4).count() == 0 == index.top_k_many(rows, rows.limit(0), 4).count()
+
+
+def test_the_query_of_embeddings_shows_the_buckets_of_plain_python(spark):
+    """Every document's filled buckets, worked out gram by gram."""
+    import hashlib
+    import re
+
+    import __spark_entry__
+
+    folder = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    for r in __spark_entry__.queries()["hash_embed"](spark, folder).collect():
+        grams = set()
+        for word in re.findall(r"[a-z0-9]+", (texts[r["doc_id"]] or "").lower()):
+            marked = f"^{word}$"
+            for n in (3, 4, 5):
+                grams |= {marked[i : i + n] for i in range(max(len(marked) - n + 1, 1))}
+        buckets = sorted({int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") % 384 for g in grams})
+        assert r["buckets"] == ",".join(map(str, buckets)) and r["filled"] == len(buckets) and r["dim"] == 384
+        assert r["norm"] == pytest.approx(1.0 if buckets else 0.0, abs=1e-3)
+
+
+def test_texts_embed_alike_in_any_batch():
+    texts = [f"word{k} words {'more ' * (k % 7)}" for k in range(600)] + ["", None]
+    made = embed.HashingEmbedder()
+    whole = made.embed(texts)
+    assert all((made.embed([t])[0] == v).all() for t, v in list(zip(texts, whole, strict=True))[::37]) and not whole[-1].any()

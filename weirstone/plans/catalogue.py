@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from weirstone.config import Config, Entity, Source, Storage
 from weirstone.contracts import Contract, breaks, observed_fields
-from weirstone.functions import dot
+from weirstone.functions import dot, epoch_ms
 from weirstone.governance import pii_in_rows, privileges_by_principal
 from weirstone.observability import detectors as D
 from weirstone.observability import metrics as M
@@ -25,6 +25,7 @@ from weirstone.sources.files import Feed, copy_into
 from weirstone.storage.export import export_table
 from weirstone.storage.scratch import scratch_folder
 from weirstone.storage.table import Files, Layout, Table
+from weirstone.streaming import histories
 from weirstone.streaming.ingest import bronze, run_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -256,6 +257,18 @@ def scd2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _versions(spark, sf_dir)
 
 
+@query(_SCD2)
+def scd2_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same histories from a stream that delivers the events shuffled, in three batches, with each key's latest event in state."""
+    folder, schema = scratch_folder(spark, "histories"), table(spark, sf_dir, "events").schema
+    timeline = Table(spark, f"{folder}/timeline")
+    for batch in range(3):
+        table(spark, sf_dir, "events").where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch).write.mode("append").parquet(f"{folder}/landing")
+        events = spark.readStream.schema(schema).parquet(f"{folder}/landing").withColumn("op", F.when(F.col("event_type") == "error", "d").otherwise("u"))
+        histories.historize_stream(events, timeline, f"{folder}/checkpoint", key="user_id", at="ts", tie="event_id")
+    return histories.versions(timeline.read()).select("user_id", "event_id", "value", "valid_from", "valid_to", "is_current", "is_deleted")
+
+
 @query(f"select * from ({_SCD2}) where is_current and not is_deleted")
 def scd2_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scd2.current(_versions(spark, sf_dir))
@@ -299,6 +312,38 @@ def scd2_touched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("user_id", "event_id", "value", "valid_from", "valid_to", "is_current", "is_deleted")
 
 
+#: What a client's change must hold; deletes carry the image before.
+CLIENT_CONTRACT = Contract.model_validate({
+    "contract": "clients", "version": 1, "owner": "x", "primary_key": ["client_id"], "event_time_field": "seq", "sla": {"freshness_hours": 1},
+    "fields": [
+        {"name": "client_id", "type": "bigint", "nullable": False},
+        {"name": "seq", "type": "bigint", "nullable": False},
+        {"name": "source", "type": "string", "nullable": False, "allowed_values": ["crm", "partner", "store", "web"]},
+        {"name": "segment", "type": "string", "allowed_values": ["online", "public", "retail", "wholesale"]},
+        {"name": "city", "type": "string"},
+        {"name": "balance", "type": "double", "nullable": False},
+    ],
+})
+
+
+@query("""
+with e as (select distinct client_id, seq, source, segment, city, balance, epoch_ms(valid_at) as ms, case op when 'I' then 'c' when 'U' then 'u' else 'd' end as o, coalesce(change_id, 1000000000000 + seq) as lsn
+  from client_changes where valid_at is not null and client_id is not null and op in ('I', 'U', 'D')),
+ok as (select * from e where o = 'd' or (seq is not null and coalesce(source in ('crm', 'partner', 'store', 'web'), false) and coalesce(segment in ('online', 'public', 'retail', 'wholesale'), true) and balance is not null)),
+n as (select *, lead(ms) over w as nms, lead(o) over w as no from ok window w as (partition by client_id order by ms, lsn))
+select client_id, seq, source, segment, city, balance, ms as from_ms, nms as to_ms, nms is null as is_current, coalesce(no = 'd', false) as is_deleted from n where o <> 'd' and (nms is null or nms <> ms)
+""")
+def client_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients' changes as lines, held against a contract, and the history of what keeps it: from payload to version."""
+    c = table(spark, sf_dir, "client_changes").where("valid_at is not null and client_id is not null and op in ('I', 'U', 'D')")
+    gone, image = F.col("op") == "D", F.struct("client_id", "seq", "source", "segment", "city", "balance")
+    line = F.to_json(F.struct(F.when(gone, image).alias("before"), F.when(~gone, image).alias("after")))
+    events = c.select(line.alias("raw_value"), F.when(gone, "d").when(F.col("op") == "I", "c").otherwise("u").alias("op"), epoch_ms(F.col("valid_at")).alias("ts_ms"), F.coalesce("change_id", F.lit(10**12) + F.col("seq")).alias("lsn"), F.lit("run").alias("run_id"))
+    valid, _, _ = enforcement.enforce_contract(events, CLIENT_CONTRACT)
+    made = scd2.build_versions(valid, CLIENT_CONTRACT)
+    return made.select("client_id", "seq", "source", "segment", "city", "balance", F.unix_millis("valid_from").alias("from_ms"), F.unix_millis("valid_to").alias("to_ms"), "is_current", "is_deleted")
+
+
 @query("select l_orderkey, l_linenumber, count(*) > 0 as there from lineitem group by 1, 2")
 def append_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping parts of lineitem, the second merged into the first by key."""
@@ -426,6 +471,21 @@ def stg_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marts.stg_customers(held).drop("email", "phone", "address", "updated_at")
 
 
+@query("""
+select client_id as customer_id, name as full_name, email, 'n' || nation_id as phone, city as address, segment, case when balance < 0 then 'high' else 'low' end as risk_rating,
+  updated_at as created_at, updated_at, updated_at as valid_from, cast(client_id as varchar) as business_key from clients where client_id = master_id and nation_id % 5 <> 0
+""")
+def stg_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staging view with all its columns, over clients that are their own master and live in four nations of five."""
+    c, at = table(spark, sf_dir, "clients"), F.col("updated_at")
+    held = c.select(
+        F.col("client_id").alias("customer_id"), F.col("name").alias("full_name"), "email", F.concat(F.lit("n"), F.col("nation_id").cast("string")).alias("phone"), F.col("city").alias("address"), "segment",
+        F.when(F.col("balance") < 0, "high").otherwise("low").alias("risk_rating"), at.alias("created_at"), at.alias("updated_at"), at.alias("valid_from"), F.col("client_id").cast("string").alias("business_key"),
+        (F.col("client_id") == F.col("master_id")).alias("is_current"), (F.col("nation_id") % 5 == 0).alias("is_deleted"),
+    )
+    return marts.stg_customers(held)
+
+
 def _loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as loan applications: even keys are current, every eleventh is deleted."""
     o = table(spark, sf_dir, "orders")
@@ -712,7 +772,8 @@ def chunk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = embed.embedded(F.col("text"), embed.HashingEmbedder())
     rows = table(spark, sf_dir, "documents").select("doc_id", made.alias("vec"))
-    return rows.select("doc_id", F.size("vec").alias("dim"), F.round(dot(F.col("vec"), F.col("vec")), 4).alias("norm"), F.size(F.filter("vec", lambda x: x > 0)).alias("filled"))
+    filled = F.filter(F.sequence(F.lit(0), F.size("vec") - 1), lambda i: F.col("vec")[i] > 0)
+    return rows.select("doc_id", F.size("vec").alias("dim"), F.round(dot(F.col("vec"), F.col("vec")), 4).alias("norm"), F.size(filled).alias("filled"), F.array_join(filled.cast("array<string>"), ",").alias("buckets"))
 
 
 @query("""

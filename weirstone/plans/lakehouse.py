@@ -12,7 +12,7 @@ from pathlib import Path
 from typing import Any
 
 from pyspark import InheritableThread
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from weirstone import governance
@@ -90,29 +90,30 @@ def historize(run: Run, contract: Contract, scd: str, changed_since: str | None
     that have events since are worked out anew, over their whole history.
     """
     name = contract.contract
-    events = run.read(f"bronze/{name}")
-    valid, broken, _ = enforcement.enforce_contract(events, contract)
-    if changed_since:
-        key = F.coalesce(f"after.{contract.primary_key[0]}", f"before.{contract.primary_key[0]}")
-        valid = valid.withColumn("_key", key)
-        valid = scd2.touched_history(valid, valid.where(F.col("ingest_ts") >= F.lit(changed_since).cast("timestamp")), "_key")
-    valid, broken = valid.persist(), enforcement.quarantine_rows(broken, contract).persist()
+    # Checked events are written once, and counted on the way; all that follows reads them from there.
+    place, seen = f"{run.lake}/_checked/{name}-{uuid.uuid4().hex}", Observation()
+    checked = enforcement.check_payloads(run.read(f"bronze/{name}"), contract, before=scd == "type2")
+    bad = F.size("violations") > 0
+    checked.observe(seen, F.count(F.lit(1)).alias("read"), F.count_if(bad).alias("bad")).write.parquet(place)
+    checked = run.spark.read.schema(checked.schema).parquet(place)
     try:
-        put_aside(run, broken)
+        if seen.get["bad"]:
+            put_aside(run, enforcement.quarantine_rows(checked.where(bad), contract))
+        valid = checked.where(~bad).drop("violations")
+        if changed_since:
+            valid = valid.withColumn("_key", F.coalesce(f"after.{contract.primary_key[0]}", f"before.{contract.primary_key[0]}") if scd == "type2" else F.col(f"after.{contract.primary_key[0]}"))
+            valid = scd2.touched_history(valid, valid.where(F.col("ingest_ts") >= F.lit(changed_since).cast("timestamp")), "_key")
         if scd == "type2":
             written = run.table("silver", name).merge(scd2.build_versions(valid, contract), scd2.IDENTITY, scd2.CLOSING)
         else:
             written = run.table("silver", name).merge_absent(scd2.fact_rows(valid, contract), contract.primary_key[:1])
-        return {"read": events.count(), "written": written, "quarantined": broken.count()}
+        return {"read": seen.get["read"], "written": written, "quarantined": seen.get["bad"]}
     finally:
-        valid.unpersist()
-        broken.unpersist()
+        Files(run.spark, place).delete("")
 
 
 def put_aside(run: Run, broken: DataFrame) -> None:
     """Violating events into the quarantine, once each: rereading all events adds no row twice."""
-    if broken.isEmpty():
-        return
     quarantine, identity = run.table("silver", "_quarantine"), ["_row_key"]
     rows = broken.withColumn("_row_key", F.sha2(F.concat_ws("\x1f", "entity", "raw_line", "op", F.col("ts_ms").cast("string")), 256))
     rows = insert_absent(quarantine.read(), rows, identity) if quarantine.exists() else rows.dropDuplicates(identity)

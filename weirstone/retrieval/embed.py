@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Texts whose grams are counted at once.
+AT_ONCE = 256
+
+
 class Embedder(Protocol):
     @property
     def fingerprint(self) -> str: ...
@@ -66,11 +70,17 @@ class HashingEmbedder:
             owner, bucket = self.word_buckets(words)
             count = np.bincount(owner, minlength=len(words))
             first = np.cumsum(count) - count
-            for row, said in zip(out, found, strict=True):
-                which, times = np.unique(np.array([number[w] for w in said], np.int64), return_counts=True)
+            for k in range(0, len(texts), AT_ONCE):
+                some = found[k : k + AT_ONCE]
+                said = np.array([number[w] for words in some for w in words], np.int64)
+                row = np.repeat(np.arange(len(some)), [len(words) for words in some])
+                # Each text's distinct words, then their grams, then one count over (text, bucket).
+                pair, times = np.unique(row * np.int64(len(number)) + said, return_counts=True)
+                row, which = pair // len(number), pair % len(number)
                 many = count[which]
                 at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[which], many)
-                row += np.bincount(bucket[at], weights=np.repeat(times, many), minlength=self.dim)
+                cell = np.repeat(row * self.dim, many) + bucket[at]
+                out[k : k + len(some)] = np.bincount(cell, weights=np.repeat(times, many), minlength=len(some) * self.dim).reshape(-1, self.dim)
         some = out > 0
         out[some] = 1 + np.log(out[some])
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)).astype(np.float32)
