@@ -265,7 +265,7 @@ def scd2_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     for batch in range(3):
         table(spark, sf_dir, "events").where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch).write.mode("append").parquet(f"{folder}/landing")
         events = spark.readStream.schema(schema).parquet(f"{folder}/landing").withColumn("op", F.when(F.col("event_type") == "error", "d").otherwise("u"))
-        histories.historize_stream(events, timeline, f"{folder}/checkpoint", key="user_id", at="ts", tie="event_id")
+        histories.historize_stream(events, timeline, f"{folder}/checkpoint", key="user_id", at="ts", tie="event_id", buckets=8)
     return histories.versions(timeline.read()).select("user_id", "event_id", "value", "valid_from", "valid_to", "is_current", "is_deleted")
 
 

@@ -64,7 +64,7 @@ def _state_in_rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, was) if was else spark.conf.unset(name)
 
 
-def apply_changes(changes: DataFrame, timeline: Table) -> None:
+def apply_changes(changes: DataFrame, timeline: Table, buckets: int | None = None) -> None:
     """Merge what a micro-batch changed. A batch that is delivered again changes nothing more."""
     folder = f"_staged/{uuid.uuid4().hex}"
     changes.write.parquet(f"{timeline.path}/{folder}")
@@ -79,16 +79,17 @@ def apply_changes(changes: DataFrame, timeline: Table) -> None:
             both = held.withColumn("fresh", F.lit(False)).unionByName(fresh).withColumns({"then_at": F.lead("at").over(line), "then_op": F.lead("op").over(line)})
             moved = both.where(F.col("fresh") | ~F.col("then_at").eqNullSafe(F.col("next_at")) | ~F.col("then_op").eqNullSafe(F.col("next_op")))
             plain = plain.unionByName(moved.drop("fresh", *FOLLOWING).withColumnsRenamed({"then_at": "next_at", "then_op": "next_op"}))
-        timeline.merge(plain, IDENTITY, FOLLOWING)
+        timeline.merge(plain, IDENTITY, FOLLOWING, buckets)
     finally:
         timeline.files.delete(folder)
 
 
-def historize_stream(events: DataFrame, timeline: Table, checkpoint: str, *, key: str, at: str, tie: str, op: str = "op") -> None:
+def historize_stream(events: DataFrame, timeline: Table, checkpoint: str, *, key: str, at: str, tie: str, op: str = "op", buckets: int | None = None) -> None:
     """Take in all that a stream of events holds and stop; ``timeline`` has every event with what follows it.
 
     Events are in order by ``at`` and then ``tie`` (a whole number); one that is delivered again (same
-    time, tie and kind) counts once. Events without a key, time, tie or kind are left out.
+    time, tie and kind) counts once. Events without a key, time, tie or kind are left out. ``buckets``: of a
+    new timeline, which merges touch as far as they have rows there.
     """
     rows = events.where(" and ".join(f"`{name}` is not null" for name in (key, at, tie, op)))
     rows = rows.select(F.col(key).alias("key"), F.col(at).alias("at"), F.col(tie).cast("long").alias("tie"), F.col(op).alias("op"), F.struct("*").alias("row"))
@@ -96,7 +97,7 @@ def historize_stream(events: DataFrame, timeline: Table, checkpoint: str, *, key
     schema = T.StructType([T.StructField(name, kind) for name, kind in {"kind": T.StringType(), **kinds, "next_at": kinds["at"], "next_op": T.StringType()}.items()])
     changes = rows.groupBy("key").transformWithState(LatestEvent(kinds["at"].simpleString()), schema, "Update", "None")
     with _state_in_rocksdb(events.sparkSession):
-        query = changes.writeStream.outputMode("update").foreachBatch(lambda batch, _: apply_changes(batch, Table(batch.sparkSession, timeline.path))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = changes.writeStream.outputMode("update").foreachBatch(lambda batch, _: apply_changes(batch, Table(batch.sparkSession, timeline.path), buckets)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
