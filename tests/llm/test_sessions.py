@@ -121,3 +121,10 @@ def test_query_and_its_sql(spark):
     names = sorted(found.columns)
     assert names == sorted(want.columns)
     assert given(found.select(names)) == sorted(want.select(", ".join(names)).fetchall())
+
+
+def test_nothing_is_broadcast(spark):
+    clicks = queries.table(spark, DATA, "clicks")
+    found = sessions.sessions(clicks, line_rows=30, group_rows=40)
+    found.count()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

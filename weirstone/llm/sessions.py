@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weirstone.llm._spark import broadcast_below, cut, written
+from weirstone.llm._spark import cut, written
 
 MINUTE = 60_000_000
 
@@ -90,9 +90,10 @@ def _placed(clicks: DataFrame, heads: DataFrame, width: int) -> DataFrame:
     there = clicks.select("client_id", bucket).distinct()
     up = Window.partitionBy("client_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     down = Window.partitionBy("client_id").orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    around = there.join(own, ["client_id", "bucket"], "full").withColumn("carried", F.last(F.element_at("own", -1), ignorenulls=True).over(up))
+    # Joins stay shuffled: what is known of busy clients grows with the input, and nothing that does is broadcast.
+    around = there.join(own.hint("merge"), ["client_id", "bucket"], "full").withColumn("carried", F.last(F.element_at("own", -1), ignorenulls=True).over(up))
     around = around.withColumn("following", F.last(F.element_at("own", 1), ignorenulls=True).over(down))
-    rows = clicks.withColumn("bucket", F.floor(F.col("us") / width)).join(around, ["client_id", "bucket"])
+    rows = clicks.withColumn("bucket", F.floor(F.col("us") / width)).join(around.hint("merge"), ["client_id", "bucket"])
     here = F.struct(F.col("us"), F.when(F.col("late"), F.lit(NEVER)).otherwise(F.col("click_id")).alias("click_id"))
     rows = rows.withColumn("_here", here).withColumn("own", F.coalesce("own", F.array().cast("array<struct<us: bigint, click_id: bigint>>")))
     past, ahead = F.expr("filter(own, h -> h <= _here)"), F.expr("filter(own, h -> h > _here)")
@@ -118,13 +119,13 @@ def _starts_by_doubling(line: DataFrame, longest: int) -> DataFrame:
     cells = both.groupBy(*key, "cell").agg(F.min(F.when(F.col("src").isNull(), F.col("at"))).alias("least"))
     later = Window.partitionBy(*key).orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*key, "cell", F.last("least", ignorenulls=True).over(later).alias("beyond"))
-    jumps = near.where("src is not null").join(cells, [*key, "cell"]).select(*key, F.col("src").alias("us"), F.coalesce("to", "beyond").alias("to")).where("to is not null")
+    jumps = near.where("src is not null").join(cells.hint("merge"), [*key, "cell"]).select(*key, F.col("src").alias("us"), F.coalesce("to", "beyond").alias("to")).where("to is not null")
     jumps = written(jumps)
     reached = written(times.groupBy(*key).agg(F.min("us").alias("us")))
     while not jumps.isEmpty():
-        reached = written(reached.union(reached.join(jumps, [*key, "us"]).select(*key, F.col("to").alias("us"))).distinct())
-        jumps = written(jumps.join(jumps.select(*key, F.col("us").alias("to"), F.col("to").alias("beyond")), [*key, "to"]).select(*key, "us", F.col("beyond").alias("to")))
-    return times.join(reached, [*key, "us"]).select("client_id", "us", "click_id")
+        reached = written(reached.union(reached.join(jumps.hint("merge"), [*key, "us"]).select(*key, F.col("to").alias("us"))).distinct())
+        jumps = written(jumps.join(jumps.select(*key, F.col("us").alias("to"), F.col("to").alias("beyond")).hint("merge"), [*key, "to"]).select(*key, "us", F.col("beyond").alias("to")))
+    return times.join(reached.hint("merge"), [*key, "us"]).select("client_id", "us", "click_id")
 
 
 def _long_lines(clicks: DataFrame, gap: int, longest: int, line_rows: int) -> DataFrame:
@@ -138,7 +139,7 @@ def _long_lines(clicks: DataFrame, gap: int, longest: int, line_rows: int) -> Da
     long = cut(lines.where(F.col("n") > line_rows).where(F.col("last_us") - F.col("head.us") > 2 * longest).select("client_id", "head"))
     if long.isEmpty():
         return placed
-    line = placed.where("not late").join(long, ["client_id", "head"], "left_semi").select("client_id", "head", "us", "click_id")
+    line = placed.where("not late").join(long.hint("merge"), ["client_id", "head"], "left_semi").select("client_id", "head", "us", "click_id")
     more = _starts_by_doubling(line, longest)
     return _placed(clicks, cut(heads.union(more).distinct()), width)
 
@@ -224,17 +225,17 @@ def sessions(clicks: DataFrame, *, gap: int = 30 * MINUTE, longest: int = 120 *
     if final is None:
         final = (F.col("kind") == "purchase") & (F.col("value").cast("double") >= 60) & ~F.isnan(F.col("value").cast("double"))
     client_type = clicks.schema["client_id"].dataType.simpleString()
-    once = cut(distinct_clicks(clicks, late_after, final))
-    sizes = once.groupBy("client_id").agg(F.count("*").alias("n"))
-    busy = cut(sizes.where(F.col("n") > line_rows).select("client_id"))
-    rows, key = once, F.struct(F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("click_id"))
+    once = written(distinct_clicks(clicks, late_after, final))
+    key = F.struct(F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("click_id"))
     whole = lambda df: df.select("*", key.alias("head"), F.lit(NEVER).alias("next_us"))
+    busy = cut(once.groupBy("client_id").agg(F.count("*").alias("n")).where(F.col("n") > line_rows).select("client_id", F.lit(True).alias("busy")))
     if busy.isEmpty():
-        rows = whole(rows)
+        rows = whole(once)
     else:
-        some = broadcast_below(busy, 64)
-        long = _long_lines(cut(once.join(some, "client_id", "left_semi")), gap, longest, line_rows)
-        rows = whole(once.join(some, "client_id", "left_anti")).unionByName(long)
+        # A shuffled join, which adaptive execution splits where a client has very many clicks.
+        told = written(once.join(busy.hint("merge"), "client_id", "left"))
+        long = _long_lines(told.where("busy").drop("busy"), gap, longest, line_rows)
+        rows = whole(told.where("busy is null").drop("busy")).unionByName(long)
     groups = 1 + once.count() // group_rows
     rows = rows.where("head is not null").withColumn("head", F.col("head.click_id")).withColumn("bin", F.pmod(F.xxhash64("client_id", "head"), F.lit(groups)))
     timely = rows.where("not late").drop("late").groupBy("bin")
