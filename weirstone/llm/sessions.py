@@ -225,18 +225,20 @@ def sessions(clicks: DataFrame, *, gap: int = 30 * MINUTE, longest: int = 120 *
     if final is None:
         final = (F.col("kind") == "purchase") & (F.col("value").cast("double") >= 60) & ~F.isnan(F.col("value").cast("double"))
     client_type = clicks.schema["client_id"].dataType.simpleString()
-    once = written(distinct_clicks(clicks, late_after, final))
+    once = distinct_clicks(clicks, late_after, final)
     key = F.struct(F.lit(0).cast("long").alias("us"), F.lit(0).cast("long").alias("click_id"))
     whole = lambda df: df.select("*", key.alias("head"), F.lit(NEVER).alias("next_us"))
-    busy = cut(once.groupBy("client_id").agg(F.count("*").alias("n")).where(F.col("n") > line_rows).select("client_id", F.lit(True).alias("busy")))
+    # Counted with repeated rows: who counts as busy changes no result.
+    busy = cut(clicks.groupBy("client_id").agg(F.count("*").alias("n")).where((F.col("n") > line_rows) & F.col("client_id").isNotNull()).select("client_id", F.lit(True).alias("busy")))
     if busy.isEmpty():
-        rows = whole(once)
+        told = written(once)
+        rows = whole(told)
     else:
         # A shuffled join, which adaptive execution splits where a client has very many clicks.
         told = written(once.join(busy.hint("merge"), "client_id", "left"))
         long = _long_lines(told.where("busy").drop("busy"), gap, longest, line_rows)
         rows = whole(told.where("busy is null").drop("busy")).unionByName(long)
-    groups = 1 + once.count() // group_rows
+    groups = 1 + told.count() // group_rows
     rows = rows.where("head is not null").withColumn("head", F.col("head.click_id")).withColumn("bin", F.pmod(F.xxhash64("client_id", "head"), F.lit(groups)))
     timely = rows.where("not late").drop("late").groupBy("bin")
     # New names, as both sides come of the same rows.
