@@ -1,8 +1,10 @@
+import re
+
 import numpy as np
 import pytest
 
 from weirstone.governance import access_matrix, pii_inventory, pii_tag_sql, render_access_matrix
-from weirstone.retrieval import chunks, embed, index
+from weirstone.retrieval import chunks, embed, index, ngrams
 from weirstone.retrieval.corpus import write_corpus
 from weirstone.storage.table import Files
 
@@ -129,3 +131,26 @@ def test_texts_embed_alike_in_any_batch():
     made = embed.HashingEmbedder()
     whole = made.embed(texts)
     assert all((made.embed([t])[0] == v).all() for t, v in list(zip(texts, whole, strict=True))[::37]) and not whole[-1].any()
+
+
+@pytest.mark.parametrize("slice_words", [1 << 19, 4])
+def test_grams_are_counted_by_document_and_shuffled_as_grams_only(spark, monkeypatch, slice_words):
+    """Ids that repeat are one document, null is none; what is shuffled is grams, never grams by document."""
+    from collections import Counter, defaultdict
+
+    monkeypatch.setattr(ngrams, "CELLS", 64)
+    texts = [(1, "The cat, the CATS"), (1, "cat a"), (2, "catİ x"), (None, "cat cat"), (2, None), (3, ""), (4, "..."), (5, "a1b2c3d4")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    n, docs = Counter(), defaultdict(set)
+    for doc, text in texts:
+        for word in re.findall(r"[a-z0-9]+", (text or "").lower()):
+            marked = f"^{word}$"
+            for gram in (marked[i : i + k] for k in (3, 4, 5) for i in range(max(len(marked) - k + 1, 1))):
+                n[gram] += 1
+                docs[gram] |= {doc} - {None}
+    found = ngrams.gram_counts(rows.coalesce(1), slice_words=slice_words)
+    assert sorted(map(tuple, found.collect())) == sorted((g, n[g], len(docs[g])) for g in n)
+    once = ngrams.gram_counts(rows.where("text = 'a1b2c3d4'"))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(gram" in plan
+    assert ngrams.gram_counts(rows.limit(0)).count() == 0

@@ -20,7 +20,7 @@ from weirstone.observability import metrics as M
 from weirstone.operators import dedup, enforcement, envelope, gold, marts, merge, reconcile, scd2
 from weirstone.quality.runner import run_suite, suite_summary
 from weirstone.quality.suite import Suite
-from weirstone.retrieval import chunks, embed, index
+from weirstone.retrieval import chunks, embed, index, ngrams
 from weirstone.sources.files import Feed, copy_into
 from weirstone.storage.export import export_table
 from weirstone.storage.scratch import scratch_folder
@@ -783,17 +783,7 @@ g as (select doc_id, substr('^' || word || '$', cast(i as int), n) as gram from
 select gram, count(*) as n, count(distinct doc_id) as docs from g group by gram
 """)
 def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0)).alias("word"))
-    marked = F.concat(F.lit("^"), "word", F.lit("$"))
-    # A word repeats often, so its grams are counted by word and document first.
-    per_word = words.groupBy("doc_id", "word").agg(F.count("*").alias("times"))
-    # A word that is shorter than a gram gives one cut-off gram.
-
-    def cuts(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("word") + 3 - n, F.lit(1))), lambda i: F.substring(marked, i, F.lit(n)))
-
-    grams = per_word.select("doc_id", "times", F.explode(F.concat(*(cuts(n) for n in (3, 4, 5)))).alias("gram"))
-    return grams.groupBy("gram").agg(F.sum("times").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return ngrams.gram_counts(table(spark, sf_dir, "documents"))
 
 
 @query("""
