@@ -2,6 +2,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weirstone.governance import access_matrix, pii_inventory, pii_tag_sql, render_access_matrix
 from weirstone.retrieval import chunks, embed, index, ngrams
@@ -154,3 +155,21 @@ def test_grams_are_counted_by_document_and_shuffled_as_grams_only(spark, monkeyp
     plan = once._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and "Exchange hashpartitioning(gram" in plan
     assert ngrams.gram_counts(rows.limit(0)).count() == 0
+
+
+def test_a_worker_embeds_a_bounded_slice_of_a_batch_at_once(spark, monkeypatch):
+    """However many texts an Arrow batch holds; the vectors are those of all texts at once."""
+    texts = [f"word{k} words {'more ' * (k % 7)}" for k in range(300)] + ["", None, "long " * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").coalesce(1)
+    size = embed.SLICE_BYTES
+
+    class Watched(embed.HashingEmbedder):
+        def embed(self, texts):
+            assert len(texts) == 1 or sum(map(len, texts)) <= size, "a slice is too large"
+            return super().embed(texts)
+
+    found = {r["k"]: r["v"] for r in rows.select("k", embed.embedded(F.col("text"), Watched()).alias("v")).collect()}
+    want = embed.HashingEmbedder().embed(texts)
+    assert all(found[k] == v.tolist() for k, v in enumerate(want))
+    many = spark.range(4000).coalesce(1).select(F.repeat(F.concat(F.lit("text "), "id"), F.lit(200)).alias("text"))
+    assert many.select(embed.embedded(F.col("text"), Watched()).alias("v")).where("size(v) = 384").count() == 4000

@@ -8,14 +8,16 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weirstone.retrieval.ngrams import cut_words, spread
 
-#: Texts whose grams are counted at once.
-AT_ONCE = 256
+#: Texts whose grams are counted at once; bytes of text that a worker embeds at once.
+AT_ONCE, SLICE_BYTES = 256, 2 << 20
 
 
 class Embedder(Protocol):
@@ -41,22 +43,9 @@ class HashingEmbedder:
 
     def word_buckets(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """(which word, bucket) of all grams of the given words; a word shorter than a gram gives one cut-off gram."""
-        line = "".join(f"^{w}$" for w in words)
-        length = np.array([len(w) + 2 for w in words], np.int64)
-        begin = np.cumsum(length) - length
-        owner, start, size = [], [], []
-        for n in range(self.shortest, self.longest + 1):
-            many = np.maximum(length - n + 1, 1)
-            owner.append(np.repeat(np.arange(len(words)), many))
-            start.append(np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin, many))
-            size.append(np.minimum(length, n)[owner[-1]])
-        cuts = [line[i : i + k] for i, k in zip(np.concatenate(start).tolist(), np.concatenate(size).tolist(), strict=True)]
-        place: dict[str, int] = {}
-        which = np.fromiter((place.setdefault(g, len(place)) for g in cuts), np.int64, len(cuts))
-        hashed = np.fromiter((int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") % self.dim for g in place), np.int64, len(place))
-        owner = np.concatenate(owner)
-        by_word = np.argsort(owner, kind="stable")
-        return owner[by_word], hashed[which][by_word]
+        owner, which, grams = cut_words(words, range(self.shortest, self.longest + 1))
+        hashed = np.fromiter((int.from_bytes(hashlib.blake2b(g, digest_size=8).digest(), "big") % self.dim for g in grams), np.int64, len(grams))
+        return owner, hashed[which]
 
     def buckets(self, word: str) -> tuple[int, ...]:
         return tuple(self.word_buckets([word])[1].tolist())
@@ -78,20 +67,32 @@ class HashingEmbedder:
                 pair, times = np.unique(row * np.int64(len(number)) + said, return_counts=True)
                 row, which = pair // len(number), pair % len(number)
                 many = count[which]
-                at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[which], many)
-                cell = np.repeat(row * self.dim, many) + bucket[at]
+                cell = np.repeat(row * self.dim, many) + bucket[spread(which, first, count)]
                 out[k : k + len(some)] = np.bincount(cell, weights=np.repeat(times, many), minlength=len(some) * self.dim).reshape(-1, self.dim)
         some = out > 0
         out[some] = 1 + np.log(out[some])
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-300)).astype(np.float32)
 
 
+def in_slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[list[str]]:
+    """An Arrow array's texts, at most ``limit`` bytes at a time and at least one text; a null is empty."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start, done = 0, 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(upto, done + limit, "right")))
+        yield pc.fill_null(texts.slice(start, end - start), "").to_pylist()
+        start, done = end, upto[end - 1]
+
+
 def embedded(text: Column, embedder: Embedder) -> Column:
-    """The vectors of a text column, in Arrow batches."""
+    """The vectors of a text column. A worker takes a slice of an Arrow batch at a time, so its memory is bounded whatever a batch holds."""
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series(list(embedder.embed(texts.fillna("").tolist())))
+            parts = [embedder.embed(some) for some in in_slices(texts)]
+            cells = np.concatenate([x.ravel() for x in parts] or [np.zeros(0, np.float32)])
+            bounds = np.cumsum([0, *(x.shape[1] for x in parts for _ in range(len(x)))], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(bounds), pa.array(cells, pa.float32()))
 
     return run(text)
