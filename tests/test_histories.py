@@ -4,6 +4,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from weirstone.operators import scd2
@@ -62,3 +63,32 @@ def test_on_time_events_read_no_timeline(spark, tmp_path, monkeypatch):
     streamed(spark, tmp_path, [[("a", 9, at(0.5), "d", 0.0)]])
     assert len(places) == 1
     assert [(r[1], r[4], r[6]) for r in shown(histories.versions(timeline.read()))] == [(0, at(0.5), True), (1, None, False)]
+
+
+def test_the_keys_of_a_bucket_share_a_call_to_the_state():
+    calls, held = [], []
+
+    class Value:
+        def exists(self):
+            return bool(held)
+
+        def get(self):
+            calls.append("get")
+            return held[-1]
+
+        def update(self, value):
+            calls.append("update")
+            held.append(value)
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802 - Spark's name
+            return Value()
+
+    state = histories.LatestEvent()
+    state.init(Handle())
+    rows = lambda n, hour: iter([Row(key=f"k{k}", at=T0 + timedelta(hours=hour), tie=n, op="u", row=k) for k in range(100)])
+    said = lambda n, hour: [(r["kind"], r["key"], r["tie"]) for r in state.handleInputRows((7,), rows(n, hour), None)]
+    assert said(1, 1) == [("event", f"k{k}", 1) for k in range(100)]
+    assert said(2, 2) == [(kind, f"k{k}", n) for k in range(100) for kind, n in (("close", 1), ("event", 2))]
+    assert said(3, 0) == [("late", f"k{k}", 3) for k in range(100)]
+    assert calls == ["update", "get", "update", "get"]
