@@ -128,3 +128,15 @@ def test_nothing_is_broadcast(spark):
     found = sessions.sessions(clicks, line_rows=30, group_rows=40)
     found.count()
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clicks_are_shuffled_once_before_they_are_written(spark, monkeypatch):
+    monkeypatch.setattr(sessions, "BUSY_SLOTS", 64)
+    once = sessions.distinct_clicks(queries.table(spark, DATA, "clicks"), 60 * MINUTE, F.lit(False))
+    busy = once.select("client_id").distinct().where("client_id % 50 = 3")
+    marked = sessions._marked_busy(once, busy)
+    plan = marked._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "min_by" not in plan
+    told = {r["client_id"]: r["busy"] for r in marked.select("client_id", "busy").distinct().collect()}
+    ids = {r["client_id"] for r in busy.collect()}
+    assert ids and all(told[k] for k in ids) and not all(told.values())
