@@ -34,7 +34,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class LatestEvent(StatefulProcessor):
     """Says what new events of a bucket's keys change. A task holds those of one bucket and micro-batch.
 
-    The latest events of a bucket's keys are one value of the state, as each call to it takes about as long as a hundred rows.
+    The latest events of a bucket's keys are one value of the state, so that calls to it don't grow in number with the keys.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
